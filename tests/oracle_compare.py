@@ -29,10 +29,23 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def _norm(v):
     if v is None:
         return None
+    if isinstance(v, pd.Timestamp):
+        return v.to_pydatetime().isoformat()
+    try:
+        if pd.isna(v):
+            return None
+    except (TypeError, ValueError):
+        pass
     if isinstance(v, float):
         if math.isnan(v):
             return None
+        if v.is_integer():
+            return repr(int(v))
         return repr(round(v, 9))
+    if hasattr(v, "item") and not isinstance(v, (str, bytes)):
+        return _norm(v.item())
+    if isinstance(v, int) and not isinstance(v, bool):
+        return repr(int(v))
     if isinstance(v, pd.Timestamp):
         return v.to_pydatetime().isoformat()
     if hasattr(v, "isoformat"):

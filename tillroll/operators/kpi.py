@@ -124,7 +124,7 @@ def metrics_with_without_outliers(sc: DataFrame, sc_z: DataFrame,
 
 
 def _impact_row(df: DataFrame) -> DataFrame:
-    return df.agg(F.sum("TotalSales").alias("total_sales"),
+    return df.agg(F.sum(F.col("TotalSales").cast("decimal(38,2)")).cast("double").alias("total_sales"),
                   F.avg("TotalSales").alias("mean_sales"),
                   F.sum("Quantity").alias("total_quantity"),
                   n_distinct_with_null(F.col("CustomerID")).cast("double").alias("unique_customers"))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillroll import config
 from tillroll.operators import clean, kpi
 from tillroll.plans import oracle as O
 from tillroll.sources.retail import retail_from_tables
@@ -73,3 +74,200 @@ register("q_kpi_negative", O.kpi_sql("neg"))(_kpi_query("neg"))
 def q_kpi_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rnd(kpi.kpi_table(pops(spark, sf_dir).scaled, sales="TotalSales_MinMax",
                              qty="Quantity_MinMax"), KPI_ROUND_SCALED)
+
+
+# --- sources and data quality (S2, U1, F2, A17, R1, F13, W1, W2, W3) ---------
+from tillroll.operators import customers as cust  # noqa: E402
+from tillroll.operators import quality  # noqa: E402
+from tillroll.sources.retail import RAW_COLUMNS  # noqa: E402
+
+_RAW_COLS = ", ".join(RAW_COLUMNS)
+
+
+@register("q_union_raw_counts", O.with_prefix("""
+SELECT src_rank, count(*) AS n_rows,
+       CAST(sum(CAST(Description IS NULL AS BIGINT)) AS BIGINT) AS null_description,
+       CAST(sum(CAST(CustomerID IS NULL AS BIGINT)) AS BIGINT) AS null_customer
+FROM raw GROUP BY src_rank"""))
+def q_union_raw_counts(spark, sf_dir):
+    return quality.source_counts(retail_from_tables(spark, sf_dir))
+
+
+@register("q_missing_rows", O.with_prefix(f"""
+SELECT {_RAW_COLS} FROM raw
+WHERE CustomerID IS NULL OR Quantity IS NULL OR Price IS NULL OR InvoiceDate IS NULL
+   OR Country IS NULL"""))
+def q_missing_rows(spark, sf_dir):
+    return quality.missing_rows(retail_from_tables(spark, sf_dir))
+
+
+@register("q_missing_summary", O.with_prefix("""
+SELECT * FROM (
+  SELECT 'missing_CustomerID' AS "Column", count(*) - count(CustomerID) AS Missing_Count FROM raw
+  UNION ALL SELECT 'missing_Quantity', count(*) - count(Quantity) FROM raw
+  UNION ALL SELECT 'missing_Price', count(*) - count(Price) FROM raw
+  UNION ALL SELECT 'missing_InvoiceDate', count(*) - count(InvoiceDate) FROM raw
+  UNION ALL SELECT 'missing_Country', count(*) - count(Country) FROM raw
+  UNION ALL SELECT 'missing_Description', count(*) - count(Description) FROM raw
+) t WHERE Missing_Count > 0"""))
+def q_missing_summary(spark, sf_dir):
+    return kpi.missing_summary(retail_from_tables(spark, sf_dir))
+
+
+@register("q_dup_keys", O.with_prefix(f"""
+SELECT {_RAW_COLS} FROM (
+  SELECT *, count(*) OVER (PARTITION BY Invoice, StockCode) AS n_ FROM raw) t WHERE n_ > 1"""))
+def q_dup_keys(spark, sf_dir):
+    return quality.duplicates_by_key(retail_from_tables(spark, sf_dir))
+
+
+@register("q_dup_exact", O.with_prefix(f"""
+SELECT {_RAW_COLS} FROM (
+  SELECT *, count(*) OVER (PARTITION BY Invoice, StockCode, Description, Quantity, InvoiceDate,
+                                        Price, CustomerID, Country) AS n_ FROM raw) t
+WHERE n_ > 1"""))
+def q_dup_exact(spark, sf_dir):
+    return quality.duplicates_exact(retail_from_tables(spark, sf_dir))
+
+
+@register("q_dedup_first", O.with_prefix(f"SELECT {_RAW_COLS} FROM nodup"))
+def q_dedup_first(spark, sf_dir):
+    return clean.dedup_first(retail_from_tables(spark, sf_dir))
+
+
+_SC_COLS = ('Invoice, StockCode, Description, InvoiceDate, Month, Day, Year, Quantity, Price, '
+            'round(TotalSales, 4) AS TotalSales, CustomerID, Country, RegionAFRICA, RegionAPAC, RegionEU, '
+            '"RegionNA/LATAM", RegionOther, Region, src_rank')
+
+
+@register("q_clean_lines", O.with_prefix(f"SELECT {_SC_COLS} FROM sc"))
+def q_clean_lines(spark, sf_dir):
+    return rnd(pops(spark, sf_dir).sc, {"TotalSales": 4})
+
+
+@register("q_countries", O.with_prefix("SELECT DISTINCT Country FROM reg"))
+def q_countries(spark, sf_dir):
+    return quality.distinct_countries(pops(spark, sf_dir).reg)
+
+
+@register("q_region_map", O.with_prefix(
+    "SELECT Country, Region, count(*) AS lines FROM reg GROUP BY Country, Region"))
+def q_region_map(spark, sf_dir):
+    return quality.country_regions(pops(spark, sf_dir).reg)
+
+
+# --- customers across regions, outliers, bulk lines, impact tables ----------
+@register("q_multi_region_customers", O.with_prefix("""
+SELECT * FROM (
+  SELECT CustomerID, string_agg(Region, ', ' ORDER BY src_rank, InvoiceDate, Invoice, StockCode)
+         AS Regions
+  FROM (SELECT CustomerID, Region, src_rank, InvoiceDate, Invoice, StockCode,
+               row_number() OVER (PARTITION BY CustomerID, Region
+                                  ORDER BY src_rank, InvoiceDate, Invoice, StockCode) AS rn_
+        FROM sc WHERE CustomerID IS NOT NULL) t
+  WHERE rn_ = 1 GROUP BY CustomerID) u
+WHERE length(Regions) - length(replace(Regions, ',', '')) >= 1"""))
+def q_multi_region_customers(spark, sf_dir):
+    return cust.multi_region_customers(pops(spark, sf_dir).sc)
+
+
+@register("q_bulk_lines", O.with_prefix(
+    f"SELECT {_SC_COLS} FROM sc WHERE Quantity > {float(config.BULK_STRICT)}"))
+def q_bulk_lines(spark, sf_dir):
+    sc = pops(spark, sf_dir).sc
+    return rnd(sc.where(F.col("Quantity") > config.BULK_STRICT), {"TotalSales": 4})
+
+
+@register("q_outlier_lines", O.with_prefix(
+    f"SELECT {_SC_COLS}, round(z_score, 9) AS z_score FROM sc_z "
+    f"WHERE abs(z_score) > {config.Z_OUTLIER}"))
+def q_outlier_lines(spark, sf_dir):
+    p = pops(spark, sf_dir)
+    return rnd(clean.outliers(p.sc_z), {"TotalSales": 4, "z_score": 9})
+
+
+@register("q_outlier_counts", O.with_prefix(f"""
+SELECT count(*) FILTER (WHERE abs(z_score) > {config.Z_OUTLIER}) AS outlier_count,
+       count(*) FILTER (WHERE Quantity >= {config.BULK_INCLUSIVE}) AS bulk_order_count
+FROM sc_z"""))
+def q_outlier_counts(spark, sf_dir):
+    z = pops(spark, sf_dir).sc_z
+    return z.agg(F.count_if(F.abs("z_score") > config.Z_OUTLIER).alias("outlier_count"),
+                 F.count_if(F.col("Quantity") >= config.BULK_INCLUSIVE).alias("bulk_order_count"))
+
+
+@register("q_bulk_impact", O.with_prefix(f"""
+SELECT round(avg(Quantity) FILTER (WHERE Quantity < {config.BULK_INCLUSIVE}), 6)
+         AS mean_quantity_without_bulk,
+       round(stddev_samp(Quantity) FILTER (WHERE Quantity < {config.BULK_INCLUSIVE}), 6)
+         AS sd_quantity_without_bulk,
+       round(avg(Quantity) FILTER (WHERE Quantity >= {config.BULK_INCLUSIVE}), 6)
+         AS mean_quantity_with_bulk,
+       round(stddev_samp(Quantity) FILTER (WHERE Quantity >= {config.BULK_INCLUSIVE}), 6)
+         AS sd_quantity_with_bulk
+FROM sc_z"""))
+def q_bulk_impact(spark, sf_dir):
+    return rnd(kpi.bulk_impact(pops(spark, sf_dir).sc_z))
+
+
+@register("q_metrics_wo_outliers", O.with_prefix(f"""
+SELECT 'With Outliers' AS Outliers, round(avg(Quantity), 6) AS mean_quantity,
+       round(stddev_samp(Quantity), 6) AS sd_quantity FROM sc
+UNION ALL
+SELECT 'Without Outliers', round(avg(Quantity), 6), round(stddev_samp(Quantity), 6) FROM sc
+WHERE Quantity NOT IN (SELECT DISTINCT Quantity FROM sc_z
+                       WHERE abs(z_score) > {config.Z_OUTLIER} AND Quantity IS NOT NULL)"""))
+def q_metrics_wo_outliers(spark, sf_dir):
+    p = pops(spark, sf_dir)
+    return rnd(kpi.metrics_with_without_outliers(p.sc, p.sc_z))
+
+
+def _impact_sql(a: str, b: str, wa: str, wb: str) -> str:
+    def one(pop: str) -> str:
+        return (f"SELECT CAST(sum(CAST(TotalSales AS DECIMAL(38,2))) AS DOUBLE) AS ts, "
+                f"avg(TotalSales) AS ms, median(TotalSales) AS md, sum(Quantity) AS tq, "
+                f"CAST(count(DISTINCT CustomerID) + max(CAST(CustomerID IS NULL AS INTEGER)) "
+                f"AS DOUBLE) AS uc FROM {pop}")
+    return O.with_prefix(f"""
+SELECT m.Metric, round(m.va, 4) AS {wa}, round(m.vb, 4) AS {wb} FROM (
+  SELECT 'Total Sales' AS Metric, pa_.ts AS va, pb_.ts AS vb FROM pa_, pb_
+  UNION ALL SELECT 'Mean Sales', pa_.ms, pb_.ms FROM pa_, pb_
+  UNION ALL SELECT 'Median Sales', pa_.md, pb_.md FROM pa_, pb_
+  UNION ALL SELECT 'Total Quantity', pa_.tq, pb_.tq FROM pa_, pb_
+  UNION ALL SELECT 'Unique Customers', pa_.uc, pb_.uc FROM pa_, pb_) m""",
+                         extra_ctes=f"pa_ AS ({one(a)}), pb_ AS ({one(b)})")
+
+
+def _impact(spark, sf_dir, kind):
+    p = pops(spark, sf_dir)
+    if kind == "bulk":
+        t = kpi.impact_table(p.pos, p.noout_pos, "With_Bulk_Orders", "Without_Bulk_Orders")
+    else:
+        t = kpi.impact_table(p.noout_pos, p.nolow, "With_Low_Orders", "Without_Low_Orders")
+    return rnd(t, default=4)
+
+
+register("q_impact_bulk", _impact_sql("pos", "noout_pos", "With_Bulk_Orders",
+                                      "Without_Bulk_Orders"))(
+    lambda spark, sf_dir: _impact(spark, sf_dir, "bulk"))
+register("q_impact_low", _impact_sql("noout_pos", "nolow", "With_Low_Orders",
+                                     "Without_Low_Orders"))(
+    lambda spark, sf_dir: _impact(spark, sf_dir, "low"))
+
+
+@register("q_negative_share", O.with_prefix("""
+SELECT round(100.0 * (SELECT count(*) FROM neg) / (SELECT count(*) FROM sc), 9)
+       AS percentage_negative"""))
+def q_negative_share(spark, sf_dir):
+    p = pops(spark, sf_dir)
+    return rnd(kpi.share_percent(p.neg, p.sc, "percentage_negative"), default=9)
+
+
+@register("q_head_clean", O.with_prefix(f"""
+SELECT {_SC_COLS} FROM noout
+ORDER BY InvoiceDate, Invoice, StockCode, Quantity, Price, CustomerID NULLS FIRST LIMIT 6"""))
+def q_head_clean(spark, sf_dir):
+    """O2: the first six lines of NOOUT by a total order on the dedup key."""
+    df = pops(spark, sf_dir).noout
+    return rnd(df.orderBy("InvoiceDate", "Invoice", "StockCode", "Quantity", "Price",
+                          F.col("CustomerID").asc_nulls_first()).limit(6), {"TotalSales": 4})

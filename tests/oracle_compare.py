@@ -6,6 +6,7 @@ CLI:  python -m tests.oracle_compare [sf_dir] [name ...]
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import math
 import sys
@@ -30,7 +31,9 @@ def _norm(v):
     if v is None:
         return None
     if isinstance(v, pd.Timestamp):
-        return v.to_pydatetime().isoformat()
+        v = v.to_pydatetime()
+    if isinstance(v, datetime.datetime):
+        return v.date().isoformat() if v.time() == datetime.time(0) else v.isoformat()
     try:
         if pd.isna(v):
             return None
@@ -41,7 +44,7 @@ def _norm(v):
             return None
         if v.is_integer():
             return repr(int(v))
-        return repr(round(v, 9))
+        return repr(v)
     if hasattr(v, "item") and not isinstance(v, (str, bytes)):
         return _norm(v.item())
     if isinstance(v, int) and not isinstance(v, bool):

@@ -33,14 +33,22 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-def rnd(df: DataFrame, spec: dict[str, int] | None = None, default: int = 6) -> DataFrame:
-    """Round every double column: ``spec`` decimals by name, else ``default``."""
+def sig(col: F.Column, digits: int = 10) -> F.Column:
+    """Round to ``digits`` significant digits (same arithmetic as ``O.sig``)."""
+    p = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(col))) - (digits - 1))
+    return F.when(col == 0, F.lit(0.0)).otherwise(F.round(col / p) * p)
+
+
+def rnd(df: DataFrame, spec: dict[str, int | str] | None = None, default: int | str = 6) -> DataFrame:
+    """Round every double column: ``spec`` by name, else ``default``; an int
+    is a number of decimals, ``"sig"`` means 10 significant digits."""
     spec = spec or {}
     out = []
     for f in df.schema.fields:
         col = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            col = F.round(col, spec.get(f.name, default)).alias(f.name)
+            how = spec.get(f.name, default)
+            col = (sig(col) if how == "sig" else F.round(col, how)).alias(f.name)
         out.append(col)
     return df.select(*out)
 
@@ -271,3 +279,252 @@ def q_head_clean(spark, sf_dir):
     df = pops(spark, sf_dir).noout
     return rnd(df.orderBy("InvoiceDate", "Invoice", "StockCode", "Quantity", "Price",
                           F.col("CustomerID").asc_nulls_first()).limit(6), {"TotalSales": 4})
+
+
+# --- customers: churn, guest mix, region averages (M27-M30, A13-A18, A24) ----
+_CHURN_SQL = """
+ch AS (SELECT CustomerID, max(CAST(InvoiceDate AS DATE)) AS last_purchase FROM sc
+       GROUP BY CustomerID),
+thr AS (SELECT max(CAST(InvoiceDate AS DATE)) - {days} AS t FROM sc),
+cf AS (SELECT CustomerID, last_purchase,
+              CASE WHEN last_purchase < t THEN 1 WHEN last_purchase >= t THEN 0 END AS churned
+       FROM ch, thr)""".format(days=config.CHURN_DAYS)
+
+
+@register("q_churn_customers", O.with_prefix("SELECT * FROM cf", _CHURN_SQL))
+def q_churn_customers(spark, sf_dir):
+    """Churn flags; the reference date is the last date in the data."""
+    return cust.churn(pops(spark, sf_dir).sc, as_of=None)
+
+
+@register("q_churn_rate", O.with_prefix(
+    "SELECT count(*) AS customers, CAST(sum(churned) AS BIGINT) AS churned, "
+    "round(sum(churned) / count(*) * 100, 9) AS churn_rate FROM cf", _CHURN_SQL))
+def q_churn_rate(spark, sf_dir):
+    return rnd(cust.churn_rate(cust.churn(pops(spark, sf_dir).sc, as_of=None)), default=9)
+
+
+_GUEST_SQL = """
+gm AS (SELECT Region, CASE WHEN CustomerID IS NULL THEN 'Guest' ELSE 'Unique' END AS CustomerType,
+              count(*) AS line_count, count(DISTINCT CustomerID) AS customer_count
+       FROM pos GROUP BY 1, 2)"""
+
+
+@register("q_guest_mix", O.with_prefix("SELECT * FROM gm", _GUEST_SQL))
+def q_guest_mix(spark, sf_dir):
+    return cust.guest_mix(pops(spark, sf_dir).pos)
+
+
+@register("q_guest_mix_profile", O.with_prefix("""
+SELECT stat, round(value, 6) AS value FROM (
+  SELECT 'Min' AS stat, CAST(min(line_count) AS DOUBLE) AS value FROM gm
+  UNION ALL SELECT '1st Qu.', quantile_cont(line_count, 0.25) FROM gm
+  UNION ALL SELECT 'Median', quantile_cont(line_count, 0.5) FROM gm
+  UNION ALL SELECT 'Mean', avg(line_count) FROM gm
+  UNION ALL SELECT '3rd Qu.', quantile_cont(line_count, 0.75) FROM gm
+  UNION ALL SELECT 'Max', CAST(max(line_count) AS DOUBLE) FROM gm) t""", _GUEST_SQL))
+def q_guest_mix_profile(spark, sf_dir):
+    return rnd(cust.column_profile(cust.guest_mix(pops(spark, sf_dir).pos), "line_count"))
+
+
+@register("q_region_avg_bulk", O.with_prefix("""
+SELECT 'With Bulk Orders' AS "Bulk Order", Region AS region,
+       round(avg(TotalSales), 4) AS avg_total_sales FROM pos GROUP BY Region
+UNION ALL
+SELECT 'Without Bulk Orders', Region, round(avg(TotalSales), 4) FROM noout_pos GROUP BY Region"""))
+def q_region_avg_bulk(spark, sf_dir):
+    p = pops(spark, sf_dir)
+    return rnd(cust.region_average_with_without(p.pos.drop("Region"), p.noout_pos.drop("Region")),
+               default=4)
+
+
+# --- daily / monthly series (A19, A20, F6, M31, W6) --------------------------
+from tillroll.operators import timeseries as ts  # noqa: E402
+
+_MONEY = "CAST(sum(CAST(TotalSales AS DECIMAL(38,2))) AS DOUBLE)"
+
+
+def _daily_sql(pop: str) -> str:
+    return O.with_prefix(f"SELECT CAST(InvoiceDate AS DATE) AS InvoiceDate, "
+                         f"round({_MONEY}, 2) AS TotalSales FROM {pop} GROUP BY 1")
+
+
+def _sign_sql(pop: str) -> str:
+    return O.with_prefix(f"""
+SELECT CAST(InvoiceDate AS DATE) AS InvoiceDate,
+  round(CAST(sum(CAST(TotalSales AS DECIMAL(38,2))) FILTER (WHERE TotalSales > 0) AS DOUBLE), 2)
+    AS PositiveSales,
+  round(CAST(sum(CAST(TotalSales AS DECIMAL(38,2))) FILTER (WHERE TotalSales < 0) AS DOUBLE), 2)
+    AS NegativeSales
+FROM {pop} GROUP BY 1""")
+
+
+register("q_daily_sales", _daily_sql("sc"))(
+    lambda spark, sf_dir: rnd(ts.daily_sales(pops(spark, sf_dir).sc), default=2))
+register("q_daily_sales_no_outliers", _daily_sql("noout"))(
+    lambda spark, sf_dir: rnd(ts.daily_sales(pops(spark, sf_dir).noout), default=2))
+register("q_daily_sign_trend", _sign_sql("sc"))(
+    lambda spark, sf_dir: rnd(ts.daily_sign_trend(pops(spark, sf_dir).sc), default=2))
+register("q_daily_sign_trend_no_outliers", _sign_sql("noout"))(
+    lambda spark, sf_dir: rnd(ts.daily_sign_trend(pops(spark, sf_dir).noout), default=2))
+
+_MONTHLY_SQL = f"""
+mo AS (SELECT 'clean' AS series, CAST(date_trunc('month', InvoiceDate) AS DATE) AS Date,
+              {_MONEY} AS TotalSales FROM noout_pos GROUP BY 2
+       UNION ALL
+       SELECT 'positive', CAST(date_trunc('month', InvoiceDate) AS DATE), {_MONEY}
+       FROM pos GROUP BY 2),
+ms AS (SELECT series, Date,
+              CAST(row_number() OVER (PARTITION BY series ORDER BY Date) AS INTEGER) AS t,
+              TotalSales FROM mo)"""
+
+
+def _monthly(spark, sf_dir):
+    p = pops(spark, sf_dir)
+    return ts.monthly_sales(p.noout_pos, "clean").unionByName(ts.monthly_sales(p.pos, "positive"))
+
+
+@register("q_monthly_sales", O.with_prefix(
+    "SELECT series, Date, t, round(TotalSales, 2) AS TotalSales FROM ms", _MONTHLY_SQL))
+def q_monthly_sales(spark, sf_dir):
+    return rnd(_monthly(spark, sf_dir).select("series", "Date", "t", "TotalSales"), default=2)
+
+
+# --- decomposition, linear trend (M16-M18, W4, W5) ---------------------------
+def _daily_series(spark, sf_dir):
+    p = pops(spark, sf_dir)
+    d = ts.daily_sales(p.sc, "clean").unionByName(ts.daily_sales(p.noout, "no_outliers"))
+    return ts.with_position(d, "InvoiceDate")
+
+
+_H = config.DAILY_PERIOD // 2
+
+
+@register("q_decompose_daily", O.with_prefix(f"""
+SELECT tr.series, d AS InvoiceDate, CAST(t AS INTEGER) AS t, round(x, 2) AS TotalSales,
+       round(trend, 6) AS trend, round(figure, 2) AS seasonal,
+       round(x - trend - figure, 4) AS remainder
+FROM tr JOIN fg2 ON tr.series = fg2.series AND (tr.t - 1) % {config.DAILY_PERIOD} = fg2.pos""", f"""
+dd AS (SELECT 'clean' AS series, CAST(InvoiceDate AS DATE) AS d,
+              sum(CAST(TotalSales AS DECIMAL(38,2))) AS v FROM sc GROUP BY 2
+       UNION ALL
+       SELECT 'no_outliers', CAST(InvoiceDate AS DATE), sum(CAST(TotalSales AS DECIMAL(38,2)))
+       FROM noout GROUP BY 2),
+dt AS (SELECT series, d, CAST(v AS DOUBLE) AS x, CAST(v AS DOUBLE) AS xv,
+              row_number() OVER (PARTITION BY series ORDER BY d) AS t FROM dd),
+tr AS (SELECT *, CASE WHEN count(*) OVER w = {2 * _H + 1} THEN
+         CAST(sum(CAST(xv AS DECIMAL(38,2))) OVER w
+              - (CAST(lag(xv, {_H}) OVER o AS DECIMAL(38,2))
+                 + CAST(lead(xv, {_H}) OVER o AS DECIMAL(38,2))) / 2 AS DOUBLE)
+         / {float(config.DAILY_PERIOD)} END AS trend
+       FROM dt WINDOW w AS (PARTITION BY series ORDER BY t ROWS BETWEEN {_H} PRECEDING
+                            AND {_H} FOLLOWING),
+                      o AS (PARTITION BY series ORDER BY t)),
+fg AS (SELECT series, (t - 1) % {config.DAILY_PERIOD} AS pos, avg(x - trend) AS f FROM tr
+       GROUP BY 1, 2),
+fg2 AS (SELECT series, pos, f - avg(f) OVER (PARTITION BY series) AS figure FROM fg)"""))
+def q_decompose_daily(spark, sf_dir):
+    d = ts.decompose(_daily_series(spark, sf_dir), "TotalSales", config.DAILY_PERIOD)
+    return rnd(d.select("series", "InvoiceDate", "t", "TotalSales", "trend", "seasonal",
+                        "remainder"),
+               {"TotalSales": 2, "trend": 6, "seasonal": 2, "remainder": 4})
+
+
+_XF = "(year(Date) + (month(Date) - 1) / 12.0)"
+_LM_SQL = f"""
+lm AS (SELECT series, regr_count(TotalSales, {_XF}) AS n, regr_intercept(TotalSales, {_XF}) AS intercept,
+              regr_slope(TotalSales, {_XF}) AS slope, regr_r2(TotalSales, {_XF}) AS r2,
+              regr_sxx(TotalSales, {_XF}) AS sxx, regr_syy(TotalSales, {_XF}) AS syy,
+              regr_sxy(TotalSales, {_XF}) AS sxy, regr_avgx(TotalSales, {_XF}) AS x_mean
+       FROM ms GROUP BY series),
+lm2 AS (SELECT *, sqrt((syy - sxy * sxy / sxx) / (n - 2)) AS sigma FROM lm)"""
+
+
+@register("q_trend_lm", O.with_prefix(f"""
+SELECT series, n, {O.sig('intercept')} AS intercept, {O.sig('slope')} AS slope, {O.sig('r2')} AS r2,
+       {O.sig('sigma')} AS sigma, {O.sig('sigma / sqrt(sxx)')} AS se_slope,
+       {O.sig('slope / (sigma / sqrt(sxx))')} AS t_slope, {O.sig('x_mean')} AS x_mean,
+       {O.sig('sxx')} AS sxx
+FROM lm2""", _MONTHLY_SQL + "," + _LM_SQL))
+def q_trend_lm(spark, sf_dir):
+    return rnd(ts.linear_trend(_monthly(spark, sf_dir)), default="sig")
+
+
+@register("q_trend_fit", O.with_prefix(f"""
+SELECT ms.series, Date, round(TotalSales, 2) AS TotalSales,
+       {O.sig(f'intercept + slope * {_XF}')} AS fitted,
+       {O.sig(f'sigma * sqrt(1.0 / n + pow({_XF} - x_mean, 2) / sxx)')} AS se_fit,
+       n - 2 AS df
+FROM ms JOIN lm2 ON ms.series = lm2.series""", _MONTHLY_SQL + "," + _LM_SQL))
+def q_trend_fit(spark, sf_dir):
+    return rnd(ts.trend_fit(_monthly(spark, sf_dir)), {"TotalSales": 2}, default="sig")
+
+
+@register("q_trend_band")
+def q_trend_band(spark, sf_dir):
+    """M17 with the t quantile (pandas UDF on the per-month rows): rows-only."""
+    return rnd(ts.trend_band(_monthly(spark, sf_dir)), {"TotalSales": 2}, default="sig")
+
+
+# --- histograms and box statistics (A30, A31, X4) ----------------------------
+from tillroll.functions.columns import ln_pos  # noqa: E402
+from tillroll.operators import distribution as dist  # noqa: E402
+
+
+def _hist_sql(pop: str, expr: str, w: float) -> str:
+    t = f"(x / {w} - 0.5)"
+    return O.with_prefix(f"""
+SELECT bin, round(bin * {w}, 6) AS center, count(*) AS count FROM (
+  SELECT CAST(CASE WHEN x = mn AND ceil({t}) = {t} THEN ceil({t}) + 1 ELSE ceil({t}) END
+              AS BIGINT) AS bin
+  FROM (SELECT x, min(x) OVER () AS mn FROM (SELECT {expr} AS x FROM {pop}) a
+        WHERE x IS NOT NULL) b) c
+GROUP BY bin""")
+
+
+def _hist(pop: str, expr, w: float):
+    def fn(spark, sf_dir):
+        df = pops(spark, sf_dir).population(pop)
+        return rnd(dist.histogram(df, expr(), w), {"center": 6})
+    return fn
+
+
+register("q_hist_total_sales", _hist_sql("pos", "TotalSales", config.HIST_WIDTH_SALES))(
+    _hist("pos", lambda: F.col("TotalSales"), config.HIST_WIDTH_SALES))
+register("q_hist_log_sales", _hist_sql(
+    "pos", "CASE WHEN TotalSales > 0 THEN ln(TotalSales) END", config.HIST_WIDTH_LOG_SALES))(
+    _hist("pos", lambda: ln_pos("TotalSales"), config.HIST_WIDTH_LOG_SALES))
+register("q_hist_log_sales_no_outliers", _hist_sql(
+    "noout_pos", "CASE WHEN TotalSales > 0 THEN ln(TotalSales) END",
+    config.HIST_WIDTH_LOG_SALES_NOOUT))(
+    _hist("noout_pos", lambda: ln_pos("TotalSales"), config.HIST_WIDTH_LOG_SALES_NOOUT))
+register("q_hist_negative", _hist_sql("neg", "TotalSales", config.HIST_WIDTH_NEGATIVE))(
+    _hist("neg", lambda: F.col("TotalSales"), config.HIST_WIDTH_NEGATIVE))
+
+
+@register("q_box_stats", O.with_prefix("""
+SELECT f.series, count(*) AS n, round(min(x), 9) AS min,
+  round(min(x) FILTER (WHERE x >= lower_fence AND x <= upper_fence), 9) AS whisker_low,
+  round(f.q1, 9) AS q1, round(f.median, 9) AS median, round(f.q3, 9) AS q3,
+  round(max(x) FILTER (WHERE x >= lower_fence AND x <= upper_fence), 9) AS whisker_high,
+  round(max(x), 9) AS max, round(f.iqr, 9) AS iqr, round(f.lower_fence, 9) AS lower_fence,
+  round(f.upper_fence, 9) AS upper_fence,
+  count(*) FILTER (WHERE NOT (x >= lower_fence AND x <= upper_fence)) AS n_outliers
+FROM bx JOIN f ON bx.series = f.series WHERE x IS NOT NULL
+GROUP BY f.series, f.q1, f.median, f.q3, f.iqr, f.lower_fence, f.upper_fence""", """
+bx AS (SELECT 'quantity' AS series, CAST(Quantity AS DOUBLE) AS x FROM pos
+       UNION ALL SELECT 'log_quantity', CASE WHEN Quantity > 0 THEN ln(Quantity) END FROM pos
+       UNION ALL SELECT 'log_quantity_no_outliers', CASE WHEN Quantity > 0 THEN ln(Quantity) END
+       FROM noout_pos),
+qq AS (SELECT series, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median,
+              quantile_cont(x, 0.75) AS q3 FROM bx WHERE x IS NOT NULL GROUP BY series),
+f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lower_fence,
+             q3 + 1.5 * (q3 - q1) AS upper_fence FROM qq)"""))
+def q_box_stats(spark, sf_dir):
+    p = pops(spark, sf_dir)
+    long = (p.pos.select(F.lit("quantity").alias("series"), F.col("Quantity").cast("double").alias("x"))
+            .unionByName(p.pos.select(F.lit("log_quantity").alias("series"),
+                                      ln_pos("Quantity").alias("x")))
+            .unionByName(p.noout_pos.select(F.lit("log_quantity_no_outliers").alias("series"),
+                                            ln_pos("Quantity").alias("x"))))
+    return rnd(dist.box_stats(long, F.col("x"), by=["series"]), default=9)

@@ -105,3 +105,9 @@ SELECT CASE WHEN GROUPING(Region) = 1 THEN 'Overall' ELSE Region END AS Region,
 FROM {pop} GROUP BY GROUPING SETS ((Region), ())
 """)
 
+
+
+def sig(expr: str, digits: int = 10) -> str:
+    """SQL twin of ``catalog.sig``: round to significant digits."""
+    p = f"pow(10.0, floor(log10(abs({expr}))) - {digits - 1})"
+    return f"(CASE WHEN ({expr}) = 0 THEN 0.0 ELSE round(({expr}) / {p}) * {p} END)"

@@ -134,14 +134,14 @@ def anova_oneway(df: DataFrame, y: F.Column, group: str = "Region",
     [, P_value]) from per-group moments -- the rows never leave the
     executors, only k small rows are combined."""
     g = group_moments(df, y, group)
-    tot = g.agg(F.sum("n").alias("N"), F.count(F.lit(1)).alias("k"),
+    tot = g.agg(F.sum("n").alias("n_total"), F.count(F.lit(1)).alias("k"),
                 (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"))
     s = g.crossJoin(tot).agg(
-        F.first("N").alias("N"), F.first("k").alias("k"),
+        F.first("n_total").alias("n_total"), F.first("k").alias("k"),
         F.sum(F.col("n") * F.pow(F.col("mean") - F.col("grand"), 2)).alias("ssb"),
         F.sum(F.coalesce((F.col("n") - 1) * F.col("var"), F.lit(0.0))).alias("ssw"))
-    dfb, dfw = (F.col("k") - 1), (F.col("N") - F.col("k"))
-    msb, msw = F.col("ssb") / dfb, F.col("ssw") / dfw
+    dfb, dfw = (F.col("k") - 1), (F.col("n_total") - F.col("k"))
+    msb, msw = F.try_divide(F.col("ssb"), dfb), F.try_divide(F.col("ssw"), dfw)
     s = s.select(dfb.alias("dfb"), dfw.alias("dfw"), "ssb", "ssw", msb.alias("msb"),
                  msw.alias("msw"), F.try_divide(msb, msw).alias("F"))
     rows = s.selectExpr(
@@ -161,17 +161,17 @@ def tukey_hsd(df: DataFrame, y: F.Column, group: str = "Region", level: float =
     statistic q, and optionally the adjusted p-value and confidence bounds.
     The pair join runs on the k per-group rows only."""
     g = group_moments(df, y, group)
-    tot = F.broadcast(g.agg(F.sum("n").alias("N"), F.count(F.lit(1)).alias("k"),
+    tot = F.broadcast(g.agg(F.sum("n").alias("n_total"), F.count(F.lit(1)).alias("k"),
                             F.sum(F.coalesce((F.col("n") - 1) * F.col("var"), F.lit(0.0)))
                             .alias("ssw")))
     a, b = g.alias("a"), g.alias("b")
     pairs = a.join(b, F.col("a.group") < F.col("b.group")).crossJoin(tot)
-    mse = F.col("ssw") / (F.col("N") - F.col("k"))
+    mse = F.col("ssw") / (F.col("n_total") - F.col("k"))
     se = F.sqrt(mse / 2 * (1 / F.col("a.n") + 1 / F.col("b.n")))
     out = pairs.select(
         F.concat_ws("-", F.col("b.group"), F.col("a.group")).alias("comparison"),
         (F.col("b.mean") - F.col("a.mean")).alias("diff"), se.alias("se"),
-        "k", (F.col("N") - F.col("k")).alias("df"))
+        "k", (F.col("n_total") - F.col("k")).alias("df"))
     out = out.withColumn("q", F.abs(F.col("diff")) / F.col("se"))
     if with_pvalue:
         from tillroll.functions.stats import tukey_crit_udf, tukey_pvalue_udf

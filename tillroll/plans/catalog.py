@@ -35,20 +35,28 @@ def register(name: str, sql: str | None = None):
 
 def sig(col: F.Column, digits: int = 10) -> F.Column:
     """Round to ``digits`` significant digits (same arithmetic as ``O.sig``)."""
-    p = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(col))) - (digits - 1))
-    return F.when(col == 0, F.lit(0.0)).otherwise(F.round(col / p) * p)
+    e = F.floor(F.log10(F.abs(col))) - (digits - 1)
+    up = F.pow(F.lit(10.0), -e)     # 10^k with k >= 0 is exact in a double
+    down = F.pow(F.lit(10.0), e)
+    return (F.when(col == 0, F.lit(0.0))
+            .when(e < 0, F.round(col * up) / up)
+            .otherwise(F.round(col / down) * down))
 
 
 def rnd(df: DataFrame, spec: dict[str, int | str] | None = None, default: int | str = 6) -> DataFrame:
     """Round every double column: ``spec`` by name, else ``default``; an int
-    is a number of decimals, ``"sig"`` means 10 significant digits."""
+    is a number of decimals, ``"sig"`` / ``"sigN"`` means 10 / N significant digits."""
     spec = spec or {}
     out = []
     for f in df.schema.fields:
         col = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             how = spec.get(f.name, default)
-            col = (sig(col) if how == "sig" else F.round(col, how)).alias(f.name)
+            if isinstance(how, str):
+                col = sig(col, int(how[3:] or 10))
+            else:
+                col = F.round(col, how)
+            col = col.alias(f.name)
         out.append(col)
     return df.select(*out)
 
@@ -528,3 +536,214 @@ def q_box_stats(spark, sf_dir):
             .unionByName(p.noout_pos.select(F.lit("log_quantity_no_outliers").alias("series"),
                                             ln_pos("Quantity").alias("x"))))
     return rnd(dist.box_stats(long, F.col("x"), by=["series"]), default=9)
+
+
+# --- split, train-fitted scaling, OLS hold-out (M1-M4, M7-M9) ----------------
+from tillroll.operators import inference as inf  # noqa: E402
+
+_SPLIT_SQL = """
+qs_ AS (SELECT quantile_cont(TotalSales, 0.25) AS b1, quantile_cont(TotalSales, 0.5) AS b2,
+               quantile_cont(TotalSales, 0.75) AS b3 FROM sc),
+st_ AS (SELECT sc.*, CAST(1 + CAST(TotalSales > b1 AS INTEGER) + CAST(TotalSales > b2 AS INTEGER)
+                     + CAST(TotalSales > b3 AS INTEGER) AS INTEGER) AS stratum,
+               md5(concat_ws('|', coalesce(Invoice, ''), coalesce(StockCode, ''),
+                   coalesce(CAST(CAST(Quantity AS DECIMAL(18,2)) AS VARCHAR), ''),
+                   coalesce(CAST(CAST(Price AS DECIMAL(18,2)) AS VARCHAR), ''),
+                   coalesce(CAST(CustomerID AS VARCHAR), ''))) AS h_
+        FROM sc, qs_),
+sp AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY h_)
+                   <= ceil(0.8 * count(*) OVER (PARTITION BY stratum)) AS is_train FROM st_),
+trs AS (SELECT avg(TotalSales) AS mu_, stddev_samp(TotalSales) AS sd_, min(TotalSales) AS mn_,
+               max(TotalSales) - min(TotalSales) AS rg_ FROM sp WHERE is_train),
+sps AS (SELECT sp.*, (TotalSales - mu_) / sd_ AS TotalSales_Z,
+               (TotalSales - mn_) / rg_ AS TotalSales_MinMax FROM sp, trs)"""
+
+
+def _split(spark, sf_dir):
+    return inf.stratified_split(pops(spark, sf_dir).sc)
+
+
+@register("q_split", O.with_prefix("""
+SELECT stratum, count(*) AS n, count(*) FILTER (WHERE is_train) AS n_train,
+       count(*) FILTER (WHERE NOT is_train) AS n_test, round(min(TotalSales), 4) AS y_min,
+       round(max(TotalSales), 4) AS y_max
+FROM sp GROUP BY stratum""", _SPLIT_SQL))
+def q_split(spark, sf_dir):
+    return rnd(inf.split_summary(_split(spark, sf_dir)), default=4)
+
+
+def _scaled_split(spark, sf_dir):
+    s = _split(spark, sf_dir)
+    s = inf.scale_by_train(s, "TotalSales", "z")
+    return inf.scale_by_train(s, "TotalSales", "minmax")
+
+
+@register("q_scaled_train_test", O.with_prefix("""
+SELECT Invoice, StockCode, Quantity, Price, CustomerID, stratum, is_train,
+       round(TotalSales_Z, 9) AS TotalSales_Z, round(TotalSales_MinMax, 9) AS TotalSales_MinMax
+FROM sps""", _SPLIT_SQL))
+def q_scaled_train_test(spark, sf_dir):
+    s = _scaled_split(spark, sf_dir)
+    return rnd(s.select("Invoice", "StockCode", "Quantity", "Price", "CustomerID", "stratum",
+                        "is_train", "TotalSales_Z", "TotalSales_MinMax"), default=9)
+
+
+def _ols_sql(target: str) -> str:
+    fit = f"""
+m_ AS (SELECT count(*) AS n, avg({target}) AS my, avg(Quantity) AS m1, avg(Price) AS m2,
+              var_samp(Quantity) AS s11, var_samp(Price) AS s22, covar_samp(Quantity, Price) AS s12,
+              covar_samp(Quantity, {target}) AS s1y, covar_samp(Price, {target}) AS s2y
+       FROM sps WHERE is_train),
+b_ AS (SELECT n, my, m1, m2, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1,
+              (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2 FROM m_),
+f_ AS (SELECT n AS n_train, my - b1 * m1 - b2 * m2 AS intercept, b1, b2 FROM b_),
+e_ AS (SELECT sqrt(avg(pow(intercept + b1 * Quantity + b2 * Price - {target}, 2))) AS rmse,
+              count(*) AS n_test FROM sps, f_ WHERE NOT is_train)"""
+    return O.with_prefix(f"""
+SELECT n_train, {O.sig('intercept')} AS intercept, {O.sig('b1')} AS b_Quantity,
+       {O.sig('b2')} AS b_Price, {O.sig('rmse')} AS rmse, n_test FROM f_, e_""",
+                         _SPLIT_SQL + "," + fit)
+
+
+@register("q_ols_rmse_z", _ols_sql("TotalSales_Z"))
+def q_ols_rmse_z(spark, sf_dir):
+    return rnd(inf.holdout_rmse(_scaled_split(spark, sf_dir), "TotalSales_Z"), default="sig")
+
+
+@register("q_ols_rmse_minmax", _ols_sql("TotalSales_MinMax"))
+def q_ols_rmse_minmax(spark, sf_dir):
+    return rnd(inf.holdout_rmse(_scaled_split(spark, sf_dir), "TotalSales_MinMax"), default="sig")
+
+
+# --- ANOVA and Tukey (M11-M13, J4) -------------------------------------------
+def _anova_sql(pop: str, yexpr: str, extra: str = "") -> str:
+    ctes = (extra + ",\n" if extra else "") + f"""
+ay AS (SELECT Region AS grp, {yexpr} AS y FROM {pop}),
+ag AS (SELECT grp, count(*) AS n, avg(y) AS mean, var_samp(y) AS var FROM ay
+       WHERE y IS NOT NULL GROUP BY grp),
+at_ AS (SELECT sum(n) AS n_total, count(*) AS k, sum(n * mean) / sum(n) AS grand FROM ag),
+as_ AS (SELECT k - 1 AS dfb, n_total - k AS dfw, sum(n * pow(mean - grand, 2)) AS ssb,
+               sum(coalesce((n - 1) * var, 0)) AS ssw FROM ag, at_ GROUP BY k, n_total)"""
+    return O.with_prefix(f"""
+SELECT 'group' AS term, CAST(dfb AS BIGINT) AS Df, {O.sig('ssb')} AS Sum_Sq,
+       {O.sig('ssb / dfb')} AS Mean_Sq, {O.sig('(ssb / dfb) / (ssw / dfw)')} AS F_value FROM as_
+UNION ALL
+SELECT 'Residuals', CAST(dfw AS BIGINT), {O.sig('ssw')}, {O.sig('ssw / dfw')}, NULL FROM as_""",
+                         ctes)
+
+
+_ZS = {"noout_pos": "zs1", "pos": "zs2"}
+
+
+def _zsql(pop: str) -> str:
+    return (f"{_ZS[pop]} AS (SELECT {pop}.*, (TotalSales - mu_) / sd_ AS TotalSales_scaled "
+            f"FROM {pop}, (SELECT avg(TotalSales) AS mu_, stddev_samp(TotalSales) AS sd_ "
+            f"FROM {pop}) s_)")
+
+
+def _anova_q(pop: str, scaled: bool):
+    def fn(spark, sf_dir):
+        df = pops(spark, sf_dir).population(pop)
+        if scaled:
+            y = F.col("TotalSales_scaled")
+            df = cust.zscale(df, ["TotalSales"], "_scaled")
+        else:
+            y = ln_pos("TotalSales")
+        return rnd(inf.anova_oneway(df, y), default="sig")
+    return fn
+
+
+register("q_anova_log", _anova_sql("noout_pos", "CASE WHEN TotalSales > 0 THEN ln(TotalSales) END"))(
+    _anova_q("noout_pos", False))
+register("q_anova_log_bulk", _anova_sql("pos", "CASE WHEN TotalSales > 0 THEN ln(TotalSales) END"))(
+    _anova_q("pos", False))
+register("q_anova_scaled", _anova_sql("zs1", "TotalSales_scaled", _zsql("noout_pos")))(
+    _anova_q("noout_pos", True))
+register("q_anova_scaled_bulk", _anova_sql("zs2", "TotalSales_scaled", _zsql("pos")))(
+    _anova_q("pos", True))
+
+
+@register("q_anova_pvalues")
+def q_anova_pvalues(spark, sf_dir):
+    """ANOVA tables with the F-distribution p-value (pandas UDF finaliser)."""
+    p = pops(spark, sf_dir)
+    parts = []
+    for name, df, y in [("log", p.noout_pos, ln_pos("TotalSales")),
+                        ("log_bulk", p.pos, ln_pos("TotalSales"))]:
+        parts.append(inf.anova_oneway(df, y, with_pvalue=True).withColumn("test", F.lit(name)))
+    out = parts[0].unionByName(parts[1])
+    return rnd(out, default="sig")
+
+
+def _tukey_sql(pop: str) -> str:
+    return O.with_prefix(f"""
+SELECT b.grp || '-' || a.grp AS comparison, {O.sig('b.mean - a.mean', 8)} AS diff,
+       {O.sig('sqrt(ssw / (n_total - k) / 2 * (1.0 / a.n + 1.0 / b.n))', 8)} AS se,
+       {O.sig('abs(b.mean - a.mean) / sqrt(ssw / (n_total - k) / 2 * (1.0 / a.n + 1.0 / b.n))', 8)}
+         AS q
+FROM ag a JOIN ag b ON a.grp < b.grp,
+     (SELECT sum(n) AS n_total, count(*) AS k, sum(coalesce((n - 1) * var, 0)) AS ssw FROM ag) t""", f"""
+ay AS (SELECT Region AS grp, CASE WHEN TotalSales > 0 THEN ln(TotalSales) END AS y FROM {pop}),
+ag AS (SELECT grp, count(*) AS n, avg(y) AS mean, var_samp(y) AS var FROM ay
+       WHERE y IS NOT NULL GROUP BY grp)""")
+
+
+def _tukey_q(pop: str):
+    def fn(spark, sf_dir):
+        df = pops(spark, sf_dir).population(pop)
+        # differences of close means lose digits to cancellation: 8 significant
+        return rnd(inf.tukey_hsd(df, ln_pos("TotalSales")), default="sig8")
+    return fn
+
+
+register("q_tukey_log", _tukey_sql("noout_pos"))(_tukey_q("noout_pos"))
+register("q_tukey_log_bulk", _tukey_sql("pos"))(_tukey_q("pos"))
+
+
+@register("q_tukey_tests")
+def q_tukey_tests(spark, sf_dir):
+    """Tukey HSD with adjusted p-values and 95% bounds (studentized range)."""
+    p = pops(spark, sf_dir)
+    a = inf.tukey_hsd(p.noout_pos, ln_pos("TotalSales"), with_pvalue=True).withColumn(
+        "test", F.lit("log"))
+    b = inf.tukey_hsd(p.pos, ln_pos("TotalSales"), with_pvalue=True).withColumn(
+        "test", F.lit("log_bulk"))
+    return rnd(a.unionByName(b), default="sig")
+
+
+# --- customer features for segmentation (M19, M20, A16, A22) -----------------
+def _feat_sql(pop: str, return_rate: bool) -> str:
+    rr = (", round(avg(CAST(Quantity < 0 AS DOUBLE)), 9) AS ReturnRate" if return_rate else "")
+    return O.with_prefix(f"""
+SELECT CustomerID, round({_MONEY}, 2) AS TotalSales, round({_MONEY}, 2) AS AverageOrderSize,
+       count(*) AS PurchaseFrequency{rr}, count(DISTINCT Invoice) AS distinct_orders
+FROM {pop} GROUP BY CustomerID""")
+
+
+def _feat(pop: str, return_rate: bool):
+    def fn(spark, sf_dir):
+        df = pops(spark, sf_dir).population(pop)
+        return rnd(cust.customer_features(df, return_rate=return_rate),
+                   {"TotalSales": 2, "AverageOrderSize": 2, "ReturnRate": 9})
+    return fn
+
+
+register("q_customer_features", _feat_sql("pos", False))(_feat("pos", False))
+register("q_customer_features_no_outliers_positive", _feat_sql("noout_pos", False))(
+    _feat("noout_pos", False))
+register("q_customer_features_no_outliers", _feat_sql("noout", True))(_feat("noout", True))
+
+
+@register("q_customer_features_scaled", O.with_prefix(f"""
+SELECT CustomerID,
+  round((TotalSales - avg(TotalSales) OVER ()) / stddev_samp(TotalSales) OVER (), 9) AS TotalSales_z,
+  round((AverageOrderSize - avg(AverageOrderSize) OVER ()) / stddev_samp(AverageOrderSize) OVER (), 9)
+    AS AverageOrderSize_z,
+  round((PurchaseFrequency - avg(PurchaseFrequency) OVER ())
+        / stddev_samp(PurchaseFrequency) OVER (), 9) AS PurchaseFrequency_z
+FROM (SELECT CustomerID, {_MONEY} AS TotalSales, {_MONEY} AS AverageOrderSize,
+             count(*) AS PurchaseFrequency FROM pos GROUP BY CustomerID) f"""))
+def q_customer_features_scaled(spark, sf_dir):
+    f = cust.customer_features(pops(spark, sf_dir).pos)
+    z = cust.zscale(f, cust.FEATURES)
+    return rnd(z.select("CustomerID", *[f"{x}_z" for x in cust.FEATURES]), default=9)

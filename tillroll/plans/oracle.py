@@ -109,5 +109,7 @@ FROM {pop} GROUP BY GROUPING SETS ((Region), ())
 
 def sig(expr: str, digits: int = 10) -> str:
     """SQL twin of ``catalog.sig``: round to significant digits."""
-    p = f"pow(10.0, floor(log10(abs({expr}))) - {digits - 1})"
-    return f"(CASE WHEN ({expr}) = 0 THEN 0.0 ELSE round(({expr}) / {p}) * {p} END)"
+    e = f"(floor(log10(abs({expr}))) - {digits - 1})"
+    up, down = f"pow(10.0, -{e})", f"pow(10.0, {e})"
+    return (f"(CASE WHEN ({expr}) = 0 THEN 0.0 WHEN {e} < 0 THEN round(({expr}) * {up}) / {up} "
+            f"ELSE round(({expr}) / {down}) * {down} END)")

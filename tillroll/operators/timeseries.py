@@ -132,3 +132,121 @@ def trend_band(monthly: DataFrame, level: float = 0.95, **kw) -> DataFrame:
     return (f.withColumn("t_crit", tq)
             .withColumn("lower", F.col("fitted") - F.col("t_crit") * F.col("se_fit"))
             .withColumn("upper", F.col("fitted") + F.col("t_crit") * F.col("se_fit")))
+
+
+# ---------------------------------------------------------------------------
+# Forecast (re-aim of an automatic ARIMA order search): five small candidate
+# models with closed-form fits, chosen per series by AICc.
+#   mean      y_t = mu + e                                   (1 coefficient)
+#   drift     y_t = y_{t-1} + c + e                          (1)
+#   ar1       y_t = a + b y_{t-1} + e                        (2)
+#   ar1_diff  d_t = a + b d_{t-1} + e,  d_t = y_t - y_{t-1}  (2)
+#   snaive    y_t = y_{t-12} + e                             (0)
+# FIXED VALUES: standard normal quantiles for the 80% and 95% bands.
+Z80 = 1.2815515655446004
+Z95 = 1.959963984540054
+MODELS = ["ar1", "ar1_diff", "drift", "mean", "snaive"]
+
+
+def _geo(b: F.Column, h: F.Column) -> F.Column:
+    """sum_{j<h} b^j."""
+    return F.when(b == 1, h.cast("double")).otherwise((1 - F.pow(b, h)) / (1 - b))
+
+
+def model_fits(series_df: DataFrame, value: str = "TotalSales", season: int = config.MONTHLY_PERIOD,
+               series: str = "series", t: str = "t") -> DataFrame:
+    """Per series and candidate: coefficients, residual count m, SSE, sigma,
+    AICc and in-sample RMSE.  Two aggregates over lag windows; the windows are
+    partitioned by series and hold one row per period."""
+    w = Window.partitionBy(series).orderBy(t)
+    y = F.col(value)
+    f = (series_df.select(series, t, y.alias("y"))
+         .withColumn("y1", F.lag("y", 1).over(w))
+         .withColumn("ys", F.lag("y", season).over(w))
+         .withColumn("d", F.col("y") - F.col("y1"))
+         .withColumn("d1", F.lag("d", 1).over(w)))
+    st = f.groupBy(series).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("y").alias("ybar"), F.avg("d").alias("c"),
+        F.regr_intercept("y", "y1").alias("ar_a"), F.regr_slope("y", "y1").alias("ar_b"),
+        F.regr_intercept("d", "d1").alias("ad_a"), F.regr_slope("d", "d1").alias("ad_b"))
+    r = f.join(st, series)
+    resid = {
+        "mean": F.col("y") - F.col("ybar"),
+        "drift": F.col("y") - (F.col("y1") + F.col("c")),
+        "ar1": F.col("y") - (F.col("ar_a") + F.col("ar_b") * F.col("y1")),
+        "ar1_diff": F.col("d") - (F.col("ad_a") + F.col("ad_b") * F.col("d1")),
+        "snaive": F.col("y") - F.col("ys"),
+    }
+    aggs = []
+    for m, e in resid.items():
+        aggs += [F.sum(F.pow(e, 2)).alias(f"sse_{m}"), F.count(e).alias(f"m_{m}")]
+    sse = r.groupBy(series).agg(*aggs)
+    k = {"mean": 1, "drift": 1, "ar1": 2, "ar1_diff": 2, "snaive": 0}
+    rows = sse.select(series, F.explode(F.array(*[
+        F.struct(F.lit(m).alias("model"), F.col(f"sse_{m}").alias("sse"),
+                 F.col(f"m_{m}").alias("m"), F.lit(k[m]).alias("p")) for m in MODELS])).alias("r"))
+    rows = rows.select(series, "r.*")
+    m_, p_, sse_ = F.col("m").cast("double"), F.col("p").cast("double"), F.col("sse")
+    aic = m_ * F.ln(sse_ / m_) + 2 * (p_ + 1)
+    aicc = aic + F.try_divide(2 * (p_ + 1) * (p_ + 2), m_ - p_ - 2)
+    return (rows.where((F.col("m") > F.col("p") + 2) & (F.col("sse") > 0))
+            .withColumn("aicc", aicc)
+            .withColumn("sigma", F.sqrt(sse_ / (m_ - p_)))
+            .withColumn("rmse", F.sqrt(sse_ / m_))
+            .join(st, series))
+
+
+def forecast(series_df: DataFrame, h: int = config.FORECAST_H, value: str = "TotalSales",
+             date: str = "Date", season: int = config.MONTHLY_PERIOD,
+             series: str = "series", t: str = "t") -> DataFrame:
+    """Horizon-``h`` forecast with 80 / 95 % bands from the candidate with
+    the least AICc per series (ties: model name)."""
+    fits = model_fits(series_df, value, season, series, t)
+    best_w = Window.partitionBy(series).orderBy("aicc", "model")
+    best = (fits.withColumn("_r", F.row_number().over(best_w)).where("_r = 1").drop("_r"))
+    last = series_df.groupBy(series).agg(F.max_by(value, t).alias("y_n"), F.max(date).alias("_d"),
+                                         F.max(t).alias("_tn"))
+    d_n = (series_df.withColumn("_d1", F.col(value) - F.lag(value, 1).over(
+        Window.partitionBy(series).orderBy(t)))
+        .groupBy(series).agg(F.max_by("_d1", t).alias("d_n")))
+    hz = (best.join(last, series).join(d_n, series)
+          .withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(h)))))
+    hh = F.col("h")
+    hw = Window.partitionBy(series).orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+    b_ar, b_ad = F.col("ar_b"), F.col("ad_b")
+    s_ad = _geo(b_ad, hh)
+    g = F.col("ad_a") * s_ad + F.pow(b_ad, hh) * F.col("d_n")
+    hz = (hz.withColumn("_cum_g", F.sum(g).over(hw))
+          .withColumn("_cum_s2", F.sum(F.pow(s_ad, 2)).over(hw))
+          .withColumn("_src_t", F.col("_tn") - season + (hh - 1) % season + 1))
+    src = series_df.select(series, F.col(t).alias("_src_t"), F.col(value).alias("_y_src"))
+    hz = hz.join(src, [series, "_src_t"], "left")
+    n = F.col("n").cast("double")
+    point = (F.when(F.col("model") == "mean", F.col("ybar"))
+             .when(F.col("model") == "drift", F.col("y_n") + hh * F.col("c"))
+             .when(F.col("model") == "ar1", F.col("ar_a") * _geo(b_ar, hh) + F.pow(b_ar, hh) * F.col("y_n"))
+             .when(F.col("model") == "ar1_diff", F.col("y_n") + F.col("_cum_g"))
+             .otherwise(F.col("_y_src")))
+    var_ar = F.when(F.abs(b_ar) == 1, hh.cast("double")).otherwise(
+        (1 - F.pow(b_ar, 2 * hh)) / (1 - F.pow(b_ar, 2)))
+    se = F.col("sigma") * F.sqrt(
+        F.when(F.col("model") == "mean", 1 + 1 / n)
+        .when(F.col("model") == "drift", hh * (1 + hh / (n - 1)))
+        .when(F.col("model") == "ar1", var_ar)
+        .when(F.col("model") == "ar1_diff", F.col("_cum_s2"))
+        .otherwise(F.floor((hh - 1) / season) + 1))
+    return hz.select(
+        series, "model", "h", F.add_months(F.col("_d"), hh).alias(date),
+        point.alias("forecast"), se.alias("se"),
+        (point - Z80 * se).alias("lo80"), (point + Z80 * se).alias("hi80"),
+        (point - Z95 * se).alias("lo95"), (point + Z95 * se).alias("hi95"))
+
+
+def forecast_accuracy(series_df: DataFrame, **kw) -> DataFrame:
+    """The chosen model per series with its AICc and in-sample RMSE,
+    next to every candidate's (for inspection)."""
+    fits = model_fits(series_df, **kw)
+    series = kw.get("series", "series")
+    best_w = Window.partitionBy(series).orderBy("aicc", "model")
+    return (fits.withColumn("chosen", F.row_number().over(best_w) == 1)
+            .select(series, "model", "p", "m", "sse", "sigma", "aicc", "rmse", "chosen"))

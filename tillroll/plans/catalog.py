@@ -747,3 +747,80 @@ def q_customer_features_scaled(spark, sf_dir):
     f = cust.customer_features(pops(spark, sf_dir).pos)
     z = cust.zscale(f, cust.FEATURES)
     return rnd(z.select("CustomerID", *[f"{x}_z" for x in cust.FEATURES]), default=9)
+
+
+# --- forecast and its accuracy (M14, M15, W7) --------------------------------
+_SEASON = config.MONTHLY_PERIOD
+_FC_SQL = _MONTHLY_SQL + f""",
+fl AS (SELECT series, t, Date, TotalSales AS y, lag(TotalSales, 1) OVER w AS y1,
+              lag(TotalSales, {_SEASON}) OVER w AS ys,
+              TotalSales - lag(TotalSales, 1) OVER w AS d
+       FROM ms WINDOW w AS (PARTITION BY series ORDER BY t)),
+fl2 AS (SELECT *, lag(d, 1) OVER (PARTITION BY series ORDER BY t) AS d1 FROM fl),
+st AS (SELECT series, count(*) AS n, avg(y) AS ybar, avg(d) AS c,
+              regr_intercept(y, y1) AS ar_a, regr_slope(y, y1) AS ar_b,
+              regr_intercept(d, d1) AS ad_a, regr_slope(d, d1) AS ad_b,
+              arg_max(y, t) AS y_n, arg_max(d, t) AS d_n, max(Date) AS dl, max(t) AS tn
+       FROM fl2 GROUP BY series),
+rs AS (SELECT fl2.series,
+         sum(pow(y - ybar, 2)) AS sse_mean, count(y - ybar) AS m_mean,
+         sum(pow(y - (y1 + c), 2)) AS sse_drift, count(y - (y1 + c)) AS m_drift,
+         sum(pow(y - (ar_a + ar_b * y1), 2)) AS sse_ar1, count(y - (ar_a + ar_b * y1)) AS m_ar1,
+         sum(pow(d - (ad_a + ad_b * d1), 2)) AS sse_ar1_diff,
+         count(d - (ad_a + ad_b * d1)) AS m_ar1_diff,
+         sum(pow(y - ys, 2)) AS sse_snaive, count(y - ys) AS m_snaive
+       FROM fl2 JOIN st ON fl2.series = st.series GROUP BY fl2.series),
+cand AS (SELECT series, 'ar1' AS model, sse_ar1 AS sse, m_ar1 AS m, 2 AS p FROM rs
+         UNION ALL SELECT series, 'ar1_diff', sse_ar1_diff, m_ar1_diff, 2 FROM rs
+         UNION ALL SELECT series, 'drift', sse_drift, m_drift, 1 FROM rs
+         UNION ALL SELECT series, 'mean', sse_mean, m_mean, 1 FROM rs
+         UNION ALL SELECT series, 'snaive', sse_snaive, m_snaive, 0 FROM rs),
+fit AS (SELECT *, m * ln(sse / m) + 2 * (p + 1)
+                  + CAST(2 * (p + 1) * (p + 2) AS DOUBLE) / (m - p - 2) AS aicc,
+               sqrt(sse / (m - p)) AS sigma, sqrt(sse / m) AS rmse
+        FROM cand WHERE m > p + 2 AND sse > 0),
+fitr AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY aicc, model) AS r_ FROM fit),
+hz AS (SELECT b.series, b.model, b.sigma, st.n, st.ybar, st.c, st.ar_a, st.ar_b, st.ad_a, st.ad_b,
+              st.y_n, st.d_n, st.dl, st.tn, g.h
+       FROM fitr b JOIN st ON b.series = st.series CROSS JOIN generate_series(1, {config.FORECAST_H}) AS g(h)
+       WHERE b.r_ = 1),
+hz2 AS (SELECT *, CASE WHEN ad_b = 1 THEN CAST(h AS DOUBLE) ELSE (1 - pow(ad_b, h)) / (1 - ad_b) END AS s_ad
+        FROM hz),
+hz3 AS (SELECT hz2.*,
+          sum(ad_a * s_ad + pow(ad_b, h) * d_n) OVER (PARTITION BY hz2.series ORDER BY h
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_g,
+          sum(pow(s_ad, 2)) OVER (PARTITION BY hz2.series ORDER BY h
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_s2,
+          ms.TotalSales AS y_src
+        FROM hz2 LEFT JOIN ms ON ms.series = hz2.series
+                              AND ms.t = hz2.tn - {_SEASON} + (hz2.h - 1) % {_SEASON} + 1),
+fc AS (SELECT series, model, h, CAST(dl + to_months(CAST(h AS INTEGER)) AS DATE) AS Date,
+         CASE model WHEN 'mean' THEN ybar WHEN 'drift' THEN y_n + h * c
+              WHEN 'ar1' THEN ar_a * (CASE WHEN ar_b = 1 THEN CAST(h AS DOUBLE)
+                                           ELSE (1 - pow(ar_b, h)) / (1 - ar_b) END)
+                              + pow(ar_b, h) * y_n
+              WHEN 'ar1_diff' THEN y_n + cum_g ELSE y_src END AS point,
+         sigma * sqrt(CASE model WHEN 'mean' THEN 1 + 1 / n
+              WHEN 'drift' THEN h * (1 + h / (n - 1))
+              WHEN 'ar1' THEN (CASE WHEN abs(ar_b) = 1 THEN CAST(h AS DOUBLE)
+                                    ELSE (1 - pow(ar_b, 2 * h)) / (1 - pow(ar_b, 2)) END)
+              WHEN 'ar1_diff' THEN cum_s2 ELSE floor((h - 1) / {_SEASON}) + 1 END) AS se
+       FROM hz3)"""
+
+
+@register("q_forecast_monthly", O.with_prefix(f"""
+SELECT series, model, CAST(h AS INTEGER) AS h, Date, {O.sig('point', 9)} AS forecast,
+       {O.sig('se', 9)} AS se,
+       {O.sig(f'point - {ts.Z80} * se', 9)} AS lo80, {O.sig(f'point + {ts.Z80} * se', 9)} AS hi80,
+       {O.sig(f'point - {ts.Z95} * se', 9)} AS lo95, {O.sig(f'point + {ts.Z95} * se', 9)} AS hi95
+FROM fc""", _FC_SQL))
+def q_forecast_monthly(spark, sf_dir):
+    return rnd(ts.forecast(_monthly(spark, sf_dir)), default="sig9")
+
+
+@register("q_forecast_rmse", O.with_prefix(f"""
+SELECT series, model, p, m, {O.sig('sse', 9)} AS sse, {O.sig('sigma', 9)} AS sigma,
+       {O.sig('aicc', 9)} AS aicc, {O.sig('rmse', 9)} AS rmse, r_ = 1 AS chosen
+FROM fitr""", _FC_SQL))
+def q_forecast_rmse(spark, sf_dir):
+    return rnd(ts.forecast_accuracy(_monthly(spark, sf_dir)), default="sig9")

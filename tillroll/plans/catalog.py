@@ -824,3 +824,37 @@ SELECT series, model, p, m, {O.sig('sse', 9)} AS sse, {O.sig('sigma', 9)} AS sig
 FROM fitr""", _FC_SQL))
 def q_forecast_rmse(spark, sf_dir):
     return rnd(ts.forecast_accuracy(_monthly(spark, sf_dir)), default="sig9")
+
+
+# --- segmentation (M21-M26): random starts, so checked by invariants ---------
+from tillroll.operators import clustering as clus  # noqa: E402
+
+
+def _segments(spark, sf_dir):
+    f = cust.customer_features(pops(spark, sf_dir).pos).drop("distinct_orders")
+    return clus.segment(f)[0]
+
+
+@register("q_kmeans_profile")
+def q_kmeans_profile(spark, sf_dir):
+    return rnd(clus.cluster_profile(_segments(spark, sf_dir)), default="sig")
+
+
+@register("q_pca_scores")
+def q_pca_scores(spark, sf_dir):
+    return rnd(_segments(spark, sf_dir).select("CustomerID", "PC1", "PC2", "PC3", "Cluster"),
+               default="sig")
+
+
+@register("q_elbow")
+def q_elbow(spark, sf_dir):
+    f = cust.customer_features(pops(spark, sf_dir).pos).drop("distinct_orders")
+    vecs = clus.scaled_vectors(f).persist()
+    vecs.count()
+    try:
+        out = clus.elbow(vecs)
+        out = out.persist()
+        out.count()
+    finally:
+        vecs.unpersist()
+    return rnd(out, default="sig")

@@ -151,15 +151,18 @@ def decode_region(df: DataFrame, default: str | None = None, out: str = "Region"
 class Populations:
     """Lazy named populations over one raw frame; nothing runs until an action.
 
-    ``persist_clean=True`` caches SC, which feeds every other population --
-    worth it when several reports are produced from one load.
+    ``materialize=True`` writes SC once as a Parquet table in the shared
+    checkpoint folder (see :func:`tillroll.session.materialize`): SC feeds
+    every other population, so multi-pass reports read the table instead of
+    re-running the joins and the dedup shuffle.
     """
 
-    def __init__(self, raw: DataFrame, persist_clean: bool = False):
+    def __init__(self, raw: DataFrame, materialize: bool = False):
         self.raw = raw
         self._sc = clean_lines(raw)
-        if persist_clean:
-            self._sc = self._sc.persist()
+        if materialize:
+            from tillroll.session import materialize as _mat
+            self._sc = _mat(self._sc, "clean_lines")
 
     @property
     def nodup(self) -> DataFrame:

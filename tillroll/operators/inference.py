@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tillroll import config
 from tillroll.operators.order_stats import exact_quantiles, order_statistics
+from tillroll.session import materialize
 
 SPLIT_KEY = config.DEDUP_KEYS
 
@@ -46,6 +47,8 @@ def stratified_split(df: DataFrame, y: str = "TotalSales", p: float = config.SPL
          .drop("_inner")
          .withColumn("_h", row_hash(keys))
          .withColumn("_h60", F.conv(F.substring("_h", 1, 15), 16, 10).cast("long")))
+    # read by the cut search, the below-count and the final labelling: write once
+    d = materialize(d, "split")
 
     def targets(sizes: DataFrame) -> DataFrame:
         need = F.ceil(F.col("_n") * F.lit(p)).cast("long")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tillroll.session import ensure_checkpoint_dir
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 12
 FINAL_LIMIT = 1 << 16
 BROADCAST_TARGETS = 200_000   # target rows are broadcast only below this count
 
@@ -42,12 +42,16 @@ def _maybe_broadcast(df: DataFrame, n_rows: int) -> DataFrame:
 def order_statistics(data: DataFrame, keys: Sequence[str], value: str,
                      make_targets: Callable[[DataFrame], DataFrame], *,
                      buckets: int = BUCKETS, final_limit: int = FINAL_LIMIT,
-                     max_passes: int = 96) -> DataFrame:
+                     max_passes: int = 96, cache: bool = False) -> DataFrame:
     """k-th smallest non-null ``value`` per group, exactly.
 
     ``make_targets(sizes)`` receives ``keys + _n`` (non-null count per group)
     and returns ``keys + tid + rank`` (0-based rank; out-of-range ranks are
     dropped).  Result: ``keys + tid + _n + _v``, materialised (small).
+
+    Each pass re-reads ``data``: pass a cheap scan (e.g. a table written with
+    :func:`tillroll.session.materialize`), or ``cache=True`` to persist the
+    narrowed (keys, value) projection for the duration of the call.
     """
     spark = data.sparkSession
     ensure_checkpoint_dir(spark)
@@ -59,8 +63,9 @@ def order_statistics(data: DataFrame, keys: Sequence[str], value: str,
     kq = [f"`{k}`" for k in keys]
 
     d = (data.select(*kq, F.col(f"`{value}`").alias("_x"))
-         .where(F.col("_x").isNotNull())
-         .persist(StorageLevel.MEMORY_AND_DISK))
+         .where(F.col("_x").isNotNull()))
+    if cache:
+        d = d.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         stats = d.groupBy(*kq).agg(F.count(F.lit(1)).alias("_n"),
                                    F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
@@ -131,12 +136,13 @@ def order_statistics(data: DataFrame, keys: Sequence[str], value: str,
             out = out.unionByName(exact)
         out = out.checkpoint()
     finally:
-        d.unpersist()
+        if cache:
+            d.unpersist()
     return out.drop("_g") if synthetic else out
 
 
 def exact_quantiles(data: DataFrame, keys: Sequence[str], value: str,
-                    probs: Sequence[float]) -> DataFrame:
+                    probs: Sequence[float], **kw) -> DataFrame:
     """Type-7 (linear interpolation) quantiles per group: ``keys + p + q``.
 
     Equal to ``percentile``/``median`` in Spark SQL and ``quantile_cont`` in
@@ -156,7 +162,7 @@ def exact_quantiles(data: DataFrame, keys: Sequence[str], value: str,
                              .alias("rank"))
                 .withColumn("tid", F.col("rank")))
 
-    os_ = order_statistics(data, keys, value, targets)
+    os_ = order_statistics(data, keys, value, targets, **kw)
     per_group = os_.groupBy(*kq).agg(
         F.first("_n").alias("_n"),
         F.map_from_entries(F.collect_list(F.struct(F.col("tid"), F.col("_v").cast("double"))))

@@ -61,8 +61,10 @@ def rnd(df: DataFrame, spec: dict[str, int | str] | None = None, default: int |
     return df.select(*out)
 
 
-def pops(spark: SparkSession, sf_dir: str) -> clean.Populations:
-    return clean.Populations(retail_from_tables(spark, sf_dir))
+def pops(spark: SparkSession, sf_dir: str, materialize: bool = False) -> clean.Populations:
+    """Populations over the test tables; ``materialize`` for queries that read
+    the clean lines more than once."""
+    return clean.Populations(retail_from_tables(spark, sf_dir), materialize=materialize)
 
 
 KPI_ROUND = {"Mean_Total_Sales": 4, "Median_Total_Sales": 4, "SD_Total_Sales": 3}
@@ -72,7 +74,7 @@ KPI_ROUND_SCALED = {"Mean_Total_Sales": 9, "Median_Total_Sales": 9, "SD_Total_Sa
 
 def _kpi_query(pop: str, overall_first: bool = False):
     def fn(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rnd(kpi.kpi_table(pops(spark, sf_dir).population(pop),
+        return rnd(kpi.kpi_table(pops(spark, sf_dir, True).population(pop),
                                  overall_first=overall_first), KPI_ROUND)
     return fn
 
@@ -88,7 +90,7 @@ register("q_kpi_negative", O.kpi_sql("neg"))(_kpi_query("neg"))
 @register("q_kpi_scaled", O.kpi_sql("scaled", "TotalSales_MinMax", "Quantity_MinMax",
                                     rs=(9, 9, 9), rq=(9, 9, 9)))
 def q_kpi_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rnd(kpi.kpi_table(pops(spark, sf_dir).scaled, sales="TotalSales_MinMax",
+    return rnd(kpi.kpi_table(pops(spark, sf_dir, True).scaled, sales="TotalSales_MinMax",
                              qty="Quantity_MinMax"), KPI_ROUND_SCALED)
 
 
@@ -255,7 +257,7 @@ SELECT m.Metric, round(m.va, 4) AS {wa}, round(m.vb, 4) AS {wb} FROM (
 
 
 def _impact(spark, sf_dir, kind):
-    p = pops(spark, sf_dir)
+    p = pops(spark, sf_dir, True)
     if kind == "bulk":
         t = kpi.impact_table(p.pos, p.noout_pos, "With_Bulk_Orders", "Without_Bulk_Orders")
     else:
@@ -332,7 +334,7 @@ SELECT stat, round(value, 6) AS value FROM (
   UNION ALL SELECT '3rd Qu.', quantile_cont(line_count, 0.75) FROM gm
   UNION ALL SELECT 'Max', CAST(max(line_count) AS DOUBLE) FROM gm) t""", _GUEST_SQL))
 def q_guest_mix_profile(spark, sf_dir):
-    return rnd(cust.column_profile(cust.guest_mix(pops(spark, sf_dir).pos), "line_count"))
+    return rnd(cust.column_profile(cust.guest_mix(pops(spark, sf_dir, True).pos), "line_count"))
 
 
 @register("q_region_avg_bulk", O.with_prefix("""
@@ -529,7 +531,7 @@ qq AS (SELECT series, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS med
 f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lower_fence,
              q3 + 1.5 * (q3 - q1) AS upper_fence FROM qq)"""))
 def q_box_stats(spark, sf_dir):
-    p = pops(spark, sf_dir)
+    p = pops(spark, sf_dir, True)
     long = (p.pos.select(F.lit("quantity").alias("series"), F.col("Quantity").cast("double").alias("x"))
             .unionByName(p.pos.select(F.lit("log_quantity").alias("series"),
                                       ln_pos("Quantity").alias("x")))
@@ -560,7 +562,7 @@ sps AS (SELECT sp.*, (TotalSales - mu_) / sd_ AS TotalSales_Z,
 
 
 def _split(spark, sf_dir):
-    return inf.stratified_split(pops(spark, sf_dir).sc)
+    return inf.stratified_split(pops(spark, sf_dir, True).sc)
 
 
 @register("q_split", O.with_prefix("""
@@ -643,7 +645,7 @@ def _zsql(pop: str) -> str:
 
 def _anova_q(pop: str, scaled: bool):
     def fn(spark, sf_dir):
-        df = pops(spark, sf_dir).population(pop)
+        df = pops(spark, sf_dir, True).population(pop)
         if scaled:
             y = F.col("TotalSales_scaled")
             df = cust.zscale(df, ["TotalSales"], "_scaled")

@@ -78,3 +78,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir()
     raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/ABFS) "
                        "before running iterative operators")
+
+
+def materialize(df, name: str = "table"):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and
+    return a scan of it.
+
+    Used where one query reads the same expensive intermediate several times
+    (the deduplicated, joined invoice lines feed a rollup and a quantile
+    operator, a split feeds scaling and two model passes).  Unlike an RDD
+    checkpoint the table keeps column pruning and filter pushdown, and it
+    lives in the shared folder, so it survives the loss of an executor.
+    """
+    import uuid
+
+    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)

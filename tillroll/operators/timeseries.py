@@ -250,3 +250,15 @@ def forecast_accuracy(series_df: DataFrame, **kw) -> DataFrame:
     best_w = Window.partitionBy(series).orderBy("aicc", "model")
     return (fits.withColumn("chosen", F.row_number().over(best_w) == 1)
             .select(series, "model", "p", "m", "sse", "sigma", "aicc", "rmse", "chosen"))
+
+
+def fill_gaps(daily: DataFrame, date: str = "InvoiceDate", value: str = "TotalSales",
+              series: str | None = "series", fill: float = 0.0) -> DataFrame:
+    """T11 option: one row per calendar day between each series' first and
+    last day (missing days get ``fill``).  The day list per series is a
+    ``sequence`` over its date range -- bounded by the calendar, not the data."""
+    keys = [series] if series else []
+    rng = daily.groupBy(*keys).agg(F.min(date).alias("_lo"), F.max(date).alias("_hi"))
+    days = rng.select(*keys, F.explode(F.sequence("_lo", "_hi")).alias(date))
+    return (days.join(daily, [*keys, date], "left")
+            .withColumn(value, F.coalesce(F.col(value), F.lit(fill))))

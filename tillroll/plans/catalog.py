@@ -442,7 +442,7 @@ def q_decompose_daily(spark, sf_dir):
 
 _XF = "(year(Date) + (month(Date) - 1) / 12.0)"
 _LM_SQL = f"""
-lm AS (SELECT series, regr_count(TotalSales, {_XF}) AS n, regr_intercept(TotalSales, {_XF}) AS intercept,
+lm AS (SELECT series, CAST(regr_count(TotalSales, {_XF}) AS BIGINT) AS n, regr_intercept(TotalSales, {_XF}) AS intercept,
               regr_slope(TotalSales, {_XF}) AS slope, regr_r2(TotalSales, {_XF}) AS r2,
               regr_sxx(TotalSales, {_XF}) AS sxx, regr_syy(TotalSales, {_XF}) AS syy,
               regr_sxy(TotalSales, {_XF}) AS sxy, regr_avgx(TotalSales, {_XF}) AS x_mean
@@ -484,7 +484,7 @@ from tillroll.operators import distribution as dist  # noqa: E402
 def _hist_sql(pop: str, expr: str, w: float) -> str:
     t = f"(x / {w} - 0.5)"
     return O.with_prefix(f"""
-SELECT bin, round(bin * {w}, 6) AS center, count(*) AS count FROM (
+SELECT bin, round(CAST(bin AS DOUBLE) * {w}, 6) AS center, count(*) AS count FROM (
   SELECT CAST(CASE WHEN x = mn AND ceil({t}) = {t} THEN ceil({t}) + 1 ELSE ceil({t}) END
               AS BIGINT) AS bin
   FROM (SELECT x, min(x) OVER () AS mn FROM (SELECT {expr} AS x FROM {pop}) a

@@ -860,3 +860,31 @@ def q_elbow(spark, sf_dir):
     finally:
         vecs.unpersist()
     return rnd(out, default="sig")
+
+
+# --- CSV ingestion round trip (S1, S2, X13) ----------------------------------
+@register("q_csv_roundtrip", O.with_prefix("""
+SELECT src_rank, count(*) AS n_rows,
+       CAST(sum(CAST(Description IS NULL AS BIGINT)) AS BIGINT) AS null_description,
+       CAST(sum(CAST(CustomerID IS NULL AS BIGINT)) AS BIGINT) AS null_customer,
+       CAST(sum(CAST(InvoiceDate IS NULL AS BIGINT)) AS BIGINT) AS null_date,
+       round(sum(Quantity), 2) AS total_quantity
+FROM raw GROUP BY src_rank"""))
+def q_csv_roundtrip(spark, sf_dir):
+    """Raw lines written as invoice CSV files (shared checkpoint folder) and
+    scanned back through the CSV source: nothing may be lost or altered."""
+    import uuid
+
+    from tillroll.session import ensure_checkpoint_dir
+    from tillroll.sources.retail import read_invoice_csv, write_invoice_csv
+
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/csv-{uuid.uuid4().hex}"
+    paths = write_invoice_csv(retail_from_tables(spark, sf_dir), base)
+    back = read_invoice_csv(spark, paths)
+    ts_ = clean.parse_invoice_date("InvoiceDate")
+    return (back.withColumn("InvoiceDate", ts_).groupBy("src_rank")
+            .agg(F.count(F.lit(1)).alias("n_rows"),
+                 F.sum(F.col("Description").isNull().cast("long")).alias("null_description"),
+                 F.sum(F.col("CustomerID").isNull().cast("long")).alias("null_customer"),
+                 F.sum(F.col("InvoiceDate").isNull().cast("long")).alias("null_date"),
+                 F.round(F.sum("Quantity"), 2).alias("total_quantity")))

@@ -43,63 +43,88 @@ def kmeans_best_mllib(vecs: DataFrame, k: int = config.KMEANS_K,
 
 def _as_columns(vecs: DataFrame, col: str, d: int) -> DataFrame:
     arr = vector_to_array(col)
-    return vecs.select(F.monotonically_increasing_id().alias("_rid"),
-                       F.array(*[arr[i] for i in range(d)]).alias("_x"))
+    return vecs.select(*[arr[i].alias(f"x{i}") for i in range(d)])
+
+
+def _lloyd_partials(centers: list, d: int):
+    """mapInPandas function: per Arrow batch, the nearest centre of every run
+    (vectorised distances) and the per-(run, cluster) count, squared-distance
+    sum and coordinate sums -- a map-side combine that emits runs * k rows."""
+    import numpy as np
+    import pandas as pd
+
+    by_k: dict[int, list[int]] = {}
+    for run, c in enumerate(centers):
+        by_k.setdefault(len(c), []).append(run)
+    stacks = {k: (np.array(runs), np.array([centers[r] for r in runs], dtype=float))
+              for k, runs in by_k.items()}
+
+    def fn(batches):
+        for pdf in batches:
+            x = pdf[[f"x{i}" for i in range(d)]].to_numpy(dtype=float)
+            if not len(x):
+                continue
+            out = []
+            for k, (runs, cen) in stacks.items():          # cen: (R, k, d)
+                d2 = ((x[:, None, None, :] - cen[None, :, :, :]) ** 2).sum(axis=3)  # (n, R, k)
+                lab = d2.argmin(axis=2)                                             # (n, R)
+                best = np.take_along_axis(d2, lab[:, :, None], axis=2)[:, :, 0]
+                for j, run in enumerate(runs):
+                    cnt = np.bincount(lab[:, j], minlength=k)
+                    ss = np.bincount(lab[:, j], weights=best[:, j], minlength=k)
+                    sums = np.stack([np.bincount(lab[:, j], weights=x[:, i], minlength=k)
+                                     for i in range(d)], axis=1)
+                    for c in np.nonzero(cnt)[0]:
+                        out.append((int(run), int(c), int(cnt[c]), float(ss[c]),
+                                    *[float(v) for v in sums[c]]))
+            yield pd.DataFrame(out, columns=["run", "cluster", "n", "ss",
+                                             *[f"s{i}" for i in range(d)]])
+    return fn
 
 
 def multi_start_kmeans(vecs: DataFrame, ks, starts: int, seed: int = 111, col: str = "scaled",
                        max_iter: int = 50, tol: float = 1e-7, pool: int = 1000):
     """Lloyd's k-means for every (k, start) pair at once.
 
-    All runs share each pass over the data: the current centres of every run
-    travel as one broadcast row (runs * k * d doubles -- fixed by the
-    parameters, not by the data), each row picks its nearest centre per run
-    with array functions, and ``groupBy(run, cluster)`` (map-side combined)
-    yields the new centres and the within-cluster sum of squares.  Starting
-    centres are distinct random rows, drawn from a bounded uniform pool (the
-    ``pool`` rows with the smallest seeded hash).
+    All runs share each pass over the data: every task computes, for its
+    rows and every run, the nearest current centre (NumPy, per Arrow batch)
+    and emits only per-(run, cluster) partial sums; ``groupBy(run, cluster)``
+    adds them up into the new centres and the within-cluster sum of squares.
+    The centres travel with the task closure (runs * k * d doubles -- fixed
+    by the parameters, not by the data).  Starting centres are distinct
+    random rows drawn from a bounded uniform pool (the ``pool`` rows with the
+    smallest seeded hash).
 
     Returns a pandas frame (run, k, start_seed, wss) and the final centres
     {run: array[k][d]} -- both sized by the parameters.
     """
     import numpy as np
+    import pandas as pd
 
-    spark = vecs.sparkSession
     d = len(vecs.select(col).first()[0])
-    x = _as_columns(vecs, col, d).persist()
+    x = _as_columns(vecs, col, d)
+    # every pass scans x: size its partitions by rows (~200k per task), not by
+    # the session's shuffle partition count (coalesce, no shuffle)
+    n_rows = vecs.count()
+    x = x.coalesce(max(1, min(x.rdd.getNumPartitions(), -(-n_rows // 200_000)))).persist()
     try:
-        cand = (x.orderBy(F.xxhash64(F.col("_rid"), F.lit(seed)), "_rid").limit(pool)
-                .select("_x").collect())
-        cand = np.array([r[0] for r in cand], dtype=float)
+        xs = [f"x{i}" for i in range(d)]
+        cand = (x.orderBy(F.xxhash64(*xs, F.lit(seed)), *xs).limit(pool).collect())
+        cand = np.array([[r[c] for c in xs] for r in cand], dtype=float)
         runs = []
         for k in ks:
             for s in range(seed, seed + starts):
                 rng = np.random.default_rng(s * 1009 + k)
                 idx = rng.choice(len(cand), size=min(k, len(cand)), replace=False)
                 runs.append({"k": k, "seed": s, "centers": cand[idx].copy()})
+        schema = "run int, cluster int, n long, ss double, " + ", ".join(
+            f"s{i} double" for i in range(d))
         wss = [float("nan")] * len(runs)
         for it in range(max_iter + 1):
-            cen = spark.createDataFrame(
-                [(i, r["centers"].tolist()) for i, r in enumerate(runs)],
-                "run int, centers array<array<double>>")
-            cen_row = F.broadcast(cen.agg(F.collect_list(F.struct("run", "centers")).alias("_runs")))
-
-            def nearest(r):
-                dists = F.transform(r.getField("centers"), lambda c, i: F.struct(
-                    F.aggregate(F.zip_with(c, F.col("_x"), lambda a, b: (a - b) * (a - b)),
-                                F.lit(0.0), lambda acc, v: acc + v).alias("d2"),
-                    i.alias("cluster")))
-                best = F.array_min(dists)
-                return F.struct(r.getField("run").alias("run"),
-                                best.getField("cluster").alias("cluster"),
-                                best.getField("d2").alias("d2"))
-
-            assigned = (x.crossJoin(cen_row)
-                        .select("_x", F.explode(F.transform("_runs", nearest)).alias("_a"))
-                        .select("_a.run", "_a.cluster", "_a.d2", "_x"))
-            agg = (assigned.groupBy("run", "cluster")
-                   .agg(F.count(F.lit(1)).alias("n"), F.sum("d2").alias("ss"),
-                        *[F.sum(F.col("_x")[j]).alias(f"s{j}") for j in range(d)])
+            fn = _lloyd_partials([r["centers"].tolist() for r in runs], d)
+            agg = (x.mapInPandas(fn, schema).groupBy("run", "cluster")
+                   .agg(F.sum("n").alias("n"), F.sum("ss").alias("ss"),
+                        *[F.sum(f"s{i}").alias(f"s{i}") for i in range(d)])
                    .collect())
             cost = [0.0] * len(runs)
             shift = 0.0
@@ -115,7 +140,6 @@ def multi_start_kmeans(vecs: DataFrame, ks, starts: int, seed: int = 111, col: s
                 break
             for r, c in zip(runs, new):
                 r["centers"] = c
-        import pandas as pd
         table = pd.DataFrame({"run": range(len(runs)), "k": [r["k"] for r in runs],
                               "start_seed": [r["seed"] for r in runs], "wss": wss})
         return table, {i: r["centers"] for i, r in enumerate(runs)}

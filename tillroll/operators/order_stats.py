@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tillroll.session import ensure_checkpoint_dir
 
 BUCKETS = 1 << 12
-FINAL_LIMIT = 1 << 16
+FINAL_LIMIT = 1 << 20     # rows of one target sorted in one task (~16 MB)
 BROADCAST_TARGETS = 200_000   # target rows are broadcast only below this count
 
 
@@ -69,7 +69,9 @@ def order_statistics(data: DataFrame, keys: Sequence[str], value: str,
     try:
         stats = d.groupBy(*kq).agg(F.count(F.lit(1)).alias("_n"),
                                    F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-        stats = stats.checkpoint()
+        # one row per group; cached (recomputable from lineage if an executor
+        # is lost) -- the loop state below is what gets checkpointed
+        stats = stats.persist()
         tgt = make_targets(stats.select(*kq, "_n"))
         if synthetic:
             tgt = tgt.withColumn("_g", F.lit(0)) if "_g" not in tgt.columns else tgt
@@ -86,8 +88,9 @@ def order_statistics(data: DataFrame, keys: Sequence[str], value: str,
                  .select(*kq, "tid", "_n", "_res", "_lo", "_hi", "_status", "_v"))
 
         counts: dict[str, int] = {}
-        for _ in range(max_passes):
-            state = state.checkpoint()
+        for i in range(max_passes):
+            if i:   # cut the lineage a refinement pass added
+                state = state.checkpoint()
             counts = {r["_status"]: r["cnt"] for r in
                       state.groupBy("_status").agg(F.count(F.lit(1)).alias("cnt")).collect()}
             n_open = counts.get("open", 0)
@@ -136,6 +139,7 @@ def order_statistics(data: DataFrame, keys: Sequence[str], value: str,
             out = out.unionByName(exact)
         out = out.checkpoint()
     finally:
+        stats.unpersist()
         if cache:
             d.unpersist()
     return out.drop("_g") if synthetic else out

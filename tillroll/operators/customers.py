@@ -58,19 +58,23 @@ def column_profile(df: DataFrame, col: str) -> DataFrame:
                           "'Mean', mean, '3rd Qu.', q3, 'Max', max) as (stat, value)")
 
 
-def region_average(df: DataFrame) -> DataFrame:
-    """Mean TotalSales per region, the region decoded from the
-    one-hot columns found by name pattern."""
+def region_average(df: DataFrame, mean_decimals: int | None = None) -> DataFrame:
+    """Mean TotalSales per region (exact cent mean), the
+    region decoded from the one-hot columns found by name pattern."""
+    from tillroll.operators.kpi import exact_mean
+
     flags = [x for x in df.columns if x.startswith("Region") and x != "Region"]
     levels = [x[len("Region"):] for x in flags]
     return (df.select(region_decode(None, levels).alias("region"), "TotalSales")
-            .groupBy("region").agg(F.avg("TotalSales").alias("avg_total_sales")))
+            .groupBy("region")
+            .agg(exact_mean(F.col("TotalSales"), 2, mean_decimals).alias("avg_total_sales")))
 
 
-def region_average_with_without(with_df: DataFrame, without_df: DataFrame) -> DataFrame:
+def region_average_with_without(with_df: DataFrame, without_df: DataFrame,
+                                mean_decimals: int | None = None) -> DataFrame:
     """The two region-average tables stacked with a tag."""
-    a = region_average(with_df).withColumn("Bulk Order", F.lit("1"))
-    b = region_average(without_df).withColumn("Bulk Order", F.lit("2"))
+    a = region_average(with_df, mean_decimals).withColumn("Bulk Order", F.lit("1"))
+    b = region_average(without_df, mean_decimals).withColumn("Bulk Order", F.lit("2"))
     tag = F.when(F.col("`Bulk Order`") == "1", F.lit("With Bulk Orders")).when(
         F.col("`Bulk Order`") == "2", F.lit("Without Bulk Orders"))
     return a.unionByName(b).select(tag.alias("Bulk Order"), "region", "avg_total_sales")

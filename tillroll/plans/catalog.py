@@ -75,7 +75,7 @@ KPI_ROUND_SCALED = {"Mean_Total_Sales": 9, "Median_Total_Sales": 9, "SD_Total_Sa
 def _kpi_query(pop: str, overall_first: bool = False):
     def fn(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rnd(kpi.kpi_table(pops(spark, sf_dir, True).population(pop),
-                                 overall_first=overall_first), KPI_ROUND)
+                                 overall_first=overall_first, mean_decimals=(4, 6)), KPI_ROUND)
     return fn
 
 
@@ -88,10 +88,10 @@ register("q_kpi_negative", O.kpi_sql("neg"))(_kpi_query("neg"))
 
 
 @register("q_kpi_scaled", O.kpi_sql("scaled", "TotalSales_MinMax", "Quantity_MinMax",
-                                    rs=(9, 9, 9), rq=(9, 9, 9)))
+                                    rs=(9, 9, 9), rq=(9, 9, 9), exact=False))
 def q_kpi_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rnd(kpi.kpi_table(pops(spark, sf_dir, True).scaled, sales="TotalSales_MinMax",
-                             qty="Quantity_MinMax"), KPI_ROUND_SCALED)
+                             qty="Quantity_MinMax", exact_means=False), KPI_ROUND_SCALED)
 
 
 # --- sources and data quality (S2, U1, F2, A17, R1, F13, W1, W2, W3) ---------
@@ -197,11 +197,11 @@ def q_bulk_lines(spark, sf_dir):
 
 
 @register("q_outlier_lines", O.with_prefix(
-    f"SELECT {_SC_COLS}, round(z_score, 9) AS z_score FROM sc_z "
+    f"SELECT {_SC_COLS}, round(z_score, 6) AS z_score FROM sc_z "
     f"WHERE abs(z_score) > {config.Z_OUTLIER}"))
 def q_outlier_lines(spark, sf_dir):
     p = pops(spark, sf_dir)
-    return rnd(clean.outliers(p.sc_z), {"TotalSales": 4, "z_score": 9})
+    return rnd(clean.outliers(p.sc_z), {"TotalSales": 4, "z_score": 6})
 
 
 @register("q_outlier_counts", O.with_prefix(f"""
@@ -215,35 +215,36 @@ def q_outlier_counts(spark, sf_dir):
 
 
 @register("q_bulk_impact", O.with_prefix(f"""
-SELECT round(avg(Quantity) FILTER (WHERE Quantity < {config.BULK_INCLUSIVE}), 6)
+SELECT {O.exact_mean(f"CASE WHEN Quantity < {config.BULK_INCLUSIVE} THEN Quantity END", 6, 6)}
          AS mean_quantity_without_bulk,
        round(stddev_samp(Quantity) FILTER (WHERE Quantity < {config.BULK_INCLUSIVE}), 6)
          AS sd_quantity_without_bulk,
-       round(avg(Quantity) FILTER (WHERE Quantity >= {config.BULK_INCLUSIVE}), 6)
+       {O.exact_mean(f"CASE WHEN Quantity >= {config.BULK_INCLUSIVE} THEN Quantity END", 6, 6)}
          AS mean_quantity_with_bulk,
        round(stddev_samp(Quantity) FILTER (WHERE Quantity >= {config.BULK_INCLUSIVE}), 6)
          AS sd_quantity_with_bulk
 FROM sc_z"""))
 def q_bulk_impact(spark, sf_dir):
-    return rnd(kpi.bulk_impact(pops(spark, sf_dir).sc_z))
+    return rnd(kpi.bulk_impact(pops(spark, sf_dir).sc_z, mean_decimals=6))
 
 
 @register("q_metrics_wo_outliers", O.with_prefix(f"""
-SELECT 'With Outliers' AS Outliers, round(avg(Quantity), 6) AS mean_quantity,
+SELECT 'With Outliers' AS Outliers, {O.exact_mean("Quantity", 6, 6)} AS mean_quantity,
        round(stddev_samp(Quantity), 6) AS sd_quantity FROM sc
 UNION ALL
-SELECT 'Without Outliers', round(avg(Quantity), 6), round(stddev_samp(Quantity), 6) FROM sc
+SELECT 'Without Outliers', {O.exact_mean("Quantity", 6, 6)}, round(stddev_samp(Quantity), 6) FROM sc
 WHERE Quantity NOT IN (SELECT DISTINCT Quantity FROM sc_z
                        WHERE abs(z_score) > {config.Z_OUTLIER} AND Quantity IS NOT NULL)"""))
 def q_metrics_wo_outliers(spark, sf_dir):
     p = pops(spark, sf_dir)
-    return rnd(kpi.metrics_with_without_outliers(p.sc, p.sc_z))
+    return rnd(kpi.metrics_with_without_outliers(p.sc, p.sc_z, mean_decimals=6))
 
 
 def _impact_sql(a: str, b: str, wa: str, wb: str) -> str:
     def one(pop: str) -> str:
         return (f"SELECT CAST(sum(CAST(TotalSales AS DECIMAL(38,2))) AS DOUBLE) AS ts, "
-                f"avg(TotalSales) AS ms, median(TotalSales) AS md, sum(Quantity) AS tq, "
+                f"{O.exact_mean('TotalSales', 4, 2)} AS ms, median(TotalSales) AS md, "
+                f"sum(Quantity) AS tq, "
                 f"CAST(count(DISTINCT CustomerID) + max(CAST(CustomerID IS NULL AS INTEGER)) "
                 f"AS DOUBLE) AS uc FROM {pop}")
     return O.with_prefix(f"""
@@ -259,9 +260,9 @@ SELECT m.Metric, round(m.va, 4) AS {wa}, round(m.vb, 4) AS {wb} FROM (
 def _impact(spark, sf_dir, kind):
     p = pops(spark, sf_dir, True)
     if kind == "bulk":
-        t = kpi.impact_table(p.pos, p.noout_pos, "With_Bulk_Orders", "Without_Bulk_Orders")
+        t = kpi.impact_table(p.pos, p.noout_pos, "With_Bulk_Orders", "Without_Bulk_Orders", 4)
     else:
-        t = kpi.impact_table(p.noout_pos, p.nolow, "With_Low_Orders", "Without_Low_Orders")
+        t = kpi.impact_table(p.noout_pos, p.nolow, "With_Low_Orders", "Without_Low_Orders", 4)
     return rnd(t, default=4)
 
 
@@ -337,15 +338,16 @@ def q_guest_mix_profile(spark, sf_dir):
     return rnd(cust.column_profile(cust.guest_mix(pops(spark, sf_dir, True).pos), "line_count"))
 
 
-@register("q_region_avg_bulk", O.with_prefix("""
+@register("q_region_avg_bulk", O.with_prefix(f"""
 SELECT 'With Bulk Orders' AS "Bulk Order", Region AS region,
-       round(avg(TotalSales), 4) AS avg_total_sales FROM pos GROUP BY Region
+       {O.exact_mean("TotalSales", 4, 2)} AS avg_total_sales FROM pos GROUP BY Region
 UNION ALL
-SELECT 'Without Bulk Orders', Region, round(avg(TotalSales), 4) FROM noout_pos GROUP BY Region"""))
+SELECT 'Without Bulk Orders', Region, {O.exact_mean("TotalSales", 4, 2)} FROM noout_pos
+GROUP BY Region"""))
 def q_region_avg_bulk(spark, sf_dir):
     p = pops(spark, sf_dir)
-    return rnd(cust.region_average_with_without(p.pos.drop("Region"), p.noout_pos.drop("Region")),
-               default=4)
+    return rnd(cust.region_average_with_without(p.pos.drop("Region"), p.noout_pos.drop("Region"),
+                                                mean_decimals=4), default=4)
 
 
 # --- daily / monthly series (A19, A20, F6, M31, W6) --------------------------
@@ -413,7 +415,7 @@ _H = config.DAILY_PERIOD // 2
 @register("q_decompose_daily", O.with_prefix(f"""
 SELECT tr.series, d AS InvoiceDate, CAST(t AS INTEGER) AS t, round(x, 2) AS TotalSales,
        round(trend, 6) AS trend, round(figure, 2) AS seasonal,
-       round(x - trend - figure, 4) AS remainder
+       round(x - trend - figure, 3) AS remainder
 FROM tr JOIN fg2 ON tr.series = fg2.series AND (tr.t - 1) % {config.DAILY_PERIOD} = fg2.pos""", f"""
 dd AS (SELECT 'clean' AS series, CAST(InvoiceDate AS DATE) AS d,
               sum(CAST(TotalSales AS DECIMAL(38,2))) AS v FROM sc GROUP BY 2
@@ -437,7 +439,7 @@ def q_decompose_daily(spark, sf_dir):
     d = ts.decompose(_daily_series(spark, sf_dir), "TotalSales", config.DAILY_PERIOD)
     return rnd(d.select("series", "InvoiceDate", "t", "TotalSales", "trend", "seasonal",
                         "remainder"),
-               {"TotalSales": 2, "trend": 6, "seasonal": 2, "remainder": 4})
+               {"TotalSales": 2, "trend": 6, "seasonal": 2, "remainder": 3})
 
 
 _XF = "(year(Date) + (month(Date) - 1) / 12.0)"
@@ -451,29 +453,29 @@ lm2 AS (SELECT *, sqrt((syy - sxy * sxy / sxx) / (n - 2)) AS sigma FROM lm)"""
 
 
 @register("q_trend_lm", O.with_prefix(f"""
-SELECT series, n, {O.sig('intercept')} AS intercept, {O.sig('slope')} AS slope, {O.sig('r2')} AS r2,
-       {O.sig('sigma')} AS sigma, {O.sig('sigma / sqrt(sxx)')} AS se_slope,
-       {O.sig('slope / (sigma / sqrt(sxx))')} AS t_slope, {O.sig('x_mean')} AS x_mean,
-       {O.sig('sxx')} AS sxx
+SELECT series, n, {O.sig('intercept', 8)} AS intercept, {O.sig('slope', 8)} AS slope, {O.sig('r2', 8)} AS r2,
+       {O.sig('sigma', 8)} AS sigma, {O.sig('sigma / sqrt(sxx)', 8)} AS se_slope,
+       {O.sig('slope / (sigma / sqrt(sxx))', 8)} AS t_slope, {O.sig('x_mean', 8)} AS x_mean,
+       {O.sig('sxx', 8)} AS sxx
 FROM lm2""", _MONTHLY_SQL + "," + _LM_SQL))
 def q_trend_lm(spark, sf_dir):
-    return rnd(ts.linear_trend(_monthly(spark, sf_dir)), default="sig")
+    return rnd(ts.linear_trend(_monthly(spark, sf_dir)), default="sig8")
 
 
 @register("q_trend_fit", O.with_prefix(f"""
 SELECT ms.series, Date, round(TotalSales, 2) AS TotalSales,
-       {O.sig(f'intercept + slope * {_XF}')} AS fitted,
-       {O.sig(f'sigma * sqrt(1.0 / n + pow({_XF} - x_mean, 2) / sxx)')} AS se_fit,
+       {O.sig(f'intercept + slope * {_XF}', 8)} AS fitted,
+       {O.sig(f'sigma * sqrt(1.0 / n + pow({_XF} - x_mean, 2) / sxx)', 8)} AS se_fit,
        n - 2 AS df
 FROM ms JOIN lm2 ON ms.series = lm2.series""", _MONTHLY_SQL + "," + _LM_SQL))
 def q_trend_fit(spark, sf_dir):
-    return rnd(ts.trend_fit(_monthly(spark, sf_dir)), {"TotalSales": 2}, default="sig")
+    return rnd(ts.trend_fit(_monthly(spark, sf_dir)), {"TotalSales": 2}, default="sig8")
 
 
 @register("q_trend_band")
 def q_trend_band(spark, sf_dir):
     """M17 with the t quantile (pandas UDF on the per-month rows): rows-only."""
-    return rnd(ts.trend_band(_monthly(spark, sf_dir)), {"TotalSales": 2}, default="sig")
+    return rnd(ts.trend_band(_monthly(spark, sf_dir)), {"TotalSales": 2}, default="sig8")
 
 
 # --- histograms and box statistics (A30, A31, X4) ----------------------------
@@ -582,12 +584,13 @@ def _scaled_split(spark, sf_dir):
 
 @register("q_scaled_train_test", O.with_prefix("""
 SELECT Invoice, StockCode, Quantity, Price, CustomerID, stratum, is_train,
-       round(TotalSales_Z, 9) AS TotalSales_Z, round(TotalSales_MinMax, 9) AS TotalSales_MinMax
+       round(TotalSales_Z, 6) AS TotalSales_Z, round(TotalSales_MinMax, 9) AS TotalSales_MinMax
 FROM sps""", _SPLIT_SQL))
 def q_scaled_train_test(spark, sf_dir):
     s = _scaled_split(spark, sf_dir)
     return rnd(s.select("Invoice", "StockCode", "Quantity", "Price", "CustomerID", "stratum",
-                        "is_train", "TotalSales_Z", "TotalSales_MinMax"), default=9)
+                        "is_train", "TotalSales_Z", "TotalSales_MinMax"),
+               {"TotalSales_Z": 6}, default=9)
 
 
 def _ols_sql(target: str) -> str:
@@ -738,17 +741,17 @@ register("q_customer_features_no_outliers", _feat_sql("noout", True))(_feat("noo
 
 @register("q_customer_features_scaled", O.with_prefix(f"""
 SELECT CustomerID,
-  round((TotalSales - avg(TotalSales) OVER ()) / stddev_samp(TotalSales) OVER (), 9) AS TotalSales_z,
-  round((AverageOrderSize - avg(AverageOrderSize) OVER ()) / stddev_samp(AverageOrderSize) OVER (), 9)
+  round((TotalSales - avg(TotalSales) OVER ()) / stddev_samp(TotalSales) OVER (), 6) AS TotalSales_z,
+  round((AverageOrderSize - avg(AverageOrderSize) OVER ()) / stddev_samp(AverageOrderSize) OVER (), 6)
     AS AverageOrderSize_z,
   round((PurchaseFrequency - avg(PurchaseFrequency) OVER ())
-        / stddev_samp(PurchaseFrequency) OVER (), 9) AS PurchaseFrequency_z
+        / stddev_samp(PurchaseFrequency) OVER (), 6) AS PurchaseFrequency_z
 FROM (SELECT CustomerID, {_MONEY} AS TotalSales, {_MONEY} AS AverageOrderSize,
              count(*) AS PurchaseFrequency FROM pos GROUP BY CustomerID) f"""))
 def q_customer_features_scaled(spark, sf_dir):
     f = cust.customer_features(pops(spark, sf_dir).pos)
     z = cust.zscale(f, cust.FEATURES)
-    return rnd(z.select("CustomerID", *[f"{x}_z" for x in cust.FEATURES]), default=9)
+    return rnd(z.select("CustomerID", *[f"{x}_z" for x in cust.FEATURES]), default=6)
 
 
 # --- forecast and its accuracy (M14, M15, W7) --------------------------------
@@ -811,21 +814,21 @@ fc AS (SELECT series, model, h, CAST(dl + to_months(CAST(h AS INTEGER)) AS DATE)
 
 
 @register("q_forecast_monthly", O.with_prefix(f"""
-SELECT series, model, CAST(h AS INTEGER) AS h, Date, {O.sig('point', 9)} AS forecast,
-       {O.sig('se', 9)} AS se,
-       {O.sig(f'point - {ts.Z80} * se', 9)} AS lo80, {O.sig(f'point + {ts.Z80} * se', 9)} AS hi80,
-       {O.sig(f'point - {ts.Z95} * se', 9)} AS lo95, {O.sig(f'point + {ts.Z95} * se', 9)} AS hi95
+SELECT series, model, CAST(h AS INTEGER) AS h, Date, {O.sig('point', 8)} AS forecast,
+       {O.sig('se', 8)} AS se,
+       {O.sig(f'point - {ts.Z80} * se', 8)} AS lo80, {O.sig(f'point + {ts.Z80} * se', 8)} AS hi80,
+       {O.sig(f'point - {ts.Z95} * se', 8)} AS lo95, {O.sig(f'point + {ts.Z95} * se', 8)} AS hi95
 FROM fc""", _FC_SQL))
 def q_forecast_monthly(spark, sf_dir):
-    return rnd(ts.forecast(_monthly(spark, sf_dir)), default="sig9")
+    return rnd(ts.forecast(_monthly(spark, sf_dir)), default="sig8")
 
 
 @register("q_forecast_rmse", O.with_prefix(f"""
-SELECT series, model, p, m, {O.sig('sse', 9)} AS sse, {O.sig('sigma', 9)} AS sigma,
-       {O.sig('aicc', 9)} AS aicc, {O.sig('rmse', 9)} AS rmse, r_ = 1 AS chosen
+SELECT series, model, p, m, {O.sig('sse', 8)} AS sse, {O.sig('sigma', 8)} AS sigma,
+       {O.sig('aicc', 8)} AS aicc, {O.sig('rmse', 8)} AS rmse, r_ = 1 AS chosen
 FROM fitr""", _FC_SQL))
 def q_forecast_rmse(spark, sf_dir):
-    return rnd(ts.forecast_accuracy(_monthly(spark, sf_dir)), default="sig9")
+    return rnd(ts.forecast_accuracy(_monthly(spark, sf_dir)), default="sig8")
 
 
 # --- segmentation (M21-M26): random starts, so checked by invariants ---------

@@ -85,7 +85,8 @@ def with_prefix(body: str, extra_ctes: str = "") -> str:
 
 
 def kpi_sql(pop: str, sales: str = "TotalSales", qty: str = "Quantity",
-            rs: tuple[int, int, int] = (4, 4, 3), rq: tuple[int, int, int] = (6, 6, 6)) -> str:
+            rs: tuple[int, int, int] = (4, 4, 3), rq: tuple[int, int, int] = (6, 6, 6),
+            exact: bool = True) -> str:
     """Overall + per-region key figures of one population (grouping sets).
     ``rs`` / ``rq``: decimals for mean, median, sd of sales / quantity."""
     return with_prefix(f"""
@@ -94,10 +95,10 @@ SELECT CASE WHEN GROUPING(Region) = 1 THEN 'Overall' ELSE Region END AS Region,
   CAST(count(DISTINCT CASE WHEN CustomerID IS NULL THEN Invoice END)
        + coalesce(max(CAST(CustomerID IS NULL AND Invoice IS NULL AS INTEGER)), 0) AS BIGINT)
        AS Guest_Customers,
-  round(avg({sales}), {rs[0]}) AS Mean_Total_Sales,
+  {exact_mean(sales, rs[0], 2) if exact else f"round(avg({sales}), {rs[0]})"} AS Mean_Total_Sales,
   round(median({sales}), {rs[1]}) AS Median_Total_Sales,
   round(stddev_samp({sales}), {rs[2]}) AS SD_Total_Sales,
-  round(avg({qty}), {rq[0]}) AS Mean_Quantity,
+  {exact_mean(qty, rq[0], 6) if exact else f"round(avg({qty}), {rq[0]})"} AS Mean_Quantity,
   round(median({qty}), {rq[1]}) AS Median_Quantity,
   round(stddev_samp({qty}), {rq[2]}) AS SD_Quantity,
   CAST(count(DISTINCT Invoice) + coalesce(max(CAST(Invoice IS NULL AS INTEGER)), 0) AS BIGINT)
@@ -113,3 +114,14 @@ def sig(expr: str, digits: int = 10) -> str:
     up, down = f"pow(10.0, -{e})", f"pow(10.0, {e})"
     return (f"(CASE WHEN ({expr}) = 0 THEN 0.0 WHEN {e} < 0 THEN round(({expr}) * {up}) / {up} "
             f"ELSE round(({expr}) / {down}) * {down} END)")
+
+
+def exact_mean(expr: str, decimals: int, scale: int) -> str:
+    """SQL twin of ``kpi.exact_mean``: mean of ``expr`` at ``scale`` decimals,
+    rounded half away from zero to ``decimals`` with 128-bit integers
+    (DuckDB turns decimal division into a double)."""
+    s_int = f"CAST(sum(CAST({expr} AS DECIMAL(38,{scale}))) * {10 ** scale} AS HUGEINT)"
+    n = f"count({expr})"
+    num = f"(abs({s_int}) * {2 * 10 ** (decimals - scale)} + {n})"
+    return (f"(CASE WHEN {n} = 0 THEN NULL ELSE CAST(sign({s_int}) * ({num} // (2 * {n})) "
+            f"AS DOUBLE) / {float(10 ** decimals)} END)")

@@ -153,3 +153,13 @@ def test_multi_region_first_appearance(spark):
     sc = clean.clean_lines(raw(spark, rows))
     out = {r["CustomerID"]: r["Regions"] for r in customers.multi_region_customers(sc).collect()}
     assert out == {5: "NA/LATAM, APAC, EU"}
+
+
+def test_j3_lookup_join_equals_case_chain(spark):
+    from tillroll.functions.columns import add_region_by_lookup, region_lookup_table
+
+    df = spark.createDataFrame([("Lithuania",), ("Israel",), (None,), ("Atlantis",), ("USA",),
+                                ("Nigeria",), ("EIRE",)], "Country string")
+    a = {r[0]: r[1] for r in df.select("Country", region_of("Country").alias("R")).collect()}
+    b = {r[0]: r[1] for r in add_region_by_lookup(df, region_lookup_table(spark)).collect()}
+    assert a == b

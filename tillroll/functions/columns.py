@@ -89,3 +89,29 @@ def any_null(cols: list[str]) -> Column:
 def null_safe_keys(left, right, keys: list[str]) -> Column:
     """Join condition with null == null on every key (like R's %in% / duplicated)."""
     return reduce(lambda a, b: a & b, [left[f"`{k}`"].eqNullSafe(right[f"`{k}`"]) for k in keys])
+
+
+def region_lookup_table(spark, mapping=config.REGION_COUNTRIES):
+    """Country -> region as a table (first list wins for a repeated country)."""
+    seen: dict[str, str] = {}
+    for label, countries in mapping:
+        for ctry in countries:
+            seen.setdefault(ctry, label)
+    return spark.createDataFrame(sorted(seen.items()), "Country string, Region string")
+
+
+LOOKUP_BROADCAST_ROWS = 100_000
+
+
+def add_region_by_lookup(df, lookup, default: str = config.DEFAULT_REGION,
+                         country: str = "Country", out: str = "Region"):
+    """J3 for data-driven maps: left join on the country, unknown -> default.
+
+    The lookup side is broadcast only after its row count is checked;
+    beyond the bound it is an ordinary (shuffle) join."""
+    n = lookup.count()
+    side = F.broadcast(lookup) if n <= LOOKUP_BROADCAST_ROWS else lookup
+    side = side.select(F.col("Country").alias("_lk_country"), F.col("Region").alias("_lk_region"))
+    return (df.join(side, F.col(country) == F.col("_lk_country"), "left")
+            .withColumn(out, F.coalesce(F.col("_lk_region"), F.lit(default)))
+            .drop("_lk_country", "_lk_region"))

@@ -605,19 +605,19 @@ f_ AS (SELECT n AS n_train, my - b1 * m1 - b2 * m2 AS intercept, b1, b2 FROM b_)
 e_ AS (SELECT sqrt(avg(pow(intercept + b1 * Quantity + b2 * Price - {target}, 2))) AS rmse,
               count(*) AS n_test FROM sps, f_ WHERE NOT is_train)"""
     return O.with_prefix(f"""
-SELECT n_train, {O.sig('intercept')} AS intercept, {O.sig('b1')} AS b_Quantity,
-       {O.sig('b2')} AS b_Price, {O.sig('rmse')} AS rmse, n_test FROM f_, e_""",
+SELECT n_train, {O.sig('intercept', 8)} AS intercept, {O.sig('b1', 8)} AS b_Quantity,
+       {O.sig('b2', 8)} AS b_Price, {O.sig('rmse', 8)} AS rmse, n_test FROM f_, e_""",
                          _SPLIT_SQL + "," + fit)
 
 
 @register("q_ols_rmse_z", _ols_sql("TotalSales_Z"))
 def q_ols_rmse_z(spark, sf_dir):
-    return rnd(inf.holdout_rmse(_scaled_split(spark, sf_dir), "TotalSales_Z"), default="sig")
+    return rnd(inf.holdout_rmse(_scaled_split(spark, sf_dir), "TotalSales_Z"), default="sig8")
 
 
 @register("q_ols_rmse_minmax", _ols_sql("TotalSales_MinMax"))
 def q_ols_rmse_minmax(spark, sf_dir):
-    return rnd(inf.holdout_rmse(_scaled_split(spark, sf_dir), "TotalSales_MinMax"), default="sig")
+    return rnd(inf.holdout_rmse(_scaled_split(spark, sf_dir), "TotalSales_MinMax"), default="sig8")
 
 
 # --- ANOVA and Tukey (M11-M13, J4) -------------------------------------------
@@ -630,10 +630,10 @@ at_ AS (SELECT sum(n) AS n_total, count(*) AS k, sum(n * mean) / sum(n) AS grand
 as_ AS (SELECT k - 1 AS dfb, n_total - k AS dfw, sum(n * pow(mean - grand, 2)) AS ssb,
                sum(coalesce((n - 1) * var, 0)) AS ssw FROM ag, at_ GROUP BY k, n_total)"""
     return O.with_prefix(f"""
-SELECT 'group' AS term, CAST(dfb AS BIGINT) AS Df, {O.sig('ssb')} AS Sum_Sq,
-       {O.sig('ssb / dfb')} AS Mean_Sq, {O.sig('(ssb / dfb) / (ssw / dfw)')} AS F_value FROM as_
+SELECT 'group' AS term, CAST(dfb AS BIGINT) AS Df, {O.sig('ssb', 8)} AS Sum_Sq,
+       {O.sig('ssb / dfb', 8)} AS Mean_Sq, {O.sig('(ssb / dfb) / (ssw / dfw)', 8)} AS F_value FROM as_
 UNION ALL
-SELECT 'Residuals', CAST(dfw AS BIGINT), {O.sig('ssw')}, {O.sig('ssw / dfw')}, NULL FROM as_""",
+SELECT 'Residuals', CAST(dfw AS BIGINT), {O.sig('ssw', 8)}, {O.sig('ssw / dfw', 8)}, NULL FROM as_""",
                          ctes)
 
 
@@ -654,7 +654,7 @@ def _anova_q(pop: str, scaled: bool):
             df = cust.zscale(df, ["TotalSales"], "_scaled")
         else:
             y = ln_pos("TotalSales")
-        return rnd(inf.anova_oneway(df, y), default="sig")
+        return rnd(inf.anova_oneway(df, y), default="sig8")
     return fn
 
 
@@ -677,7 +677,7 @@ def q_anova_pvalues(spark, sf_dir):
                         ("log_bulk", p.pos, ln_pos("TotalSales"))]:
         parts.append(inf.anova_oneway(df, y, with_pvalue=True).withColumn("test", F.lit(name)))
     out = parts[0].unionByName(parts[1])
-    return rnd(out, default="sig")
+    return rnd(out, default="sig8")
 
 
 def _tukey_sql(pop: str) -> str:

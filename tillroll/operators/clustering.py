@@ -206,8 +206,9 @@ def segment(features: DataFrame, k: int = config.KMEANS_K, starts: int = config.
         out = pca.transform(lab).withColumn("_pca", vector_to_array("_pc"))
         out = out.select(*features.columns, "Cluster",
                          *[F.col("_pca")[i].alias(f"PC{i + 1}") for i in range(pca_k)])
-        out = out.persist()
-        out.count()
+        # small result (one row per customer): written to the shared
+        # checkpoint folder so it outlives the cached vectors
+        out = out.checkpoint()
     finally:
         vecs.unpersist()
     return out, cost

@@ -858,8 +858,6 @@ def q_elbow(spark, sf_dir):
     vecs.count()
     try:
         out = clus.elbow(vecs)
-        out = out.persist()
-        out.count()
     finally:
         vecs.unpersist()
     return rnd(out, default="sig")
@@ -891,3 +889,19 @@ def q_csv_roundtrip(spark, sf_dir):
                  F.sum(F.col("CustomerID").isNull().cast("long")).alias("null_customer"),
                  F.sum(F.col("InvoiceDate").isNull().cast("long")).alias("null_date"),
                  F.round(F.sum("Quantity"), 2).alias("total_quantity")))
+
+
+# --- min-max scaling over all clean lines (M5, M6, W8) -----------------------
+@register("q_scaled_lines", O.with_prefix("""
+SELECT Invoice, StockCode, Quantity, Price, CustomerID,
+       round((Quantity - qmin_) / NULLIF(qmax_ - qmin_, 0), 9) AS Quantity_MinMax,
+       round((Price - pmin_) / NULLIF(pmax_ - pmin_, 0), 9) AS Price_MinMax,
+       round((TotalSales - smin_) / NULLIF(smax_ - smin_, 0), 9) AS TotalSales_MinMax
+FROM sc, (SELECT min(Quantity) AS qmin_, max(Quantity) AS qmax_, min(Price) AS pmin_,
+                 max(Price) AS pmax_, min(TotalSales) AS smin_, max(TotalSales) AS smax_
+          FROM sc) m_"""))
+def q_scaled_lines(spark, sf_dir):
+    """SC with min-max Quantity, Price and TotalSales (statistics over all lines)."""
+    df = clean.scaled_all(pops(spark, sf_dir).sc)
+    return rnd(df.select("Invoice", "StockCode", "Quantity", "Price", "CustomerID",
+                         "Quantity_MinMax", "Price_MinMax", "TotalSales_MinMax"), default=9)

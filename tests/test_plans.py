@@ -39,3 +39,17 @@ def test_series_windows_are_partitioned(spark):
     p = plan(timeseries.decompose(timeseries.with_position(two, "InvoiceDate"), "TotalSales"))
     wins = [ln for ln in p.splitlines() if "Window [" in ln]
     assert wins and all("windowspecdefinition(series" in ln for ln in wins)
+
+
+def test_group_stats_join_back_is_broadcast(spark):
+    """A hot series (here: every row in one of two series) must not be joined
+    back to its statistics through a shuffle on the series key."""
+    from pyspark.sql import functions as F
+
+    from tillroll.operators import distribution
+
+    P = pops(spark, SF_SMALL)
+    long = P.sc.select(F.when(F.col("Quantity") > 0, "hot").otherwise("cold").alias("series"),
+                       F.col("Quantity").cast("double").alias("x"))
+    p = plan(distribution.box_stats(long, F.col("x"), by=["series"]))
+    assert "BroadcastHashJoin" in p

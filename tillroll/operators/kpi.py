@@ -133,7 +133,9 @@ def metrics_with_without_outliers(sc: DataFrame, sc_z: DataFrame,
     """A26 + J2: mean / sd of Quantity on all lines and on lines whose
     Quantity value is not among the outliers' values (a null-safe anti join
     on a distinct value list; never ``NOT IN``)."""
-    out_values = sc_z.where(F.abs("z_score") > k).select("Quantity").distinct()
+    from tillroll.session import checked_broadcast
+
+    out_values = checked_broadcast(sc_z.where(F.abs("z_score") > k).select("Quantity").distinct())
     kept = sc.join(out_values, sc["Quantity"].eqNullSafe(out_values["Quantity"]), "left_anti")
     def m(df):
         return df.agg(exact_mean(F.col("Quantity"), 6, mean_decimals).alias("mean_quantity"),

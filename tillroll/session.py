@@ -96,3 +96,16 @@ def materialize(df, name: str = "table"):
     path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+BROADCAST_MAX_ROWS = 200_000
+
+
+def checked_broadcast(df, max_rows: int = BROADCAST_MAX_ROWS):
+    """Broadcast ``df`` only if it has at most ``max_rows`` rows (one small
+    counting job); otherwise return it unchanged for a shuffle join, where
+    AQE's skew-join splitting applies.  Used for per-group statistics joined
+    back onto line data, so a hot group never funnels into one join task."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -163,3 +163,10 @@ def test_j3_lookup_join_equals_case_chain(spark):
     a = {r[0]: r[1] for r in df.select("Country", region_of("Country").alias("R")).collect()}
     b = {r[0]: r[1] for r in add_region_by_lookup(df, region_lookup_table(spark)).collect()}
     assert a == b
+
+
+def test_a30_histogram_fill_empty(spark):
+    df = spark.createDataFrame([(120.0,), (480.0,), (510.0,)], "x double")
+    got = sorted((r["bin"], r["count"]) for r in
+                 distribution.histogram(df, F.col("x"), 100.0, fill_empty=True).collect())
+    assert got == [(1, 1), (2, 0), (3, 0), (4, 0), (5, 2)]

@@ -9,14 +9,16 @@ from tillroll.operators.order_stats import exact_quantiles
 from tillroll.session import checked_broadcast
 
 
-def histogram(df: DataFrame, value: F.Column, width: float, by: list[str] | None = None) -> DataFrame:
+def histogram(df: DataFrame, value: F.Column, width: float, by: list[str] | None = None,
+              fill_empty: bool = False) -> DataFrame:
     """Fixed-width bins centred on multiples of ``width``, right-closed
     ((k - 1/2) w, (k + 1/2) w]; the lowest value sitting exactly on a lower
     edge joins the first bin (include-lowest).  Null values are dropped.
 
-    Output: [by...,] bin (long k), center (k * w), count.  Only non-empty
-    bins are returned: the number of empty bins grows with the value range,
-    not with the data, so filling them is left to the display layer.
+    Output: [by...,] bin (long k), center (k * w), count.  By default only
+    non-empty bins are returned; ``fill_empty=True`` adds the empty bins
+    between the first and last one (a ``sequence`` per group -- its length
+    follows the value range / width, not the number of rows).
     """
     by = by or []
     x = value.alias("_x")
@@ -28,8 +30,13 @@ def histogram(df: DataFrame, value: F.Column, width: float, by: list[str] | None
     t = F.col("_x") / F.lit(width) - F.lit(0.5)
     k = F.ceil(t)
     k = F.when((F.col("_x") == F.col("_min")) & (k == t), k + 1).otherwise(k).cast("long")
-    return (d.groupBy(*by, k.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-            .withColumn("center", F.col("bin") * F.lit(width))
+    counts = d.groupBy(*by, k.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    if fill_empty:
+        span = counts.groupBy(*by).agg(F.min("bin").alias("_lo"), F.max("bin").alias("_hi"))
+        bins = span.select(*by, F.explode(F.sequence("_lo", "_hi")).alias("bin"))
+        counts = (bins.join(counts, [*by, "bin"], "left")
+                  .withColumn("count", F.coalesce(F.col("count"), F.lit(0).cast("long"))))
+    return (counts.withColumn("center", F.col("bin") * F.lit(width))
             .select(*by, "bin", "center", "count"))
 
 

@@ -19,3 +19,11 @@ def test_publish_roundtrip(spark):
     assert lines.count() == P.sc.count()
     plan = lines.where("Year = 1996")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(Year" in plan
+
+
+def test_materialize_and_cleanup(spark):
+    from tillroll.session import cleanup_tables, materialize
+
+    t = materialize(spark.range(10), "probe")
+    assert t.count() == 10
+    assert cleanup_tables(spark) is True

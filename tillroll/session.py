@@ -109,3 +109,18 @@ def checked_broadcast(df, max_rows: int = BROADCAST_MAX_ROWS):
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def cleanup_tables(spark: SparkSession) -> bool:
+    """Delete the intermediate tables written by :func:`materialize` (and the
+    CSV round-trip files) under ``<checkpoint dir>/tables``.  Call it when a
+    reporting job is finished -- DataFrames read from those tables become
+    unusable afterwards.  Uses the Hadoop FileSystem API, so it works the same
+    on HDFS, object stores and local disk."""
+    base = spark.sparkContext.getCheckpointDir()
+    if not base:
+        return False
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(base.rstrip("/") + "/tables")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return bool(fs.delete(path, True)) if fs.exists(path) else False

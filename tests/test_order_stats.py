@@ -42,3 +42,13 @@ def test_global_quantiles(spark, data):
     got = exact_quantiles(data, [], "x", [0.5]).first()["q"]
     exp = data.agg(F.median("x")).first()[0]
     assert got == pytest.approx(exp, rel=1e-12)
+
+
+def test_null_group_kept(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0), ("a", 7.0), ("a", 9.0)],
+                               "g string, x double")
+    got = {r["g"]: r["q"] for r in exact_quantiles(df, ["g"], "x", [0.5]).collect()}
+    assert got == {None: 2.0, "a": 7.0}
+    forced = {r["g"]: r["q"] for r in
+              exact_quantiles(df, ["g"], "x", [0.5], buckets=2, final_limit=1).collect()}
+    assert forced == got

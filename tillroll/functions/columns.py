@@ -115,3 +115,16 @@ def add_region_by_lookup(df, lookup, default: str = config.DEFAULT_REGION,
     return (df.join(side, F.col(country) == F.col("_lk_country"), "left")
             .withColumn(out, F.coalesce(F.col("_lk_region"), F.lit(default)))
             .drop("_lk_country", "_lk_region"))
+
+
+def join_null_safe(left, right, keys: list[str], how: str = "inner"):
+    """Join on ``keys`` treating null == null (grouping semantics), keeping
+    one copy of each key column.  Spark plans ``<=>`` keys as an ordinary
+    hash / sort-merge / broadcast equi-join."""
+    if not keys:
+        return left.crossJoin(right)
+    r = right.select(*[F.col(f"`{c_}`").alias(f"_r_{c_}") if c_ in keys else F.col(f"`{c_}`")
+                       for c_ in right.columns])
+    cond = reduce(lambda a, b: a & b,
+                  [F.col(f"`{k}`").eqNullSafe(F.col(f"`_r_{k}`")) for k in keys])
+    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])

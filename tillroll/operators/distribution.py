@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.functions.columns import join_null_safe
 from tillroll.operators.order_stats import exact_quantiles
 from tillroll.session import checked_broadcast
 
@@ -25,7 +26,8 @@ def histogram(df: DataFrame, value: F.Column, width: float, by: list[str] | None
     d = df.select(*by, x).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
     # one row per group, broadcast behind a row-count check (a hot group
     # must not funnel into one join task)
-    d = (d.join(checked_broadcast(d.groupBy(*by).agg(F.min("_x").alias("_min"))), by) if by
+    d = (join_null_safe(d, checked_broadcast(d.groupBy(*by).agg(F.min("_x").alias("_min"))), by)
+         if by
          else d.crossJoin(F.broadcast(d.agg(F.min("_x").alias("_min")))))
     t = F.col("_x") / F.lit(width) - F.lit(0.5)
     k = F.ceil(t)
@@ -56,7 +58,7 @@ def box_stats(df: DataFrame, value: F.Column, by: list[str] | None = None,
     qs = qs.withColumn("iqr", F.col("q3") - F.col("q1")) \
            .withColumn("lower_fence", F.col("q1") - coef * F.col("iqr")) \
            .withColumn("upper_fence", F.col("q3") + coef * F.col("iqr"))
-    j = d.join(checked_broadcast(qs), by) if by else d.crossJoin(F.broadcast(qs))
+    j = join_null_safe(d, checked_broadcast(qs), by) if by else d.crossJoin(F.broadcast(qs))
     inside = (F.col("_x") >= F.col("lower_fence")) & (F.col("_x") <= F.col("upper_fence"))
     agg = j.groupBy(*by, "q1", "median", "q3", "iqr", "lower_fence", "upper_fence").agg(
         F.count(F.lit(1)).alias("n"),

@@ -28,6 +28,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillroll.functions.columns import join_null_safe
 from tillroll.session import ensure_checkpoint_dir
 
 BUCKETS = 1 << 12
@@ -76,7 +77,7 @@ def order_statistics(data: DataFrame, keys: Sequence[str], value: str,
         if synthetic:
             tgt = tgt.withColumn("_g", F.lit(0)) if "_g" not in tgt.columns else tgt
         tgt = tgt.select(*kq, "tid", F.col("rank").cast("long").alias("_res"))
-        state = (tgt.join(stats, keys)
+        state = (join_null_safe(tgt, stats, keys)
                  .where((F.col("_res") >= 0) & (F.col("_res") < F.col("_n")))
                  .withColumn("_status",
                              F.when((F.col("_lo") == F.col("_hi")) | (F.col("_res") == 0)
@@ -99,7 +100,7 @@ def order_statistics(data: DataFrame, keys: Sequence[str], value: str,
             open_ = state.where(F.col("_status") == "open")
             ranges = _maybe_broadcast(open_.select(*kq, "_lo", "_hi").distinct(), n_open)
             width = (F.col("_hi") - F.col("_lo")).cast("double")
-            hist = (d.join(ranges, keys)
+            hist = (join_null_safe(d, ranges, keys)
                     .where(F.col("_x").between(F.col("_lo"), F.col("_hi")))
                     .withColumn("_b", F.least(
                         F.floor((F.col("_x") - F.col("_lo")).cast("double") / width * buckets),
@@ -109,7 +110,7 @@ def order_statistics(data: DataFrame, keys: Sequence[str], value: str,
                          F.max("_x").alias("_bmax")))
             w = (Window.partitionBy(*kq, "tid").orderBy("_b")
                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-            picked = (open_.join(hist, [*keys, "_lo", "_hi"])
+            picked = (join_null_safe(open_, hist, [*keys, "_lo", "_hi"])
                       .withColumn("_cum", F.sum("_c").over(w))
                       .withColumn("_before", F.col("_cum") - F.col("_c"))
                       .where((F.col("_before") <= F.col("_res")) & (F.col("_res") < F.col("_cum")))
@@ -131,7 +132,7 @@ def order_statistics(data: DataFrame, keys: Sequence[str], value: str,
                 state.where(F.col("_status") == "final")
                 .select(*kq, "tid", "_n", "_res", "_lo", "_hi"), n_final)
             w2 = Window.partitionBy(*kq, "tid").orderBy("_x")
-            exact = (d.join(fin, keys)
+            exact = (join_null_safe(d, fin, keys)
                      .where(F.col("_x").between(F.col("_lo"), F.col("_hi")))
                      .withColumn("_rn", F.row_number().over(w2) - 1)
                      .where(F.col("_rn") == F.col("_res"))

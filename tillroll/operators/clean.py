@@ -188,6 +188,14 @@ class Populations:
     def sc_z(self) -> DataFrame:
         return with_zscore(self._sc)
 
+    @property
+    def out(self) -> DataFrame:
+        return outliers(self.sc_z)
+
+    @property
+    def bulk(self) -> DataFrame:
+        return bulk_lines(self.sc_z)
+
     @property
     def noout(self) -> DataFrame:
         return no_outliers(self._sc)

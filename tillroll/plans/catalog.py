@@ -275,8 +275,8 @@ register("q_impact_low", _impact_sql("noout_pos", "nolow", "With_Low_Orders",
 
 
 @register("q_negative_share", O.with_prefix("""
-SELECT round(100.0 * (SELECT count(*) FROM neg) / (SELECT count(*) FROM sc), 9)
-       AS percentage_negative"""))
+SELECT round(CAST((SELECT count(*) FROM neg) AS DOUBLE)
+             / CAST((SELECT count(*) FROM sc) AS DOUBLE) * 100, 9) AS percentage_negative"""))
 def q_negative_share(spark, sf_dir):
     p = pops(spark, sf_dir)
     return rnd(kpi.share_percent(p.neg, p.sc, "percentage_negative"), default=9)

@@ -39,10 +39,13 @@ def daily_sign_trend(df: DataFrame) -> DataFrame:
                  F.sum(F.when(ts < 0, _money(ts))).cast("double").alias("NegativeSales")))
 
 
-def monthly_sales(df: DataFrame, series: str) -> DataFrame:
+def monthly_sales(df: DataFrame, series: str | None = None, by: str | None = None) -> DataFrame:
     """TotalSales per month, with position ``t`` (1..n)
-    inside the series: ``series, Date, t, TotalSales``."""
-    m = (df.select(F.lit(series).alias("series"),
+    inside the series: ``series, Date, t, TotalSales``.  One series labelled
+    ``series``, or one series per value of the column ``by`` (many series in
+    one job)."""
+    key = F.col(by).cast("string") if by else F.lit(series)
+    m = (df.select(key.alias("series"),
                    F.trunc(F.to_date("InvoiceDate"), "month").alias("Date"), "TotalSales")
          .groupBy("series", "Date")
          .agg(F.sum(_money(F.col("TotalSales"))).cast("double").alias("TotalSales")))

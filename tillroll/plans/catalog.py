@@ -756,7 +756,14 @@ def q_customer_features_scaled(spark, sf_dir):
 
 # --- forecast and its accuracy (M14, M15, W7) --------------------------------
 _SEASON = config.MONTHLY_PERIOD
-_FC_SQL = _MONTHLY_SQL + f""",
+
+
+def _fc_sql(monthly_sql: str) -> str:
+    """Forecast CTEs over a monthly CTE ``ms(series, Date, t, TotalSales)``."""
+    return monthly_sql + _FC_BODY
+
+
+_FC_BODY = f""",
 fl AS (SELECT series, t, Date, TotalSales AS y, lag(TotalSales, 1) OVER w AS y1,
               lag(TotalSales, {_SEASON}) OVER w AS ys,
               TotalSales - lag(TotalSales, 1) OVER w AS d
@@ -811,6 +818,7 @@ fc AS (SELECT series, model, h, CAST(dl + to_months(CAST(h AS INTEGER)) AS DATE)
                                     ELSE (1 - pow(ar_b, 2 * h)) / (1 - pow(ar_b, 2)) END)
               WHEN 'ar1_diff' THEN cum_s2 ELSE floor((h - 1) / {_SEASON}) + 1 END) AS se
        FROM hz3)"""
+_FC_SQL = _fc_sql(_MONTHLY_SQL)
 
 
 @register("q_forecast_monthly", O.with_prefix(f"""
@@ -905,3 +913,25 @@ def q_scaled_lines(spark, sf_dir):
     df = clean.scaled_all(pops(spark, sf_dir).sc)
     return rnd(df.select("Invoice", "StockCode", "Quantity", "Price", "CustomerID",
                          "Quantity_MinMax", "Price_MinMax", "TotalSales_MinMax"), default=9)
+
+
+# --- many series in one job: monthly forecast per region (M14 at scale) -----
+_MONTHLY_BY_REGION_SQL = f"""
+mo AS (SELECT Region AS series, CAST(date_trunc('month', InvoiceDate) AS DATE) AS Date,
+              {_MONEY} AS TotalSales FROM pos GROUP BY 1, 2),
+ms AS (SELECT series, Date,
+              CAST(row_number() OVER (PARTITION BY series ORDER BY Date) AS INTEGER) AS t,
+              TotalSales FROM mo)"""
+
+
+@register("q_forecast_by_region", O.with_prefix(f"""
+SELECT series, model, CAST(h AS INTEGER) AS h, Date, {O.sig('point', 8)} AS forecast,
+       {O.sig('se', 8)} AS se,
+       {O.sig(f'point - {ts.Z80} * se', 8)} AS lo80, {O.sig(f'point + {ts.Z80} * se', 8)} AS hi80,
+       {O.sig(f'point - {ts.Z95} * se', 8)} AS lo95, {O.sig(f'point + {ts.Z95} * se', 8)} AS hi95
+FROM fc""", _fc_sql(_MONTHLY_BY_REGION_SQL)))
+def q_forecast_by_region(spark, sf_dir):
+    """One monthly series per region, all fitted and forecast in one job
+    (windows partitioned by series)."""
+    m = ts.monthly_sales(pops(spark, sf_dir).pos, by="Region")
+    return rnd(ts.forecast(m), default="sig8")

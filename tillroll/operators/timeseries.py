@@ -22,11 +22,16 @@ def _money(col: F.Column) -> F.Column:
     return col.cast("decimal(38,2)")
 
 
-def daily_sales(df: DataFrame, series: str | None = None) -> DataFrame:
-    """TotalSales summed per calendar day: ``[series,] InvoiceDate, TotalSales``."""
-    keys = [F.lit(series).alias("series")] if series else []
+def daily_sales(df: DataFrame, series: str | None = None, by: str | None = None) -> DataFrame:
+    """TotalSales summed per calendar day: ``[series,] InvoiceDate,
+    TotalSales`` -- one series labelled ``series``, one per value of column
+    ``by``, or no series column."""
+    if by:
+        keys = [F.col(by).cast("string").alias("series")]
+    else:
+        keys = [F.lit(series).alias("series")] if series else []
     d = df.select(*keys, F.to_date("InvoiceDate").alias("InvoiceDate"), "TotalSales")
-    g = d.groupBy(*(["series"] if series else []), "InvoiceDate")
+    g = d.groupBy(*(["series"] if keys else []), "InvoiceDate")
     return g.agg(F.sum(_money(F.col("TotalSales"))).cast("double").alias("TotalSales"))
 
 

@@ -412,16 +412,16 @@ def _daily_series(spark, sf_dir):
 _H = config.DAILY_PERIOD // 2
 
 
-@register("q_decompose_daily", O.with_prefix(f"""
+_DECOMP_SELECT = f"""
 SELECT tr.series, d AS InvoiceDate, CAST(t AS INTEGER) AS t, round(x, 2) AS TotalSales,
        round(trend, 6) AS trend, round(figure, 2) AS seasonal,
        round(x - trend - figure, 3) AS remainder
-FROM tr JOIN fg2 ON tr.series = fg2.series AND (tr.t - 1) % {config.DAILY_PERIOD} = fg2.pos""", f"""
-dd AS (SELECT 'clean' AS series, CAST(InvoiceDate AS DATE) AS d,
-              sum(CAST(TotalSales AS DECIMAL(38,2))) AS v FROM sc GROUP BY 2
-       UNION ALL
-       SELECT 'no_outliers', CAST(InvoiceDate AS DATE), sum(CAST(TotalSales AS DECIMAL(38,2)))
-       FROM noout GROUP BY 2),
+FROM tr JOIN fg2 ON tr.series = fg2.series AND (tr.t - 1) % {config.DAILY_PERIOD} = fg2.pos"""
+
+
+def _decomp_sql(daily_cte: str) -> str:
+    """Decomposition CTEs over ``dd(series, d, v DECIMAL)``."""
+    return O.with_prefix(_DECOMP_SELECT, daily_cte + f""",
 dt AS (SELECT series, d, CAST(v AS DOUBLE) AS x, CAST(v AS DOUBLE) AS xv,
               row_number() OVER (PARTITION BY series ORDER BY d) AS t FROM dd),
 tr AS (SELECT *, CASE WHEN count(*) OVER w = {2 * _H + 1} THEN
@@ -434,7 +434,15 @@ tr AS (SELECT *, CASE WHEN count(*) OVER w = {2 * _H + 1} THEN
                       o AS (PARTITION BY series ORDER BY t)),
 fg AS (SELECT series, (t - 1) % {config.DAILY_PERIOD} AS pos, avg(x - trend) AS f FROM tr
        GROUP BY 1, 2),
-fg2 AS (SELECT series, pos, f - avg(f) OVER (PARTITION BY series) AS figure FROM fg)"""))
+fg2 AS (SELECT series, pos, f - avg(f) OVER (PARTITION BY series) AS figure FROM fg)""")
+
+
+@register("q_decompose_daily", _decomp_sql("""
+dd AS (SELECT 'clean' AS series, CAST(InvoiceDate AS DATE) AS d,
+              sum(CAST(TotalSales AS DECIMAL(38,2))) AS v FROM sc GROUP BY 2
+       UNION ALL
+       SELECT 'no_outliers', CAST(InvoiceDate AS DATE), sum(CAST(TotalSales AS DECIMAL(38,2)))
+       FROM noout GROUP BY 2)"""))
 def q_decompose_daily(spark, sf_dir):
     d = ts.decompose(_daily_series(spark, sf_dir), "TotalSales", config.DAILY_PERIOD)
     return rnd(d.select("series", "InvoiceDate", "t", "TotalSales", "trend", "seasonal",
@@ -935,3 +943,17 @@ def q_forecast_by_region(spark, sf_dir):
     (windows partitioned by series)."""
     m = ts.monthly_sales(pops(spark, sf_dir).pos, by="Region")
     return rnd(ts.forecast(m), default="sig8")
+
+
+@register("q_decompose_by_region", _decomp_sql("""
+dd AS (SELECT Region AS series, CAST(InvoiceDate AS DATE) AS d,
+              sum(CAST(TotalSales AS DECIMAL(38,2))) AS v FROM sc GROUP BY 1, 2)"""))
+def q_decompose_by_region(spark, sf_dir):
+    """Daily decomposition of one series per region, all in one job."""
+    sc = pops(spark, sf_dir).sc
+    d = ts.with_position(ts.daily_sales(sc.withColumn("series", F.col("Region")), by="series"),
+                         "InvoiceDate")
+    dec = ts.decompose(d, "TotalSales", config.DAILY_PERIOD)
+    return rnd(dec.select("series", "InvoiceDate", "t", "TotalSales", "trend", "seasonal",
+                          "remainder"),
+               {"TotalSales": 2, "trend": 6, "seasonal": 2, "remainder": 3})

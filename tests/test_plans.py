@@ -53,3 +53,16 @@ def test_group_stats_join_back_is_broadcast(spark):
                        F.col("Quantity").cast("double").alias("x"))
     p = plan(distribution.box_stats(long, F.col("x"), by=["series"]))
     assert "BroadcastHashJoin" in p
+
+
+def test_population_filters_reach_materialised_scan(spark):
+    P = pops(spark, SF_SMALL, materialize=True)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")   # untruncated scan line
+    try:
+        p = plan(P.pos.select("TotalSales"))
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scan = [ln for ln in p.splitlines() if "PushedFilters" in ln]
+    assert scan and "GreaterThanOrEqual(TotalSales,0.0)" in scan[0] \
+        and "GreaterThanOrEqual(Quantity,0.0)" in scan[0]
+    assert "ReadSchema: struct<Quantity:double,TotalSales:double>" in scan[0]

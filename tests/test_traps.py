@@ -170,3 +170,24 @@ def test_a30_histogram_fill_empty(spark):
     got = sorted((r["bin"], r["count"]) for r in
                  distribution.histogram(df, F.col("x"), 100.0, fill_empty=True).collect())
     assert got == [(1, 1), (2, 0), (3, 0), (4, 0), (5, 2)]
+
+
+def test_exact_mean_midpoint_same_on_both_engines(spark):
+    """Means of cents can sit exactly on a rounding midpoint; both engines
+    must round the exact value half away from zero."""
+    import duckdb
+
+    from tillroll.plans.oracle import exact_mean as exact_mean_sql
+
+    vals = [0.01, 0.02, 1.03, 2.04, -0.05]          # mean 0.61 exactly
+    for sel, dec in [(vals[:2], 2), (vals, 1), ([-0.01, -0.02], 2), ([1.0, 2.0, 2.0, 2.0], 1)]:
+        df = spark.createDataFrame([(v,) for v in sel], "x double")
+        got = df.agg(kpi.exact_mean(F.col("x"), 2, dec)).first()[0]
+        con = duckdb.connect()
+        con.execute("CREATE TABLE t(x DOUBLE)")
+        con.executemany("INSERT INTO t VALUES (?)", [(v,) for v in sel])
+        exp = con.execute(f"SELECT {exact_mean_sql('x', dec, 2)} FROM t").fetchone()[0]
+        assert got == exp
+    # 0.015 -> 0.02 and -0.015 -> -0.02 (half away from zero); 1.75 -> 1.8
+    assert spark.createDataFrame([(0.01,), (0.02,)], "x double") \
+        .agg(kpi.exact_mean(F.col("x"), 2, 2)).first()[0] == 0.02

@@ -122,6 +122,12 @@ def exact_mean(expr: str, decimals: int, scale: int) -> str:
     (DuckDB turns decimal division into a double)."""
     s_int = f"CAST(sum(CAST({expr} AS DECIMAL(38,{scale}))) * {10 ** scale} AS HUGEINT)"
     n = f"count({expr})"
-    num = f"(abs({s_int}) * {2 * 10 ** (decimals - scale)} + {n})"
-    return (f"(CASE WHEN {n} = 0 THEN NULL ELSE CAST(sign({s_int}) * ({num} // (2 * {n})) "
+    # mean * 10^decimals = S * 10^(decimals - scale) / n, rounded half away from zero
+    if decimals >= scale:
+        num = f"(abs({s_int}) * {2 * 10 ** (decimals - scale)} + {n})"
+        den = f"(2 * {n})"
+    else:
+        num = f"(2 * abs({s_int}) + {n} * {10 ** (scale - decimals)})"
+        den = f"(2 * {n} * {10 ** (scale - decimals)})"
+    return (f"(CASE WHEN {n} = 0 THEN NULL ELSE CAST(sign({s_int}) * ({num} // {den}) "
             f"AS DOUBLE) / {float(10 ** decimals)} END)")

@@ -4,23 +4,76 @@ express the result."""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tillroll.llm import jaccard
+from tillroll.llm import bpe, jaccard, langid, packing, quality, secrets, substrings, tokens, topk, urls
+
+#: Folder of the public tokenizer files; by default that of the installed package.
+TOKENIZERS = os.environ.get("TILLROLL_TOKENIZERS", "")
+
+#: Rules of the url query (verdict, host, path).
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"),
+             ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def vocabulary(name: str) -> str:
+    if TOKENIZERS:
+        return os.path.join(TOKENIZERS, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(documents(spark, sf_dir))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir), words=4, num=85, den=100)
 
 
-QUERIES = {
-    "op2_ngram_jaccard": op2_ngram_jaccard,
-}
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal_digest(documents(spark, sf_dir), window=20)
+
+
+def op5_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top_k(vectors, "vec_id % 100 = 0", k=10, scale=1024)
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), limit=2048)
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_pieces(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), 4096, end_id=1)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_quality_rules, op2_ngram_jaccard, op3_language_id, op4_substring_dedup, op5_pivot_topk,
+    op6_byte_bpe, op7_url_filter, op8_token_counts, op9_secret_scan, op10_best_fit_packing)}
 
 ORACLES: dict[str, str] = {}
 
@@ -48,3 +101,53 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles,
        least(s.doc_id, coalesce(min(r.b), s.doc_id)) AS component_id
 FROM s LEFT JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, s.s
 """
+
+ORACLES["op4_substring_dedup"] = f"""
+WITH w AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
+x AS (
+  SELECT doc_id, i, array_to_string(w[i:i+19], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM w WHERE len(w) >= 20)),
+later AS (
+  SELECT doc_id, i FROM (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS r FROM x) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM later),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM w),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS k
+  FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(k, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES["op5_pivot_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM r WHERE r <= 10
+"""
+
+ORACLES["op7_url_filter"] = """
+WITH u AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+h AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                            'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(regexp_replace(rest, '^[^/?#]*', ''), '^[^?#]*') AS path
+  FROM u),
+rules AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
+                                ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) t(rhost, rpath, verdict)),
+hit AS (
+  SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule,
+         arg_max(verdict, length(rhost || rpath)) AS verdict
+  FROM h JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+  GROUP BY page_id)
+SELECT h.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM h LEFT JOIN hit USING (page_id)
+"""

@@ -9,7 +9,7 @@ from tillroll.session import materialize
 
 #: Rows of an Arrow batch: with whole texts this bounds a Python worker's memory.
 BATCH_ROWS = 1000
-#: A key list may be broadcast up to so many rows (16 bytes a key: 16 MB).
+#: A key list may be broadcast up to so many rows or list elements (16 to 40 bytes each).
 BROADCAST_KEYS = 1_000_000
 
 
@@ -28,10 +28,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, name)
 
 
-def small_side(stored_df: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
-    """Broadcast a *stored* key list if its counted rows are within the limit
-    (a count of Parquet footers); beyond it the join shuffles both sides."""
-    return F.broadcast(stored_df) if stored_df.count() <= limit else stored_df
+def small_side(stored_df: DataFrame, weight: Column | None = None,
+               limit: int = BROADCAST_KEYS) -> DataFrame:
+    """Broadcast a *stored* table if its counted rows, or the elements of its
+    rows (``weight``), are within the limit; beyond it the join shuffles both
+    sides.  The result is the same."""
+    units = F.count("*") if weight is None else F.coalesce(F.sum(weight), F.lit(0)) + F.count("*")
+    return F.broadcast(stored_df) if stored_df.agg(units.alias("n")).first()["n"] <= limit else stored_df
 
 
 def code_points(text: Column | str) -> Column:

@@ -4,7 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from tillroll.llm import components as C
-from tillroll.llm import jaccard
+from tillroll.llm import jaccard, shared
 
 
 def shingles(text, k):
@@ -88,7 +88,7 @@ def test_nulls_repeats_and_empty(docs, spark):
 def test_shuffle_path_gives_the_same(docs, monkeypatch):
     rows = corpus(4)
     want = brute(rows, 4, 85, 100)
-    monkeypatch.setattr(jaccard, "small_side", lambda df, *a: df)
+    monkeypatch.setattr(shared, "FILTER_BITS", 6)                 # a filter that is soon full
     monkeypatch.setattr(jaccard, "BLOCK_GRAMS", 200)
     assert found(docs(*rows), 4, 85, 100) == want
 

@@ -50,7 +50,6 @@ def test_equals_brute_force(docs, monkeypatch):
     for seed in (1, 2):
         rows = corpus(seed)
         assert found(docs(*rows), 20) == brute(rows, 20)
-    monkeypatch.setattr(S, "small_side", lambda df, *a: df)
     monkeypatch.setattr(S, "BLOCK_WINDOWS", 100)
     monkeypatch.setattr(S, "SHARD_WORDS", 50)
     monkeypatch.setattr(S, "QUERY_WORDS", 200)

@@ -1,9 +1,9 @@
 """Quality scoring by weak supervision, in DataFrame functions only.
 
 Rules look at simple measures of a text and vote good (1), bad (-1) or abstain
-(0).  Expectation-maximisation estimates how often each rule is right on good
-and on bad documents, without labels, and the posterior probability of being
-good replaces "all rules must pass".  The votes of the whole corpus are first
+(0).  Expectation-maximisation estimates, without labels, how often each rule
+votes good and bad on good and on bad documents, and the posterior probability
+of being good replaces "all rules must pass".  The votes of the whole corpus are first
 counted by pattern (at most 3^rules, whatever the corpus), so the iterations
 are a fold over one small array and cost no further pass.
 """
@@ -17,29 +17,34 @@ from pyspark.sql import functions as F
 
 from tillroll.llm.shared import stored, tune
 
-#: Steps of expectation-maximisation; strength (in documents) of the prior belief
-#: that a rule is right with the given probability.
-STEPS, PRIOR_DOCS, PRIOR_RIGHT, PRIOR_GOOD = 40, 20.0, 0.9, 0.9
+#: Steps of expectation-maximisation; the prior belief in each rule's rates (how
+#: often it votes good and bad on a good document, then on a bad one), its
+#: strength in documents, and the share of good documents to start from.
+STEPS, PRIOR_DOCS, PRIOR_GOOD = 40, 20.0, 0.9
+PRIOR_RATES = {"gp": 0.5, "gn": 0.02, "bp": 0.2, "bn": 0.4}
+LEAST_RATE = 0.001
 WINDOW = 8
 
 WORD = r"[^\x20\x09-\x0D]+"
+PLAIN = r"""^["'“‘(\[]?[\p{L}\p{N}]+([-'’.@][\p{L}\p{N}]+)*[.,;:!?]?["'”’)\]]?$"""
 
-#: rule: (good where, bad where); abstains where neither holds.
+#: rule: (good where, bad where); abstains where neither holds.  A defect that is
+#: absent says little, so most rules only ever vote bad or abstain.
 RULES = {
-    "length": ("n_words >= 50", "n_words < 20"),
-    "word_length": ("word_chars BETWEEN 3.5 * n_words AND 9 * n_words",
-                    "word_chars < 2.5 * n_words OR word_chars > 12 * n_words"),
+    "length": ("FALSE", "n_words < 20"),
+    "word_length": ("2 * word_chars BETWEEN 7 * n_words AND 14 * n_words",
+                    "2 * word_chars < 5 * n_words OR 2 * word_chars > 19 * n_words"),
     "symbols": ("100 * n_symbols <= 2 * n_words", "100 * n_symbols > 10 * n_words"),
-    "duplicate_lines": ("n_dup_lines = 0", "10 * n_dup_lines >= 3 * n_lines"),
-    "repeated_words": ("100 * n_repeat_words <= 5 * n_words", "100 * n_repeat_words > 20 * n_words"),
-    "letters": ("100 * n_letter_words >= 90 * n_words", "100 * n_letter_words < 75 * n_words"),
-    "distinct_words": ("n_words < 50 OR 100 * n_distinct >= 25 * least(n_words, 2000)",
-                       "100 * n_distinct < 15 * least(n_words, 2000)"),
+    "duplicate_lines": ("FALSE", "10 * n_dup_lines >= 4 * n_lines"),
+    "repeated_words": ("FALSE", "100 * n_repeat_words > 30 * n_words"),
+    "stutter": ("FALSE", "100 * n_stutter > 15 * n_words"),
+    "plain_words": ("100 * n_plain >= 90 * n_words", "100 * n_plain < 70 * n_words"),
+    "distinct_words": ("100 * n_distinct >= 45 * least(n_words, 2000)",
+                       "100 * n_distinct < 25 * least(n_words, 2000)"),
 }
 
-
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
-            "n_letter_words", "n_distinct")
+            "n_plain", "n_distinct", "n_stutter")
 
 
 def measures(docs: DataFrame, carry: list[str]) -> DataFrame:
@@ -48,7 +53,8 @@ def measures(docs: DataFrame, carry: list[str]) -> DataFrame:
     n_words, word_chars (code points in words), n_symbols (of ``#*$%&|<>``),
     n_dup_lines (lines with a word, equal to an earlier one), n_repeat_words
     (words in 8-word windows that occur twice or more, the first included),
-    n_lines (with a word), n_letter_words (with a letter), n_distinct.
+    n_lines (with a word), n_plain (words of letters and digits with usual
+    punctuation), n_distinct, n_stutter (equal to the word before).
     Null and empty texts have none of anything.
     """
     docs = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("_row"),
@@ -78,8 +84,9 @@ def measures(docs: DataFrame, carry: list[str]) -> DataFrame:
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         repeated.cast("long").alias("n_repeat_words"),
         F.size("_l").cast("long").alias("n_lines"),
-        F.size(F.filter("_w", lambda w: w.rlike(r"\p{L}"))).cast("long").alias("n_letter_words"),
-        F.size(F.array_distinct("_w")).cast("long").alias("n_distinct"))
+        F.size(F.filter("_w", lambda w: w.rlike(PLAIN))).cast("long").alias("n_plain"),
+        F.size(F.array_distinct("_w")).cast("long").alias("n_distinct"),
+        F.size(F.filter("_w", lambda w, i: w == F.get("_w", i - 1))).cast("long").alias("n_stutter"))
     return out.select("_row", measured.alias("_m"))
 
 
@@ -91,25 +98,25 @@ def votes(rules: dict[str, tuple[str, str]] = RULES) -> Column:
 
 
 def _log_odds(vote: str, model: str) -> str:
-    """Log odds of good given a vote array and the rules' rates."""
-    return f"""aggregate(zip_with({vote}, arrays_zip({model}.g, {model}.b), (v, r) ->
-        CASE WHEN v > 0 THEN ln(r.g / (1 - r.b)) WHEN v < 0 THEN ln((1 - r.g) / r.b) ELSE 0D END),
+    """Log odds of good given a vote array and the rules' rates.  A good vote
+    never speaks against a document, a bad one never for it."""
+    return f"""aggregate(zip_with({vote}, arrays_zip({model}.gp, {model}.gn, {model}.bp, {model}.bn), (v, r) ->
+        CASE WHEN v > 0 THEN greatest(0D, ln(r.gp / r.bp)) WHEN v < 0 THEN least(0D, ln(r.gn / r.bn)) ELSE 0D END),
         ln({model}.p / (1 - {model}.p)), (s, x) -> s + x)"""
 
 
 def estimate(voted: DataFrame, rules: int) -> DataFrame:
-    """One row ``model``: p, the share of good documents; g and b, the probability
-    that each rule, where it votes, is right on a good and on a bad one.  Rates
-    start at the prior belief and stay above one half, which fixes the sides."""
+    """One row ``model``: p, the share of good documents, and by rule the rates of
+    good and bad votes on good documents (gp, gn) and on bad ones (bp, bn)."""
     patterns = voted.groupBy("votes").agg(F.count("*").cast("double").alias("c"))
-    first = f"named_struct('p', {PRIOR_GOOD}D, 'g', array_repeat({PRIOR_RIGHT}D, {rules}), " \
-            f"'b', array_repeat({PRIOR_RIGHT}D, {rules}))"
-    held = PRIOR_RIGHT * PRIOR_DOCS
+    first = ", ".join([f"named_struct('p', {PRIOR_GOOD}D",
+                       *(f"'{k}', array_repeat({v}D, {rules})" for k, v in PRIOR_RATES.items())]) + ")"
 
-    def rate(side: str, sign: str) -> str:
-        of = lambda what: f"aggregate(w, 0D, (s, x) -> s + CASE WHEN get(x.votes, j) {what} THEN x.{side} ELSE 0D END)"  # noqa: E731,E501
-        return (f"transform(sequence(0, {rules - 1}), j -> least(0.999D, greatest(0.5001D, "
-                f"({of(sign)} + {held}D) / ({of('<> 0')} + {PRIOR_DOCS}D))))")
+    def rate(name: str) -> str:
+        side, sign = ("good", "bad")[name[0] == "b"], ("> 0", "< 0")[name[1] == "n"]
+        votes_so = f"aggregate(w, 0D, (s, x) -> s + CASE WHEN get(x.votes, j) {sign} THEN x.{side} ELSE 0D END)"
+        return (f"'{name}', transform(sequence(0, {rules - 1}), j -> greatest({LEAST_RATE}D, "
+                f"({votes_so} + {PRIOR_RATES[name] * PRIOR_DOCS}D) / ({total(side)} + {PRIOR_DOCS}D)))")
 
     total = lambda side: f"aggregate(w, 0D, (s, x) -> s + x.{side})"
     weighted = f"""transform(transform(patterns, x -> named_struct('votes', x.votes, 'c', x.c,
@@ -118,7 +125,7 @@ def estimate(voted: DataFrame, rules: int) -> DataFrame:
     step = f"""transform(array({weighted}), w -> named_struct(
         'p', least(0.9999D, greatest(0.0001D, ({total('good')} + {PRIOR_GOOD}D)
                    / ({total('good')} + {total('bad')} + 1D))),
-        'g', {rate('good', '> 0')}, 'b', {rate('bad', '< 0')}))[0]"""
+        {', '.join(map(rate, PRIOR_RATES))}))[0]"""
     return (patterns.agg(F.sort_array(F.collect_list(F.struct("votes", "c"))).alias("patterns"))
             .select(F.expr(f"aggregate(sequence(1, {STEPS}), {first}, (m, i) -> {step})").alias("model")))
 

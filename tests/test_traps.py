@@ -172,22 +172,41 @@ def test_a30_histogram_fill_empty(spark):
     assert got == [(1, 1), (2, 0), (3, 0), (4, 0), (5, 2)]
 
 
-def test_exact_mean_midpoint_same_on_both_engines(spark):
-    """Means of cents can sit exactly on a rounding midpoint; both engines
-    must round the exact value half away from zero."""
-    import duckdb
-
-    from tillroll.plans.oracle import exact_mean as exact_mean_sql
-
-    vals = [0.01, 0.02, 1.03, 2.04, -0.05]          # mean 0.61 exactly
-    for sel, dec in [(vals[:2], 2), (vals, 1), ([-0.01, -0.02], 2), ([1.0, 2.0, 2.0, 2.0], 1)]:
-        df = spark.createDataFrame([(v,) for v in sel], "x double")
-        got = df.agg(kpi.exact_mean(F.col("x"), 2, dec)).first()[0]
-        con = duckdb.connect()
-        con.execute("CREATE TABLE t(x DOUBLE)")
-        con.executemany("INSERT INTO t VALUES (?)", [(v,) for v in sel])
-        exp = con.execute(f"SELECT {exact_mean_sql('x', dec, 2)} FROM t").fetchone()[0]
-        assert got == exp
-    # 0.015 -> 0.02 and -0.015 -> -0.02 (half away from zero); 1.75 -> 1.8
-    assert spark.createDataFrame([(0.01,), (0.02,)], "x double") \
-        .agg(kpi.exact_mean(F.col("x"), 2, 2)).first()[0] == 0.02
+def test_amounts_below_a_cent_count(spark):
+    """Means and sums take every line as it is: 3 x 0.001, 4 x 0.001, 1 x 0.004."""
+    from tillroll.operators import customers, timeseries
+
+    df = spark.createDataFrame(
+        [(1, "a", "EU", 3.0, 0.001), (1, "b", "EU", 4.0, 0.001), (1, "c", "EU", 1.0, 0.004)],
+        "CustomerID long, Invoice string, Region string, Quantity double, Price double").withColumn(
+        "TotalSales", F.col("Quantity") * F.col("Price")).withColumn("InvoiceDate", F.to_timestamp(F.lit("2010-01-01")))
+    row = kpi.kpi_table(df).where("Region = 'EU'").first()
+    assert abs(row["Mean_Total_Sales"] - 0.011 / 3) < 1e-15
+    assert abs(timeseries.daily_sales(df).first()["TotalSales"] - 0.011) < 1e-15
+    assert abs(timeseries.monthly_sales(df, "x").first()["TotalSales"] - 0.011) < 1e-15
+    assert abs(customers.customer_features(df).first()["TotalSales"] - 0.011) < 1e-15
+    thirds = spark.createDataFrame([(1.0,), (1.0,), (2.0,)], "Quantity double")
+    assert abs(kpi.bulk_impact(thirds).first()[0] - 4 / 3) < 1e-15
+
+
+def test_keep_first_goes_by_the_date_a_text_names(spark):
+    rows = [("1", "s", "oct", 1.0, "10/1/2010 9:00", 2.0, 7, "France", 1),
+            ("1", "s", "sep", 1.0, "9/1/2010 9:00", 2.0, 7, "France", 1),
+            ("1", "s", "undated", 1.0, None, 2.0, 7, "France", 1),
+            ("2", "s", "undated", 1.0, "soon", 2.0, 7, "France", 1),
+            ("2", "s", "dated", 1.0, "12/31/2010 23:59:58", 2.0, 7, "France", 1)]
+    df = spark.createDataFrame(rows, "Invoice string, StockCode string, Description string, Quantity double, "
+                                     "InvoiceDate string, Price double, CustomerID long, Country string, src_rank int")
+    got = {r["Invoice"]: (r["Description"], r["InvoiceDate"]) for r in clean.dedup_first(df).collect()}
+    assert got["1"][0] == "sep" and got["2"][0] == "dated"
+    sc = {r["Invoice"]: r["InvoiceDate"] for r in clean.clean_lines(df).collect()}
+    assert sc["2"].second == 58
+
+
+def test_split_keys_that_differ_have_different_hashes(spark):
+    from tillroll.operators.inference import row_hash
+
+    rows = [("1", "a", 1.0, 0.001, 5), ("1", "a", 1.0, 0.002, 5), ("1", "a", 1.0, 0.001, None), ("1", None, 1.0, 0.001, 5),
+            ("1", "", 1.0, 0.001, 5), ("1|1:a", "a", 1.0, 0.001, 5), ("1", "a", 1e-13, 0.001, 5), ("1", "a", 0.0, 0.001, 5)]
+    df = spark.createDataFrame(rows, "Invoice string, StockCode string, Quantity double, Price double, CustomerID long")
+    assert df.select(row_hash()).distinct().count() == len(rows)

@@ -6,7 +6,6 @@ Subpackages:
   operators  -- cleaning, key figures, distributions, inference, time series,
                 customers, clustering, exact order statistics
   plans      -- the registered report queries and their SQL oracles
-  streaming  -- incremental daily rollup over arriving invoice files
 """
 
 __version__ = "0.1.0"

@@ -53,8 +53,9 @@ def region_decode(default: str | None = None, levels=config.REGION_LEVELS) -> Co
 
 
 def parse_invoice_date(text: Column | str = "InvoiceDate",
-                       fmt: str = "M/d/yyyy H:mm") -> Column:
-    """Lenient month/day/year hour:minute parse; an unparseable value is null."""
+                       fmt: str = "M/d/yyyy H:mm[:ss]") -> Column:
+    """Lenient month/day/year hour:minute parse, seconds optional; an unparseable
+    value is null."""
     text = F.col(text) if isinstance(text, str) else text
     return F.try_to_timestamp(F.trim(text), F.lit(fmt))
 

@@ -21,8 +21,9 @@ from tillroll.functions.columns import (c, parse_invoice_date, region_decode,
 
 def dedup_first(raw: DataFrame, keys: Sequence[str] = config.DEDUP_KEYS,
                 order: Sequence[str] = ("src_rank", "InvoiceDate")) -> DataFrame:
-    """Keep one row per key (nulls equal): the first by ``order``, then by the
-    remaining columns (ascending, nulls first).
+    """Keep one row per key (nulls equal): the first by ``order`` (a text date by
+    the date it names; missing values last), then by the remaining columns
+    (ascending, nulls first).
 
     Written as an aggregate, not a window: ``min(struct(...))`` combines
     map-side, so a key with a third of all rows is reduced before the shuffle
@@ -30,9 +31,13 @@ def dedup_first(raw: DataFrame, keys: Sequence[str] = config.DEDUP_KEYS,
     """
     keys = list(keys)
     rest = [x for x in raw.columns if x not in keys and x not in order]
-    tie = [*order, *rest]
+    rank = []
+    for i, x in enumerate(order):
+        text_date = x == "InvoiceDate" and isinstance(raw.schema[x].dataType, T.StringType)
+        value = parse_invoice_date(x) if text_date else c(x)
+        rank += [value.isNull().alias(f"_no{i}"), value.alias(f"_by{i}")]
     firsts = raw.groupBy(*[c(k) for k in keys]).agg(
-        F.min(F.struct(*[c(x) for x in tie])).alias("_first"))
+        F.min(F.struct(*rank, *[c(x) for x in [*order, *rest]])).alias("_first"))
     return firsts.select(*[c(x) if x in keys else F.col("_first").getField(x).alias(x)
                            for x in raw.columns])
 
@@ -154,12 +159,15 @@ class Populations:
     ``materialize=True`` writes SC once as a Parquet table in the shared
     checkpoint folder (see :func:`tillroll.session.materialize`): SC feeds
     every other population, so multi-pass reports read the table instead of
-    re-running the joins and the dedup shuffle.
+    re-running the joins and the dedup shuffle.  ``columns`` keeps only those of
+    SC that a report needs (populations filter on Quantity, Price, TotalSales).
     """
 
-    def __init__(self, raw: DataFrame, materialize: bool = False):
+    def __init__(self, raw: DataFrame, materialize: bool = False, columns: Sequence[str] | None = None):
         self.raw = raw
         self._sc = clean_lines(raw)
+        if columns is not None:                   # what the report reads, before it is written
+            self._sc = self._sc.select(*[c(x) for x in columns])
         if materialize:
             from tillroll.session import materialize as _mat
             self._sc = _mat(self._sc, "clean_lines")

@@ -49,7 +49,8 @@ def _as_columns(vecs: DataFrame, col: str, d: int) -> DataFrame:
 def _lloyd_partials(centers: list, d: int):
     """mapInPandas function: per Arrow batch, the nearest centre of every run
     (vectorised distances) and the per-(run, cluster) count, squared-distance
-    sum and coordinate sums -- a map-side combine that emits runs * k rows."""
+    sum, coordinate sums and the row farthest from its centre -- a map-side
+    combine that emits runs * k rows."""
     import numpy as np
     import pandas as pd
 
@@ -75,15 +76,35 @@ def _lloyd_partials(centers: list, d: int):
                     sums = np.stack([np.bincount(lab[:, j], weights=x[:, i], minlength=k)
                                      for i in range(d)], axis=1)
                     for c in np.nonzero(cnt)[0]:
+                        own = np.flatnonzero(lab[:, j] == c)
+                        far = own[best[own, j].argmax()]
                         out.append((int(run), int(c), int(cnt[c]), float(ss[c]),
-                                    *[float(v) for v in sums[c]]))
-            yield pd.DataFrame(out, columns=["run", "cluster", "n", "ss",
-                                             *[f"s{i}" for i in range(d)]])
+                                    *[float(v) for v in sums[c]], float(best[far, j]),
+                                    *[float(v) for v in x[far]]))
+            yield pd.DataFrame(out, columns=["run", "cluster", "n", "ss", *[f"s{i}" for i in range(d)],
+                                             "far", *[f"f{i}" for i in range(d)]])
     return fn
 
 
+def _starting_rows(x: DataFrame, xs: list[str], runs: int, k: int, seed: int) -> list[list[list[float]]]:
+    """``runs`` sets of k distinct rows, drawn from all distinct rows of ``x`` by a
+    seeded hash: the first runs * k in that order, or, of fewer rows, k of them
+    anew for each run.  Fails if there are fewer than k distinct rows."""
+    import numpy as np
+
+    drawn = (x.distinct().orderBy(F.xxhash64(*xs, F.lit(seed), F.lit(k)), *xs)
+             .limit(runs * k).collect())                       # bounded by the parameters
+    if len(drawn) < k:
+        raise ValueError(f"k = {k} clusters need as many distinct rows; there are {len(drawn)}")
+    rows = [[float(r[c]) for c in xs] for r in drawn]
+    if len(rows) == runs * k:
+        return [rows[i * k:(i + 1) * k] for i in range(runs)]
+    rng = np.random.default_rng(seed * 1009 + k)
+    return [[rows[i] for i in rng.choice(len(rows), size=k, replace=False)] for _ in range(runs)]
+
+
 def multi_start_kmeans(vecs: DataFrame, ks, starts: int, seed: int = 111, col: str = "scaled",
-                       max_iter: int = 50, tol: float = 1e-7, pool: int = 1000):
+                       max_iter: int = 500, tol: float = 1e-7):
     """Lloyd's k-means for every (k, start) pair at once.
 
     All runs share each pass over the data: every task computes, for its
@@ -91,9 +112,10 @@ def multi_start_kmeans(vecs: DataFrame, ks, starts: int, seed: int = 111, col: s
     and emits only per-(run, cluster) partial sums; ``groupBy(run, cluster)``
     adds them up into the new centres and the within-cluster sum of squares.
     The centres travel with the task closure (runs * k * d doubles -- fixed
-    by the parameters, not by the data).  Starting centres are distinct
-    random rows drawn from a bounded uniform pool (the ``pool`` rows with the
-    smallest seeded hash).
+    by the parameters, not by the data).  Starts are distinct rows drawn from
+    the whole table.  A run that has converged is left out of later passes; a
+    cluster that lost all its rows moves to the row farthest from its centre.
+    Runs that still move after ``max_iter`` passes are an error.
 
     Returns a pandas frame (run, k, start_seed, wss) and the final centres
     {run: array[k][d]} -- both sized by the parameters.
@@ -109,39 +131,46 @@ def multi_start_kmeans(vecs: DataFrame, ks, starts: int, seed: int = 111, col: s
     x = x.coalesce(max(1, min(x.rdd.getNumPartitions(), -(-n_rows // 200_000)))).persist()
     try:
         xs = [f"x{i}" for i in range(d)]
-        cand = (x.orderBy(F.xxhash64(*xs, F.lit(seed)), *xs).limit(pool).collect())
-        cand = np.array([[r[c] for c in xs] for r in cand], dtype=float)
         runs = []
         for k in ks:
-            for s in range(seed, seed + starts):
-                rng = np.random.default_rng(s * 1009 + k)
-                idx = rng.choice(len(cand), size=min(k, len(cand)), replace=False)
-                runs.append({"k": k, "seed": s, "centers": cand[idx].copy()})
+            for s, rows in enumerate(_starting_rows(x, xs, starts, k, seed)):
+                runs.append({"k": k, "seed": seed + s, "centers": np.array(rows), "wss": float("nan")})
         schema = "run int, cluster int, n long, ss double, " + ", ".join(
-            f"s{i} double" for i in range(d))
-        wss = [float("nan")] * len(runs)
-        for it in range(max_iter + 1):
-            fn = _lloyd_partials([r["centers"].tolist() for r in runs], d)
+            f"s{i} double" for i in range(d)) + ", far double, " + ", ".join(f"f{i} double" for i in range(d))
+        moving = list(runs)
+        for it in range(max_iter):
+            fn = _lloyd_partials([r["centers"].tolist() for r in moving], d)
             agg = (x.mapInPandas(fn, schema).groupBy("run", "cluster")
                    .agg(F.sum("n").alias("n"), F.sum("ss").alias("ss"),
-                        *[F.sum(f"s{i}").alias(f"s{i}") for i in range(d)])
+                        *[F.sum(f"s{i}").alias(f"s{i}") for i in range(d)],
+                        F.max(F.struct("far", *[f"f{i}" for i in range(d)])).alias("far"))
                    .collect())
-            cost = [0.0] * len(runs)
-            shift = 0.0
-            new = [r["centers"].copy() for r in runs]
+            by_run: dict[int, list] = {}
             for row in agg:
-                cost[row["run"]] += row["ss"]
-                c = np.array([row[f"s{j}"] for j in range(d)]) / row["n"]
-                shift = max(shift, float(np.abs(c - new[row["run"]][row["cluster"]]).max()))
-                new[row["run"]][row["cluster"]] = c
-            wss = cost
-            if it == max_iter or shift <= tol:
+                by_run.setdefault(row["run"], []).append(row)
+            still = []
+            for i, r in enumerate(moving):
+                rows = by_run.get(i, [])
+                r["wss"] = sum(row["ss"] for row in rows)
+                new = r["centers"].copy()
+                for row in rows:
+                    new[row["cluster"]] = np.array([row[f"s{j}"] for j in range(d)]) / row["n"]
+                empty = sorted(set(range(r["k"])) - {row["cluster"] for row in rows})
+                spare = sorted((tuple(row["far"]) for row in rows), reverse=True)
+                for c, far in zip(empty, spare):
+                    if far[0] > 0:
+                        new[c] = far[1:]
+                if float(np.abs(new - r["centers"]).max()) > tol:
+                    r["centers"] = new
+                    still.append(r)
+            moving = still
+            if not moving:
                 log.info("multi_start_kmeans: %d runs, %d passes", len(runs), it + 1)
                 break
-            for r, c in zip(runs, new):
-                r["centers"] = c
+        else:
+            raise RuntimeError(f"{len(moving)} k-means runs still move after {max_iter} passes")
         table = pd.DataFrame({"run": range(len(runs)), "k": [r["k"] for r in runs],
-                              "start_seed": [r["seed"] for r in runs], "wss": wss})
+                              "start_seed": [r["seed"] for r in runs], "wss": [r["wss"] for r in runs]})
         return table, {i: r["centers"] for i, r in enumerate(runs)}
     finally:
         x.unpersist()
@@ -191,6 +220,20 @@ def assign(vecs: DataFrame, centers, col: str = "scaled", out: str = "Cluster")
             .drop("centers"))
 
 
+def _signed_scores(pca, k: int, tolerance: float = 1e-12) -> list:
+    """Columns of the scores with a fixed sign (the loading of greatest magnitude,
+    the first of equal ones, is positive); a component whose share of variance
+    is below the tolerance is noise and scores 0."""
+    loadings, share = pca.pc.toArray(), pca.explainedVariance.toArray()
+    out = []
+    for i in range(k):
+        size = abs(loadings[:, i])
+        first = int((size >= size.max() * (1 - 1e-9)).argmax())
+        sign = 1.0 if loadings[first, i] > 0 else -1.0
+        out.append(F.col("_pca")[i] * F.lit(sign) if share[i] > tolerance else F.lit(0.0))
+    return out
+
+
 def segment(features: DataFrame, k: int = config.KMEANS_K, starts: int = config.KMEANS_STARTS,
             seed: int = 111, pca_k: int = config.PCA_K):
     """Cluster the scaled features (best of ``starts``), attach
@@ -205,7 +248,7 @@ def segment(features: DataFrame, k: int = config.KMEANS_K, starts: int = config.
         pca = PCA(k=pca_k, inputCol="scaled", outputCol="_pc").fit(vecs)
         out = pca.transform(lab).withColumn("_pca", vector_to_array("_pc"))
         out = out.select(*features.columns, "Cluster",
-                         *[F.col("_pca")[i].alias(f"PC{i + 1}") for i in range(pca_k)])
+                         *[score.alias(f"PC{i + 1}") for i, score in enumerate(_signed_scores(pca, pca_k))])
         # small result (one row per customer): written to the shared
         # checkpoint folder so it outlives the cached vectors
         out = out.checkpoint()

@@ -58,23 +58,19 @@ def column_profile(df: DataFrame, col: str) -> DataFrame:
                           "'Mean', mean, '3rd Qu.', q3, 'Max', max) as (stat, value)")
 
 
-def region_average(df: DataFrame, mean_decimals: int | None = None) -> DataFrame:
-    """Mean TotalSales per region (exact cent mean), the
-    region decoded from the one-hot columns found by name pattern."""
-    from tillroll.operators.kpi import exact_mean
-
+def region_average(df: DataFrame) -> DataFrame:
+    """Mean TotalSales per region, the region decoded from the one-hot columns found by name pattern."""
     flags = [x for x in df.columns if x.startswith("Region") and x != "Region"]
     levels = [x[len("Region"):] for x in flags]
     return (df.select(region_decode(None, levels).alias("region"), "TotalSales")
             .groupBy("region")
-            .agg(exact_mean(F.col("TotalSales"), 2, mean_decimals).alias("avg_total_sales")))
+            .agg(F.avg("TotalSales").alias("avg_total_sales")))
 
 
-def region_average_with_without(with_df: DataFrame, without_df: DataFrame,
-                                mean_decimals: int | None = None) -> DataFrame:
+def region_average_with_without(with_df: DataFrame, without_df: DataFrame) -> DataFrame:
     """The two region-average tables stacked with a tag."""
-    a = region_average(with_df, mean_decimals).withColumn("Bulk Order", F.lit("1"))
-    b = region_average(without_df, mean_decimals).withColumn("Bulk Order", F.lit("2"))
+    a = region_average(with_df).withColumn("Bulk Order", F.lit("1"))
+    b = region_average(without_df).withColumn("Bulk Order", F.lit("2"))
     tag = F.when(F.col("`Bulk Order`") == "1", F.lit("With Bulk Orders")).when(
         F.col("`Bulk Order`") == "2", F.lit("Without Bulk Orders"))
     return a.unionByName(b).select(tag.alias("Bulk Order"), "region", "avg_total_sales")
@@ -104,11 +100,6 @@ def churn_rate(churn_df: DataFrame) -> DataFrame:
                         (F.sum("churned") / F.count(F.lit(1)) * 100).alias("churn_rate"))
 
 
-def money_sum(col: str) -> F.Column:
-    """Sum of an amount at cent precision (exact, order-independent), as double."""
-    return F.sum(F.col(col).cast("decimal(38,2)")).cast("double")
-
-
 def customer_features(df: DataFrame, return_rate: bool = False, compat: bool = True) -> DataFrame:
     """One row per customer (guests are
     one null-id row).
@@ -118,7 +109,7 @@ def customer_features(df: DataFrame, return_rate: bool = False, compat: bool = T
     mean line value.  PurchaseFrequency counts lines; ``distinct_orders``
     counts invoices.  ``return_rate`` adds the share of lines with Quantity < 0.
     """
-    aggs = [money_sum("TotalSales").alias("TotalSales"),
+    aggs = [F.sum("TotalSales").alias("TotalSales"),
             F.avg("TotalSales").alias("_line_avg"),
             F.count(F.lit(1)).alias("PurchaseFrequency"),
             F.count_distinct("Invoice").cast("long").alias("distinct_orders")]

@@ -11,15 +11,15 @@ from tillroll.session import checked_broadcast
 
 
 def histogram(df: DataFrame, value: F.Column, width: float, by: list[str] | None = None,
-              fill_empty: bool = False) -> DataFrame:
+              fill_empty: bool = False, max_bins: int = 1_000_000) -> DataFrame:
     """Fixed-width bins centred on multiples of ``width``, right-closed
     ((k - 1/2) w, (k + 1/2) w]; the lowest value sitting exactly on a lower
     edge joins the first bin (include-lowest).  Null values are dropped.
 
     Output: [by...,] bin (long k), center (k * w), count.  By default only
     non-empty bins are returned; ``fill_empty=True`` adds the empty bins
-    between the first and last one (a ``sequence`` per group -- its length
-    follows the value range / width, not the number of rows).
+    between the first and last one, and fails where a group's range spans more
+    than ``max_bins`` of them.
     """
     by = by or []
     x = value.alias("_x")
@@ -35,7 +35,9 @@ def histogram(df: DataFrame, value: F.Column, width: float, by: list[str] | None
     counts = d.groupBy(*by, k.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     if fill_empty:
         span = counts.groupBy(*by).agg(F.min("bin").alias("_lo"), F.max("bin").alias("_hi"))
-        bins = span.select(*by, F.explode(F.sequence("_lo", "_hi")).alias("bin"))
+        room = F.when(F.col("_hi") - F.col("_lo") < max_bins, F.sequence("_lo", "_hi")).otherwise(
+            F.raise_error(F.lit(f"the values span more than {max_bins} bins of this width")))
+        bins = span.select(*by, F.explode(room).alias("bin"))
         counts = (bins.join(counts, [*by, "bin"], "left")
                   .withColumn("count", F.coalesce(F.col("count"), F.lit(0).cast("long"))))
     return (counts.withColumn("center", F.col("bin") * F.lit(width))

@@ -16,15 +16,14 @@ SPLIT_KEY = config.DEDUP_KEYS
 
 
 def row_hash(keys: Sequence[str] = SPLIT_KEY) -> F.Column:
-    """md5 hex of the dedup key (unique per clean line), amounts as
-    decimal(18,2) text so the string is engine-independent."""
-    parts = []
-    for k in keys:
-        col = F.col(k)
-        if k in ("Quantity", "Price"):
-            col = col.cast("decimal(18,2)")
-        parts.append(F.coalesce(col.cast("string"), F.lit("")))
-    return F.md5(F.concat_ws("|", *parts))
+    """md5 hex of the dedup key (unique per clean line).  Each part carries its
+    length, or a mark for null, so different keys never give the same text; an
+    amount is the shortest text that names its double."""
+    def part(k: str) -> F.Column:
+        text = F.col(k).cast("string")
+        return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+    return F.md5(F.concat_ws("|", *map(part, keys)))
 
 
 def stratified_split(df: DataFrame, y: str = "TotalSales", p: float = config.SPLIT_P,
@@ -158,12 +157,17 @@ def anova_oneway(df: DataFrame, y: F.Column, group: str = "Region",
 
 
 def tukey_hsd(df: DataFrame, y: F.Column, group: str = "Region", level: float = 0.95,
-              with_pvalue: bool = False) -> DataFrame:
+              with_pvalue: bool = False, max_groups: int = 200) -> DataFrame:
     """All pairs (a < b) of groups: diff = mean_b - mean_a, its
     standard error from the pooled residual variance, the studentized range
     statistic q, and optionally the adjusted p-value and confidence bounds.
-    The pair join runs on the k per-group rows only."""
+    The pair join runs on the k per-group rows only; more than ``max_groups``
+    groups are refused, since their pairs would grow with the square."""
     g = group_moments(df, y, group)
+    k = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)).rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing))
+    g = g.withColumn("_k", k).withColumn("n", F.when(F.col("_k") <= max_groups, F.col("n")).otherwise(
+        F.raise_error(F.lit(f"more than {max_groups} groups to compare")).cast("long"))).drop("_k")
     tot = F.broadcast(g.agg(F.sum("n").alias("n_total"), F.count(F.lit(1)).alias("k"),
                             F.sum(F.coalesce((F.col("n") - 1) * F.col("var"), F.lit(0.0)))
                             .alias("ssw")))

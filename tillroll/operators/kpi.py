@@ -25,20 +25,6 @@ def n_distinct_with_null(x: F.Column) -> F.Column:
             + F.coalesce(F.max(x.isNull().cast("int")), F.lit(0))).cast("long")
 
 
-def exact_mean(x: F.Column, scale: int = 2, decimals: int | None = None) -> F.Column:
-    """Mean computed from an exact decimal sum (amounts at ``scale`` decimals),
-    optionally rounded half-up to ``decimals`` *before* becoming a double.
-
-    A mean of cent amounts can sit exactly on a rounding midpoint (e.g.
-    ...5321|5); a floating sum lands on either side of it depending on the
-    summation order, so presentation rounding must see the exact value.
-    """
-    m = F.sum(x.cast(f"decimal(28,{scale})")) / F.count(x).cast("decimal(18,0)")
-    if decimals is not None:
-        m = F.round(m, decimals)
-    return m.cast("double")
-
-
 def _guest_invoices(cust: F.Column, inv: F.Column) -> F.Column:
     guest_inv = F.when(cust.isNull(), inv)
     return (F.count_distinct(guest_inv)
@@ -47,8 +33,7 @@ def _guest_invoices(cust: F.Column, inv: F.Column) -> F.Column:
 
 def kpi_table(df: DataFrame, sales: str = "TotalSales", qty: str = "Quantity",
               by: str = "Region", overall_label: str = config.OVERALL,
-              overall_first: bool = False, approx_median: bool = False,
-              exact_means: bool = True, mean_decimals: tuple[int, int] | None = None) -> DataFrame:
+              overall_first: bool = False, approx_median: bool = False) -> DataFrame:
     """Nine key figures per ``by`` value plus one overall row.
 
     One pass with ``rollup`` (grouping sets (by), ()) for counts, means and
@@ -62,11 +47,9 @@ def kpi_table(df: DataFrame, sales: str = "TotalSales", qty: str = "Quantity",
         F.grouping(by).alias("_gid"),
         F.count_distinct(cust).cast("long").alias("Unique_Customers"),
         _guest_invoices(cust, inv).alias("Guest_Customers"),
-        (exact_mean(F.col(sales), 2, (mean_decimals or (None, None))[0]) if exact_means
-         else F.avg(sales)).alias("Mean_Total_Sales"),
+        F.avg(sales).alias("Mean_Total_Sales"),
         F.stddev_samp(sales).alias("SD_Total_Sales"),
-        (exact_mean(F.col(qty), 6, (mean_decimals or (None, None))[1]) if exact_means
-         else F.avg(qty)).alias("Mean_Quantity"),
+        F.avg(qty).alias("Mean_Quantity"),
         F.stddev_samp(qty).alias("SD_Quantity"),
         n_distinct_with_null(inv).alias("Total_Unique_Invoices"),
     ]
@@ -110,35 +93,26 @@ def missing_summary(raw: DataFrame, cols: Sequence[str] = (
     return long.where(F.col("Missing_Count") > 0)
 
 
-def count_where(df: DataFrame, name: str) -> DataFrame:
-    """One-row count of a population."""
-    return df.agg(F.count(F.lit(1)).alias(name))
-
-
-def bulk_impact(sc_z: DataFrame, threshold: float = config.BULK_INCLUSIVE,
-                mean_decimals: int | None = None) -> DataFrame:
+def bulk_impact(sc: DataFrame, threshold: float = config.BULK_INCLUSIVE) -> DataFrame:
     """Mean / sd of Quantity below vs at-or-above the bulk threshold."""
     q = F.col("Quantity")
     small = F.when(q < threshold, q)
     big = F.when(q >= threshold, q)
-    return sc_z.agg(exact_mean(small, 6, mean_decimals).alias("mean_quantity_without_bulk"),
-                    F.stddev_samp(small).alias("sd_quantity_without_bulk"),
-                    exact_mean(big, 6, mean_decimals).alias("mean_quantity_with_bulk"),
-                    F.stddev_samp(big).alias("sd_quantity_with_bulk"))
+    return sc.agg(F.avg(small).alias("mean_quantity_without_bulk"),
+                  F.stddev_samp(small).alias("sd_quantity_without_bulk"),
+                  F.avg(big).alias("mean_quantity_with_bulk"),
+                  F.stddev_samp(big).alias("sd_quantity_with_bulk"))
 
 
 def metrics_with_without_outliers(sc: DataFrame, sc_z: DataFrame,
-                                  k: float = config.Z_OUTLIER,
-                                  mean_decimals: int | None = None) -> DataFrame:
+                                  k: float = config.Z_OUTLIER) -> DataFrame:
     """A26 + J2: mean / sd of Quantity on all lines and on lines whose
     Quantity value is not among the outliers' values (a null-safe anti join
     on a distinct value list; never ``NOT IN``)."""
-    from tillroll.session import checked_broadcast
-
-    out_values = checked_broadcast(sc_z.where(F.abs("z_score") > k).select("Quantity").distinct())
+    out_values = sc_z.where(F.abs("z_score") > k).select("Quantity").distinct()
     kept = sc.join(out_values, sc["Quantity"].eqNullSafe(out_values["Quantity"]), "left_anti")
     def m(df):
-        return df.agg(exact_mean(F.col("Quantity"), 6, mean_decimals).alias("mean_quantity"),
+        return df.agg(F.avg("Quantity").alias("mean_quantity"),
                       F.stddev_samp("Quantity").alias("sd_quantity"))
     w, wo = m(sc), m(kept)
     return (w.withColumn("Outliers", F.lit("With Outliers"))
@@ -146,21 +120,20 @@ def metrics_with_without_outliers(sc: DataFrame, sc_z: DataFrame,
             .select("Outliers", "mean_quantity", "sd_quantity"))
 
 
-def _impact_row(df: DataFrame, mean_decimals: int | None = None) -> DataFrame:
-    return df.agg(F.sum(F.col("TotalSales").cast("decimal(38,2)")).cast("double").alias("total_sales"),
-                  exact_mean(F.col("TotalSales"), 2, mean_decimals).alias("mean_sales"),
+def _impact_row(df: DataFrame) -> DataFrame:
+    return df.agg(F.sum("TotalSales").alias("total_sales"), F.avg("TotalSales").alias("mean_sales"),
                   F.sum("Quantity").alias("total_quantity"),
                   n_distinct_with_null(F.col("CustomerID")).cast("double").alias("unique_customers"))
 
 
 def impact_table(with_df: DataFrame, without_df: DataFrame,
-                 with_name: str, without_name: str, mean_decimals: int | None = None) -> DataFrame:
+                 with_name: str, without_name: str) -> DataFrame:
     """A27 / A28 + R2 + S4: five metrics for two populations as a
     Metric / with / without table.  Each side is one aggregate pass plus one
     exact median; the five-row table is a ``stack`` of the two rows."""
     def one(df: DataFrame) -> DataFrame:
         med = exact_quantiles(df, [], "TotalSales", [0.5]).select(F.col("q").alias("median_sales"))
-        return _impact_row(df, mean_decimals).crossJoin(med)
+        return _impact_row(df).crossJoin(med)
 
     a = one(with_df).select(*[F.col(x).alias(f"a_{x}") for x in
                               ["total_sales", "mean_sales", "median_sales", "total_quantity",
@@ -178,9 +151,6 @@ def impact_table(with_df: DataFrame, without_df: DataFrame,
     return ab.selectExpr(stack)
 
 
-def share_percent(part: DataFrame, whole: DataFrame, name: str) -> DataFrame:
-    """100 * rows(part) / rows(whole) as one row."""
-    p = part.agg(F.count(F.lit(1)).alias("_p"))
-    w = whole.agg(F.count(F.lit(1)).alias("_w"))
-    return p.crossJoin(w).select(
-        (F.try_divide(F.col("_p").cast("double"), F.col("_w").cast("double")) * 100).alias(name))
+def share_percent(df: DataFrame, part: F.Column, name: str) -> DataFrame:
+    """Percentage of rows for which ``part`` holds (null: it doesn't)."""
+    return df.agg((F.avg(F.coalesce(part, F.lit(False)).cast("double")) * 100).alias(name))

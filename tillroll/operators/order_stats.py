@@ -13,7 +13,7 @@ refinement instead:
    over at most ``buckets`` rows per target picks the bucket holding the
    wanted rank; the range shrinks to that bucket's [min, max];
 3. once a target's range holds at most ``final_limit`` rows, one window over
-   just those rows gives the exact value.
+   just those rows gives the exact value (of all ranks wanted in that range).
 
 Every task sees at most ``buckets`` or ``final_limit`` rows of one target.
 The small target state is checkpointed each pass (shared checkpoint folder),
@@ -128,15 +128,18 @@ def order_statistics(data: DataFrame, keys: Sequence[str], value: str,
         out = state.where(F.col("_status") == "done").select(*kq, "tid", "_n", "_v")
         n_final = counts.get("final", 0)
         if n_final:
+            # wanted ranks of the same range share one sort of its rows
             fin = _maybe_broadcast(
-                state.where(F.col("_status") == "final")
-                .select(*kq, "tid", "_n", "_res", "_lo", "_hi"), n_final)
-            w2 = Window.partitionBy(*kq, "tid").orderBy("_x")
+                state.where(F.col("_status") == "final").groupBy(*kq, "_n", "_lo", "_hi")
+                .agg(F.collect_list(F.struct("tid", "_res")).alias("_t")), n_final)
+            w2 = Window.partitionBy(*kq, "_lo", "_hi").orderBy("_x")
             exact = (join_null_safe(d, fin, keys)
                      .where(F.col("_x").between(F.col("_lo"), F.col("_hi")))
                      .withColumn("_rn", F.row_number().over(w2) - 1)
-                     .where(F.col("_rn") == F.col("_res"))
-                     .select(*kq, "tid", "_n", F.col("_x").alias("_v")))
+                     .withColumn("_t", F.filter("_t", lambda t: t["_res"] == F.col("_rn")))
+                     .where(F.size("_t") > 0)
+                     .select(*kq, F.explode("_t").alias("_t"), "_n", F.col("_x").alias("_v"))
+                     .select(*kq, "_t.tid", "_n", "_v"))
             out = out.unionByName(exact)
         out = out.checkpoint()
     finally:

@@ -17,11 +17,6 @@ from tillroll import config
 from tillroll.functions.columns import year_fraction
 
 
-def _money(col: F.Column) -> F.Column:
-    """Amounts are summed exactly at cent precision (order-independent)."""
-    return col.cast("decimal(38,2)")
-
-
 def daily_sales(df: DataFrame, series: str | None = None, by: str | None = None) -> DataFrame:
     """TotalSales summed per calendar day: ``[series,] InvoiceDate,
     TotalSales`` -- one series labelled ``series``, one per value of column
@@ -32,7 +27,7 @@ def daily_sales(df: DataFrame, series: str | None = None, by: str | None = None)
         keys = [F.lit(series).alias("series")] if series else []
     d = df.select(*keys, F.to_date("InvoiceDate").alias("InvoiceDate"), "TotalSales")
     g = d.groupBy(*(["series"] if keys else []), "InvoiceDate")
-    return g.agg(F.sum(_money(F.col("TotalSales"))).cast("double").alias("TotalSales"))
+    return g.agg(F.sum("TotalSales").alias("TotalSales"))
 
 
 def daily_sign_trend(df: DataFrame) -> DataFrame:
@@ -40,8 +35,8 @@ def daily_sign_trend(df: DataFrame) -> DataFrame:
     without lines of a sign has null there)."""
     ts = F.col("TotalSales")
     return (df.groupBy(F.to_date("InvoiceDate").alias("InvoiceDate"))
-            .agg(F.sum(F.when(ts > 0, _money(ts))).cast("double").alias("PositiveSales"),
-                 F.sum(F.when(ts < 0, _money(ts))).cast("double").alias("NegativeSales")))
+            .agg(F.sum(F.when(ts > 0, ts)).alias("PositiveSales"),
+                 F.sum(F.when(ts < 0, ts)).alias("NegativeSales")))
 
 
 def monthly_sales(df: DataFrame, series: str | None = None, by: str | None = None) -> DataFrame:
@@ -53,7 +48,7 @@ def monthly_sales(df: DataFrame, series: str | None = None, by: str | None = Non
     m = (df.select(key.alias("series"),
                    F.trunc(F.to_date("InvoiceDate"), "month").alias("Date"), "TotalSales")
          .groupBy("series", "Date")
-         .agg(F.sum(_money(F.col("TotalSales"))).cast("double").alias("TotalSales")))
+         .agg(F.sum("TotalSales").alias("TotalSales")))
     return with_position(m, "Date")
 
 
@@ -76,14 +71,14 @@ def decompose(df: DataFrame, value: str, period: int = config.DAILY_PERIOD,
     w_ord = Window.partitionBy(series).orderBy(t)
     frame = w_ord.rowsBetween(-h, h)
     x = F.col(value)
-    win_sum = F.sum(_money(x)).over(frame)
+    win_sum = F.sum(x).over(frame)
     win_n = F.count(F.lit(1)).over(frame)
     if period % 2 == 0:
-        edge = (_money(F.lag(x, h).over(w_ord)) + _money(F.lead(x, h).over(w_ord))) / F.lit(2)
+        edge = (F.lag(x, h).over(w_ord) + F.lead(x, h).over(w_ord)) / F.lit(2)
         num = win_sum - edge
     else:
         num = win_sum
-    trend = F.when(win_n == 2 * h + 1, num.cast("double") / F.lit(float(period)))
+    trend = F.when(win_n == 2 * h + 1, num / F.lit(float(period)))
     d = (df.withColumn("trend", trend)
          .withColumn("_pos", (F.col(t) - 1) % period)
          .withColumn("_detr", x - F.col("trend")))
@@ -116,6 +111,34 @@ def linear_trend(monthly: DataFrame, value: str = "TotalSales", date: str = "Dat
                     "x_mean", "sxx"))
 
 
+def linear_summary(monthly: DataFrame, value: str = "TotalSales", date: str = "Date",
+                   series: str = "series") -> DataFrame:
+    """What R's ``summary(lm)`` prints, one row per series: both coefficients
+    with standard error, t and p; residual standard error and quartiles; R2,
+    adjusted R2, F and its p.  The p-values come from one row per series."""
+    from tillroll.functions.stats import t_pvalue_udf
+
+    fit = linear_trend(monthly, value, date, series)
+    x = year_fraction(F.col(date))
+    e = F.col(value) - (F.col("intercept") + F.col("slope") * x)
+    rows = monthly.join(fit, series).withColumn("_e", e)          # one row per period
+    resid = rows.groupBy(series).agg(F.min("_e").alias("resid_min"), *(
+        F.percentile("_e", p).alias(f"resid_{n}") for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))),
+        F.max("_e").alias("resid_max"))
+    df = (F.col("n") - 2).cast("double")
+    se0 = F.col("sigma") * F.sqrt(1.0 / F.col("n") + F.pow("x_mean", F.lit(2)) / F.col("sxx"))
+    out = (fit.join(resid, series).withColumn("df", F.col("n") - 2).withColumn("se_intercept", se0)
+           .withColumn("t_intercept", F.try_divide(F.col("intercept"), F.col("se_intercept")))
+           .withColumn("adj_r2", 1 - (1 - F.col("r2")) * F.try_divide((F.col("n") - 1).cast("double"), df))
+           .withColumn("f_value", F.pow("t_slope", F.lit(2)))
+           .withColumn("p_slope", t_pvalue_udf("t_slope", df))
+           .withColumn("p_intercept", t_pvalue_udf("t_intercept", df)))
+    return out.select(series, "n", "df", "intercept", "se_intercept", "t_intercept", "p_intercept",
+                      "slope", "se_slope", "t_slope", "p_slope", "sigma", "r2", "adj_r2", "f_value",
+                      F.col("p_slope").alias("f_p"), "resid_min", "resid_q1", "resid_median", "resid_q3",
+                      "resid_max")
+
+
 def trend_fit(monthly: DataFrame, value: str = "TotalSales", date: str = "Date",
               series: str = "series") -> DataFrame:
     """M17 (exact part): fitted value and its standard error per month,
@@ -136,15 +159,19 @@ def trend_band(monthly: DataFrame, level: float = 0.95, **kw) -> DataFrame:
     from tillroll.functions.stats import t_quantile_udf
 
     f = trend_fit(monthly, **kw)
-    tq = t_quantile_udf(F.lit(0.5 + level / 2), F.col("df").cast("double"))
-    return (f.withColumn("t_crit", tq)
+    series = kw.get("series", "series")
+    crit = f.select(series, "df").distinct().select(                      # once per series, not per month
+        series, t_quantile_udf(F.lit(0.5 + level / 2), F.col("df").cast("double")).alias("t_crit"))
+    return (f.join(crit, series)
             .withColumn("lower", F.col("fitted") - F.col("t_crit") * F.col("se_fit"))
             .withColumn("upper", F.col("fitted") + F.col("t_crit") * F.col("se_fit")))
 
 
 # ---------------------------------------------------------------------------
 # Forecast (re-aim of an automatic ARIMA order search): five small candidate
-# models with closed-form fits, chosen per series by AICc.
+# models with closed-form fits, chosen per series by AICc.  Every candidate is
+# scored on the same rows: those behind the first season (snaive has no value
+# before), or behind the second row where a series is too short for a season.
 #   mean      y_t = mu + e                                   (1 coefficient)
 #   drift     y_t = y_{t-1} + c + e                          (1)
 #   ar1       y_t = a + b y_{t-1} + e                        (2)
@@ -161,11 +188,11 @@ def _geo(b: F.Column, h: F.Column) -> F.Column:
     return F.when(b == 1, h.cast("double")).otherwise((1 - F.pow(b, h)) / (1 - b))
 
 
-def model_fits(series_df: DataFrame, value: str = "TotalSales", season: int = config.MONTHLY_PERIOD,
-               series: str = "series", t: str = "t") -> DataFrame:
-    """Per series and candidate: coefficients, residual count m, SSE, sigma,
-    AICc and in-sample RMSE.  Two aggregates over lag windows; the windows are
-    partitioned by series and hold one row per period."""
+def candidate_values(series_df: DataFrame, value: str = "TotalSales", season: int = config.MONTHLY_PERIOD,
+                     series: str = "series", t: str = "t") -> tuple[DataFrame, DataFrame]:
+    """Per row the one-step fitted value of every candidate (``f_<model>``, null
+    where it has none) and whether the row is scored; and the coefficients per
+    series.  The windows are partitioned by series, one row per period."""
     w = Window.partitionBy(series).orderBy(t)
     y = F.col(value)
     f = (series_df.select(series, t, y.alias("y"))
@@ -177,23 +204,36 @@ def model_fits(series_df: DataFrame, value: str = "TotalSales", season: int = co
         F.count(F.lit(1)).alias("n"), F.avg("y").alias("ybar"), F.avg("d").alias("c"),
         F.regr_intercept("y", "y1").alias("ar_a"), F.regr_slope("y", "y1").alias("ar_b"),
         F.regr_intercept("d", "d1").alias("ad_a"), F.regr_slope("d", "d1").alias("ad_b"))
-    r = f.join(st, series)
-    resid = {
-        "mean": F.col("y") - F.col("ybar"),
-        "drift": F.col("y") - (F.col("y1") + F.col("c")),
-        "ar1": F.col("y") - (F.col("ar_a") + F.col("ar_b") * F.col("y1")),
-        "ar1_diff": F.col("d") - (F.col("ad_a") + F.col("ad_b") * F.col("d1")),
-        "snaive": F.col("y") - F.col("ys"),
+    fitted = {
+        "mean": F.col("ybar"),
+        "drift": F.col("y1") + F.col("c"),
+        "ar1": F.col("ar_a") + F.col("ar_b") * F.col("y1"),
+        "ar1_diff": F.col("y1") + F.col("ad_a") + F.col("ad_b") * F.col("d1"),
+        "snaive": F.col("ys"),
     }
-    aggs = []
-    for m, e in resid.items():
+    skipped = F.when(F.col("n") > season + 4, F.lit(season)).otherwise(F.lit(2))
+    rows = f.join(st, series).select(
+        series, t, "y", (F.col(t) > skipped).alias("scored"),
+        *(e.alias(f"f_{m}") for m, e in fitted.items()))
+    return rows, st
+
+
+def model_fits(series_df: DataFrame, value: str = "TotalSales", season: int = config.MONTHLY_PERIOD,
+               series: str = "series", t: str = "t") -> DataFrame:
+    """Per series and candidate: coefficients, count m of scored rows (the same for
+    all), SSE, sigma, AICc and in-sample RMSE.  A candidate without a value on
+    some scored row is left out."""
+    r, st = candidate_values(series_df, value, season, series, t)
+    aggs = [F.count_if("scored").alias("_m")]
+    for m in MODELS:
+        e = F.when(F.col("scored"), F.col("y") - F.col(f"f_{m}"))
         aggs += [F.sum(F.pow(e, 2)).alias(f"sse_{m}"), F.count(e).alias(f"m_{m}")]
     sse = r.groupBy(series).agg(*aggs)
     k = {"mean": 1, "drift": 1, "ar1": 2, "ar1_diff": 2, "snaive": 0}
     rows = sse.select(series, F.explode(F.array(*[
         F.struct(F.lit(m).alias("model"), F.col(f"sse_{m}").alias("sse"),
-                 F.col(f"m_{m}").alias("m"), F.lit(k[m]).alias("p")) for m in MODELS])).alias("r"))
-    rows = rows.select(series, "r.*")
+                 F.col(f"m_{m}").alias("m"), F.lit(k[m]).alias("p")) for m in MODELS])).alias("r"), "_m")
+    rows = rows.select(series, "r.*", "_m").where("m = _m").drop("_m")
     m_, p_, sse_ = F.col("m").cast("double"), F.col("p").cast("double"), F.col("sse")
     aic = m_ * F.ln(sse_ / m_) + 2 * (p_ + 1)
     aicc = aic + F.try_divide(2 * (p_ + 1) * (p_ + 2), m_ - p_ - 2)
@@ -260,6 +300,19 @@ def forecast_accuracy(series_df: DataFrame, **kw) -> DataFrame:
             .select(series, "model", "p", "m", "sse", "sigma", "aicc", "rmse", "chosen"))
 
 
+def fitted_values(series_df: DataFrame, value: str = "TotalSales", date: str = "Date",
+                  season: int = config.MONTHLY_PERIOD, series: str = "series", t: str = "t") -> DataFrame:
+    """The chosen model's fitted value and residual per period (null where the
+    model has none, at the start of a series)."""
+    rows, _ = candidate_values(series_df, value, season, series, t)
+    best = (model_fits(series_df, value, season, series, t).groupBy(series)
+            .agg(F.min(F.struct("aicc", "model")).getField("model").alias("model")))
+    fitted = F.coalesce(*(F.when(F.col("model") == m, F.col(f"f_{m}")) for m in MODELS))
+    return (rows.join(best, series).join(series_df.select(series, t, date), [series, t])
+            .select(series, date, "model", F.col("y").alias(value), fitted.alias("fitted"),
+                    (F.col("y") - fitted).alias("residual")))
+
+
 def fill_gaps(daily: DataFrame, date: str = "InvoiceDate", value: str = "TotalSales",
               series: str | None = "series", fill: float = 0.0) -> DataFrame:
     """T11 option: one row per calendar day between each series' first and

@@ -9,6 +9,7 @@ are rounded with the same decimals as the oracle so results compare exactly.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,21 +62,26 @@ def rnd(df: DataFrame, spec: dict[str, int | str] | None = None, default: int |
     return df.select(*out)
 
 
-def pops(spark: SparkSession, sf_dir: str, materialize: bool = False) -> clean.Populations:
+def pops(spark: SparkSession, sf_dir: str, materialize: bool = False, columns=None) -> clean.Populations:
     """Populations over the test tables; ``materialize`` for queries that read
-    the clean lines more than once."""
-    return clean.Populations(retail_from_tables(spark, sf_dir), materialize=materialize)
+    the clean lines more than once, of which only ``columns`` are written."""
+    return clean.Populations(retail_from_tables(spark, sf_dir), materialize, columns)
 
 
-KPI_ROUND = {"Mean_Total_Sales": 4, "Median_Total_Sales": 4, "SD_Total_Sales": 3}
+#: What the populations filter on, and what the key figures read besides.
+AMOUNTS = ["Quantity", "Price", "TotalSales"]
+KPI_READS = ["Region", "CustomerID", "Invoice", *AMOUNTS]
+
+
+KPI_ROUND = {"Mean_Total_Sales": "sig", "Median_Total_Sales": 4, "SD_Total_Sales": 3}
 KPI_ROUND_SCALED = {"Mean_Total_Sales": 9, "Median_Total_Sales": 9, "SD_Total_Sales": 9,
                     "Mean_Quantity": 9, "Median_Quantity": 9, "SD_Quantity": 9}
 
 
 def _kpi_query(pop: str, overall_first: bool = False):
     def fn(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rnd(kpi.kpi_table(pops(spark, sf_dir, True).population(pop),
-                                 overall_first=overall_first, mean_decimals=(4, 6)), KPI_ROUND)
+        return rnd(kpi.kpi_table(pops(spark, sf_dir, True, KPI_READS).population(pop),
+                                 overall_first=overall_first), KPI_ROUND)
     return fn
 
 
@@ -88,10 +94,10 @@ register("q_kpi_negative", O.kpi_sql("neg"))(_kpi_query("neg"))
 
 
 @register("q_kpi_scaled", O.kpi_sql("scaled", "TotalSales_MinMax", "Quantity_MinMax",
-                                    rs=(9, 9, 9), rq=(9, 9, 9), exact=False))
+                                    rs=(9, 9, 9), rq=(9, 9, 9)))
 def q_kpi_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rnd(kpi.kpi_table(pops(spark, sf_dir, True).scaled, sales="TotalSales_MinMax",
-                             qty="Quantity_MinMax", exact_means=False), KPI_ROUND_SCALED)
+    return rnd(kpi.kpi_table(pops(spark, sf_dir, True, KPI_READS).scaled, sales="TotalSales_MinMax",
+                             qty="Quantity_MinMax"), KPI_ROUND_SCALED)
 
 
 # --- sources and data quality (S2, U1, F2, A17, R1, F13, W1, W2, W3) ---------
@@ -215,40 +221,39 @@ def q_outlier_counts(spark, sf_dir):
 
 
 @register("q_bulk_impact", O.with_prefix(f"""
-SELECT {O.exact_mean(f"CASE WHEN Quantity < {config.BULK_INCLUSIVE} THEN Quantity END", 6, 6)}
+SELECT round(avg(Quantity) FILTER (WHERE Quantity < {config.BULK_INCLUSIVE}), 6)
          AS mean_quantity_without_bulk,
        round(stddev_samp(Quantity) FILTER (WHERE Quantity < {config.BULK_INCLUSIVE}), 6)
          AS sd_quantity_without_bulk,
-       {O.exact_mean(f"CASE WHEN Quantity >= {config.BULK_INCLUSIVE} THEN Quantity END", 6, 6)}
+       round(avg(Quantity) FILTER (WHERE Quantity >= {config.BULK_INCLUSIVE}), 6)
          AS mean_quantity_with_bulk,
        round(stddev_samp(Quantity) FILTER (WHERE Quantity >= {config.BULK_INCLUSIVE}), 6)
          AS sd_quantity_with_bulk
 FROM sc_z"""))
 def q_bulk_impact(spark, sf_dir):
-    return rnd(kpi.bulk_impact(pops(spark, sf_dir).sc_z, mean_decimals=6))
+    return rnd(kpi.bulk_impact(pops(spark, sf_dir).sc))
 
 
 @register("q_metrics_wo_outliers", O.with_prefix(f"""
-SELECT 'With Outliers' AS Outliers, {O.exact_mean("Quantity", 6, 6)} AS mean_quantity,
+SELECT 'With Outliers' AS Outliers, round(avg(Quantity), 6) AS mean_quantity,
        round(stddev_samp(Quantity), 6) AS sd_quantity FROM sc
 UNION ALL
-SELECT 'Without Outliers', {O.exact_mean("Quantity", 6, 6)}, round(stddev_samp(Quantity), 6) FROM sc
+SELECT 'Without Outliers', round(avg(Quantity), 6), round(stddev_samp(Quantity), 6) FROM sc
 WHERE Quantity NOT IN (SELECT DISTINCT Quantity FROM sc_z
                        WHERE abs(z_score) > {config.Z_OUTLIER} AND Quantity IS NOT NULL)"""))
 def q_metrics_wo_outliers(spark, sf_dir):
     p = pops(spark, sf_dir)
-    return rnd(kpi.metrics_with_without_outliers(p.sc, p.sc_z, mean_decimals=6))
+    return rnd(kpi.metrics_with_without_outliers(p.sc, p.sc_z))
 
 
 def _impact_sql(a: str, b: str, wa: str, wb: str) -> str:
     def one(pop: str) -> str:
-        return (f"SELECT CAST(sum(CAST(TotalSales AS DECIMAL(38,2))) AS DOUBLE) AS ts, "
-                f"{O.exact_mean('TotalSales', 4, 2)} AS ms, median(TotalSales) AS md, "
+        return (f"SELECT sum(TotalSales) AS ts, avg(TotalSales) AS ms, median(TotalSales) AS md, "
                 f"sum(Quantity) AS tq, "
                 f"CAST(count(DISTINCT CustomerID) + max(CAST(CustomerID IS NULL AS INTEGER)) "
                 f"AS DOUBLE) AS uc FROM {pop}")
     return O.with_prefix(f"""
-SELECT m.Metric, round(m.va, 4) AS {wa}, round(m.vb, 4) AS {wb} FROM (
+SELECT m.Metric, {O.sig('m.va')} AS {wa}, {O.sig('m.vb')} AS {wb} FROM (
   SELECT 'Total Sales' AS Metric, pa_.ts AS va, pb_.ts AS vb FROM pa_, pb_
   UNION ALL SELECT 'Mean Sales', pa_.ms, pb_.ms FROM pa_, pb_
   UNION ALL SELECT 'Median Sales', pa_.md, pb_.md FROM pa_, pb_
@@ -258,12 +263,12 @@ SELECT m.Metric, round(m.va, 4) AS {wa}, round(m.vb, 4) AS {wb} FROM (
 
 
 def _impact(spark, sf_dir, kind):
-    p = pops(spark, sf_dir, True)
+    p = pops(spark, sf_dir, True, ["CustomerID", *AMOUNTS])
     if kind == "bulk":
-        t = kpi.impact_table(p.pos, p.noout_pos, "With_Bulk_Orders", "Without_Bulk_Orders", 4)
+        t = kpi.impact_table(p.pos, p.noout_pos, "With_Bulk_Orders", "Without_Bulk_Orders")
     else:
-        t = kpi.impact_table(p.noout_pos, p.nolow, "With_Low_Orders", "Without_Low_Orders", 4)
-    return rnd(t, default=4)
+        t = kpi.impact_table(p.noout_pos, p.nolow, "With_Low_Orders", "Without_Low_Orders")
+    return rnd(t, default="sig")
 
 
 register("q_impact_bulk", _impact_sql("pos", "noout_pos", "With_Bulk_Orders",
@@ -278,8 +283,8 @@ register("q_impact_low", _impact_sql("noout_pos", "nolow", "With_Low_Orders",
 SELECT round(CAST((SELECT count(*) FROM neg) AS DOUBLE)
              / CAST((SELECT count(*) FROM sc) AS DOUBLE) * 100, 9) AS percentage_negative"""))
 def q_negative_share(spark, sf_dir):
-    p = pops(spark, sf_dir)
-    return rnd(kpi.share_percent(p.neg, p.sc, "percentage_negative"), default=9)
+    sc = pops(spark, sf_dir).sc
+    return rnd(kpi.share_percent(sc, F.col("TotalSales") < 0, "percentage_negative"), default=9)
 
 
 @register("q_head_clean", O.with_prefix(f"""
@@ -315,6 +320,17 @@ def q_churn_rate(spark, sf_dir):
     return rnd(cust.churn_rate(cust.churn(pops(spark, sf_dir).sc, as_of=None)), default=9)
 
 
+@register("q_churn_rate_fixed", O.with_prefix(
+    "SELECT count(*) AS customers, CAST(sum(churned) AS BIGINT) AS churned, "
+    "round(sum(churned) / count(*) * 100, 9) AS churn_rate FROM ("
+    "SELECT CustomerID, CASE WHEN max(CAST(InvoiceDate AS DATE)) < CAST("
+    f"DATE '{config.CHURN_REFERENCE_DATE}' - {config.CHURN_DAYS} AS DATE) THEN 1 ELSE 0 END AS churned "
+    "FROM sc GROUP BY CustomerID) f"))
+def q_churn_rate_fixed(spark, sf_dir):
+    """Churn at the script's own reference date."""
+    return rnd(cust.churn_rate(cust.churn(pops(spark, sf_dir).sc)), default=9)
+
+
 _GUEST_SQL = """
 gm AS (SELECT Region, CASE WHEN CustomerID IS NULL THEN 'Guest' ELSE 'Unique' END AS CustomerType,
               count(*) AS line_count, count(DISTINCT CustomerID) AS customer_count
@@ -323,7 +339,7 @@ gm AS (SELECT Region, CASE WHEN CustomerID IS NULL THEN 'Guest' ELSE 'Unique' EN
 
 @register("q_guest_mix", O.with_prefix("SELECT * FROM gm", _GUEST_SQL))
 def q_guest_mix(spark, sf_dir):
-    return cust.guest_mix(pops(spark, sf_dir).pos)
+    return cust.guest_mix(pops(spark, sf_dir).pos).orderBy("Region", "CustomerType")
 
 
 @register("q_guest_mix_profile", O.with_prefix("""
@@ -335,25 +351,29 @@ SELECT stat, round(value, 6) AS value FROM (
   UNION ALL SELECT '3rd Qu.', quantile_cont(line_count, 0.75) FROM gm
   UNION ALL SELECT 'Max', CAST(max(line_count) AS DOUBLE) FROM gm) t""", _GUEST_SQL))
 def q_guest_mix_profile(spark, sf_dir):
-    return rnd(cust.column_profile(cust.guest_mix(pops(spark, sf_dir, True).pos), "line_count"))
+    from tillroll.session import materialize
+
+    mix = materialize(cust.guest_mix(pops(spark, sf_dir).pos), "guest_mix")       # a row per region and type
+    return rnd(cust.column_profile(mix, "line_count"))
 
 
 @register("q_region_avg_bulk", O.with_prefix(f"""
 SELECT 'With Bulk Orders' AS "Bulk Order", Region AS region,
-       {O.exact_mean("TotalSales", 4, 2)} AS avg_total_sales FROM pos GROUP BY Region
+       {O.sig("avg(TotalSales)")} AS avg_total_sales FROM pos GROUP BY Region
 UNION ALL
-SELECT 'Without Bulk Orders', Region, {O.exact_mean("TotalSales", 4, 2)} FROM noout_pos
+SELECT 'Without Bulk Orders', Region, {O.sig("avg(TotalSales)")} FROM noout_pos
 GROUP BY Region"""))
 def q_region_avg_bulk(spark, sf_dir):
-    p = pops(spark, sf_dir)
-    return rnd(cust.region_average_with_without(p.pos.drop("Region"), p.noout_pos.drop("Region"),
-                                                mean_decimals=4), default=4)
+    flags = [f"Region{x}" for x in config.REGION_LEVELS]
+    p = pops(spark, sf_dir, True, [*flags, *AMOUNTS])
+    return rnd(cust.region_average_with_without(p.pos, p.noout_pos),
+               default="sig").orderBy("Bulk Order", "region")
 
 
 # --- daily / monthly series (A19, A20, F6, M31, W6) --------------------------
 from tillroll.operators import timeseries as ts  # noqa: E402
 
-_MONEY = "CAST(sum(CAST(TotalSales AS DECIMAL(38,2))) AS DOUBLE)"
+_MONEY = "sum(TotalSales)"
 
 
 def _daily_sql(pop: str) -> str:
@@ -364,21 +384,27 @@ def _daily_sql(pop: str) -> str:
 def _sign_sql(pop: str) -> str:
     return O.with_prefix(f"""
 SELECT CAST(InvoiceDate AS DATE) AS InvoiceDate,
-  round(CAST(sum(CAST(TotalSales AS DECIMAL(38,2))) FILTER (WHERE TotalSales > 0) AS DOUBLE), 2)
+  round(sum(TotalSales) FILTER (WHERE TotalSales > 0), 2)
     AS PositiveSales,
-  round(CAST(sum(CAST(TotalSales AS DECIMAL(38,2))) FILTER (WHERE TotalSales < 0) AS DOUBLE), 2)
+  round(sum(TotalSales) FILTER (WHERE TotalSales < 0), 2)
     AS NegativeSales
 FROM {pop} GROUP BY 1""")
 
 
+def _noout(spark, sf_dir):
+    """Dates and amounts of the lines without outliers; the clean lines are
+    written once, since the z-score reads them twice."""
+    return pops(spark, sf_dir, True, ["InvoiceDate", *AMOUNTS]).noout
+
+
 register("q_daily_sales", _daily_sql("sc"))(
-    lambda spark, sf_dir: rnd(ts.daily_sales(pops(spark, sf_dir).sc), default=2))
+    lambda spark, sf_dir: rnd(ts.daily_sales(pops(spark, sf_dir).sc), default=2).orderBy("InvoiceDate"))
 register("q_daily_sales_no_outliers", _daily_sql("noout"))(
-    lambda spark, sf_dir: rnd(ts.daily_sales(pops(spark, sf_dir).noout), default=2))
+    lambda spark, sf_dir: rnd(ts.daily_sales(_noout(spark, sf_dir)), default=2).orderBy("InvoiceDate"))
 register("q_daily_sign_trend", _sign_sql("sc"))(
-    lambda spark, sf_dir: rnd(ts.daily_sign_trend(pops(spark, sf_dir).sc), default=2))
+    lambda spark, sf_dir: rnd(ts.daily_sign_trend(pops(spark, sf_dir).sc), default=2).orderBy("InvoiceDate"))
 register("q_daily_sign_trend_no_outliers", _sign_sql("noout"))(
-    lambda spark, sf_dir: rnd(ts.daily_sign_trend(pops(spark, sf_dir).noout), default=2))
+    lambda spark, sf_dir: rnd(ts.daily_sign_trend(_noout(spark, sf_dir)), default=2).orderBy("InvoiceDate"))
 
 _MONTHLY_SQL = f"""
 mo AS (SELECT 'clean' AS series, CAST(date_trunc('month', InvoiceDate) AS DATE) AS Date,
@@ -392,21 +418,27 @@ ms AS (SELECT series, Date,
 
 
 def _monthly(spark, sf_dir):
-    p = pops(spark, sf_dir)
-    return ts.monthly_sales(p.noout_pos, "clean").unionByName(ts.monthly_sales(p.pos, "positive"))
+    """Both monthly series, written once: a row per month, read by several windows."""
+    from tillroll.session import materialize
+
+    p = pops(spark, sf_dir, True, ["InvoiceDate", *AMOUNTS])
+    both = ts.monthly_sales(p.noout_pos, "clean").unionByName(ts.monthly_sales(p.pos, "positive"))
+    return materialize(both, "monthly")
 
 
 @register("q_monthly_sales", O.with_prefix(
     "SELECT series, Date, t, round(TotalSales, 2) AS TotalSales FROM ms", _MONTHLY_SQL))
 def q_monthly_sales(spark, sf_dir):
-    return rnd(_monthly(spark, sf_dir).select("series", "Date", "t", "TotalSales"), default=2)
+    return rnd(_monthly(spark, sf_dir).select("series", "Date", "t", "TotalSales"), default=2).orderBy("series", "Date")
 
 
 # --- decomposition, linear trend (M16-M18, W4, W5) ---------------------------
 def _daily_series(spark, sf_dir):
-    p = pops(spark, sf_dir)
+    from tillroll.session import materialize
+
+    p = pops(spark, sf_dir, True, ["InvoiceDate", *AMOUNTS])
     d = ts.daily_sales(p.sc, "clean").unionByName(ts.daily_sales(p.noout, "no_outliers"))
-    return ts.with_position(d, "InvoiceDate")
+    return ts.with_position(materialize(d, "daily"), "InvoiceDate")
 
 
 _H = config.DAILY_PERIOD // 2
@@ -414,20 +446,18 @@ _H = config.DAILY_PERIOD // 2
 
 _DECOMP_SELECT = f"""
 SELECT tr.series, d AS InvoiceDate, CAST(t AS INTEGER) AS t, round(x, 2) AS TotalSales,
-       round(trend, 6) AS trend, round(figure, 2) AS seasonal,
+       round(trend, 4) AS trend, round(figure, 2) AS seasonal,
        round(x - trend - figure, 3) AS remainder
 FROM tr JOIN fg2 ON tr.series = fg2.series AND (tr.t - 1) % {config.DAILY_PERIOD} = fg2.pos"""
 
 
 def _decomp_sql(daily_cte: str) -> str:
-    """Decomposition CTEs over ``dd(series, d, v DECIMAL)``."""
+    """Decomposition CTEs over ``dd(series, d, v)``."""
     return O.with_prefix(_DECOMP_SELECT, daily_cte + f""",
-dt AS (SELECT series, d, CAST(v AS DOUBLE) AS x, CAST(v AS DOUBLE) AS xv,
+dt AS (SELECT series, d, v AS x,
               row_number() OVER (PARTITION BY series ORDER BY d) AS t FROM dd),
 tr AS (SELECT *, CASE WHEN count(*) OVER w = {2 * _H + 1} THEN
-         CAST(sum(CAST(xv AS DECIMAL(38,2))) OVER w
-              - (CAST(lag(xv, {_H}) OVER o AS DECIMAL(38,2))
-                 + CAST(lead(xv, {_H}) OVER o AS DECIMAL(38,2))) / 2 AS DOUBLE)
+         (sum(x) OVER w - (lag(x, {_H}) OVER o + lead(x, {_H}) OVER o) / 2)
          / {float(config.DAILY_PERIOD)} END AS trend
        FROM dt WINDOW w AS (PARTITION BY series ORDER BY t ROWS BETWEEN {_H} PRECEDING
                             AND {_H} FOLLOWING),
@@ -439,15 +469,15 @@ fg2 AS (SELECT series, pos, f - avg(f) OVER (PARTITION BY series) AS figure FROM
 
 @register("q_decompose_daily", _decomp_sql("""
 dd AS (SELECT 'clean' AS series, CAST(InvoiceDate AS DATE) AS d,
-              sum(CAST(TotalSales AS DECIMAL(38,2))) AS v FROM sc GROUP BY 2
+              sum(TotalSales) AS v FROM sc GROUP BY 2
        UNION ALL
-       SELECT 'no_outliers', CAST(InvoiceDate AS DATE), sum(CAST(TotalSales AS DECIMAL(38,2)))
+       SELECT 'no_outliers', CAST(InvoiceDate AS DATE), sum(TotalSales)
        FROM noout GROUP BY 2)"""))
 def q_decompose_daily(spark, sf_dir):
     d = ts.decompose(_daily_series(spark, sf_dir), "TotalSales", config.DAILY_PERIOD)
     return rnd(d.select("series", "InvoiceDate", "t", "TotalSales", "trend", "seasonal",
                         "remainder"),
-               {"TotalSales": 2, "trend": 6, "seasonal": 2, "remainder": 3})
+               {"TotalSales": 2, "trend": 4, "seasonal": 2, "remainder": 3})
 
 
 _XF = "(year(Date) + (month(Date) - 1) / 12.0)"
@@ -480,9 +510,49 @@ def q_trend_fit(spark, sf_dir):
     return rnd(ts.trend_fit(_monthly(spark, sf_dir)), {"TotalSales": 2}, default="sig8")
 
 
-@register("q_trend_band")
+#: Two-sided p of Student's t by Simpson's rule over the density (SQL has no t distribution).
+def _t_p(t: str, df: str, steps: int = 4000) -> str:
+    return (f"(1 - 2 * exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt({df} * pi()) * abs({t}) / {3 * steps}"
+            f" * list_sum(list_transform(range(0, {steps + 1}), lambda i: (CASE WHEN i = 0 OR i = {steps} THEN 1.0 "
+            f"WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END) * pow(1 + pow(abs({t}) * i / {steps}.0, 2) / {df}, "
+            f"-({df} + 1) / 2.0))))")
+
+
+@register("q_trend_summary", O.with_prefix(f"""
+SELECT s.series, s.n, s.n - 2 AS df, {O.sig('intercept', 8)} AS intercept, {O.sig('se0', 8)} AS se_intercept,
+       {O.sig('intercept / se0', 8)} AS t_intercept, {O.sig(_t_p('(intercept / se0)', '(s.n - 2)'), 6)} AS p_intercept,
+       {O.sig('slope', 8)} AS slope, {O.sig('se1', 8)} AS se_slope, {O.sig('slope / se1', 8)} AS t_slope,
+       {O.sig(_t_p('(slope / se1)', '(s.n - 2)'), 6)} AS p_slope, {O.sig('sigma', 8)} AS sigma,
+       {O.sig('r2', 8)} AS r2, {O.sig('1 - (1 - r2) * (s.n - 1) / (s.n - 2)', 8)} AS adj_r2,
+       {O.sig('pow(slope / se1, 2)', 8)} AS f_value, {O.sig(_t_p('(slope / se1)', '(s.n - 2)'), 6)} AS f_p,
+       {O.sig('e0', 8)} AS resid_min, {O.sig('e1', 8)} AS resid_q1, {O.sig('e2', 8)} AS resid_median,
+       {O.sig('e3', 8)} AS resid_q3, {O.sig('e4', 8)} AS resid_max
+FROM (SELECT *, sigma * sqrt(1.0 / n + pow(x_mean, 2) / sxx) AS se0, sigma / sqrt(sxx) AS se1 FROM lm2) s
+JOIN (SELECT ms.series, min(e) AS e0, quantile_cont(e, 0.25) AS e1, quantile_cont(e, 0.5) AS e2,
+             quantile_cont(e, 0.75) AS e3, max(e) AS e4
+      FROM (SELECT ms.series, TotalSales - (intercept + slope * {_XF}) AS e
+            FROM ms JOIN lm2 ON ms.series = lm2.series) ms GROUP BY ms.series) r ON r.series = s.series""",
+                                           _MONTHLY_SQL + "," + _LM_SQL))
+def q_trend_summary(spark, sf_dir):
+    """The whole regression summary of both monthly series."""
+    return rnd(ts.linear_summary(_monthly(spark, sf_dir)),
+               {"p_intercept": "sig6", "p_slope": "sig6", "f_p": "sig6"}, default="sig8")
+
+
+# FIXED VALUE: 97.5 % quantile of Student's t at 78 degrees of freedom (80 months).
+T975_78 = 1.990847068811692
+
+
+@register("q_trend_band", O.with_prefix(f"""
+SELECT series, Date, round(TotalSales, 2) AS TotalSales, {O.sig('fitted', 8)} AS fitted, {O.sig('se', 8)} AS se_fit,
+       df, {O.sig('crit', 8)} AS t_crit, {O.sig('fitted - crit * se', 8)} AS lower,
+       {O.sig('fitted + crit * se', 8)} AS upper
+FROM (SELECT ms.series, Date, TotalSales, intercept + slope * {_XF} AS fitted,
+             sigma * sqrt(1.0 / n + pow({_XF} - x_mean, 2) / sxx) AS se, n - 2 AS df,
+             CASE WHEN n = 80 THEN {T975_78} END AS crit
+      FROM ms JOIN lm2 ON ms.series = lm2.series) b""", _MONTHLY_SQL + "," + _LM_SQL))
 def q_trend_band(spark, sf_dir):
-    """M17 with the t quantile (pandas UDF on the per-month rows): rows-only."""
+    """Fitted line with its 95 % band."""
     return rnd(ts.trend_band(_monthly(spark, sf_dir)), {"TotalSales": 2}, default="sig8")
 
 
@@ -541,7 +611,7 @@ qq AS (SELECT series, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS med
 f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lower_fence,
              q3 + 1.5 * (q3 - q1) AS upper_fence FROM qq)"""))
 def q_box_stats(spark, sf_dir):
-    p = pops(spark, sf_dir, True)
+    p = pops(spark, sf_dir, True, AMOUNTS)
     long = (p.pos.select(F.lit("quantity").alias("series"), F.col("Quantity").cast("double").alias("x"))
             .unionByName(p.pos.select(F.lit("log_quantity").alias("series"),
                                       ln_pos("Quantity").alias("x")))
@@ -553,15 +623,16 @@ def q_box_stats(spark, sf_dir):
 # --- split, train-fitted scaling, OLS hold-out (M1-M4, M7-M9) ----------------
 from tillroll.operators import inference as inf  # noqa: E402
 
-_SPLIT_SQL = """
+def _part(text: str) -> str:
+    return f"coalesce(length({text}) || ':' || {text}, '-')"
+
+
+_SPLIT_SQL = f"""
 qs_ AS (SELECT quantile_cont(TotalSales, 0.25) AS b1, quantile_cont(TotalSales, 0.5) AS b2,
                quantile_cont(TotalSales, 0.75) AS b3 FROM sc),
 st_ AS (SELECT sc.*, CAST(1 + CAST(TotalSales > b1 AS INTEGER) + CAST(TotalSales > b2 AS INTEGER)
                      + CAST(TotalSales > b3 AS INTEGER) AS INTEGER) AS stratum,
-               md5(concat_ws('|', coalesce(Invoice, ''), coalesce(StockCode, ''),
-                   coalesce(CAST(CAST(Quantity AS DECIMAL(18,2)) AS VARCHAR), ''),
-                   coalesce(CAST(CAST(Price AS DECIMAL(18,2)) AS VARCHAR), ''),
-                   coalesce(CAST(CustomerID AS VARCHAR), ''))) AS h_
+               md5(concat_ws('|', {', '.join(_part(f'CAST({k} AS VARCHAR)') for k in config.DEDUP_KEYS)})) AS h_
         FROM sc, qs_),
 sp AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY h_)
                    <= ceil(0.8 * count(*) OVER (PARTITION BY stratum)) AS is_train FROM st_),
@@ -572,7 +643,7 @@ sps AS (SELECT sp.*, (TotalSales - mu_) / sd_ AS TotalSales_Z,
 
 
 def _split(spark, sf_dir):
-    return inf.stratified_split(pops(spark, sf_dir, True).sc)
+    return inf.stratified_split(pops(spark, sf_dir, True, ["Invoice", "StockCode", "CustomerID", *AMOUNTS]).sc)
 
 
 @register("q_split", O.with_prefix("""
@@ -656,7 +727,7 @@ def _zsql(pop: str) -> str:
 
 def _anova_q(pop: str, scaled: bool):
     def fn(spark, sf_dir):
-        df = pops(spark, sf_dir, True).population(pop)
+        df = pops(spark, sf_dir, True, ["Region", *AMOUNTS]).population(pop)
         if scaled:
             y = F.col("TotalSales_scaled")
             df = cust.zscale(df, ["TotalSales"], "_scaled")
@@ -676,16 +747,37 @@ register("q_anova_scaled_bulk", _anova_sql("zs2", "TotalSales_scaled", _zsql("po
     _anova_q("pos", True))
 
 
-@register("q_anova_pvalues")
+def _anova_p_sql() -> str:
+    """All four tests; the F tail of four group degrees of freedom in closed form."""
+    log = "CASE WHEN TotalSales > 0 THEN ln(TotalSales) END"
+    tests = [("log", "noout_pos", log), ("log_bulk", "pos", log), ("scaled", "zs1", "TotalSales_scaled"),
+             ("scaled_bulk", "zs2", "TotalSales_scaled")]
+    rows = " UNION ALL ".join(f"SELECT '{t}' AS test, Region AS grp, {y} AS y FROM {pop}" for t, pop, y in tests)
+    return O.with_prefix(f"""
+SELECT test, 'group' AS term, CAST(dfb AS BIGINT) AS Df, {O.sig('ssb', 8)} AS Sum_Sq, {O.sig('ssb / dfb', 8)} AS Mean_Sq,
+       {O.sig('fv', 8)} AS F_value, {O.sig('CASE WHEN dfb = 4 THEN exp(dfw / 2.0 * ln(1 - y)) * (1 + dfw / 2.0 * y) END', 8)}
+         AS P_value
+FROM (SELECT *, 4 * fv / (dfw + 4 * fv) AS y FROM (SELECT *, (ssb / dfb) / (ssw / dfw) AS fv FROM as_) f) f
+UNION ALL
+SELECT test, 'Residuals', CAST(dfw AS BIGINT), {O.sig('ssw', 8)}, {O.sig('ssw / dfw', 8)}, NULL, NULL FROM as_""",
+                         f"""{_zsql("noout_pos")}, {_zsql("pos")},
+ay AS ({rows}),
+ag AS (SELECT test, grp, count(*) AS n, avg(y) AS mean, var_samp(y) AS var FROM ay WHERE y IS NOT NULL GROUP BY 1, 2),
+at_ AS (SELECT test, sum(n) AS n_total, count(*) AS k, sum(n * mean) / sum(n) AS grand FROM ag GROUP BY test),
+as_ AS (SELECT ag.test, k - 1 AS dfb, n_total - k AS dfw, sum(n * pow(mean - grand, 2)) AS ssb,
+               sum(coalesce((n - 1) * var, 0)) AS ssw FROM ag JOIN at_ ON ag.test = at_.test GROUP BY ag.test, k, n_total)""")
+
+
+@register("q_anova_pvalues", _anova_p_sql())
 def q_anova_pvalues(spark, sf_dir):
-    """ANOVA tables with the F-distribution p-value (pandas UDF finaliser)."""
-    p = pops(spark, sf_dir)
-    parts = []
-    for name, df, y in [("log", p.noout_pos, ln_pos("TotalSales")),
-                        ("log_bulk", p.pos, ln_pos("TotalSales"))]:
-        parts.append(inf.anova_oneway(df, y, with_pvalue=True).withColumn("test", F.lit(name)))
-    out = parts[0].unionByName(parts[1])
-    return rnd(out, default="sig8")
+    """ANOVA tables of all four tests with the p-value of F."""
+    p = pops(spark, sf_dir, True, ["Region", *AMOUNTS])
+    scaled = [(name, cust.zscale(df, ["TotalSales"], "_scaled"), F.col("TotalSales_scaled"))
+              for name, df in (("scaled", p.noout_pos), ("scaled_bulk", p.pos))]
+    parts = [inf.anova_oneway(df, y, with_pvalue=True).withColumn("test", F.lit(name))
+             for name, df, y in [("log", p.noout_pos, ln_pos("TotalSales")),
+                                 ("log_bulk", p.pos, ln_pos("TotalSales")), *scaled]]
+    return rnd(reduce(DataFrame.unionByName, parts), default="sig8")
 
 
 def _tukey_sql(pop: str) -> str:
@@ -703,7 +795,7 @@ ag AS (SELECT grp, count(*) AS n, avg(y) AS mean, var_samp(y) AS var FROM ay
 
 def _tukey_q(pop: str):
     def fn(spark, sf_dir):
-        df = pops(spark, sf_dir).population(pop)
+        df = pops(spark, sf_dir, True, ["Region", *AMOUNTS]).population(pop)
         # differences of close means lose digits to cancellation: 8 significant
         return rnd(inf.tukey_hsd(df, ln_pos("TotalSales")), default="sig8")
     return fn
@@ -716,7 +808,7 @@ register("q_tukey_log_bulk", _tukey_sql("pos"))(_tukey_q("pos"))
 @register("q_tukey_tests")
 def q_tukey_tests(spark, sf_dir):
     """Tukey HSD with adjusted p-values and 95% bounds (studentized range)."""
-    p = pops(spark, sf_dir)
+    p = pops(spark, sf_dir, True, ["Region", *AMOUNTS])
     a = inf.tukey_hsd(p.noout_pos, ln_pos("TotalSales"), with_pvalue=True).withColumn(
         "test", F.lit("log"))
     b = inf.tukey_hsd(p.pos, ln_pos("TotalSales"), with_pvalue=True).withColumn(
@@ -747,19 +839,32 @@ register("q_customer_features_no_outliers_positive", _feat_sql("noout_pos", Fals
 register("q_customer_features_no_outliers", _feat_sql("noout", True))(_feat("noout", True))
 
 
-@register("q_customer_features_scaled", O.with_prefix(f"""
-SELECT CustomerID,
-  round((TotalSales - avg(TotalSales) OVER ()) / stddev_samp(TotalSales) OVER (), 6) AS TotalSales_z,
-  round((AverageOrderSize - avg(AverageOrderSize) OVER ()) / stddev_samp(AverageOrderSize) OVER (), 6)
-    AS AverageOrderSize_z,
-  round((PurchaseFrequency - avg(PurchaseFrequency) OVER ())
-        / stddev_samp(PurchaseFrequency) OVER (), 6) AS PurchaseFrequency_z
+def _feat_scaled_sql(pop: str, extra: str = "") -> str:
+    names = [*cust.FEATURES, *([extra] if extra else [])]
+    z = ",\n  ".join(f"round(({x} - avg({x}) OVER ()) / stddev_samp({x}) OVER (), 6) AS {x}_z" for x in names)
+    more = ", avg(CAST(Quantity < 0 AS DOUBLE)) AS ReturnRate" if extra else ""
+    return O.with_prefix(f"""
+SELECT CustomerID, {z}
 FROM (SELECT CustomerID, {_MONEY} AS TotalSales, {_MONEY} AS AverageOrderSize,
-             count(*) AS PurchaseFrequency FROM pos GROUP BY CustomerID) f"""))
-def q_customer_features_scaled(spark, sf_dir):
-    f = cust.customer_features(pops(spark, sf_dir).pos)
-    z = cust.zscale(f, cust.FEATURES)
-    return rnd(z.select("CustomerID", *[f"{x}_z" for x in cust.FEATURES]), default=6)
+             count(*) AS PurchaseFrequency{more} FROM {pop} GROUP BY CustomerID) f""")
+
+
+def _feat_scaled(pop: str, extra: str = ""):
+    def fn(spark, sf_dir):
+        from tillroll.session import materialize
+
+        names = [*cust.FEATURES, *([extra] if extra else [])]
+        df = pops(spark, sf_dir, True, ["CustomerID", "Invoice", *AMOUNTS]).population(pop)
+        f = materialize(cust.customer_features(df, return_rate=bool(extra)), "features")
+        return rnd(cust.zscale(f, names).select("CustomerID", *[f"{x}_z" for x in names]), default=6)
+    return fn
+
+
+# the three feature sets of the script, scaled
+register("q_customer_features_scaled", _feat_scaled_sql("pos"))(_feat_scaled("pos"))
+register("q_customer_features_scaled_no_outliers_positive", _feat_scaled_sql("noout_pos"))(_feat_scaled("noout_pos"))
+register("q_customer_features_scaled_no_outliers", _feat_scaled_sql("noout", "ReturnRate"))(
+    _feat_scaled("noout", "ReturnRate"))
 
 
 # --- forecast and its accuracy (M14, M15, W7) --------------------------------
@@ -782,19 +887,22 @@ st AS (SELECT series, count(*) AS n, avg(y) AS ybar, avg(d) AS c,
               regr_intercept(d, d1) AS ad_a, regr_slope(d, d1) AS ad_b,
               arg_max(y, t) AS y_n, arg_max(d, t) AS d_n, max(Date) AS dl, max(t) AS tn
        FROM fl2 GROUP BY series),
-rs AS (SELECT fl2.series,
-         sum(pow(y - ybar, 2)) AS sse_mean, count(y - ybar) AS m_mean,
-         sum(pow(y - (y1 + c), 2)) AS sse_drift, count(y - (y1 + c)) AS m_drift,
-         sum(pow(y - (ar_a + ar_b * y1), 2)) AS sse_ar1, count(y - (ar_a + ar_b * y1)) AS m_ar1,
-         sum(pow(d - (ad_a + ad_b * d1), 2)) AS sse_ar1_diff,
-         count(d - (ad_a + ad_b * d1)) AS m_ar1_diff,
-         sum(pow(y - ys, 2)) AS sse_snaive, count(y - ys) AS m_snaive
-       FROM fl2 JOIN st ON fl2.series = st.series GROUP BY fl2.series),
-cand AS (SELECT series, 'ar1' AS model, sse_ar1 AS sse, m_ar1 AS m, 2 AS p FROM rs
-         UNION ALL SELECT series, 'ar1_diff', sse_ar1_diff, m_ar1_diff, 2 FROM rs
-         UNION ALL SELECT series, 'drift', sse_drift, m_drift, 1 FROM rs
-         UNION ALL SELECT series, 'mean', sse_mean, m_mean, 1 FROM rs
-         UNION ALL SELECT series, 'snaive', sse_snaive, m_snaive, 0 FROM rs),
+cv AS (SELECT fl2.series, t, Date, y, t > CASE WHEN n > {_SEASON + 4} THEN {_SEASON} ELSE 2 END AS scored,
+              ybar AS f_mean, y1 + c AS f_drift, ar_a + ar_b * y1 AS f_ar1,
+              y1 + ad_a + ad_b * d1 AS f_ar1_diff, ys AS f_snaive
+       FROM fl2 JOIN st ON fl2.series = st.series),
+rs AS (SELECT series, count(*) AS m_all,
+         sum(pow(y - f_mean, 2)) AS sse_mean, count(f_mean) AS m_mean,
+         sum(pow(y - f_drift, 2)) AS sse_drift, count(f_drift) AS m_drift,
+         sum(pow(y - f_ar1, 2)) AS sse_ar1, count(f_ar1) AS m_ar1,
+         sum(pow(y - f_ar1_diff, 2)) AS sse_ar1_diff, count(f_ar1_diff) AS m_ar1_diff,
+         sum(pow(y - f_snaive, 2)) AS sse_snaive, count(f_snaive) AS m_snaive
+       FROM cv WHERE scored GROUP BY series),
+cand AS (SELECT series, 'ar1' AS model, sse_ar1 AS sse, m_ar1 AS m, 2 AS p FROM rs WHERE m_ar1 = m_all
+         UNION ALL SELECT series, 'ar1_diff', sse_ar1_diff, m_ar1_diff, 2 FROM rs WHERE m_ar1_diff = m_all
+         UNION ALL SELECT series, 'drift', sse_drift, m_drift, 1 FROM rs WHERE m_drift = m_all
+         UNION ALL SELECT series, 'mean', sse_mean, m_mean, 1 FROM rs WHERE m_mean = m_all
+         UNION ALL SELECT series, 'snaive', sse_snaive, m_snaive, 0 FROM rs WHERE m_snaive = m_all),
 fit AS (SELECT *, m * ln(sse / m) + 2 * (p + 1)
                   + CAST(2 * (p + 1) * (p + 2) AS DOUBLE) / (m - p - 2) AS aicc,
                sqrt(sse / (m - p)) AS sigma, sqrt(sse / m) AS rmse
@@ -847,13 +955,30 @@ def q_forecast_rmse(spark, sf_dir):
     return rnd(ts.forecast_accuracy(_monthly(spark, sf_dir)), default="sig8")
 
 
+@register("q_forecast_fitted", O.with_prefix(f"""
+SELECT cv.series, Date, model, round(y, 2) AS TotalSales, {O.sig('fitted', 8)} AS fitted,
+       round(y - fitted, 2) AS residual
+FROM (SELECT cv.*, model, CASE model WHEN 'mean' THEN f_mean WHEN 'drift' THEN f_drift WHEN 'ar1' THEN f_ar1
+             WHEN 'ar1_diff' THEN f_ar1_diff ELSE f_snaive END AS fitted
+      FROM cv JOIN fitr ON cv.series = fitr.series AND r_ = 1) cv""", _FC_SQL))
+def q_forecast_fitted(spark, sf_dir):
+    """Fitted value and residual per month of the chosen model."""
+    return rnd(ts.fitted_values(_monthly(spark, sf_dir)), {"TotalSales": 2, "residual": 2}, default="sig8")
+
+
 # --- segmentation (M21-M26): random starts, so checked by invariants ---------
 from tillroll.operators import clustering as clus  # noqa: E402
 
 
+def _features(spark, sf_dir):
+    """Customer features, written once: every clustering pass reads them."""
+    from tillroll.session import materialize
+
+    return materialize(cust.customer_features(pops(spark, sf_dir).pos).drop("distinct_orders"), "features")
+
+
 def _segments(spark, sf_dir):
-    f = cust.customer_features(pops(spark, sf_dir).pos).drop("distinct_orders")
-    return clus.segment(f)[0]
+    return clus.segment(_features(spark, sf_dir))[0]
 
 
 @register("q_kmeans_profile")
@@ -861,16 +986,31 @@ def q_kmeans_profile(spark, sf_dir):
     return rnd(clus.cluster_profile(_segments(spark, sf_dir)), default="sig")
 
 
-@register("q_pca_scores")
+#: Two of the three features are equal, so with r their correlation to the third the
+#: eigenvalues are (3 +- sqrt(1 + 8 r^2)) / 2 and 0, the eigenvectors (1, 1, (l - 2) / r) and one of noise.
+@register("q_pca_scores", O.with_prefix("""
+SELECT CustomerID, round(s1 * (2 * a + c1 * b) / sqrt(2 + c1 * c1), 6) AS PC1,
+       round(s2 * (2 * a + c2 * b) / sqrt(2 + c2 * c2), 6) AS PC2, 0.0 AS PC3
+FROM z, (SELECT *, CASE WHEN abs(c1) > 1 AND c1 < 0 THEN -1 ELSE 1 END AS s1,
+                   CASE WHEN abs(c2) > 1 AND c2 < 0 THEN -1 ELSE 1 END AS s2
+         FROM (SELECT ((3 + sqrt(1 + 8 * r * r)) / 2 - 2) / r AS c1, ((3 - sqrt(1 + 8 * r * r)) / 2 - 2) / r AS c2
+               FROM (SELECT corr(a, b) AS r FROM z) r) c) e""", f"""
+z AS (SELECT CustomerID, (ts - avg(ts) OVER ()) / stddev_samp(ts) OVER () AS a,
+             (pf - avg(pf) OVER ()) / stddev_samp(pf) OVER () AS b
+      FROM (SELECT CustomerID, {_MONEY} AS ts, count(*) AS pf FROM pos GROUP BY CustomerID) f)"""))
 def q_pca_scores(spark, sf_dir):
-    return rnd(_segments(spark, sf_dir).select("CustomerID", "PC1", "PC2", "PC3", "Cluster"),
-               default="sig")
+    return rnd(_segments(spark, sf_dir).select("CustomerID", "PC1", "PC2", "PC3"), default=6)
+
+
+@register("q_cluster_projection")
+def q_cluster_projection(spark, sf_dir):
+    """The first two components with each customer's cluster."""
+    return rnd(_segments(spark, sf_dir).select("CustomerID", "PC1", "PC2", "Cluster"), default=6)
 
 
 @register("q_elbow")
 def q_elbow(spark, sf_dir):
-    f = cust.customer_features(pops(spark, sf_dir).pos).drop("distinct_orders")
-    vecs = clus.scaled_vectors(f).persist()
+    vecs = clus.scaled_vectors(_features(spark, sf_dir)).persist()
     vecs.count()
     try:
         out = clus.elbow(vecs)
@@ -880,16 +1020,11 @@ def q_elbow(spark, sf_dir):
 
 
 # --- CSV ingestion round trip (S1, S2, X13) ----------------------------------
-@register("q_csv_roundtrip", O.with_prefix("""
-SELECT src_rank, count(*) AS n_rows,
-       CAST(sum(CAST(Description IS NULL AS BIGINT)) AS BIGINT) AS null_description,
-       CAST(sum(CAST(CustomerID IS NULL AS BIGINT)) AS BIGINT) AS null_customer,
-       CAST(sum(CAST(InvoiceDate IS NULL AS BIGINT)) AS BIGINT) AS null_date,
-       round(sum(Quantity), 2) AS total_quantity
-FROM raw GROUP BY src_rank"""))
+@register("q_csv_roundtrip", O.with_prefix(f"SELECT {_SC_COLS} FROM sc"))
 def q_csv_roundtrip(spark, sf_dir):
-    """Raw lines written as invoice CSV files (shared checkpoint folder) and
-    scanned back through the CSV source: nothing may be lost or altered."""
+    """Raw lines written as invoice CSV files (shared checkpoint folder), scanned
+    back through the CSV source and cleaned: every line must come out as it
+    does from the tables, dates with their seconds."""
     import uuid
 
     from tillroll.session import ensure_checkpoint_dir
@@ -897,14 +1032,7 @@ def q_csv_roundtrip(spark, sf_dir):
 
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/csv-{uuid.uuid4().hex}"
     paths = write_invoice_csv(retail_from_tables(spark, sf_dir), base)
-    back = read_invoice_csv(spark, paths)
-    ts_ = clean.parse_invoice_date("InvoiceDate")
-    return (back.withColumn("InvoiceDate", ts_).groupBy("src_rank")
-            .agg(F.count(F.lit(1)).alias("n_rows"),
-                 F.sum(F.col("Description").isNull().cast("long")).alias("null_description"),
-                 F.sum(F.col("CustomerID").isNull().cast("long")).alias("null_customer"),
-                 F.sum(F.col("InvoiceDate").isNull().cast("long")).alias("null_date"),
-                 F.round(F.sum("Quantity"), 2).alias("total_quantity")))
+    return rnd(clean.clean_lines(read_invoice_csv(spark, paths)), {"TotalSales": 4})
 
 
 # --- min-max scaling over all clean lines (M5, M6, W8) -----------------------
@@ -923,6 +1051,15 @@ def q_scaled_lines(spark, sf_dir):
                          "Quantity_MinMax", "Price_MinMax", "TotalSales_MinMax"), default=9)
 
 
+@register("q_minmax_no_outliers_positive", O.with_prefix("""
+SELECT Quantity, Price, round((TotalSales - lo) / NULLIF(hi - lo, 0), 9) AS TotalSales_MinMax
+FROM noout_pos, (SELECT min(TotalSales) AS lo, max(TotalSales) AS hi FROM noout_pos) m_"""))
+def q_minmax_no_outliers_positive(spark, sf_dir):
+    """Min-max TotalSales of the positive lines without outliers."""
+    df = pops(spark, sf_dir, True, AMOUNTS).noout_pos
+    return rnd(clean.minmax_columns(df, ["TotalSales"]).select("Quantity", "Price", "TotalSales_MinMax"), default=9)
+
+
 # --- many series in one job: monthly forecast per region (M14 at scale) -----
 _MONTHLY_BY_REGION_SQL = f"""
 mo AS (SELECT Region AS series, CAST(date_trunc('month', InvoiceDate) AS DATE) AS Date,
@@ -947,7 +1084,7 @@ def q_forecast_by_region(spark, sf_dir):
 
 @register("q_decompose_by_region", _decomp_sql("""
 dd AS (SELECT Region AS series, CAST(InvoiceDate AS DATE) AS d,
-              sum(CAST(TotalSales AS DECIMAL(38,2))) AS v FROM sc GROUP BY 1, 2)"""))
+              sum(TotalSales) AS v FROM sc GROUP BY 1, 2)"""))
 def q_decompose_by_region(spark, sf_dir):
     """Daily decomposition of one series per region, all in one job."""
     sc = pops(spark, sf_dir).sc
@@ -956,4 +1093,4 @@ def q_decompose_by_region(spark, sf_dir):
     dec = ts.decompose(d, "TotalSales", config.DAILY_PERIOD)
     return rnd(dec.select("series", "InvoiceDate", "t", "TotalSales", "trend", "seasonal",
                           "remainder"),
-               {"TotalSales": 2, "trend": 6, "seasonal": 2, "remainder": 3})
+               {"TotalSales": 2, "trend": 4, "seasonal": 2, "remainder": 3})

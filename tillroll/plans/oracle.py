@@ -54,7 +54,7 @@ raw AS (SELECT 1 AS src_rank, * FROM b WHERE InvoiceDate < TIMESTAMP '1999-01-01
 nodup AS (SELECT src_rank, Invoice, StockCode, Description, Quantity, InvoiceDate, Price,
                  CustomerID, Country FROM (
    SELECT *, row_number() OVER (PARTITION BY Invoice, StockCode, Quantity, Price, CustomerID
-          ORDER BY src_rank, InvoiceDate NULLS FIRST, Description NULLS FIRST,
+          ORDER BY src_rank, InvoiceDate NULLS LAST, Description NULLS FIRST,
                    Country NULLS FIRST) AS rn_ FROM raw) t WHERE rn_ = 1),
 reg AS (SELECT *, Quantity * Price AS TotalSales, {_region_case()} AS Region
         FROM nodup WHERE Quantity <> 0 AND Price <> 0),
@@ -85,20 +85,20 @@ def with_prefix(body: str, extra_ctes: str = "") -> str:
 
 
 def kpi_sql(pop: str, sales: str = "TotalSales", qty: str = "Quantity",
-            rs: tuple[int, int, int] = (4, 4, 3), rq: tuple[int, int, int] = (6, 6, 6),
-            exact: bool = True) -> str:
+            rs: tuple = ("sig", 4, 3), rq: tuple[int, int, int] = (6, 6, 6)) -> str:
     """Overall + per-region key figures of one population (grouping sets).
     ``rs`` / ``rq``: decimals for mean, median, sd of sales / quantity."""
+    mean = sig(f"avg({sales})") if rs[0] == "sig" else f"round(avg({sales}), {rs[0]})"
     return with_prefix(f"""
 SELECT CASE WHEN GROUPING(Region) = 1 THEN 'Overall' ELSE Region END AS Region,
   CAST(count(DISTINCT CustomerID) AS BIGINT) AS Unique_Customers,
   CAST(count(DISTINCT CASE WHEN CustomerID IS NULL THEN Invoice END)
        + coalesce(max(CAST(CustomerID IS NULL AND Invoice IS NULL AS INTEGER)), 0) AS BIGINT)
        AS Guest_Customers,
-  {exact_mean(sales, rs[0], 2) if exact else f"round(avg({sales}), {rs[0]})"} AS Mean_Total_Sales,
+  {mean} AS Mean_Total_Sales,
   round(median({sales}), {rs[1]}) AS Median_Total_Sales,
   round(stddev_samp({sales}), {rs[2]}) AS SD_Total_Sales,
-  {exact_mean(qty, rq[0], 6) if exact else f"round(avg({qty}), {rq[0]})"} AS Mean_Quantity,
+  round(avg({qty}), {rq[0]}) AS Mean_Quantity,
   round(median({qty}), {rq[1]}) AS Median_Quantity,
   round(stddev_samp({qty}), {rq[2]}) AS SD_Quantity,
   CAST(count(DISTINCT Invoice) + coalesce(max(CAST(Invoice IS NULL AS INTEGER)), 0) AS BIGINT)
@@ -115,19 +115,3 @@ def sig(expr: str, digits: int = 10) -> str:
     return (f"(CASE WHEN ({expr}) = 0 THEN 0.0 WHEN {e} < 0 THEN round(({expr}) * {up}) / {up} "
             f"ELSE round(({expr}) / {down}) * {down} END)")
 
-
-def exact_mean(expr: str, decimals: int, scale: int) -> str:
-    """SQL twin of ``kpi.exact_mean``: mean of ``expr`` at ``scale`` decimals,
-    rounded half away from zero to ``decimals`` with 128-bit integers
-    (DuckDB turns decimal division into a double)."""
-    s_int = f"CAST(sum(CAST({expr} AS DECIMAL(38,{scale}))) * {10 ** scale} AS HUGEINT)"
-    n = f"count({expr})"
-    # mean * 10^decimals = S * 10^(decimals - scale) / n, rounded half away from zero
-    if decimals >= scale:
-        num = f"(abs({s_int}) * {2 * 10 ** (decimals - scale)} + {n})"
-        den = f"(2 * {n})"
-    else:
-        num = f"(2 * abs({s_int}) + {n} * {10 ** (scale - decimals)})"
-        den = f"(2 * {n} * {10 ** (scale - decimals)})"
-    return (f"(CASE WHEN {n} = 0 THEN NULL ELSE CAST(sign({s_int}) * ({num} // {den}) "
-            f"AS DOUBLE) / {float(10 ** decimals)} END)")

@@ -30,8 +30,7 @@ def full_report(raw: DataFrame, churn_as_of: str | None = None,
     # key figures of the six populations
     r["kpi_clean"] = kpi.kpi_table(P.sc, overall_first=True)
     r["kpi_positive"] = kpi.kpi_table(P.pos)
-    r["kpi_scaled"] = kpi.kpi_table(P.scaled, sales="TotalSales_MinMax", qty="Quantity_MinMax",
-                                    exact_means=False)
+    r["kpi_scaled"] = kpi.kpi_table(P.scaled, sales="TotalSales_MinMax", qty="Quantity_MinMax")
     r["kpi_no_outliers"] = kpi.kpi_table(P.noout)
     r["kpi_no_outliers_positive"] = kpi.kpi_table(P.noout_pos)
     r["kpi_negative"] = kpi.kpi_table(P.neg)
@@ -44,13 +43,13 @@ def full_report(raw: DataFrame, churn_as_of: str | None = None,
     # outliers, bulk and low-value orders
     r["bulk_lines"] = P.sc.where(F.col("Quantity") > config.BULK_STRICT)
     r["outliers"] = P.out
-    r["bulk_impact"] = kpi.bulk_impact(P.sc_z)
+    r["bulk_impact"] = kpi.bulk_impact(P.sc)
     r["metrics_with_without_outliers"] = kpi.metrics_with_without_outliers(P.sc, P.sc_z)
     r["impact_bulk"] = kpi.impact_table(P.pos, P.noout_pos, "With_Bulk_Orders",
                                         "Without_Bulk_Orders")
     r["impact_low_orders"] = kpi.impact_table(P.noout_pos, P.nolow, "With_Low_Orders",
                                               "Without_Low_Orders")
-    r["negative_share"] = kpi.share_percent(P.neg, P.sc, "percentage_negative")
+    r["negative_share"] = kpi.share_percent(P.sc, F.col("TotalSales") < 0, "percentage_negative")
     # distributions
     r["hist_negative"] = distribution.histogram(P.neg, F.col("TotalSales"),
                                                 config.HIST_WIDTH_NEGATIVE)

@@ -42,7 +42,8 @@ def get_session(master: str | None = None, app: str = "tillroll",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     for k, v in conf.items():
-        if k.startswith("spark.sql."):
+        # a session that exists already takes run-time settings; static ones are the builder's
+        if k.startswith("spark.sql.") and spark.conf.isModifiable(k):
             spark.conf.set(k, v)
     spark.sparkContext.setLogLevel("ERROR")
     return spark

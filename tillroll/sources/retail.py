@@ -122,20 +122,16 @@ def retail_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(F.explode(ranks).alias("src_rank"), *b.columns).select(*RAW_COLUMNS)
 
 
-def write_invoice_csv(raw: DataFrame, base: str) -> list[str]:
+def write_invoice_csv(raw: DataFrame, base: str, ranks: list[int] = (1, 2)) -> list[str]:
     """Write raw lines as one CSV folder per source rank, in the invoice-file
-    text layout (header, ``M/d/yyyy H:mm`` dates, ``Customer ID`` as a
-    double, ``NA`` for missing values).  Returns the folder paths in rank
-    order, ready for :func:`read_invoice_csv`."""
-    ranks = sorted(r[0] for r in raw.select("src_rank").distinct().collect())
-    paths = []
-    for rank in ranks:
-        path = f"{base.rstrip('/')}/file{rank}"
-        (raw.where(F.col("src_rank") == rank)
-         .select("Invoice", "StockCode", "Description", "Quantity",
-                 F.date_format("InvoiceDate", "M/d/yyyy H:mm").alias("InvoiceDate"), "Price",
-                 F.col("CustomerID").cast("double").alias("Customer ID"), "Country")
-         .write.mode("errorifexists").option("header", True).option("nullValue", "NA")
-         .csv(path))
-        paths.append(path)
-    return paths
+    text layout (header, ``M/d/yyyy H:mm:ss`` dates, ``Customer ID`` as a double,
+    ``NA`` for missing values).  One pass writes all ranks, partitioned by
+    rank; the folders of ``ranks`` come back in order, ready for
+    :func:`read_invoice_csv`."""
+    base = base.rstrip("/")
+    (raw.select("src_rank", "Invoice", "StockCode", "Description", "Quantity",
+                F.date_format("InvoiceDate", "M/d/yyyy H:mm:ss").alias("InvoiceDate"), "Price",
+                F.col("CustomerID").cast("double").alias("Customer ID"), "Country")
+     .write.mode("errorifexists").option("header", True).option("nullValue", "NA")
+     .partitionBy("src_rank").csv(base))
+    return [f"{base}/src_rank={rank}" for rank in ranks]

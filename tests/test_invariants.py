@@ -97,6 +97,79 @@ def test_segmentation_invariants(P):
     vecs.unpersist()
 
 
+def _points(spark, rows):
+    from pyspark.ml.feature import VectorAssembler
+
+    df = spark.createDataFrame(rows, "a double, b double")
+    return VectorAssembler(inputCols=["a", "b"], outputCol="scaled").transform(df)
+
+
+def test_kmeans_draws_from_all_rows_and_refuses_too_few(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [(float(x), float(y)) for c in ((0, 0), (10, 0), (0, 10)) for x, y in rng.normal(c, 0.1, (400, 2))]
+    wss, centers = clustering.kmeans_best(_points(spark, rows), 3, 5)
+    assert sorted(map(tuple, np.round(centers))) == [(0, 0), (0, 10), (10, 0)] and wss < 40
+    few = _points(spark, [(1.0, 1.0)] * 50 + [(2.0, 2.0)])
+    with pytest.raises(ValueError):
+        clustering.kmeans_best(few, 3, 2)
+    wss, centers = clustering.kmeans_best(few, 2, 2)
+    assert wss == 0 and sorted(map(tuple, centers)) == [(1, 1), (2, 2)]
+    with pytest.raises(RuntimeError):
+        clustering.multi_start_kmeans(_points(spark, rows), [3], 3, max_iter=1)
+
+
+def test_kmeans_moves_an_empty_cluster(spark, monkeypatch):
+    starts = [[[0.0, 0.0], [100.0, 100.0], [200.0, 200.0]]]
+    monkeypatch.setattr(clustering, "_starting_rows", lambda *a: starts)
+    rows = [(0.0, 0.0), (0.1, 0.0), (5.0, 0.0), (5.1, 0.0), (0.0, 9.0)]
+    table, centers = clustering.multi_start_kmeans(_points(spark, rows), [3], 1)
+    assert table["wss"][0] < 0.02 and len({tuple(c) for c in centers[0]}) == 3
+
+
+def test_chosen_forecast_is_not_the_worst(P):
+    for pop in (P.pos, P.noout_pos):
+        acc = timeseries.forecast_accuracy(timeseries.monthly_sales(pop, "s")).collect()
+        assert len({r["m"] for r in acc}) == 1
+        chosen = next(r for r in acc if r["chosen"])
+        assert chosen["rmse"] < max(r["rmse"] for r in acc)
+        fitted = timeseries.fitted_values(timeseries.monthly_sales(pop, "s")).orderBy("Date").collect()
+        scored = [r["residual"] for r in fitted][-chosen["m"]:]
+        assert (sum(e * e for e in scored) / len(scored)) ** 0.5 == pytest.approx(chosen["rmse"], rel=1e-9)
+
+
+def test_short_series_still_get_a_forecast(spark):
+    rows = [("s", t, float(10 + t % 3)) for t in range(1, 11)]
+    m = spark.createDataFrame(rows, "series string, t int, TotalSales double").withColumn(
+        "Date", F.expr("add_months(DATE '2010-01-01', t - 1)"))
+    assert {r["model"] for r in timeseries.forecast_accuracy(m).collect()} == {"ar1", "ar1_diff", "drift", "mean"}
+    assert timeseries.forecast(m).count() == 12
+
+
+def test_reports_come_out_in_order(spark):
+    from tillroll.plans.catalog import QUERIES
+
+    for name, keys in (("q_daily_sales", ["InvoiceDate"]), ("q_monthly_sales", ["series", "Date"]),
+                       ("q_guest_mix", ["Region", "CustomerType"]), ("q_region_avg_bulk", ["Bulk Order", "region"])):
+        rows = [tuple(r[k] for k in keys) for r in QUERIES[name](spark, SF_SMALL).collect()]
+        assert rows == sorted(rows, key=lambda r: tuple((x is None, x) for x in r)), name
+    first = QUERIES["q_kpi_clean"](spark, SF_SMALL).collect()
+    last = QUERIES["q_kpi_positive"](spark, SF_SMALL).collect()
+    assert first[0]["Region"] == "Overall" == last[-1]["Region"]
+
+
+def test_bounds_are_checked(spark):
+    from tillroll.operators import distribution
+
+    df = spark.createDataFrame([(0.0,), (1e9,)], "x double")
+    with pytest.raises(Exception, match="bins"):
+        distribution.histogram(df, F.col("x"), 1.0, fill_empty=True).collect()
+    many = spark.range(300).select(F.col("id").cast("string").alias("Region"), F.rand(1).alias("y"))
+    with pytest.raises(Exception, match="groups"):
+        inference.tukey_hsd(many, F.col("y")).collect()
+
+
 def test_forecast_shape(P):
     m = timeseries.monthly_sales(P.pos, "positive")
     fc = timeseries.forecast(m).collect()

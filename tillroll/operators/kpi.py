@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll import config
-from tillroll.functions.columns import c
-from tillroll.operators.order_stats import exact_quantiles
+from tillroll.functions.columns import c, join_null_safe
+from tillroll.operators.order_stats import FINAL_LIMIT, exact_quantiles
 
 KPI_COLUMNS = [
     "Region", "Unique_Customers", "Guest_Customers", "Mean_Total_Sales",
@@ -36,37 +36,34 @@ def kpi_table(df: DataFrame, sales: str = "TotalSales", qty: str = "Quantity",
               overall_first: bool = False, approx_median: bool = False) -> DataFrame:
     """Nine key figures per ``by`` value plus one overall row.
 
-    One pass with ``rollup`` (grouping sets (by), ()) for counts, means and
-    sample standard deviations; medians come from the exact distributed
-    quantile operator (or ``percentile_approx`` with ``approx_median=True``),
-    joined on the small per-group result.
+    Two aggregates over grouping sets (by), (): distinct counts on the ids alone
+    (their row expansion then carries no amounts), and means with sample
+    standard deviations.  Medians are exact: part of the second aggregate up to
+    ``order_stats.FINAL_LIMIT`` rows, beyond from the distributed quantile operator
+    (or ``percentile_approx`` with ``approx_median=True``).  The small results
+    are joined per group, a null group included.
     """
     cust, inv = F.col("CustomerID"), F.col("Invoice")
-    label = F.when(F.col("_gid") == 1, F.lit(overall_label)).otherwise(c(by)).alias("Region")
-    aggs = [
-        F.grouping(by).alias("_gid"),
-        F.count_distinct(cust).cast("long").alias("Unique_Customers"),
+    gid = F.grouping(by).alias("_gid")
+    ids = df.select(c(by), cust, inv).rollup(c(by)).agg(
+        gid, F.count_distinct(cust).cast("long").alias("Unique_Customers"),
         _guest_invoices(cust, inv).alias("Guest_Customers"),
-        F.avg(sales).alias("Mean_Total_Sales"),
-        F.stddev_samp(sales).alias("SD_Total_Sales"),
-        F.avg(qty).alias("Mean_Quantity"),
-        F.stddev_samp(qty).alias("SD_Quantity"),
-        n_distinct_with_null(inv).alias("Total_Unique_Invoices"),
-    ]
-    if approx_median:
-        aggs += [F.percentile_approx(sales, 0.5, 10000).cast("double").alias("Median_Total_Sales"),
-                 F.percentile_approx(qty, 0.5, 10000).cast("double").alias("Median_Quantity")]
-    base = df.rollup(c(by)).agg(*aggs).select(label, *[a for a in [
-        "Unique_Customers", "Guest_Customers", "Mean_Total_Sales", "SD_Total_Sales",
-        "Mean_Quantity", "SD_Quantity", "Total_Unique_Invoices"]],
-        *(["Median_Total_Sales", "Median_Quantity"] if approx_median else []))
-    if not approx_median:
-        med = grouped_medians(df, by, {"Median_Total_Sales": sales, "Median_Quantity": qty},
-                              overall_label)
-        base = base.join(med, "Region", "left")
+        n_distinct_with_null(inv).alias("Total_Unique_Invoices"))
+    amounts = [gid, F.avg(sales).alias("Mean_Total_Sales"), F.stddev_samp(sales).alias("SD_Total_Sales"),
+               F.avg(qty).alias("Mean_Quantity"), F.stddev_samp(qty).alias("SD_Quantity")]
+    bounded = not approx_median and df.count() <= FINAL_LIMIT
+    median = F.median if bounded else lambda x: F.percentile_approx(x, 0.5, 10000).cast("double")
+    if bounded or approx_median:
+        amounts += [median(sales).alias("Median_Total_Sales"), median(qty).alias("Median_Quantity")]
+    out = join_null_safe(ids, df.rollup(c(by)).agg(*amounts), [by, "_gid"])
+    label = F.when(F.col("_gid") == 1, F.lit(overall_label)).otherwise(c(by))
+    out = out.withColumn("Region", label).drop(*([by] if by != "Region" else []), "_gid")
+    if not (bounded or approx_median):
+        out = out.join(grouped_medians(df, by, {"Median_Total_Sales": sales, "Median_Quantity": qty},
+                                       overall_label), "Region", "left")
     order = F.when(F.col("Region") == overall_label, 0 if overall_first else 1).otherwise(
         1 if overall_first else 0)
-    return base.orderBy(order, F.col("Region").asc_nulls_last()).select(*KPI_COLUMNS)
+    return out.orderBy(order, F.col("Region").asc_nulls_last()).select(*KPI_COLUMNS)
 
 
 def grouped_medians(df: DataFrame, by: str, values: dict[str, str],

@@ -620,6 +620,17 @@ def q_box_stats(spark, sf_dir):
     return rnd(dist.box_stats(long, F.col("x"), by=["series"]), default=9)
 
 
+@register("q_quartiles_refined", O.with_prefix(" UNION ALL ".join(
+    f"SELECT Region, CAST({p} AS DOUBLE) AS p, round(quantile_cont(TotalSales, {p}), 6) AS q FROM pos GROUP BY Region"
+    for p in (0.25, 0.5, 0.75))))
+def q_quartiles_refined(spark, sf_dir):
+    """Exact quartiles per region by histogram refinement, as for groups of any size."""
+    from tillroll.operators.order_stats import exact_quantiles
+
+    pos = pops(spark, sf_dir, True, ["Region", *AMOUNTS]).pos
+    return rnd(exact_quantiles(pos, ["Region"], "TotalSales", [0.25, 0.5, 0.75], final_limit=100, buckets=64))
+
+
 # --- split, train-fitted scaling, OLS hold-out (M1-M4, M7-M9) ----------------
 from tillroll.operators import inference as inf  # noqa: E402
 

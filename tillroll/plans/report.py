@@ -15,9 +15,10 @@ from tillroll import config
 from tillroll.functions.columns import ln_pos
 from tillroll.operators import (clean, clustering, customers, distribution, inference, kpi,
                                 quality, timeseries)
+from tillroll.session import materialize
 
 
-def full_report(raw: DataFrame, churn_as_of: str | None = None,
+def full_report(raw: DataFrame, churn_as_of: str | None = config.CHURN_REFERENCE_DATE,
                 with_clustering: bool = True) -> dict[str, DataFrame]:
     P = clean.Populations(raw, materialize=True)
     r: dict[str, DataFrame] = {}
@@ -87,12 +88,13 @@ def full_report(raw: DataFrame, churn_as_of: str | None = None,
     r["daily_sign_trend_no_outliers"] = timeseries.daily_sign_trend(P.noout)
     r["decomposition"] = timeseries.decompose(timeseries.with_position(daily, "InvoiceDate"),
                                               "TotalSales", config.DAILY_PERIOD)
-    monthly = (timeseries.monthly_sales(P.noout_pos, "clean")
-               .unionByName(timeseries.monthly_sales(P.pos, "positive")))
+    monthly = materialize(timeseries.monthly_sales(P.noout_pos, "clean")
+                          .unionByName(timeseries.monthly_sales(P.pos, "positive")), "monthly")
     r["monthly_sales"] = monthly
     r["forecast"] = timeseries.forecast(monthly)
     r["forecast_accuracy"] = timeseries.forecast_accuracy(monthly)
-    r["trend"] = timeseries.linear_trend(monthly)
+    r["forecast_fitted"] = timeseries.fitted_values(monthly)
+    r["trend"] = timeseries.linear_summary(monthly)
     r["trend_band"] = timeseries.trend_band(monthly)
     # customer segmentation
     r["customer_features_positive"] = customers.customer_features(P.pos)

@@ -140,7 +140,29 @@ def _cells(words: int, num: int, den: int, parts: int):
     return run
 
 
-def _shared_counts(batches):
+def _packed_counts(total: dict[bytes, int], parts: int) -> pa.RecordBatch:
+    """Counts by class, dealt out by class: one row for each partition."""
+    names = np.frombuffer(b"".join(total), dtype="V16")
+    counts = np.fromiter(total.values(), np.int64, len(total))
+    home = names.view(np.uint64)[::2] % np.uint64(parts) if len(names) else np.zeros(0, np.uint64)
+    rows = [(int(p), names[home == p].tobytes(), X.pack_ints(counts[home == p])) for p in np.unique(home)]
+    part, classes, packed = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(classes, pa.binary()),
+                                       pa.array(packed, pa.binary())], names=["part", "classes", "counts"])
+
+
+def _sum_counts(batches):
+    total: dict[bytes, int] = {}
+    for batch in batches:
+        for c, r in zip(batch.column("classes").to_pylist(), batch.column("counts").to_pylist()):
+            for i, v in enumerate(X.unpack_ints(r).tolist()):
+                key = c[16 * i:16 * i + 16]
+                total[key] = total.get(key, 0) + v
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()),
+                                      pa.array(list(total.values()), pa.int64())], names=["cls", "c"])
+
+
+def _merge_cells(batches) -> dict[bytes, int]:
     """Merge the cells of a partition: how many of its grams here each class
     shares with another class (a class of several tasks may count twice)."""
     grams, refs, flags, names, total = [], [], [], [], {}
@@ -172,8 +194,13 @@ def _shared_counts(batches):
         for k, v in zip(unique, found.tolist()):
             if v:
                 total[k] = total.get(k, 0) + v
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()),
-                                      pa.array(list(total.values()), pa.int64())], names=["cls", "c"])
+    return total
+
+
+def _shared_counts(parts: int):
+    def run(batches):
+        yield _packed_counts(_merge_cells(batches), parts)
+    return run
 
 
 def _sets_of(words: int):
@@ -277,8 +304,9 @@ def class_components(docs: DataFrame, classes: DataFrame, words: int, num: int,
     parts = shuffle_parts(spark)
     cells = docs.where("doc_id IS NOT NULL").mapInArrow(
         _cells(words, num, den, parts), "part int, grams binary, classes binary, refs binary")
-    shared = (cells.repartitionById(parts, "part").mapInArrow(_shared_counts, "cls binary, c long")
-              .groupBy("cls").agg(F.sum("c").alias("c")))
+    shared = (cells.repartitionById(parts, "part")
+              .mapInArrow(_shared_counts(parts), "part int, classes binary, counts binary")
+              .repartitionById(parts, "part").mapInArrow(_sum_counts, "cls binary, c long"))
     m = _needed("n", num, den)
     rest = (classes.where("doc_id IS NOT NULL").join(shared, "cls").withColumn("m", m)
             .where(F.col("c") >= F.col("m") - _needed("m", num, den) + 1))

@@ -259,10 +259,12 @@ def _needed(n, num: int, den: int):
 
 
 def _candidates(left: DataFrame, right: DataFrame, num: int, den: int) -> DataFrame:
-    """Classes that meet on a prefix gram (left: h, cls, n, pos; right: h, cls2,
-    n2, pos2) and pass the length and the positional filter."""
+    """Classes that meet on a prefix gram (left: h, cls, n, single, pos; right: the
+    same with a 2) and pass the length and the positional filter: grams that no
+    other class holds can't match, of the others before this gram no more than
+    either has, of those behind it likewise."""
     least = F.ceil(F.expr(f"({num} * (n + n2)) / {num + den}D"))
-    most = (F.least("pos", "pos2") + F.lit(1)
+    most = (F.least(F.expr("pos - single"), F.expr("pos2 - single2")) + F.lit(1)
             + F.least(F.expr("n - pos - 1"), F.expr("n2 - pos2 - 1")))
     return (left.join(right, "h").where("cls <> cls2")
             .where(F.expr(f"{den} * least(n, n2) >= {num} * greatest(n, n2)"))
@@ -326,14 +328,17 @@ def class_components(docs: DataFrame, classes: DataFrame, words: int, num: int,
               .withColumn("p", (F.col("n") - _needed("n", num, den) + 1 - F.col("single")).cast("int"))
               .where("p > 0")
               .select("cls", "n", "single", F.posexplode(F.expr("slice(grams, 1, p)")).alias("i", "h"))
-              .select("h", "cls", "n", (F.col("single") + F.col("i")).alias("pos")))
+              .select("h", "cls", "n", "single", (F.col("single") + F.col("i")).alias("pos")))
     prefix = stored(prefix, "prefixes")
 
-    # a few centres of each bucket: almost all links of a group of near copies
-    row = F.struct(F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
+    # a few centres of each bucket: almost all links of a group of near copies.  The
+    # first has the smallest share of grams of its own (the least edited copy).
+    second = [F.col(c).alias(f"{c}2") for c in ("cls", "n", "single", "pos")]
+    row = F.struct(*second)
+    ranks = [F.struct(F.col("single") / F.col("n"), "cls"),
+             *(F.struct(F.xxhash64("h", "cls", F.lit(s))) for s in range(1, CENTRES))]
     centres = (prefix.groupBy("h")
-               .agg(F.count("*").alias("m"),
-                    *(F.min_by(row, F.xxhash64("h", "cls", F.lit(s))).alias(f"c{s}") for s in range(CENTRES)))
+               .agg(F.count("*").alias("m"), *(F.min_by(row, r).alias(f"c{s}") for s, r in enumerate(ranks)))
                .where("m > 1")
                .select("h", F.explode(F.array_distinct(F.array(*(f"c{s}" for s in range(CENTRES))))).alias("c"))
                .select("h", "c.*"))
@@ -351,8 +356,7 @@ def class_components(docs: DataFrame, classes: DataFrame, words: int, num: int,
     per = own.groupBy("h", "comp").agg(F.count("*").alias("m"))
     mixed = per.groupBy("h").agg(F.count("*").alias("k"), F.max_by("comp", "m").alias("big")).where("k > 1")
     own = own.join(mixed.select("h", "big"), "h")
-    right = own.select("h", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"),
-                       F.col("comp").alias("comp2"))
+    right = own.select("h", *second, F.col("comp").alias("comp2"))
     open_pairs = (_candidates(own.where("comp <> big"), right, num, den).where("comp <> comp2")
                   .where("comp2 = big OR cls < cls2")
                   .select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b"))

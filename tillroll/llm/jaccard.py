@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 
 from tillroll.llm import exchange as X
 from tillroll.llm.components import components
-from tillroll.llm.shared import shuffle_parts, small_side, stored, tune
+from tillroll.llm.shared import shuffle_parts, split_by_keys, stored, tune
 from tillroll.llm.textkit import gram_hashes, mix, word_hashes
 
 #: Grams that a task gathers before it sends packed cells (about 16 bytes each).
@@ -314,7 +314,8 @@ def class_components(docs: DataFrame, classes: DataFrame, words: int, num: int,
             .where(F.col("c") >= F.col("m") - _needed("m", num, den) + 1))
     rest = stored(rest.select("cls", "doc_id"), "survivors")
 
-    sets = stored(docs.join(small_side(rest), "doc_id")
+    some, _ = split_by_keys(docs, rest, "doc_id")
+    sets = stored(some.join(rest, "doc_id")
                   .mapInArrow(_sets_of(words), "cls binary, n long, grams array<long>"), "gram-sets")
     grams = sets.select("cls", "n", F.explode("grams").alias("h"))
     held = grams.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
@@ -387,6 +388,6 @@ def keep_first(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -
     smallest doc_id stays (rows that repeat that doc_id are the same document);
     rows without a doc_id stay.  Column names and order are kept."""
     found = near_duplicates(docs, words, num, den)
-    chosen = stored(found.where("doc_id = component_id").select("doc_id").distinct(), "kept-ids")
-    known = docs.where("doc_id IS NOT NULL").join(small_side(chosen), "doc_id", "left_semi")
-    return known.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    gone = stored(found.where("doc_id <> component_id").select("doc_id"), "near-duplicates")
+    some, rest = split_by_keys(docs, gone, "doc_id")
+    return rest.unionByName(some.join(gone, "doc_id", "left_anti"))

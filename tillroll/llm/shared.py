@@ -9,8 +9,8 @@ from tillroll.session import materialize
 
 #: Rows of an Arrow batch: with whole texts this bounds a Python worker's memory.
 BATCH_ROWS = 1000
-#: A key list may be broadcast up to so many rows or list elements (16 to 40 bytes each).
-BROADCAST_KEYS = 1_000_000
+#: Bits of a key filter: as a table at most 2**20 rows, whatever it is made from.
+FILTER_BITS = 26
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -28,13 +28,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, name)
 
 
-def small_side(stored_df: DataFrame, weight: Column | None = None,
-               limit: int = BROADCAST_KEYS) -> DataFrame:
-    """Broadcast a *stored* table if its counted rows, or the elements of its
-    rows (``weight``), are within the limit; beyond it the join shuffles both
-    sides.  The result is the same."""
-    units = F.count("*") if weight is None else F.coalesce(F.sum(weight), F.lit(0)) + F.count("*")
-    return F.broadcast(stored_df) if stored_df.agg(units.alias("n")).first()["n"] <= limit else stored_df
+def split_by_keys(docs: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` whose ``key`` may be among ``keys``, and the rest, in which
+    none is (nor a null key).
+
+    The keys become a bit set of fixed size, broadcast as a table of 64-bit words
+    with at most ``2**(FILTER_BITS - 6)`` rows.  Where few rows match, a join
+    with the keys then shuffles few texts; where the set fills up, the first part
+    is all rows, and only time is lost.
+    """
+    word, bit, mask = (free_name(n, docs.columns) for n in ("word", "bit", "mask"))
+    place = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(1 << FILTER_BITS))
+    at = [F.shiftrightunsigned(place, 6).alias(word), (place % 64).cast("int").alias(bit)]
+    words = (keys.where(F.col(key).isNotNull()).select(*at).groupBy(word)
+             .agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias(mask)))
+    words = F.broadcast(stored(words, "key-filter"))
+    marked = docs.select("*", *at).join(words, word, "left")
+    may = F.col(key).isNotNull() & F.coalesce(
+        F.expr(f"shiftrightunsigned({mask}, {bit}) & 1L = 1L"), F.lit(False))
+    return marked.where(may).select(*docs.columns), marked.where(~may).select(*docs.columns)
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name`` with underscores before it, unlike any column taken."""
+    low = {c.lower() for c in taken}
+    while name in low:
+        name = "_" + name
+    return name
 
 
 def code_points(text: Column | str) -> Column:

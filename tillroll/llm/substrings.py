@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm import exchange as X
-from tillroll.llm.shared import code_points, shuffle_parts, small_side, stored, tune
+from tillroll.llm.shared import code_points, free_name, shuffle_parts, split_by_keys, stored, tune
 from tillroll.llm.textkit import gram_hashes, mix, word_hashes
 
 #: Windows that a task gathers before it sends packed cells.
@@ -338,14 +338,15 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
         F.ceil(F.sum(F.col("stop") - F.col("start")) / QUERY_WORDS).cast("long").alias("salts")), "salts")
     pick = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("salts"))
     none = F.lit(None).cast("long")
-    wanted = (queries.join(small_side(salts), "shard")
+    wanted = (queries.join(salts, "shard")
               .select("doc_id", "start", "stop", "shard", pick.alias("salt"), none.alias("salts"))
-              .unionByName(refs.withColumn("shard", shard("doc_id")).join(small_side(salts), "shard")
+              .unionByName(refs.withColumn("shard", shard("doc_id")).join(salts, "shard")
                            .select("doc_id", "start", "stop", "shard", none.alias("salt"), "salts"))
               .groupBy("doc_id")
               .agg(F.collect_set(F.struct("start", "stop", "shard", "salt", "salts")).alias("wanted")))
     wanted = stored(wanted, "passages")
-    pieces = docs.join(small_side(wanted, F.size("wanted")), "doc_id").mapInArrow(
+    some, _ = split_by_keys(docs, wanted, "doc_id")
+    pieces = some.join(wanted, "doc_id").mapInArrow(
         _pieces(window), "shard long, salt long, ref boolean, doc_id long, start long, words binary")
     spans = pieces.groupBy("shard", "salt").applyInArrow(
         _stream(window), "doc_id long, start long, stop long")
@@ -375,10 +376,19 @@ def removal_digest(docs: DataFrame, window: int = 20) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row; null text is empty."""
     spans = stored(repeated_spans(docs, window), "spans")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.join(small_side(spans, F.size("spans")), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(
+    return with_spans(docs, spans, "spans").select("doc_id", "text", "spans").mapInArrow(
         _digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
+def with_spans(docs: DataFrame, spans: DataFrame, name: str) -> DataFrame:
+    """``docs`` with their spans (null: none) as column ``name``.  Only texts of
+    documents that have some are shuffled."""
+    spans = spans.withColumnRenamed("spans", name)
+    some, rest = split_by_keys(docs, spans, "doc_id")
+    return some.join(spans, "doc_id", "left").select(*docs.columns, name).unionByName(
+        rest.withColumn(name, F.lit(None).cast(spans.schema[name].dataType)))
+
+
 def without_spans(text: str, spans) -> str:
     """``text`` without the words in ``spans``, and the white space after them."""
     import re
@@ -398,10 +408,8 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     to date) with repeated passages cut from the texts; every row stays."""
     spans = stored(repeated_spans(docs, window), "spans")
     names = docs.columns
-    hidden = "_spans"
-    while hidden in names:
-        hidden += "_"
-    out = docs.join(small_side(spans.withColumnRenamed("spans", hidden), F.size(hidden)), "doc_id", "left")
+    hidden = free_name("spans", names)
+    out = with_spans(docs, spans, hidden)
 
     @F.pandas_udf("string")
     def cut(text, spans):

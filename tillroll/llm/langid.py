@@ -14,6 +14,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,7 +50,7 @@ _LETTER = regex.compile(r"\p{L}")
 def trigram_rows(column: pa.Array, dimensions: int = DIMENSIONS):
     """Yield (row, counts of hashed trigrams, whether the text has a letter); null
     is empty.  A text is taken in slices, so its length doesn't matter."""
-    lowered = pa.compute.utf8_lower(column.fill_null("") if column.null_count else column)
+    lowered = pc.utf8_lower(column.fill_null("") if column.null_count else column)
     for row, (text, low) in enumerate(zip(column.to_pylist(), lowered.to_pylist())):
         counts = np.zeros(dimensions)
         data = _CLEAN[np.frombuffer(b" " + low.encode() + b" ", np.uint8)]

@@ -15,6 +15,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,7 +53,7 @@ def _matrix(column: pa.Array, rows: np.ndarray, width: int) -> np.ndarray:
 
 
 def _widths(column: pa.Array) -> np.ndarray:
-    return np.array(pa.compute.list_value_length(column), np.int64)
+    return np.array(pc.list_value_length(column), np.int64)
 
 
 def _pivot_distances(pivots: dict[int, np.ndarray]):

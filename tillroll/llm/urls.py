@@ -105,7 +105,7 @@ def _judge(name: str, default: str):
             best: list[tuple] = [(-1, -1, -1)] * len(hosts)
             for i, text, j in zip(owner, tried, table.find(tried)):
                 if j >= 0:
-                    best[i] = max(best[i], (len(text), text.find(b"/"), j))
+                    best[i] = max(best[i], (len(text), (text + b"/").find(b"/"), j))
             rules = [None if j < 0 else table.text(j).decode() for _, _, j in best]
             verdicts = [default if j < 0 else ("allow", "block")[table.block[j]] for _, _, j in best]
             yield pa.RecordBatch.from_arrays(

@@ -262,13 +262,17 @@ def _candidates(left: DataFrame, right: DataFrame, num: int, den: int) -> DataFr
     """Classes that meet on a prefix gram (left: h, cls, n, single, pos; right: the
     same with a 2) and pass the length and the positional filter: grams that no
     other class holds can't match, of the others before this gram no more than
-    either has, of those behind it likewise."""
+    either has, of those behind it likewise.  Where both sides know the shared
+    grams ``before``, a pair meets once only, on its first common gram, and
+    nothing before it matches."""
+    once = "before" in left.columns
     least = F.ceil(F.expr(f"({num} * (n + n2)) / {num + den}D"))
-    most = (F.least(F.expr("pos - single"), F.expr("pos2 - single2")) + F.lit(1)
-            + F.least(F.expr("n - pos - 1"), F.expr("n2 - pos2 - 1")))
-    return (left.join(right, "h").where("cls <> cls2")
-            .where(F.expr(f"{den} * least(n, n2) >= {num} * greatest(n, n2)"))
-            .where(most >= least))
+    before = F.lit(0) if once else F.least(F.expr("pos - single"), F.expr("pos2 - single2"))
+    most = before + F.lit(1) + F.least(F.expr("n - pos - 1"), F.expr("n2 - pos2 - 1"))
+    met = (left.join(right, "h").where("cls <> cls2")
+           .where(F.expr(f"{den} * least(n, n2) >= {num} * greatest(n, n2)"))
+           .where(most >= least))
+    return met.where(~F.arrays_overlap("before", "before2")) if once else met
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -356,8 +360,10 @@ def class_components(docs: DataFrame, classes: DataFrame, words: int, num: int,
     own = stored(own, "labelled-prefixes")
     per = own.groupBy("h", "comp").agg(F.count("*").alias("m"))
     mixed = per.groupBy("h").agg(F.count("*").alias("k"), F.max_by("comp", "m").alias("big")).where("k > 1")
-    own = own.join(mixed.select("h", "big"), "h")
-    right = own.select("h", *second, F.col("comp").alias("comp2"))
+    own = (own.join(mixed.select("h", "big"), "h").join(ranked.select("cls", "grams"), "cls")
+           .withColumn("before", F.expr("slice(grams, 1, CAST(pos - single AS INT))")).drop("grams"))
+    own = stored(own, "open-prefixes")
+    right = own.select("h", *second, F.col("comp").alias("comp2"), F.col("before").alias("before2"))
     open_pairs = (_candidates(own.where("comp <> big"), right, num, den).where("comp <> comp2")
                   .where("comp2 = big OR cls < cls2")
                   .select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b"))

@@ -19,6 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -157,41 +158,44 @@ def fold_merges(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     for piece, rank in ranks.items():
         key = piece.hex().upper()
         buckets[zlib.crc32(key.encode()) % BUCKETS][key] = rank
-    table = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
-
-    def rank(piece):
-        return F.try_element_at(F.get(table, (F.crc32(piece) % BUCKETS).cast("int")), piece)
-
+    literal = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
     none = F.lit(2**31 - 1)
-    pair = lambda a, b: F.coalesce(rank(F.concat(a, b)), none)
-    n = F.length("word")
-    pieces = F.transform(F.sequence(F.lit(1), n), lambda i: F.hex(F.substring("word", i, F.lit(1))))
-    start = words.select("word", pieces.alias("p")).select(
-        "word", "p",
-        F.when(F.size("p") > 1, F.transform(F.sequence(F.lit(0), F.size("p") - 2),
-                                            lambda i: pair(F.get("p", i), F.get("p", i + 1))))
-        .otherwise(F.array().cast("array<int>")).alias("r"))
-
-    def step(state, _):
-        p, r = state["p"], state["r"]
-        low = F.array_min(r)
-        i = F.array_position(r, low).cast("int")              # pieces i and i + 1, from 1
-        size = F.size(p)
-        both = F.concat(F.get(p, i - 1), F.get(p, i))
-        left = F.when(i > 1, F.concat(F.slice(r, 1, F.greatest(i - 2, F.lit(0))),
-                                      F.array(pair(F.get(p, i - 2), both)))).otherwise(F.slice(r, 1, 0))
-        right = F.when(i + 1 < size, F.concat(F.array(pair(both, F.get(p, i + 1))),
-                                              F.slice(r, i + 2, F.greatest(size - i - 2, F.lit(0))))
-                       ).otherwise(F.slice(r, 1, 0))
-        merged = F.concat(F.slice(p, 1, i - 1), F.array(both), F.slice(p, i + 2, F.greatest(size - i - 1, F.lit(0))))
-        return F.when((F.size(r) > 0) & (low < none),
-                      F.struct(merged.alias("p"), F.concat(left, right).alias("r"))).otherwise(state)
-
-    rounds = F.when(F.size("p") > 1, F.sequence(F.lit(2), F.size("p"))).otherwise(F.array().cast("array<int>"))
-    whole = rank(F.hex("word"))
-    ids = F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(
-        F.aggregate(rounds, F.struct(F.col("p"), F.col("r")), step, lambda s: s["p"]), rank))
-    return start.select("word", ids.alias("ids"))
+
+    def fold(table):
+        def rank(piece):
+            return F.try_element_at(F.get(table, (F.crc32(piece) % BUCKETS).cast("int")), piece)
+
+        def pair(a, b):
+            return F.coalesce(rank(F.concat(a, b)), none)
+
+        def step(state, _):
+            p, r = state["p"], state["r"]
+            low = F.array_min(r)
+            i = F.array_position(r, low).cast("int")              # pieces i and i + 1, from 1
+            size = F.size(p)
+            both = F.concat(F.get(p, i - 1), F.get(p, i))
+            left = F.when(i > 1, F.concat(F.slice(r, 1, F.greatest(i - 2, F.lit(0))),
+                                          F.array(pair(F.get(p, i - 2), both)))).otherwise(F.slice(r, 1, 0))
+            right = F.when(i + 1 < size, F.concat(F.array(pair(both, F.get(p, i + 1))),
+                                                  F.slice(r, i + 2, F.greatest(size - i - 2, F.lit(0))))
+                           ).otherwise(F.slice(r, 1, 0))
+            merged = F.concat(F.slice(p, 1, i - 1), F.array(both),
+                              F.slice(p, i + 2, F.greatest(size - i - 1, F.lit(0))))
+            return F.when((F.size(r) > 0) & (low < none),
+                          F.struct(merged.alias("p"), F.concat(left, right).alias("r"))).otherwise(state)
+
+        places = lambda first, last: F.when(
+            F.size("p") > 1, F.sequence(F.lit(first), F.size("p") - last)).otherwise(F.array().cast("array<int>"))
+        start = F.struct(F.col("p"), F.transform(
+            places(0, 2), lambda i: pair(F.get("p", i), F.get("p", i + 1))).alias("r"))
+        whole = rank(F.hex("word"))
+        return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(
+            F.aggregate(places(2, 0), start, step, lambda s: s["p"]), rank))
+
+    pieces = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.hex(F.substring("word", i, F.lit(1))))
+    # the map is named once in the plan: every mention of it is printed whole in Spark's event log
+    return words.select("word", pieces.alias("p")).select(
+        "word", F.transform(F.array(literal), fold)[0].alias("ids"))
 
 
 def _segments_of_words(column: pa.Array):
@@ -282,11 +286,19 @@ def _round_trip(path: str, table):
 
 
 def dictionary(docs: DataFrame, path: str, size: int = DICTIONARY) -> DataFrame:
-    """(word, ids) of the ``size`` most frequent distinct words (ties: the smaller
-    word) of at most ``DICTIONARY_BYTES`` bytes, counted over all documents."""
-    counted = docs.select("text").mapInArrow(_distinct_words, "word binary, n long").groupBy("word").agg(
-        F.sum("n").alias("n"))
-    top = stored(counted.orderBy(F.desc("n"), "word").limit(size).select("word"), "frequent-words")
+    """(word, ids) of at most ``size`` of the most frequent distinct words of at
+    most ``DICTIONARY_BYTES`` bytes, counted over all documents: all words above
+    the least count (by eighths of a power of two) that leaves no more."""
+    counted = stored(docs.select("text").mapInArrow(_distinct_words, "word binary, n long")
+                     .groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    grade = F.floor(F.log2("n") * 8)
+    held = counted.groupBy(grade.alias("g")).agg(F.count("*").alias("words")).collect()   # 512 rows at most
+    least, total = 512, 0
+    for g, words in sorted(map(tuple, held), reverse=True):
+        if total + words > size:
+            break
+        least, total = g, total + words
+    top = counted.where(grade >= least).select("word")
     return stored(fold_merges(top.repartition(spark_parts(docs.sparkSession)), load_ranks(path)[0]), "word-ids")
 
 
@@ -294,6 +306,23 @@ def spark_parts(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, 1)
 
 
+def _packed(known: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words in ascending order, their ids in a row, and where the
+    ids of each word begin (of a table of bounded size)."""
+    table = known.toArrow().combine_chunks()
+    words = table.column("word").combine_chunks().cast(pa.large_binary())
+    if not len(words):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(1, np.int64)
+    raw = np.frombuffer(words.buffers()[2], np.uint8)
+    cuts = np.frombuffer(words.buffers()[1], np.int64)[:len(words) + 1]
+    keys = np.concatenate([_hash_segment(raw[cuts[a]:cuts[b]], cuts[a:b] - cuts[a], cuts[a + 1:b + 1] - cuts[a])
+                           for a, b in segments(cuts)])
+    order = np.argsort(keys)
+    lists = table.column("ids").combine_chunks().take(pa.array(order))
+    lengths = np.array(pc.list_value_length(lists), np.int64)
+    return keys[order], np.array(lists.flatten(), np.int32), np.concatenate(([0], np.cumsum(lengths)))
+
+
 def round_trip(docs: DataFrame, path: str, size: int = DICTIONARY) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of ``docs``
     (doc_id, text; other columns ignored): the ids of the whole text, and the
@@ -301,18 +330,6 @@ def round_trip(docs: DataFrame, path: str, size: int = DICTIONARY) -> DataFrame:
     repeat; texts that look like special tokens are ordinary text."""
     spark = tune(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = dictionary(docs, path, size).toArrow()                # at most ``size`` short words
-    words = known.column("word").combine_chunks().cast(pa.large_binary())
-    raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)
-    cuts = np.frombuffer(words.buffers()[1], np.int64)[:len(words) + 1] if len(words) else np.zeros(1, np.int64)
-    keys = _hash_segment(raw[:cuts[-1]], cuts[:-1], cuts[1:])
-    lists = known.column("ids").combine_chunks()
-    lengths = np.array(pa.compute.list_value_length(lists), np.int64)
-    flat = np.array(lists.flatten(), np.int32)
-    order = np.argsort(keys)
-    begins = np.cumsum(lengths) - lengths
-    picked = np.concatenate([flat[begins[i]:begins[i] + lengths[i]] for i in order]) if len(order) else flat
-    table = spark.sparkContext.broadcast(
-        (keys[order], picked, np.concatenate(([0], np.cumsum(lengths[order])))))
+    table = spark.sparkContext.broadcast(_packed(dictionary(docs, path, size)))
     return docs.mapInArrow(_round_trip(path, table),
                            "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -26,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -291,7 +292,7 @@ def _stream(window: int):
             machine.add(words, range(len(places), len(places) + len(words)))
             places += [(doc, start + i) for i in range(len(words))]
         out = []
-        queries = table.filter(pa.compute.invert(table.column("ref")))
+        queries = table.filter(pc.invert(table.column("ref")))
         for doc, start, words in zip(*(queries.column(k).to_pylist() for k in ("doc_id", "start", "words"))):
             span = None
             for i, place in machine.ends(words.split(b" "), window):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.shared import stored
+from tillroll.llm.shared import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def components(links: DataFrame) -> DataFrame:
                                            F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
                          .alias("e"))
                  .select("e.u", "e.v").where("u <> v").distinct())
-        edges = stored(small, "edges")
+        last, edges = edges, stored(small, "edges")
+        discard(last)
         before, mark = mark, _mark(edges)
         if mark == before:
             break

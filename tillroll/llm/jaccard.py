@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 
 from tillroll.llm import exchange as X
 from tillroll.llm.components import components
-from tillroll.llm.shared import shuffle_parts, split_by_keys, stored, tune
+from tillroll.llm.shared import discard, shuffle_parts, split_by_keys, stored, tune
 from tillroll.llm.textkit import gram_hashes, mix, word_hashes
 
 #: Grams that a task gathers before it sends packed cells (about 16 bytes each).
@@ -357,12 +357,13 @@ def class_components(docs: DataFrame, classes: DataFrame, words: int, num: int,
     # the exact round: what still differs within a bucket
     own = prefix.join(roots.select(F.col("id").alias("cls"), "root"), "cls", "left").withColumn(
         "comp", F.coalesce("root", "cls")).drop("root")
-    own = stored(own, "labelled-prefixes")
+    labelled = own = stored(own, "labelled-prefixes")
     per = own.groupBy("h", "comp").agg(F.count("*").alias("m"))
     mixed = per.groupBy("h").agg(F.count("*").alias("k"), F.max_by("comp", "m").alias("big")).where("k > 1")
     own = (own.join(mixed.select("h", "big"), "h").join(ranked.select("cls", "grams"), "cls")
            .withColumn("before", F.expr("slice(grams, 1, CAST(pos - single AS INT))")).drop("grams"))
     own = stored(own, "open-prefixes")
+    discard(labelled)
     right = own.select("h", *second, F.col("comp").alias("comp2"), F.col("before").alias("before2"))
     open_pairs = (_candidates(own.where("comp <> big"), right, num, den).where("comp <> comp2")
                   .where("comp2 = big OR cls < cls2")
@@ -378,7 +379,9 @@ def class_components(docs: DataFrame, classes: DataFrame, words: int, num: int,
               .select("cls", F.coalesce("top", "root").alias("root")))
     alone = (upper.join(first.select(F.col("cls").alias("id")), "id", "left_anti")
              .select(F.col("id").alias("cls"), "root"))
-    return joined.unionByName(alone)
+    linked = stored(joined.unionByName(alone), "linked-classes")
+    discard(rest, sets, ranked, prefix, tried, own, roots)
+    return linked
 
 
 def _linked(pairs: DataFrame, ranked: DataFrame, num: int, den: int) -> DataFrame:

@@ -15,7 +15,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.shared import stored, tune
+from tillroll.llm.shared import free_name, split_by_keys, stored, tune
 
 #: Steps of expectation-maximisation; the prior belief in each rule's rates (how
 #: often it votes good and bad on a good document, then on a bad one), its
@@ -163,5 +163,15 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, columns unchanged."""
-    return score(docs).where("kept").select("_row.*")
+    """The rows of ``docs`` that are kept, columns unchanged.
+
+    Equal texts get equal verdicts, so rows are matched with the rejected texts
+    by two 64-bit hashes of the text: ids may be null or repeat, and only rows
+    that may be rejected are shuffled.
+    """
+    keys = [free_name(k, docs.columns) for k in ("text1", "text2")]
+    hashes = [F.xxhash64("text").alias(keys[0]), F.xxhash64("text", F.lit(1)).alias(keys[1])]
+    judged = score(docs.select("text", *hashes), keys)
+    rejected = stored(judged.where("NOT kept").select("_row.*").distinct(), "rejected")
+    some, rest = split_by_keys(docs.select("*", *hashes), rejected, keys[0])
+    return some.join(rejected, keys, "left_anti").unionByName(rest).select(*docs.columns)

@@ -28,6 +28,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, name)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more (what was made from them
+    must be stored itself by now)."""
+    for table in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def split_by_keys(docs: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Rows of ``docs`` whose ``key`` may be among ``keys``, and the rest, in which
     none is (nor a null key).

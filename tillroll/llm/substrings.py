@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm import exchange as X
-from tillroll.llm.shared import code_points, free_name, shuffle_parts, split_by_keys, stored, tune
+from tillroll.llm.shared import code_points, discard, free_name, shuffle_parts, split_by_keys, stored, tune
 from tillroll.llm.textkit import gram_hashes, mix, word_hashes
 
 #: Windows that a task gathers before it sends packed cells.
@@ -351,7 +351,10 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
         _pieces(window), "shard long, salt long, ref boolean, doc_id long, start long, words binary")
     spans = pieces.groupBy("shard", "salt").applyInArrow(
         _stream(window), "doc_id long, start long, stop long")
-    return spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    spans = stored(spans.groupBy("doc_id").agg(
+        F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans")), "spans")
+    discard(runs, refs, salts, wanted)
+    return spans
 
 
 def _digest(batches):
@@ -375,7 +378,7 @@ def _digest(batches):
 
 def removal_digest(docs: DataFrame, window: int = 20) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row; null text is empty."""
-    spans = stored(repeated_spans(docs, window), "spans")
+    spans = repeated_spans(docs, window)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return with_spans(docs, spans, "spans").select("doc_id", "text", "spans").mapInArrow(
         _digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
@@ -407,7 +410,7 @@ def without_spans(text: str, spans) -> str:
 def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     """``docs`` (doc_id, text, any other columns, n_chars if present brought up
     to date) with repeated passages cut from the texts; every row stays."""
-    spans = stored(repeated_spans(docs, window), "spans")
+    spans = repeated_spans(docs, window)
     names = docs.columns
     hidden = free_name("spans", names)
     out = with_spans(docs, spans, hidden)

@@ -120,7 +120,8 @@ def add_region_by_lookup(df, lookup, default: str = config.DEFAULT_REGION,
 
 def join_null_safe(left, right, keys: list[str], how: str = "inner"):
     """Join on ``keys`` treating null == null (grouping semantics), keeping
-    one copy of each key column.  Spark plans ``<=>`` keys as an ordinary
+    one copy of each key column.  Without keys both sides are statistics of the
+    whole table: ``right`` must then be a single row.  Spark plans ``<=>`` keys as an ordinary
     hash / sort-merge / broadcast equi-join."""
     if not keys:
         return left.crossJoin(right)

@@ -103,13 +103,15 @@ BROADCAST_MAX_ROWS = 200_000
 
 
 def checked_broadcast(df, max_rows: int = BROADCAST_MAX_ROWS):
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows (one small
-    counting job); otherwise return it unchanged for a shuffle join, where
-    AQE's skew-join splitting applies.  Used for per-group statistics joined
-    back onto line data, so a hot group never funnels into one join task."""
+    """Broadcast ``df`` only if it has at most ``max_rows`` rows; otherwise it
+    goes to a shuffle join, where AQE's skew-join splitting applies.  ``df`` (per-
+    group statistics joined back onto line data, so that a hot group never
+    funnels into one join task) is written first: what it is made from runs
+    once, and its rows are counted from the files."""
     from pyspark.sql import functions as F
 
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    small = materialize(df, "statistics")
+    return F.broadcast(small) if small.count() <= max_rows else small
 
 
 def cleanup_tables(spark: SparkSession) -> bool:

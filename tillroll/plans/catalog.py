@@ -968,13 +968,13 @@ def q_forecast_rmse(spark, sf_dir):
 
 @register("q_forecast_fitted", O.with_prefix(f"""
 SELECT cv.series, Date, model, round(y, 2) AS TotalSales, {O.sig('fitted', 8)} AS fitted,
-       round(y - fitted, 2) AS residual
+       round(y - fitted, 0) AS residual
 FROM (SELECT cv.*, model, CASE model WHEN 'mean' THEN f_mean WHEN 'drift' THEN f_drift WHEN 'ar1' THEN f_ar1
              WHEN 'ar1_diff' THEN f_ar1_diff ELSE f_snaive END AS fitted
       FROM cv JOIN fitr ON cv.series = fitr.series AND r_ = 1) cv""", _FC_SQL))
 def q_forecast_fitted(spark, sf_dir):
     """Fitted value and residual per month of the chosen model."""
-    return rnd(ts.fitted_values(_monthly(spark, sf_dir)), {"TotalSales": 2, "residual": 2}, default="sig8")
+    return rnd(ts.fitted_values(_monthly(spark, sf_dir)), {"TotalSales": 2, "residual": 0}, default="sig8")
 
 
 # --- segmentation (M21-M26): random starts, so checked by invariants ---------

@@ -347,6 +347,8 @@ def class_components(docs: DataFrame, classes: DataFrame, words: int, num: int,
                .where("m > 1")
                .select("h", F.explode(F.array_distinct(F.array(*(f"c{s}" for s in range(CENTRES))))).alias("c"))
                .select("h", "c.*"))
+    # stored, so that the join deals out both sides for itself and can split a hot gram
+    centres = stored(centres, "centres")
     best = Window.partitionBy("cls").orderBy(F.desc("hits"), "cls2")
     tried = (_candidates(prefix, centres, num, den).groupBy("cls", "cls2").agg(F.count("*").alias("hits"))
              .withColumn("r", F.row_number().over(best)).where(F.col("r") <= TRIES)
@@ -360,7 +362,8 @@ def class_components(docs: DataFrame, classes: DataFrame, words: int, num: int,
     labelled = own = stored(own, "labelled-prefixes")
     per = own.groupBy("h", "comp").agg(F.count("*").alias("m"))
     mixed = per.groupBy("h").agg(F.count("*").alias("k"), F.max_by("comp", "m").alias("big")).where("k > 1")
-    own = (own.join(mixed.select("h", "big"), "h").join(ranked.select("cls", "grams"), "cls")
+    mixed = stored(mixed.select("h", "big"), "mixed-grams")
+    own = (own.join(mixed, "h").join(ranked.select("cls", "grams"), "cls")
            .withColumn("before", F.expr("slice(grams, 1, CAST(pos - single AS INT))")).drop("grams"))
     own = stored(own, "open-prefixes")
     discard(labelled)
@@ -380,7 +383,7 @@ def class_components(docs: DataFrame, classes: DataFrame, words: int, num: int,
     alone = (upper.join(first.select(F.col("cls").alias("id")), "id", "left_anti")
              .select(F.col("id").alias("cls"), "root"))
     linked = stored(joined.unionByName(alone), "linked-classes")
-    discard(rest, sets, ranked, prefix, tried, own, roots)
+    discard(rest, sets, ranked, prefix, centres, tried, mixed, own, roots)
     return linked
 
 

@@ -85,6 +85,22 @@ def test_nulls_repeats_and_empty(docs, spark):
     assert kept.columns[-1] == "component_id" and {r.doc_id for r in kept.collect()} == {5, None}
 
 
+def test_rows_that_share_a_doc_id_stay_or_go_by_their_own_text(docs):
+    copied, clean = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(2, copied), (9, copied), (9, clean), (12, clean), (20, "x y z"), (20, clean), (None, clean), (30, None)]
+    kept = jaccard.keep_first(docs(*rows).withColumn("cls", F.lit("mine")), 5, 80, 100)
+    assert kept.columns[-1] == "cls"
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(
+        [(2, copied), (9, clean), (20, "x y z"), (None, clean), (30, None)], key=str)
+
+
+def test_one_text_of_a_doc_id_stays_in_a_component(docs):
+    near = [f"a{i}" for i in range(60)]
+    rows = [(3, " ".join(near)), (3, " ".join(near[:-1])), (4, " ".join(near))]
+    got = jaccard.keep_first(docs(*rows), 5, 80, 100).collect()
+    assert [r.doc_id for r in got] == [3]
+
+
 def test_shuffle_path_gives_the_same(docs, monkeypatch):
     rows = corpus(4)
     want = brute(rows, 4, 85, 100)

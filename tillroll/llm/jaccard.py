@@ -27,6 +27,7 @@ all those pairs; nothing is capped.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -35,7 +36,7 @@ from pyspark.sql.window import Window
 
 from tillroll.llm import exchange as X
 from tillroll.llm.components import components
-from tillroll.llm.shared import discard, shuffle_parts, split_by_keys, stored, tune
+from tillroll.llm.shared import discard, free_name, shuffle_parts, split_by_keys, stored, tune
 from tillroll.llm.textkit import gram_hashes, mix, word_hashes
 
 #: Grams that a task gathers before it sends packed cells (about 16 bytes each).
@@ -288,7 +289,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     but not the text are judged each by its own text.  An empty table gives an
     empty result.
     """
-    spark = tune(docs.sparkSession)
+    table, named = _described(docs, words, num, den)
+    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    of_class = named.select("cls", "root").join(smallest, "root").select("cls", "component_id")
+    return table.join(of_class, "cls", "left").select(
+        "doc_id", "n_shingles",
+        F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _described(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, cls) of every row, and (cls, doc_id, root) of every
+    class, with its smallest doc_id and the name of its component."""
+    tune(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = stored(docs.mapInArrow(_describe(words), "doc_id long, n_shingles long, cls binary"), "sets")
     classes = (table.where("cls IS NOT NULL").groupBy("cls")
@@ -296,12 +308,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     roots = class_components(docs, classes, words, num, den)
     named = classes.select("cls", "doc_id").join(roots, "cls", "left").select(
         "cls", "doc_id", F.coalesce("root", "cls").alias("root"))
-    named = stored(named, "class-roots")
-    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_class = named.select("cls", "root").join(smallest, "root").select("cls", "component_id")
-    return table.join(of_class, "cls", "left").select(
-        "doc_id", "n_shingles",
-        F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return table, stored(named, "class-roots")
 
 
 def class_components(docs: DataFrame, classes: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -396,10 +403,25 @@ def _linked(pairs: DataFrame, ranked: DataFrame, num: int, den: int) -> DataFram
 
 
 def keep_first(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` without near duplicates: of each component the document of the
-    smallest doc_id stays (rows that repeat that doc_id are the same document);
-    rows without a doc_id stay.  Column names and order are kept."""
-    found = near_duplicates(docs, words, num, den)
-    gone = stored(found.where("doc_id <> component_id").select("doc_id"), "near-duplicates")
-    some, rest = split_by_keys(docs, gone, "doc_id")
-    return rest.unionByName(some.join(gone, "doc_id", "left_anti"))
+    """``docs`` without near duplicates: of each component the rows of the smallest
+    doc_id stay (rows that repeat it with an equal set are the same document; with
+    several sets of that doc_id in a component, one set stays).  Rows that share a
+    doc_id but not the set are judged each by its own; rows without a doc_id stay.
+    Column names and order are kept."""
+    table, named = _described(docs, words, num, den)
+    first = (named.where("doc_id IS NOT NULL").groupBy("root")
+             .agg(F.min(F.struct("doc_id", "cls")).alias("first")))
+    first = named.select("cls", "root").join(first, "root").select("cls", "first")
+    gone = (table.where("doc_id IS NOT NULL").join(first, "cls")
+            .where("doc_id <> first.doc_id OR cls <> first.cls"))
+    doc, cls = free_name("doc", docs.columns), free_name("cls", docs.columns)
+    gone = stored(gone.select(F.col("doc_id").alias(doc), F.col("cls").alias(cls)).distinct(), "near-duplicates")
+    some, rest = split_by_keys(docs, gone.withColumnRenamed(doc, "doc_id"), "doc_id")
+
+    @F.pandas_udf("binary")
+    def class_by_text(text):
+        return pd.Series([class_of(s) for s in shingle_sets(pa.array(text, pa.string(), from_pandas=True), words)],
+                         dtype=object)
+
+    some = some.select("*", F.col("doc_id").cast("long").alias(doc), class_by_text("text").alias(cls))
+    return rest.unionByName(some.join(gone, [doc, cls], "left_anti").select(*docs.columns))

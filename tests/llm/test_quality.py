@@ -88,3 +88,13 @@ def test_main_path_has_no_python(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     plan = quality.measures(docs, ["doc_id"])._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_the_second_key_of_a_text_does_not_follow_from_the_first(docs, monkeypatch):
+    """Spark goes on from the hash of one column as the seed of the next."""
+    keys, score = [], quality.score
+    monkeypatch.setattr(quality, "score", lambda d, names: (keys.extend([d, names]), score(d, names))[1])
+    quality.keep_good(docs((1, "one"), (2, "two words")))
+    table, (first, second) = keys
+    follows = F.expr(f"reflect('org.apache.spark.sql.catalyst.expressions.XXH64', 'hashInt', 1, {first})")
+    assert table.where(follows.cast("long") == F.col(second)).count() == 0

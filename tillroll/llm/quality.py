@@ -166,11 +166,11 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, columns unchanged.
 
     Equal texts get equal verdicts, so rows are matched with the rejected texts
-    by two 64-bit hashes of the text: ids may be null or repeat, and only rows
+    by two 64-bit hashes of the text, the second from a seed of its own: ids may be null or repeat, and only rows
     that may be rejected are shuffled.
     """
     keys = [free_name(k, docs.columns) for k in ("text1", "text2")]
-    hashes = [F.xxhash64("text").alias(keys[0]), F.xxhash64("text", F.lit(1)).alias(keys[1])]
+    hashes = [F.xxhash64("text").alias(keys[0]), F.xxhash64(F.lit(1), "text").alias(keys[1])]
     judged = score(docs.select("text", *hashes), keys)
     rejected = stored(judged.where("NOT kept").select("_row.*").distinct(), "rejected")
     some, rest = split_by_keys(docs.select("*", *hashes), rejected, keys[0])

@@ -46,3 +46,18 @@ def test_cells_round_trip():
     assert (X.unpack_ids(X.pack_ids(ids)) == ids).all()
     assert len(X.unpack_ints(X.pack_ints(np.zeros(0, np.uint64)))) == 0
     assert X.part_of(v, 7).max() <= 6 and (np.diff(X.part_of(v, 7).astype(int)) >= 0).all()
+
+
+def thue_morse(n, swap=False):
+    """A word whose polynomial hash modulo 2**64 equals that of its mirror, from 1,024 letters on."""
+    return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(n))
+
+
+def test_hashes_tell_apart_words_made_to_collide():
+    for n in (16, 128, 256, 257, 512, 1024, 4096):
+        for seed in (0, T.CHECK):
+            data = np.frombuffer((thue_morse(n) + thue_morse(n, True)).encode(), np.uint8)
+            one, two = T._hash_segment(data, np.array([0, n]), np.array([n, 2 * n]), seed)
+            assert one != two
+    data = np.frombuffer(b"ab\x00ab\x00\x00", np.uint8)
+    assert len(set(T._hash_segment(data, np.array([0, 0, 3]), np.array([2, 3, 7])).tolist())) == 3

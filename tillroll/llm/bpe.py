@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm.shared import stored, tune
-from tillroll.llm.textkit import _hash_segment, segments, text_buffer
+from tillroll.llm.textkit import CHECK, _hash_segment, segments, text_buffer
 
 #: Words of the broadcast dictionary, their greatest length in bytes, and the
 #: buckets of the literal rank map.
@@ -235,26 +235,28 @@ class _Words:
 
     def __init__(self, path: str, table) -> None:
         self.ranks, self.pieces = load_ranks(path)
-        self.keys, self.ids, self.cuts = table
+        self.keys, self.checks, self.ids, self.cuts = table
         self.recent: dict[int, tuple] = {}
         self.older: dict[int, tuple] = {}
 
-    def values(self, keys: np.ndarray, words) -> list[tuple]:
-        """Of distinct words with these hashes; ``words(i)`` gives the bytes."""
+    def values(self, keys: np.ndarray, checks: np.ndarray, words) -> list[tuple]:
+        """Of distinct words with these hashes, confirmed by second ones; ``words(i)``
+        gives the bytes."""
         out = []
         places = np.searchsorted(self.keys, keys)
         hit = places < len(self.keys)
-        hit[hit] = self.keys[places[hit]] == keys[hit]
-        for i, (k, place, known) in enumerate(zip(keys.tolist(), places.tolist(), hit.tolist())):
+        hit[hit] = (self.keys[places[hit]] == keys[hit]) & (self.checks[places[hit]] == checks[hit])
+        rows = zip(keys.tolist(), checks.tolist(), places.tolist(), hit.tolist())
+        for i, (k, check, place, known) in enumerate(rows):
             v = self.recent.get(k)
             if v is None:
                 v = self.older.get(k)
-                if v is None:
-                    ids = (self.ids[self.cuts[place]:self.cuts[place + 1]].tolist() if known
-                           else merge_word(words(i), self.ranks))
-                    v = (" ".join(map(str, ids)).encode(), len(ids),
-                         b"".join([self.pieces[x] for x in ids]))
-                self.recent[k] = v
+            if v is None or v[3] != check:
+                ids = (self.ids[self.cuts[place]:self.cuts[place + 1]].tolist() if known
+                       else merge_word(words(i), self.ranks))
+                v = (" ".join(map(str, ids)).encode(), len(ids),
+                     b"".join([self.pieces[x] for x in ids]), check)
+            self.recent[k] = v
             out.append(v)
         if len(self.recent) > REMEMBERED:
             self.older, self.recent = self.recent, {}
@@ -269,8 +271,9 @@ def _round_trip(path: str, table):
             for _, part, starts, ends, hashes, counts in _segments_of_words(batch.column("text")):
                 keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
                 raw = part.tobytes()
-                values = memory.values(keys, lambda i: raw[starts[first[i]]:ends[first[i]]])
-                texts, sizes, decoded = zip(*values) if values else ((), (), ())
+                checks = _hash_segment(part, starts[first], ends[first], CHECK)
+                values = memory.values(keys, checks, lambda i: raw[starts[first[i]]:ends[first[i]]])
+                texts, sizes, decoded, _ = zip(*values) if values else ((), (), (), ())
                 size, at, which = np.array(sizes, np.int64), 0, which.tolist()
                 for n in counts.tolist():
                     mine = which[at:at + n]
@@ -306,21 +309,23 @@ def spark_parts(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, 1)
 
 
-def _packed(known: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words in ascending order, their ids in a row, and where the
-    ids of each word begin (of a table of bounded size)."""
+def _packed(known: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words in ascending order, the hashes that confirm them, their ids in
+    a row, and where the ids of each word begin (of a table of bounded size)."""
     table = known.toArrow().combine_chunks()
     words = table.column("word").combine_chunks().cast(pa.large_binary())
     if not len(words):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(1, np.int64)
+        none = np.zeros(0, np.uint64)
+        return none, none, np.zeros(0, np.int32), np.zeros(1, np.int64)
     raw = np.frombuffer(words.buffers()[2], np.uint8)
     cuts = np.frombuffer(words.buffers()[1], np.int64)[:len(words) + 1]
-    keys = np.concatenate([_hash_segment(raw[cuts[a]:cuts[b]], cuts[a:b] - cuts[a], cuts[a + 1:b + 1] - cuts[a])
-                           for a, b in segments(cuts)])
+    keys, checks = (np.concatenate([
+        _hash_segment(raw[cuts[a]:cuts[b]], cuts[a:b] - cuts[a], cuts[a + 1:b + 1] - cuts[a], seed)
+        for a, b in segments(cuts)]) for seed in (0, CHECK))
     order = np.argsort(keys)
     lists = table.column("ids").combine_chunks().take(pa.array(order))
     lengths = np.array(pc.list_value_length(lists), np.int64)
-    return keys[order], np.array(lists.flatten(), np.int32), np.concatenate(([0], np.cumsum(lengths)))
+    return keys[order], checks[order], np.array(lists.flatten(), np.int32), np.concatenate(([0], np.cumsum(lengths)))
 
 
 def round_trip(docs: DataFrame, path: str, size: int = DICTIONARY) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SEGMENT = 1 << 20
 SPACE = np.zeros(256, dtype=bool)
@@ -20,10 +21,13 @@ LOWER[65:91] += 32
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _SLOT = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * _U(2) + _U(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[str, np.ndarray] = {}
+#: Keeps the first k of the eight bytes of a little-endian integer, by k.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
+#: Seed of the hash that confirms a word found by its first hash.
+CHECK = 0x51ED270B
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,17 +39,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the base and of its inverse modulo 2**64."""
-    if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, SEGMENT + 1)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
-            out = np.full(size, base, dtype=np.uint64)
-            out[0] = 1
-            _POWERS[name] = np.multiply.accumulate(out)
-    return _POWERS["up"], _POWERS["down"]
-
-
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and the n + 1 offsets of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -81,12 +74,29 @@ def word_bounds(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.flatnonzero(solid & before), np.flatnonzero(solid & after) + 1
 
 
-def _hash_segment(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    up, down = _powers(len(data) + 1)
-    sums = np.empty(len(data) + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE[data] * up[:len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def _hash_segment(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of each word: its bytes, eight at a time, go through the mixer (so words of
+    up to eight bytes of one length can't collide); long words through xxh3.
+    Another ``seed`` gives a second hash that tells apart what the first confuses."""
+    size = ends - starts
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))       # the eight bytes from each place
+    state = mix(size.astype(np.uint64) * _SLOT[0] + _U(seed))
+    state = mix(state ^ (eight[starts] & _FIRST[np.minimum(size, 8)]))
+    rest, done = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+    while len(rest):
+        left = size[rest] - done
+        state[rest] = mix(state[rest] * _SLOT[1] ^ (eight[starts[rest] + done] & _FIRST[np.minimum(left, 8)]))
+        rest, done = rest[left > 8], done + 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        state[i] = xxhash.xxh3_64_intdigest(data[starts[i]:ends[i]].tobytes(), seed)
+    return state
+
+
+def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """Hashes of the distinct words, the first place of each, and for each word which
+    of them it is."""
+    return np.unique(_hash_segment(data, starts, ends), return_index=True, return_inverse=True)
 
 
 def segments(offsets: np.ndarray, limit: int = SEGMENT):

@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm.shared import tune
-from tillroll.llm.textkit import SEGMENT, _cut_long, _hash_segment, segments, text_buffer, word_bounds
+from tillroll.llm.textkit import (CHECK, SEGMENT, _cut_long, _hash_segment, distinct_words, segments,
+                                  text_buffer, word_bounds)
 
 #: Words remembered by a worker (in each of two generations), and encoded in one call.
 REMEMBERED, AT_ONCE = 350_000, 512
@@ -51,8 +52,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.recent: dict[int, bytes] = {}
-        self.older: dict[int, bytes] = {}
+        self.recent: dict[int, tuple[int, bytes]] = {}
+        self.older: dict[int, tuple[int, bytes]] = {}
 
     @classmethod
     def of(cls, path: str) -> "WordEncoder":
@@ -74,26 +75,31 @@ class WordEncoder:
             out += [ids[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
         return out
 
-    def lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray):
-        """Ids of the distinct words and, for each word, which of them it is."""
-        keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    def lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        """Ids of the distinct words and, for each word, which of them it is.  A word is
+        remembered by its hash, with a second hash that confirms it."""
+        keys, first, which = distinct_words(data, starts, ends)
         known, old = self.recent, self.older
         values, missing = [], []
-        for i, k in enumerate(keys.tolist()):
+        checks = _hash_segment(data, starts[first], ends[first], CHECK).tolist()
+        for i, (k, check) in enumerate(zip(keys.tolist(), checks)):
             v = known.get(k)
             if v is None:
                 v = old.get(k)
-                if v is None:
-                    missing.append(i)
-                else:
+                if v is not None:
                     known[k] = v
-            values.append(v)
+            if v is None or v[0] != check:
+                missing.append(i)
+                values.append(None)
+            else:
+                values.append(v[1])
         if missing:
             raw, at = data.tobytes(), first[missing]
             fresh = self.encode([raw[a:b].decode("utf-8", "replace")
                                  for a, b in zip(starts[at].tolist(), ends[at].tolist())])
             for i, k, v in zip(missing, keys[missing].tolist(), fresh):
-                values[i] = known[k] = v
+                values[i] = v
+                known[k] = checks[i], v
         if len(known) > REMEMBERED:
             self.older, self.recent = known, {}
         return values, which
@@ -111,12 +117,12 @@ def encoded_segments(column: pa.Array, path: str):
             cuts = _cut_long(part)
             for a, b in zip(cuts[:-1], cuts[1:]):
                 s, e = token_words(part[a:b], np.array([0]))
-                values, which = coder.lookup(part[a:b], s, e, _hash_segment(part[a:b], s, e))
+                values, which = coder.lookup(part[a:b], s, e)
                 yield first, np.array([len(s)]), values, which
             continue
         bounds = offsets[first:last + 1] - lo
         s, e = token_words(part, bounds)
-        values, which = coder.lookup(part, s, e, _hash_segment(part, s, e))
+        values, which = coder.lookup(part, s, e)
         yield first, np.diff(np.searchsorted(s, bounds)), values, which
 
 

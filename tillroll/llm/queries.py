@@ -8,7 +8,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import bpe, jaccard, langid, packing, quality, secrets, substrings, tokens, topk, urls
+from tillroll.llm import (bpe, jaccard, langid, manifest, packing, pieces, quality, resample, secrets, substrings,
+                          tokens, topk, urls)
 
 #: Folder of the public tokenizer files; by default that of the installed package.
 TOKENIZERS = os.environ.get("TILLROLL_TOKENIZERS", "")
@@ -71,9 +72,23 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_pieces(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), 4096, end_id=1)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return resample.resample(documents(spark, sf_dir), target, percent=5, least_words=20, seed=42)
+
+
+def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_ngram_jaccard, op3_language_id, op4_substring_dedup, op5_pivot_topk,
-    op6_byte_bpe, op7_url_filter, op8_token_counts, op9_secret_scan, op10_best_fit_packing)}
+    op6_byte_bpe, op7_url_filter, op8_token_counts, op9_secret_scan, op10_best_fit_packing,
+    op11_importance_resampling, op12_piece_bpe, op13_merkle_manifest)}
 
 ORACLES: dict[str, str] = {}
 
@@ -151,3 +166,94 @@ hit AS (
   GROUP BY page_id)
 SELECT h.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM h LEFT JOIN hit USING (page_id)
 """
+
+#: CRC-32 a byte at a time; its table follows from the polynomial.
+_CRC_TABLE = "[" + ", ".join(map(str, resample._byte_table().tolist())) + "]::BIGINT[]"
+_CRC = f"""xor(list_reduce(list_prepend(4294967295::BIGINT, {{bytes}}),
+           lambda c, b: xor(({_CRC_TABLE})[CAST((xor(c, b) & 255) + 1 AS INT)], c >> 8)), 4294967295::BIGINT)"""
+_BYTES = """list_transform(range(1, len({hex}) + 1, 2), lambda i: CAST(
+           16 * (instr('0123456789ABCDEF', {hex}[i]) - 1) + instr('0123456789ABCDEF', {hex}[i + 1]) - 1 AS BIGINT))"""
+
+ORACLES["op11_importance_resampling"] = rf"""
+WITH texts AS (
+  SELECT TRUE AS source, doc_id, text FROM documents
+  UNION ALL SELECT FALSE, NULL, text FROM benchmark),
+w AS (
+  SELECT source, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_AZ}', '{_AZ.lower()}'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+f AS (
+  SELECT source, doc_id, unnest(list_concat(w, list_concat(
+    list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+    list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))) AS f FROM w),
+per AS (SELECT source, doc_id, f, count(*) AS n FROM f GROUP BY ALL),
+hexed AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM per)),
+bytes AS (SELECT f, {_BYTES.format(hex="h")} AS b FROM hexed),
+buckets AS (SELECT f, {_CRC.format(bytes="b")} % 10000 AS bucket FROM bytes),
+held AS (SELECT source, doc_id, bucket, sum(n) AS n FROM per JOIN buckets USING (f) GROUP BY ALL),
+shares AS (SELECT bucket, coalesce(sum(n) FILTER (source), 0)::DOUBLE AS s,
+                  coalesce(sum(n) FILTER (NOT source), 0)::DOUBLE AS t FROM held GROUP BY bucket),
+totals AS (SELECT sum(s) AS ss, sum(t) AS tt FROM shares),
+gain AS (SELECT bucket, floor(1000 * ln((t + 1) * (ss + 10000) / ((s + 1) * (tt + 10000))))::BIGINT AS gain
+         FROM shares, totals),
+weight AS (SELECT doc_id, sum(n * gain)::BIGINT AS weight FROM held JOIN gain USING (bucket) WHERE source GROUP BY doc_id),
+scored AS (
+  SELECT w.doc_id, len(w.w) AS n_words, len(w.w) + greatest(len(w.w) - 1, 0) + greatest(len(w.w) - 2, 0) AS n_features,
+         coalesce(weight, 0) AS weight,
+         list_reduce(list_transform(range(1, 9), lambda i: CAST(
+           instr('0123456789abcdef', sha256('42:' || w.doc_id)[i]) - 1 AS BIGINT)), lambda a, b: 16 * a + b) AS h
+  FROM w LEFT JOIN weight USING (doc_id) WHERE source),
+noisy AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM scored),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n
+           FROM noisy WHERE n_words >= 20)
+SELECT noisy.doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score,
+       CASE WHEN r <= 5 * n // 100 THEN r END AS rank
+FROM noisy LEFT JOIN ranked USING (doc_id)
+"""
+
+_FIELD = "CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c} END"
+_LEAF = " || ".join(_FIELD.format(c=c) for c in ("doc_id", "source", "lang", "n_chars"))
+_RUN = "sha256(array_to_string(list_slice(nodes, 8 * i + 1, 8 * i + 8), ''))"
+_SIBLINGS = ("array_to_string(list_concat(list_slice(nodes, pos - pos % 8 + 1, pos), "
+             "list_slice(nodes, pos + 2, pos - pos % 8 + 8)), '')")
+
+ORACLES["op13_merkle_manifest"] = f"""
+WITH RECURSIVE hit AS (
+  SELECT *, {_CRC.format(bytes="list_transform(range(1, strlen(doc_id::VARCHAR) + 1), "
+                                "lambda i: CAST(ascii((doc_id::VARCHAR)[i]) AS BIGINT))")} % 3 = 0 AS hit
+  FROM documents),
+leaves AS (
+  SELECT doc_id, lang, sha256({_LEAF} || {_FIELD.format(c="text")}) AS leaf,
+         CASE WHEN hit THEN sha256({_LEAF} || {_FIELD.format(c=f"translate(text, '{_AZ}', '{_AZ.lower()}')")})
+              ELSE sha256({_LEAF} || {_FIELD.format(c="text")}) END AS used,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos
+  FROM hit),
+levels(lang, level, nodes) AS (
+  SELECT lang, 0, list(leaf ORDER BY pos) FROM leaves GROUP BY lang
+  UNION ALL
+  SELECT lang, level + 1, list_transform(range(0, (len(nodes) + 7) // 8), lambda i: {_RUN})
+  FROM levels WHERE len(nodes) > 1),
+subroots AS (
+  SELECT lang, level AS height, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place
+  FROM levels WHERE len(nodes) = 1),
+tops(level, nodes) AS (
+  SELECT 0, list(subroot ORDER BY place) FROM subroots
+  UNION ALL
+  SELECT level + 1, list_transform(range(0, (len(nodes) + 7) // 8), lambda i: {_RUN}) FROM tops WHERE len(nodes) > 1),
+steps AS (
+  SELECT lang, FALSE AS top, level, nodes, NULL AS place FROM levels WHERE len(nodes) > 1
+  UNION ALL SELECT lang, FALSE, height, NULL, place FROM subroots
+  UNION ALL SELECT NULL, TRUE, level, nodes, NULL FROM tops WHERE len(nodes) > 1),
+rising(doc_id, lang, top, level, pos, proof, folded) AS (
+  SELECT doc_id, lang, FALSE, 0, pos, '', used FROM leaves
+  UNION ALL
+  SELECT r.doc_id, r.lang, r.top OR place IS NOT NULL, CASE WHEN place IS NULL THEN r.level + 1 ELSE 0 END,
+         coalesce(place, pos // 8), CASE WHEN place IS NULL THEN proof || {_SIBLINGS} ELSE proof END,
+         CASE WHEN place IS NULL THEN sha256(
+           array_to_string(list_slice(nodes, pos - pos % 8 + 1, pos), '') || folded
+           || array_to_string(list_slice(nodes, pos + 2, pos - pos % 8 + 8), '')) ELSE folded END
+  FROM rising r JOIN steps s ON s.top = r.top AND s.level = r.level AND (r.top OR s.lang IS NOT DISTINCT FROM r.lang))
+SELECT leaves.doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM leaves JOIN subroots ON subroots.lang IS NOT DISTINCT FROM leaves.lang
+JOIN rising ON rising.doc_id = leaves.doc_id AND rising.top
+JOIN (SELECT level AS last, nodes[1] AS root FROM tops WHERE len(nodes) = 1) ON rising.level = last
+"""

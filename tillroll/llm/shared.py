@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tillroll.session import materialize
+from tillroll.session import checked_broadcast, materialize
 
 #: Rows of an Arrow batch: with whole texts this bounds a Python worker's memory.
 BATCH_ROWS = 1000
@@ -58,6 +59,28 @@ def split_by_keys(docs: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame
     return marked.where(may).select(*docs.columns), marked.where(~may).select(*docs.columns)
 
 
+def positions(df: DataFrame, by: list[str], order: list[Column], name: str = "pos", total: str = "total") -> DataFrame:
+    """``df`` with each row's place (from 0) in its group, and the group's rows, written as
+    a table.  No group has to fit in a task: rows are dealt out by ranges of group and
+    order, and counts of the ranges give where each begins.  Rows equal in ``order``
+    stand in any order.  ``df`` is read twice."""
+    names = [*df.columns, *by]
+    tie, at, part, first, n, shift = (free_name(x, names) for x in ("tie", "at", "part", "first", "n", "shift"))
+    keys = [*map(F.col, by), *order, F.col(tie)]
+    rows = (df.withColumn(tie, F.monotonically_increasing_id())
+            .repartitionByRange(shuffle_parts(df.sparkSession), *keys).sortWithinPartitions(*keys)
+            .withColumn(at, F.monotonically_increasing_id()).withColumn(part, F.shiftright(at, 33)).drop(tie))
+    rows = stored(rows, "ordered")
+    held = rows.groupBy(*by, part).agg(F.min(at).alias(first), F.count("*").alias(n))
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    before = F.sum(n).over(group.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    held = checked_broadcast(held.select(*by, part, (F.coalesce(before, F.lit(0)) - F.col(first)).alias(shift),
+                                         F.sum(n).over(group).alias(total)))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*by, part)]
+    return rows.alias("a").join(held.alias("b"), same).select(
+        *(F.col(f"a.`{c}`") for c in df.columns), (F.col(f"a.{at}") + F.col(f"b.{shift}")).alias(name), F.col(f"b.{total}"))
+
+
 def free_name(name: str, taken: list[str]) -> str:
     """``name`` with underscores before it, unlike any column taken."""
     low = {c.lower() for c in taken}

@@ -143,7 +143,7 @@ def test_short_series_still_get_a_forecast(spark):
     rows = [("s", t, float(10 + t % 3)) for t in range(1, 11)]
     m = spark.createDataFrame(rows, "series string, t int, TotalSales double").withColumn(
         "Date", F.expr("add_months(DATE '2010-01-01', t - 1)"))
-    assert {r["model"] for r in timeseries.forecast_accuracy(m).collect()} == {"ar1", "ar1_diff", "drift", "mean"}
+    assert {r["model"] for r in timeseries.forecast_accuracy(m).collect()} >= {"ar1", "ar1_diff", "drift", "mean"}
     assert timeseries.forecast(m).count() == 12
 
 

@@ -10,11 +10,15 @@ size is bounded by the calendar, not by the number of invoice lines.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll import config
 from tillroll.functions.columns import year_fraction
+from tillroll.operators import arma
+from tillroll.session import materialize
 
 
 def daily_sales(df: DataFrame, series: str | None = None, by: str | None = None) -> DataFrame:
@@ -169,7 +173,8 @@ def trend_band(monthly: DataFrame, level: float = 0.95, **kw) -> DataFrame:
 
 # ---------------------------------------------------------------------------
 # Forecast (re-aim of an automatic ARIMA order search): five small candidate
-# models with closed-form fits, chosen per series by AICc.  Every candidate is
+# models with closed-form fits and the ARMA candidates of arma.py (moving-average and
+# seasonal terms, fitted on the scored rows), chosen per series by AICc.  Every candidate is
 # scored on the same rows: those behind the first season (snaive has no value
 # before), or behind the second row where a series is too short for a season.
 #   mean      y_t = mu + e                                   (1 coefficient)
@@ -177,10 +182,14 @@ def trend_band(monthly: DataFrame, level: float = 0.95, **kw) -> DataFrame:
 #   ar1       y_t = a + b y_{t-1} + e                        (2)
 #   ar1_diff  d_t = a + b d_{t-1} + e,  d_t = y_t - y_{t-1}  (2)
 #   snaive    y_t = y_{t-12} + e                             (0)
+#   arma.CANDIDATES                                          (2 to 4)
 # FIXED VALUES: standard normal quantiles for the 80% and 95% bands.
 Z80 = 1.2815515655446004
 Z95 = 1.959963984540054
-MODELS = ["ar1", "ar1_diff", "drift", "mean", "snaive"]
+CLOSED = {"ar1": 2, "ar1_diff": 2, "drift": 1, "mean": 1, "snaive": 0}
+#: Coefficients of every candidate.
+COEFFICIENTS = CLOSED | {m: len(xs) + 1 for m, (_, xs) in arma.CANDIDATES.items()}
+MODELS = sorted(COEFFICIENTS)
 
 
 def _geo(b: F.Column, h: F.Column) -> F.Column:
@@ -212,10 +221,15 @@ def candidate_values(series_df: DataFrame, value: str = "TotalSales", season: in
         "snaive": F.col("ys"),
     }
     skipped = F.when(F.col("n") > season + 4, F.lit(season)).otherwise(F.lit(2))
-    rows = f.join(st, series).select(
-        series, t, "y", (F.col(t) > skipped).alias("scored"),
+    terms = arma.arma_rows(series_df, value, season, series, t)
+    names = [c for c in terms.columns if c not in (series, t)]
+    rows = f.drop("d", "d1").join(st, series).join(terms, [series, t]).select(
+        series, t, "y", "y1", "ybar", (F.col(t) > skipped).alias("scored"), *names,
         *(e.alias(f"f_{m}") for m, e in fitted.items()))
-    return rows, st
+    rows = materialize(rows, "candidate-rows")
+    fits = materialize(st.join(arma.least_squares(rows, arma.CANDIDATES, {c: F.col("scored") for c in "zd"}, series),
+                               series), "candidate-fits")
+    return arma.arma_fitted(rows, fits, F.col("ybar"), F.col("y1"), series), fits
 
 
 def model_fits(series_df: DataFrame, value: str = "TotalSales", season: int = config.MONTHLY_PERIOD,
@@ -223,13 +237,16 @@ def model_fits(series_df: DataFrame, value: str = "TotalSales", season: int = co
     """Per series and candidate: coefficients, count m of scored rows (the same for
     all), SSE, sigma, AICc and in-sample RMSE.  A candidate without a value on
     some scored row is left out."""
-    r, st = candidate_values(series_df, value, season, series, t)
+    return _scores(*candidate_values(series_df, value, season, series, t), series)
+
+
+def _scores(r: DataFrame, st: DataFrame, series: str) -> DataFrame:
     aggs = [F.count_if("scored").alias("_m")]
     for m in MODELS:
         e = F.when(F.col("scored"), F.col("y") - F.col(f"f_{m}"))
         aggs += [F.sum(F.pow(e, 2)).alias(f"sse_{m}"), F.count(e).alias(f"m_{m}")]
     sse = r.groupBy(series).agg(*aggs)
-    k = {"mean": 1, "drift": 1, "ar1": 2, "ar1_diff": 2, "snaive": 0}
+    k = COEFFICIENTS
     rows = sse.select(series, F.explode(F.array(*[
         F.struct(F.lit(m).alias("model"), F.col(f"sse_{m}").alias("sse"),
                  F.col(f"m_{m}").alias("m"), F.lit(k[m]).alias("p")) for m in MODELS])).alias("r"), "_m")
@@ -249,14 +266,15 @@ def forecast(series_df: DataFrame, h: int = config.FORECAST_H, value: str = "Tot
              series: str = "series", t: str = "t") -> DataFrame:
     """Horizon-``h`` forecast with 80 / 95 % bands from the candidate with
     the least AICc per series (ties: model name)."""
-    fits = model_fits(series_df, value, season, series, t)
+    rows, st = candidate_values(series_df, value, season, series, t)
     best_w = Window.partitionBy(series).orderBy("aicc", "model")
-    best = (fits.withColumn("_r", F.row_number().over(best_w)).where("_r = 1").drop("_r"))
+    best = (_scores(rows, st, series).withColumn("_r", F.row_number().over(best_w)).where("_r = 1").drop("_r"))
     last = series_df.groupBy(series).agg(F.max_by(value, t).alias("y_n"), F.max(date).alias("_d"),
                                          F.max(t).alias("_tn"))
     d_n = (series_df.withColumn("_d1", F.col(value) - F.lag(value, 1).over(
         Window.partitionBy(series).orderBy(t)))
         .groupBy(series).agg(F.max_by("_d1", t).alias("d_n")))
+    best = arma.arma_path(rows, best, h, season, series, t)
     hz = (best.join(last, series).join(d_n, series)
           .withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(h)))))
     hh = F.col("h")
@@ -270,10 +288,14 @@ def forecast(series_df: DataFrame, h: int = config.FORECAST_H, value: str = "Tot
     src = series_df.select(series, F.col(t).alias("_src_t"), F.col(value).alias("_y_src"))
     hz = hz.join(src, [series, "_src_t"], "left")
     n = F.col("n").cast("double")
+    levels, diffs = ([m for m, (y, _) in arma.CANDIDATES.items() if y == c] for c in ("z", "d"))
+    ahead = lambda c: F.get(F.col(c), hh - 1)
     point = (F.when(F.col("model") == "mean", F.col("ybar"))
              .when(F.col("model") == "drift", F.col("y_n") + hh * F.col("c"))
              .when(F.col("model") == "ar1", F.col("ar_a") * _geo(b_ar, hh) + F.pow(b_ar, hh) * F.col("y_n"))
              .when(F.col("model") == "ar1_diff", F.col("y_n") + F.col("_cum_g"))
+             .when(F.col("model").isin(*levels), F.col("ybar") + ahead("path"))
+             .when(F.col("model").isin(*diffs), F.col("y_n") + ahead("path"))
              .otherwise(F.col("_y_src")))
     var_ar = F.when(F.abs(b_ar) == 1, hh.cast("double")).otherwise(
         (1 - F.pow(b_ar, 2 * hh)) / (1 - F.pow(b_ar, 2)))
@@ -282,6 +304,7 @@ def forecast(series_df: DataFrame, h: int = config.FORECAST_H, value: str = "Tot
         .when(F.col("model") == "drift", hh * (1 + hh / (n - 1)))
         .when(F.col("model") == "ar1", var_ar)
         .when(F.col("model") == "ar1_diff", F.col("_cum_s2"))
+        .when(F.col("model").isin(*arma.CANDIDATES), F.pow(ahead("spread"), 2))
         .otherwise(F.floor((hh - 1) / season) + 1))
     return hz.select(
         series, "model", "h", F.add_months(F.col("_d"), hh).alias(date),
@@ -304,8 +327,8 @@ def fitted_values(series_df: DataFrame, value: str = "TotalSales", date: str = "
                   season: int = config.MONTHLY_PERIOD, series: str = "series", t: str = "t") -> DataFrame:
     """The chosen model's fitted value and residual per period (null where the
     model has none, at the start of a series)."""
-    rows, _ = candidate_values(series_df, value, season, series, t)
-    best = (model_fits(series_df, value, season, series, t).groupBy(series)
+    rows, st = candidate_values(series_df, value, season, series, t)
+    best = (_scores(rows, st, series).groupBy(series)
             .agg(F.min(F.struct("aicc", "model")).getField("model").alias("model")))
     fitted = F.coalesce(*(F.when(F.col("model") == m, F.col(f"f_{m}")) for m in MODELS))
     return (rows.join(best, series).join(series_df.select(series, t, date), [series, t])
@@ -313,6 +336,59 @@ def fitted_values(series_df: DataFrame, value: str = "TotalSales", date: str = "
                     (F.col("y") - fitted).alias("residual")))
 
 
+def forecast_coefficients(series_df: DataFrame, value: str = "TotalSales", season: int = config.MONTHLY_PERIOD,
+                          series: str = "series", t: str = "t") -> DataFrame:
+    """``series, model, term, estimate, std_error`` of the chosen model.  Errors are sigma
+    times the root of the inverse moment matrix's diagonal, over the rows that the model was fitted
+    on.  ARMA candidates on levels are of levels less their mean (a seasonal naive model has none)."""
+    rows, st = candidate_values(series_df, value, season, series, t)
+    best = _scores(rows, st, series).groupBy(series).agg(F.min_by(F.struct("model", "sigma"), F.struct("aicc", "model")).alias("b")).select(
+        series, "b.*")
+    closed = {"mean": ("y", []), "ar1": ("y", ["y1"]), "drift": ("c", []), "ar1_diff": ("d", ["d1"])}
+    rows = rows.withColumn("c", F.col("d"))
+    own = arma.least_squares(rows, {m: closed[m] for m in ("mean", "drift", "ar1_diff")},
+                             {"y": F.col("y").isNotNull(), "c": F.col("c").isNotNull(), "d": F.col("d1").isNotNull()}, series)
+    lagged = arma.least_squares(rows, {"ar1": closed["ar1"]}, {"y": F.col("y1").isNotNull()}, series)
+    fits = F.map_concat(F.col("fits"), F.col("own"), F.col("lagged"))
+    table = (best.join(st.select(series, "fits"), series).join(own.withColumnRenamed("fits", "own"), series)
+             .join(lagged.withColumnRenamed("fits", "lagged"), series)
+             .select(series, "model", "sigma", fits[F.col("model")].alias("fit")))
+    terms = {m: ["const", *xs] for m, (_, xs) in (closed | arma.CANDIDATES).items()} | {"snaive": []}
+    names = F.from_json(F.lit(json.dumps(terms)), "map<string,array<string>>")[F.col("model")]
+    picked = F.transform(names, lambda x, i: F.struct(
+        x.alias("term"), F.col("fit.b")[i].alias("estimate"), (F.col("sigma") * F.sqrt(F.col("fit.v")[i])).alias("std_error")))
+    return table.select(series, "model", F.explode(picked).alias("x")).select(series, "model", "x.*")
+
+
+def forecast_summary(series_df: DataFrame, value: str = "TotalSales", season: int = config.MONTHLY_PERIOD,
+                     series: str = "series", t: str = "t") -> DataFrame:
+    """The chosen model per series with its training measures on the scored rows: sigma^2,
+    log likelihood, AIC, AICc, BIC; ME, RMSE, MAE, MPE, MAPE (over values other than 0), MASE (against
+    the seasonal naive error; null in a series without a season) and the lag-1 autocorrelation
+    of the residuals."""
+    rows, st = candidate_values(series_df, value, season, series, t)
+    best = _scores(rows, st, series).groupBy(series).agg(F.min_by(
+        F.struct("model", "p", "m", "sse", "sigma", "aicc", "rmse"), F.struct("aicc", "model")).alias("b")).select(
+        series, "b.*")
+    fitted = F.coalesce(*(F.when(F.col("model") == m, F.col(f"f_{m}")) for m in MODELS))
+    w = Window.partitionBy(series)
+    step = (rows.join(best.select(series, "model"), series).withColumn("naive", F.abs(F.col("z") - F.col("zs")))
+            .withColumn("scale", F.avg("naive").over(w)).where("scored").withColumn("e", F.col("y") - fitted)
+            .withColumn("c", F.col("e") - F.avg("e").over(w))
+            .withColumn("c1", F.lag("c", 1).over(w.orderBy(t))))
+    share = 100 * F.try_divide(F.col("e"), F.col("y"))
+    measures = step.groupBy(series).agg(
+        F.avg("e").alias("me"), F.avg(F.abs("e")).alias("mae"), F.avg(share).alias("mpe"),
+        F.avg(F.abs(share)).alias("mape"), F.first("scale").alias("scale"),
+        F.try_divide(F.sum(F.col("c") * F.col("c1")), F.sum(F.pow("c", 2))).alias("acf1"))
+    m, q = F.col("m").cast("double"), F.col("p") + 1
+    like = -m / 2 * (F.ln(2 * F.pi() * F.col("sse") / m) + 1)
+    return best.join(measures, series).select(
+        series, "model", "p", "m", F.pow("sigma", 2).alias("sigma2"), like.alias("loglik"),
+        (2 * q - 2 * like).alias("aic"), "aicc", (q * F.ln(m) - 2 * like).alias("bic"), "me", "rmse", "mae", "mpe", "mape",
+        F.try_divide(F.col("mae"), F.col("scale")).alias("mase"), "acf1")
+
+
 def fill_gaps(daily: DataFrame, date: str = "InvoiceDate", value: str = "TotalSales",
               series: str | None = "series", fill: float = 0.0) -> DataFrame:
     """T11 option: one row per calendar day between each series' first and

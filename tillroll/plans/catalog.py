@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll import config
-from tillroll.operators import clean, kpi
+from tillroll.operators import arma, clean, kpi
 from tillroll.plans import oracle as O
+from tillroll.session import materialize
 from tillroll.sources.retail import retail_from_tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -887,38 +888,108 @@ def _fc_sql(monthly_sql: str) -> str:
     return monthly_sql + _FC_BODY
 
 
+def _ols_sql(name: str, src: str, y: str, xs: list[str], where: str) -> str:
+    """CTE ``name(series, b0, b1, ..., v0, v1, ...)``: least squares per series from covariances by
+    cofactors (at most three terms); v is the diagonal of the inverse moment matrix."""
+    k = len(xs)
+    c = [[f"c{min(i, j)}{max(i, j)}" for j in range(k)] for i in range(k)]
+    if k == 0:
+        inv, det = [], "1"
+    elif k == 1:
+        inv, det = [["1.0"]], c[0][0]
+    elif k == 2:
+        inv = [[c[1][1], f"-{c[0][1]}"], [f"-{c[0][1]}", c[0][0]]]
+        det = f"({c[0][0]} * {c[1][1]} - {c[0][1]} * {c[0][1]})"
+    else:
+        def minor(i, j):
+            r, q = [x for x in range(3) if x != i], [x for x in range(3) if x != j]
+            sign = "" if (i + j) % 2 == 0 else "-"
+            return f"{sign}({c[r[0]][q[0]]} * {c[r[1]][q[1]]} - {c[r[0]][q[1]]} * {c[r[1]][q[0]]})"
+        inv = [[minor(i, j) for j in range(3)] for i in range(3)]
+        det = "(" + " + ".join(f"{c[0][j]} * ({inv[0][j]})" for j in range(3)) + ")"
+    cells = [f"covar_pop({xs[i]}, {xs[j]}) AS c{i}{j}" for i in range(k) for j in range(i, k)]
+    cells += [f"covar_pop({x}, {y}) AS g{i}" for i, x in enumerate(xs)] + [f"avg({x}) AS a{i}" for i, x in enumerate(xs)]
+    slopes = [f"({' + '.join(f'({inv[i][j]}) * g{j}' for j in range(k))}) / {det}" for i in range(k)]
+    means = "".join(f" - a{i} * ({b})" for i, b in enumerate(slopes))
+    spread = "".join(f" + a{i} * a{j} * ({inv[i][j]}) / {det} / n" for i in range(k) for j in range(k))
+    return f"""{name} AS (SELECT series, ay{means} AS b0{"".join(f", {b} AS b{i + 1}" for i, b in enumerate(slopes))},
+  1.0 / n{spread} AS v0{"".join(f", ({inv[i][i]}) / {det} / n AS v{i + 1}" for i in range(k))}
+  FROM (SELECT series, count(*) AS n, avg({y}) AS ay{"".join(", " + x for x in cells)} FROM {src} WHERE {where} GROUP BY series))"""
+
+
+def _value_sql(name: str, xs: list[str]) -> str:
+    return f"{name}.b0" + "".join(f" + {name}.b{k} * {x}" for k, x in enumerate(xs, 1))
+
+
+_ARMA = arma.CANDIDATES
+_LONG = {c: [f"{c}{k}" for k in range(1, arma.LONG + 1)] for c in "zd"}
+_JOINS = " ".join(f"JOIN o_{m} ON o_{m}.series = l3.series" for m in _ARMA)
+_TERMS = {"mean": ("y", [], "TRUE"), "drift": ("d", [], "d IS NOT NULL"), "ar1": ("y", ["y1"], "y1 IS NOT NULL"),
+          "ar1_diff": ("d", ["d1"], "d1 IS NOT NULL")}
+
+
+def _role_sql(role: str) -> str:
+    """The chosen model's coefficient in a role (0 where it has none)."""
+    held = [(m, [arma.ROLES[x] for x in xs]) for m, (_, xs) in _ARMA.items()]
+    return "CASE model " + " ".join(f"WHEN '{m}' THEN o_{m}.b{r.index(role) + 1}" for m, r in held if role in r) + " ELSE 0 END"
+
+
 _FC_BODY = f""",
-fl AS (SELECT series, t, Date, TotalSales AS y, lag(TotalSales, 1) OVER w AS y1,
+l0 AS (SELECT series, t, Date, TotalSales AS y, lag(TotalSales, 1) OVER w AS y1,
               lag(TotalSales, {_SEASON}) OVER w AS ys,
+              TotalSales - avg(TotalSales) OVER (PARTITION BY series) AS z,
               TotalSales - lag(TotalSales, 1) OVER w AS d
        FROM ms WINDOW w AS (PARTITION BY series ORDER BY t)),
-fl2 AS (SELECT *, lag(d, 1) OVER (PARTITION BY series ORDER BY t) AS d1 FROM fl),
+l1 AS (SELECT *, {", ".join(f"lag({c}, {k}) OVER w AS {c}{k}" for c in "zd" for k in range(1, arma.LONG + 1))},
+              lag(z, {_SEASON}) OVER w AS zs, count(*) OVER (PARTITION BY series) AS n_all
+       FROM l0 WINDOW w AS (PARTITION BY series ORDER BY t)),
+{_ols_sql("h_z", "l1", "z", _LONG["z"], f"z{arma.LONG} IS NOT NULL")},
+{_ols_sql("h_d", "l1", "d", _LONG["d"], f"d{arma.LONG} IS NOT NULL")},
+l2 AS (SELECT l1.*, z - ({_value_sql("h_z", _LONG["z"])}) AS e, d - ({_value_sql("h_d", _LONG["d"])}) AS u
+       FROM l1 LEFT JOIN h_z ON h_z.series = l1.series LEFT JOIN h_d ON h_d.series = l1.series),
+l3 AS (SELECT *, lag(e, 1) OVER w AS e1, lag(u, 1) OVER w AS u1,
+              t > CASE WHEN n_all > {_SEASON + 4} THEN {_SEASON} ELSE 2 END AS scored
+       FROM l2 WINDOW w AS (PARTITION BY series ORDER BY t)),
 st AS (SELECT series, count(*) AS n, avg(y) AS ybar, avg(d) AS c,
               regr_intercept(y, y1) AS ar_a, regr_slope(y, y1) AS ar_b,
               regr_intercept(d, d1) AS ad_a, regr_slope(d, d1) AS ad_b,
-              arg_max(y, t) AS y_n, arg_max(d, t) AS d_n, max(Date) AS dl, max(t) AS tn
-       FROM fl2 GROUP BY series),
-cv AS (SELECT fl2.series, t, Date, y, t > CASE WHEN n > {_SEASON + 4} THEN {_SEASON} ELSE 2 END AS scored,
+              arg_max(y, t) AS y_n, arg_max(d, t) AS d_n, max(Date) AS dl, max(t) AS tn,
+              arg_max(e, t) AS e_n, arg_max(u, t) AS u_n, list(z ORDER BY t) AS zz, list(d ORDER BY t) AS dd
+       FROM l3 GROUP BY series),
+{", ".join(_ols_sql(f"o_{m}", "l3", y, xs, "scored") for m, (y, xs) in _ARMA.items())},
+cv AS (SELECT l3.series, t, Date, y, z, zs, scored,
               ybar AS f_mean, y1 + c AS f_drift, ar_a + ar_b * y1 AS f_ar1,
-              y1 + ad_a + ad_b * d1 AS f_ar1_diff, ys AS f_snaive
-       FROM fl2 JOIN st ON fl2.series = st.series),
+              y1 + ad_a + ad_b * d1 AS f_ar1_diff, ys AS f_snaive,
+              {", ".join(f"{'ybar' if y == 'z' else 'y1'} + {_value_sql(f'o_{m}', xs)} AS f_{m}" for m, (y, xs) in _ARMA.items())}
+       FROM l3 JOIN st ON l3.series = st.series {_JOINS}),
 rs AS (SELECT series, count(*) AS m_all,
-         sum(pow(y - f_mean, 2)) AS sse_mean, count(f_mean) AS m_mean,
-         sum(pow(y - f_drift, 2)) AS sse_drift, count(f_drift) AS m_drift,
-         sum(pow(y - f_ar1, 2)) AS sse_ar1, count(f_ar1) AS m_ar1,
-         sum(pow(y - f_ar1_diff, 2)) AS sse_ar1_diff, count(f_ar1_diff) AS m_ar1_diff,
-         sum(pow(y - f_snaive, 2)) AS sse_snaive, count(f_snaive) AS m_snaive
+         {", ".join(f"sum(pow(y - f_{m}, 2)) AS sse_{m}, count(f_{m}) AS m_{m}" for m in ts.MODELS)}
        FROM cv WHERE scored GROUP BY series),
-cand AS (SELECT series, 'ar1' AS model, sse_ar1 AS sse, m_ar1 AS m, 2 AS p FROM rs WHERE m_ar1 = m_all
-         UNION ALL SELECT series, 'ar1_diff', sse_ar1_diff, m_ar1_diff, 2 FROM rs WHERE m_ar1_diff = m_all
-         UNION ALL SELECT series, 'drift', sse_drift, m_drift, 1 FROM rs WHERE m_drift = m_all
-         UNION ALL SELECT series, 'mean', sse_mean, m_mean, 1 FROM rs WHERE m_mean = m_all
-         UNION ALL SELECT series, 'snaive', sse_snaive, m_snaive, 0 FROM rs WHERE m_snaive = m_all),
+cand AS ({" UNION ALL ".join(f"SELECT series, '{m}' AS model, sse_{m} AS sse, m_{m} AS m, {ts.COEFFICIENTS[m]} AS p FROM rs WHERE m_{m} = m_all"
+                             for m in ts.MODELS)}),
 fit AS (SELECT *, m * ln(sse / m) + 2 * (p + 1)
                   + CAST(2 * (p + 1) * (p + 2) AS DOUBLE) / (m - p - 2) AS aicc,
                sqrt(sse / (m - p)) AS sigma, sqrt(sse / m) AS rmse
         FROM cand WHERE m > p + 2 AND sse > 0),
 fitr AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY aicc, model) AS r_ FROM fit),
+own AS (SELECT l3.series, model, isdiff, CASE model {" ".join(f"WHEN '{m}' THEN o_{m}.b0" for m in _ARMA)} END AS const,
+               {", ".join(f"{_role_sql(r)} AS {r}" for r in ("b1", "b2", "bs", "th"))},
+               CASE WHEN isdiff THEN dd ELSE zz END AS held, CASE WHEN isdiff THEN u_n ELSE e_n END AS shock
+        FROM (SELECT series, model, model LIKE '%_diff' AS isdiff FROM fitr WHERE r_ = 1) l3
+        JOIN st ON st.series = l3.series {_JOINS}),
+rec AS (SELECT series, 0 AS h, held AS v, list_append(list_transform(range({_SEASON}), lambda i: 0.0::DOUBLE), 1.0::DOUBLE) AS w FROM own
+        UNION ALL
+        SELECT rec.series, h + 1,
+          list_append(v, const + coalesce(b1 * v[-1], 0) + coalesce(b2 * v[-2], 0) + coalesce(bs * v[-{_SEASON}], 0)
+                         + CASE WHEN h = 0 THEN th * shock ELSE 0 END),
+          list_append(w, b1 * w[-1] + b2 * w[-2] + bs * w[-{_SEASON}] + CASE WHEN h = 0 THEN th ELSE 0 END)
+        FROM rec JOIN own ON own.series = rec.series WHERE h < {config.FORECAST_H}),
+steps AS (SELECT rec.series, h, v[-1] AS step, w[-2] AS psi, isdiff FROM rec JOIN own ON own.series = rec.series WHERE h > 0),
+added AS (SELECT *, CASE WHEN isdiff THEN sum(step) OVER w ELSE step END AS path,
+                 CASE WHEN isdiff THEN sum(psi) OVER w ELSE psi END AS weight
+          FROM steps WINDOW w AS (PARTITION BY series ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+paths AS (SELECT series, h, path, sum(weight * weight) OVER (PARTITION BY series ORDER BY h
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS spread2 FROM added),
 hz AS (SELECT b.series, b.model, b.sigma, st.n, st.ybar, st.c, st.ar_a, st.ar_b, st.ad_a, st.ad_b,
               st.y_n, st.d_n, st.dl, st.tn, g.h
        FROM fitr b JOIN st ON b.series = st.series CROSS JOIN generate_series(1, {config.FORECAST_H}) AS g(h)
@@ -933,50 +1004,99 @@ hz3 AS (SELECT hz2.*,
           ms.TotalSales AS y_src
         FROM hz2 LEFT JOIN ms ON ms.series = hz2.series
                               AND ms.t = hz2.tn - {_SEASON} + (hz2.h - 1) % {_SEASON} + 1),
-fc AS (SELECT series, model, h, CAST(dl + to_months(CAST(h AS INTEGER)) AS DATE) AS Date,
-         CASE model WHEN 'mean' THEN ybar WHEN 'drift' THEN y_n + h * c
-              WHEN 'ar1' THEN ar_a * (CASE WHEN ar_b = 1 THEN CAST(h AS DOUBLE)
-                                           ELSE (1 - pow(ar_b, h)) / (1 - ar_b) END)
-                              + pow(ar_b, h) * y_n
-              WHEN 'ar1_diff' THEN y_n + cum_g ELSE y_src END AS point,
+fc AS (SELECT hz3.series, model, hz3.h, CAST(dl + to_months(CAST(hz3.h AS INTEGER)) AS DATE) AS Date,
+         CASE WHEN model = 'mean' THEN ybar WHEN model = 'drift' THEN y_n + hz3.h * c
+              WHEN model = 'ar1' THEN ar_a * (CASE WHEN ar_b = 1 THEN CAST(hz3.h AS DOUBLE)
+                                           ELSE (1 - pow(ar_b, hz3.h)) / (1 - ar_b) END)
+                              + pow(ar_b, hz3.h) * y_n
+              WHEN model = 'ar1_diff' THEN y_n + cum_g WHEN model = 'snaive' THEN y_src
+              WHEN model LIKE '%_diff' THEN y_n + path ELSE ybar + path END AS point,
          sigma * sqrt(CASE model WHEN 'mean' THEN 1 + 1 / n
-              WHEN 'drift' THEN h * (1 + h / (n - 1))
-              WHEN 'ar1' THEN (CASE WHEN abs(ar_b) = 1 THEN CAST(h AS DOUBLE)
-                                    ELSE (1 - pow(ar_b, 2 * h)) / (1 - pow(ar_b, 2)) END)
-              WHEN 'ar1_diff' THEN cum_s2 ELSE floor((h - 1) / {_SEASON}) + 1 END) AS se
-       FROM hz3)"""
-_FC_SQL = _fc_sql(_MONTHLY_SQL)
+              WHEN 'drift' THEN hz3.h * (1 + hz3.h / (n - 1))
+              WHEN 'ar1' THEN (CASE WHEN abs(ar_b) = 1 THEN CAST(hz3.h AS DOUBLE)
+                                    ELSE (1 - pow(ar_b, 2 * hz3.h)) / (1 - pow(ar_b, 2)) END)
+              WHEN 'ar1_diff' THEN cum_s2 WHEN 'snaive' THEN floor((hz3.h - 1) / {_SEASON}) + 1 ELSE spread2 END) AS se
+       FROM hz3 LEFT JOIN paths ON paths.series = hz3.series AND paths.h = hz3.h),
+cvf AS (SELECT cv.*, model, p, m, sse, sigma, aicc, rmse,
+               CASE model {" ".join(f"WHEN '{m}' THEN f_{m}" for m in ts.MODELS)} END AS fitted
+        FROM cv JOIN fitr ON cv.series = fitr.series AND r_ = 1),
+{", ".join(_ols_sql(f"k_{m}", "l3", y, xs, where) for m, (y, xs, where) in _TERMS.items())}"""
+
+
+def _fc_query(body: str, monthly_sql: str) -> str:
+    """Oracle text over the forecast CTEs, some of them recursive."""
+    return O.with_prefix(body, _fc_sql(monthly_sql)).replace("WITH", "WITH RECURSIVE", 1)
+
+
 
 
-@register("q_forecast_monthly", O.with_prefix(f"""
+@register("q_forecast_monthly", _fc_query(f"""
 SELECT series, model, CAST(h AS INTEGER) AS h, Date, {O.sig('point', 8)} AS forecast,
        {O.sig('se', 8)} AS se,
        {O.sig(f'point - {ts.Z80} * se', 8)} AS lo80, {O.sig(f'point + {ts.Z80} * se', 8)} AS hi80,
        {O.sig(f'point - {ts.Z95} * se', 8)} AS lo95, {O.sig(f'point + {ts.Z95} * se', 8)} AS hi95
-FROM fc""", _FC_SQL))
+FROM fc""", _MONTHLY_SQL))
 def q_forecast_monthly(spark, sf_dir):
     return rnd(ts.forecast(_monthly(spark, sf_dir)), default="sig8")
 
 
-@register("q_forecast_rmse", O.with_prefix(f"""
+@register("q_forecast_rmse", _fc_query(f"""
 SELECT series, model, p, m, {O.sig('sse', 8)} AS sse, {O.sig('sigma', 8)} AS sigma,
        {O.sig('aicc', 8)} AS aicc, {O.sig('rmse', 8)} AS rmse, r_ = 1 AS chosen
-FROM fitr""", _FC_SQL))
+FROM fitr""", _MONTHLY_SQL))
 def q_forecast_rmse(spark, sf_dir):
     return rnd(ts.forecast_accuracy(_monthly(spark, sf_dir)), default="sig8")
 
 
-@register("q_forecast_fitted", O.with_prefix(f"""
+@register("q_forecast_fitted", _fc_query(f"""
 SELECT cv.series, Date, model, round(y, 2) AS TotalSales, {O.sig('fitted', 8)} AS fitted,
        round(y - fitted, 0) AS residual
-FROM (SELECT cv.*, model, CASE model WHEN 'mean' THEN f_mean WHEN 'drift' THEN f_drift WHEN 'ar1' THEN f_ar1
-             WHEN 'ar1_diff' THEN f_ar1_diff ELSE f_snaive END AS fitted
-      FROM cv JOIN fitr ON cv.series = fitr.series AND r_ = 1) cv""", _FC_SQL))
+FROM cvf cv""", _MONTHLY_SQL))
 def q_forecast_fitted(spark, sf_dir):
     """Fitted value and residual per month of the chosen model."""
     return rnd(ts.fitted_values(_monthly(spark, sf_dir)), {"TotalSales": 2, "residual": 0}, default="sig8")
 
 
+_TERM_ROWS = " UNION ALL ".join(
+    f"SELECT '{m}' AS model, series, {i} AS i, '{x}' AS term, b{i} AS b, v{i} AS v FROM {c}_{m}"
+    for c, own in (("k", {m: xs for m, (_, xs, _) in _TERMS.items()}), ("o", {m: xs for m, (_, xs) in _ARMA.items()}))
+    for m, xs in own.items() for i, x in enumerate(["const", *xs]))
+
+
+@register("q_forecast_coefficients", _fc_query(f"""
+SELECT c.series, c.model, term, {O.sig('b', 6)} AS estimate, {O.sig('sigma * sqrt(v)', 6)} AS std_error
+FROM ({_TERM_ROWS}) c JOIN fitr ON fitr.series = c.series AND fitr.model = c.model AND r_ = 1""", _MONTHLY_SQL))
+def q_forecast_coefficients(spark, sf_dir):
+    """Coefficients and standard errors of the chosen model of each monthly series."""
+    return rnd(ts.forecast_coefficients(_monthly(spark, sf_dir)), default="sig6")
+
+
+_SUMMARY_SQL = f"""
+SELECT series, model, p, m, {O.sig('pow(sigma, 2)', 8)} AS sigma2, round(ll, 6) AS loglik,
+       round(2 * (p + 1) - 2 * ll, 6) AS aic, round(aicc, 6) AS aicc, round((p + 1) * ln(m) - 2 * ll, 6) AS bic,
+       round(me, 0) AS me, {O.sig('rmse', 8)} AS rmse, {O.sig('mae', 8)} AS mae, round(mpe, 6) AS mpe, round(mape, 6) AS mape,
+       round(mae / scale, 6) AS mase, round(acf1, 6) AS acf1
+FROM (SELECT series, any_value(model) AS model, any_value(p) AS p, any_value(m) AS m, any_value(sigma) AS sigma,
+             any_value(aicc) AS aicc, any_value(rmse) AS rmse, any_value(scale) AS scale,
+             any_value(-m / 2.0 * (ln(2 * pi() * sse / m) + 1)) AS ll, avg(e) AS me, avg(abs(e)) AS mae,
+             avg(100 * e / y) AS mpe, avg(100 * abs(e / y)) AS mape, sum(ce * ce1) / sum(ce * ce) AS acf1
+      FROM (SELECT *, lag(ce, 1) OVER (PARTITION BY series ORDER BY t) AS ce1
+            FROM (SELECT *, e - avg(e) OVER (PARTITION BY series) AS ce
+                  FROM (SELECT cvf.*, y - fitted AS e, avg(abs(z - zs)) OVER (PARTITION BY series) AS scale FROM cvf)
+                  WHERE scored))
+      GROUP BY series)"""
+
+
+def _summary(monthly: DataFrame) -> DataFrame:
+    return rnd(ts.forecast_summary(monthly), {"sigma2": "sig8", "rmse": "sig8", "mae": "sig8", "me": 0})
+
+
+@register("q_forecast_summary", _fc_query(_SUMMARY_SQL, _MONTHLY_SQL))
+def q_forecast_summary(spark, sf_dir):
+    """Information criteria and training measures of the chosen model of each monthly series."""
+    return _summary(_monthly(spark, sf_dir))
+
+
 # --- segmentation (M21-M26): random starts, so checked by invariants ---------
 from tillroll.operators import clustering as clus  # noqa: E402
 
@@ -1080,19 +1200,25 @@ ms AS (SELECT series, Date,
               TotalSales FROM mo)"""
 
 
-@register("q_forecast_by_region", O.with_prefix(f"""
+@register("q_forecast_by_region", _fc_query(f"""
 SELECT series, model, CAST(h AS INTEGER) AS h, Date, {O.sig('point', 8)} AS forecast,
        {O.sig('se', 8)} AS se,
        {O.sig(f'point - {ts.Z80} * se', 8)} AS lo80, {O.sig(f'point + {ts.Z80} * se', 8)} AS hi80,
        {O.sig(f'point - {ts.Z95} * se', 8)} AS lo95, {O.sig(f'point + {ts.Z95} * se', 8)} AS hi95
-FROM fc""", _fc_sql(_MONTHLY_BY_REGION_SQL)))
+FROM fc""", _MONTHLY_BY_REGION_SQL))
 def q_forecast_by_region(spark, sf_dir):
     """One monthly series per region, all fitted and forecast in one job
     (windows partitioned by series)."""
-    m = ts.monthly_sales(pops(spark, sf_dir).pos, by="Region")
+    m = materialize(ts.monthly_sales(pops(spark, sf_dir).pos, by="Region"), "monthly")
     return rnd(ts.forecast(m), default="sig8")
 
 
+@register("q_forecast_summary_by_region", _fc_query(_SUMMARY_SQL, _MONTHLY_BY_REGION_SQL))
+def q_forecast_summary_by_region(spark, sf_dir):
+    """The summary of one monthly series per region, all in one job."""
+    return _summary(materialize(ts.monthly_sales(pops(spark, sf_dir).pos, by="Region"), "monthly"))
+
+
 @register("q_decompose_by_region", _decomp_sql("""
 dd AS (SELECT Region AS series, CAST(InvoiceDate AS DATE) AS d,
               sum(TotalSales) AS v FROM sc GROUP BY 1, 2)"""))

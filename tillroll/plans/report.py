@@ -93,6 +93,8 @@ def full_report(raw: DataFrame, churn_as_of: str | None = config.CHURN_REFERENCE
     r["monthly_sales"] = monthly
     r["forecast"] = timeseries.forecast(monthly)
     r["forecast_accuracy"] = timeseries.forecast_accuracy(monthly)
+    r["forecast_coefficients"] = timeseries.forecast_coefficients(monthly)
+    r["forecast_summary"] = timeseries.forecast_summary(monthly)
     r["forecast_fitted"] = timeseries.fitted_values(monthly)
     r["trend"] = timeseries.linear_summary(monthly)
     r["trend_band"] = timeseries.trend_band(monthly)

@@ -66,3 +66,75 @@ def test_population_filters_reach_materialised_scan(spark):
     assert scan and "GreaterThanOrEqual(TotalSales,0.0)" in scan[0] \
         and "GreaterThanOrEqual(Quantity,0.0)" in scan[0]
     assert "ReadSchema: struct<Quantity:double,TotalSales:double>" in scan[0]
+
+
+def scans(spark, run, table="lineitem"):
+    """How many scans of a table the jobs of ``run`` have, its result written included."""
+    seen = []
+    from pyspark.sql import DataFrameWriter
+
+    plain = DataFrameWriter.parquet
+
+    def spy(self, *args, **kw):
+        seen.append(plan(self._df))
+        return plain(self, *args, **kw)
+    DataFrameWriter.parquet = spy
+    try:
+        out = run()
+        seen.append(plan(out))
+    finally:
+        DataFrameWriter.parquet = plain
+    return sum(ln.count(f"/{table}.parquet") for p in seen for ln in p.splitlines() if "ReadSchema" in ln)
+
+
+def test_reports_read_their_source_once(spark):
+    from tillroll.plans.catalog import QUERIES
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    try:
+        for name in ("q_hist_total_sales", "q_hist_log_sales", "q_hist_log_sales_no_outliers", "q_hist_negative",
+                     "q_outlier_lines", "q_head_clean", "q_scaled_lines", "q_kpi_clean", "q_kpi_no_outliers"):
+            assert scans(spark, lambda: QUERIES[name](spark, SF_SMALL)) == 1, name
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+def test_key_figures_multiply_no_rows(spark):
+    P = pops(spark, SF_SMALL, True)
+    for pop in (P.sc, P.noout, P.scaled):
+        assert "Expand [" not in plan(kpi.kpi_table(pop)) and "Expand" not in plan(kpi.kpi_table(pop, limit=0))
+
+
+def test_large_key_figures_equal_small_ones(spark):
+    P = pops(spark, SF_SMALL, True)
+    for pop in (P.sc, P.neg):
+        small, large = (kpi.kpi_table(pop, limit=n).collect() for n in (1 << 20, 0))
+        for a, b in zip(small, large, strict=True):
+            assert all(x == y or abs(x - y) <= 1e-9 * abs(x) for x, y in zip(a[1:], b[1:])) and a[0] == b[0]
+
+
+def test_distinct_counts_by_bits(spark):
+    import pytest
+
+    rows = [("EU", 1, "a"), ("APAC", 1, "a"), (None, 2, "b"), ("EU", None, "c"), ("EU", None, None), ("APAC", None, None),
+            ("EU", 3, None), ("EU", None, "a")]
+    df = spark.createDataFrame(rows, "Region string, CustomerID long, Invoice string")
+    got = {r["_group"]: tuple(r)[2:] for r in kpi.distinct_by_group(df, "Region", ["EU", "APAC"], "all").collect()}
+    # customers that aren't null; invoices of null customers and all invoices, a null one counting as one
+    assert got == {"EU": (2, 3, 3), "APAC": (1, 1, 2), None: (1, 0, 1), "all": (3, 3, 4)}
+    with pytest.raises(Exception, match="labels"):
+        kpi.distinct_by_group(df, "Region", ["EU"], "all").collect()
+    assert kpi.kpi_table(df.where("1 = 0").withColumns({"TotalSales": df.CustomerID * 1.0, "Quantity": df.CustomerID * 1.0})
+                         ).collect()[0]["Unique_Customers"] == 0
+
+
+def test_statistics_of_the_write_equal_those_read_back(spark):
+    from tillroll.operators import clean
+    from tillroll.session import materialize_with
+
+    one, two = pops(spark, SF_SMALL, True), pops(spark, SF_SMALL)
+    assert sorted(one.out.select("Invoice", "z_score").collect()) == sorted(two.out.select("Invoice", "z_score").collect())
+    assert sorted(map(tuple, one.scaled.select("Invoice", "StockCode", "Price_MinMax").collect())) == sorted(
+        map(tuple, two.scaled.select("Invoice", "StockCode", "Price_MinMax").collect()))
+    table, seen = materialize_with(one.sc.where("1 = 0"), "empty", clean.line_statistics())
+    assert table.count() == 0 and set(seen.values()) == {None}

@@ -89,9 +89,13 @@ def global_stats(df: DataFrame, exprs: dict[str, F.Column]) -> DataFrame:
     return F.broadcast(df.agg(*[e.alias(n) for n, e in exprs.items()]))
 
 
-def with_zscore(df: DataFrame, col: str = "Quantity", out: str = "z_score") -> DataFrame:
+def with_zscore(df: DataFrame, col: str = "Quantity", out: str = "z_score", known: dict | None = None) -> DataFrame:
     """SC_Z: (x - mean) / sd over the whole frame; the 1-row statistics are
-    broadcast (not an un-partitioned window, which would be one task)."""
+    broadcast (not an un-partitioned window, which would be one task), or literals where
+    they are ``known`` (as ``mean`` and ``sd``)."""
+    if known is not None:
+        mean, sd = (F.lit(known[k]).cast("double") for k in ("mean", "sd"))
+        return df.withColumn(out, F.try_divide(F.col(col) - mean, sd))
     st = global_stats(df, {"_mu": F.avg(col), "_sd": F.stddev_samp(col)})
     return (df.crossJoin(st)
             .withColumn(out, F.try_divide(F.col(col) - F.col("_mu"), F.col("_sd")))
@@ -108,9 +112,9 @@ def bulk_lines(sc_z: DataFrame, threshold: float = config.BULK_INCLUSIVE) -> Dat
     return sc_z.where(F.col("Quantity") >= threshold)
 
 
-def no_outliers(sc: DataFrame, k: float = config.Z_OUTLIER) -> DataFrame:
+def no_outliers(sc: DataFrame, k: float = config.Z_OUTLIER, known: dict | None = None) -> DataFrame:
     """NOOUT: |z| <= k on Quantity, z dropped."""
-    return with_zscore(sc).where(F.abs("z_score") <= k).drop("z_score")
+    return with_zscore(sc, known=known).where(F.abs("z_score") <= k).drop("z_score")
 
 
 def no_outliers_positive(noout: DataFrame) -> DataFrame:
@@ -123,9 +127,13 @@ def no_low(noout_pos: DataFrame, threshold: float = config.LOW_ORDER) -> DataFra
     return noout_pos.where(F.col("TotalSales") >= threshold)
 
 
-def minmax_columns(df: DataFrame, cols: Sequence[str], suffix: str = "_MinMax") -> DataFrame:
-    """(x - min) / (max - min) per column; min/max from one broadcast row.
+def minmax_columns(df: DataFrame, cols: Sequence[str], suffix: str = "_MinMax", known: dict | None = None) -> DataFrame:
+    """(x - min) / (max - min) per column; min/max from one broadcast row, or literals
+    where they are ``known`` (as ``min_<column>``, ``max_<column>``).
     A constant column gives null instead of an ANSI division error."""
+    if known is not None:
+        low, high = ({x: F.lit(known[f"{m}_{x}"]).cast("double") for x in cols} for m in ("min", "max"))
+        return df.select("*", *(F.try_divide(F.col(x) - low[x], high[x] - low[x]).alias(f"{x}{suffix}") for x in cols))
     exprs = {}
     for x in cols:
         exprs[f"_min_{x}"] = F.min(x)
@@ -138,14 +146,28 @@ def minmax_columns(df: DataFrame, cols: Sequence[str], suffix: str = "_MinMax")
     return out.drop(*exprs.keys())
 
 
-def scaled_positive(sc: DataFrame) -> DataFrame:
+SCALED_COLUMNS = ["Quantity", "Price", "TotalSales"]
+
+
+def scaled_positive(sc: DataFrame, known: dict | None = None) -> DataFrame:
     """SCALED: POS with min-max Quantity, Price and TotalSales."""
-    return minmax_columns(positive(sc), ["Quantity", "Price", "TotalSales"])
+    return minmax_columns(positive(sc), SCALED_COLUMNS, known=known)
 
 
-def scaled_all(sc: DataFrame) -> DataFrame:
+def scaled_all(sc: DataFrame, known: dict | None = None) -> DataFrame:
     """SC with the three min-max columns (computed over all clean lines)."""
-    return minmax_columns(sc, ["Quantity", "Price", "TotalSales"])
+    return minmax_columns(sc, SCALED_COLUMNS, known=known)
+
+
+def line_statistics() -> dict[str, F.Column]:
+    """What the populations need to know of all clean lines: mean and sd of Quantity, and the
+    ranges of the scaled columns over all (``all_``) and over the positive lines (``pos_``)."""
+    is_pos = (F.col("TotalSales") >= 0) & (F.col("Quantity") >= 0)
+    out = {"mean": F.avg("Quantity"), "sd": F.stddev_samp("Quantity")}
+    for x in SCALED_COLUMNS:
+        for who, v in (("all", F.col(x)), ("pos", F.when(is_pos, F.col(x)))):
+            out |= {f"{who}_min_{x}": F.min(v), f"{who}_max_{x}": F.max(v)}
+    return out
 
 
 def decode_region(df: DataFrame, default: str | None = None, out: str = "Region") -> DataFrame:
@@ -161,6 +183,8 @@ class Populations:
     every other population, so multi-pass reports read the table instead of
     re-running the joins and the dedup shuffle.  ``columns`` keeps only those of
     SC that a report needs (populations filter on Quantity, Price, TotalSales).
+    The write also yields the statistics that outlier and scaled populations refer to, so
+    those are plain filters and projections of the table.
     """
 
     def __init__(self, raw: DataFrame, materialize: bool = False, columns: Sequence[str] | None = None):
@@ -168,9 +192,19 @@ class Populations:
         self._sc = clean_lines(raw)
         if columns is not None:                   # what the report reads, before it is written
             self._sc = self._sc.select(*[c(x) for x in columns])
+        self._known = None
         if materialize:
-            from tillroll.session import materialize as _mat
-            self._sc = _mat(self._sc, "clean_lines")
+            from tillroll.session import materialize as _mat, materialize_with
+            if set(SCALED_COLUMNS) <= set(self._sc.columns):
+                self._sc, self._known = materialize_with(self._sc, "clean_lines", line_statistics())
+            else:
+                self._sc = _mat(self._sc, "clean_lines")
+
+    def _range(self, who: str) -> dict | None:
+        """Known minima and maxima of all lines or of the positive ones."""
+        if self._known is None:
+            return None
+        return {k.removeprefix(f"{who}_"): v for k, v in self._known.items() if k.startswith(f"{who}_")}
 
     @property
     def nodup(self) -> DataFrame:
@@ -194,7 +228,7 @@ class Populations:
 
     @property
     def sc_z(self) -> DataFrame:
-        return with_zscore(self._sc)
+        return with_zscore(self._sc, known=self._known)
 
     @property
     def out(self) -> DataFrame:
@@ -206,7 +240,7 @@ class Populations:
 
     @property
     def noout(self) -> DataFrame:
-        return no_outliers(self._sc)
+        return no_outliers(self._sc, known=self._known)
 
     @property
     def noout_pos(self) -> DataFrame:
@@ -218,7 +252,11 @@ class Populations:
 
     @property
     def scaled(self) -> DataFrame:
-        return scaled_positive(self._sc)
+        return scaled_positive(self._sc, self._range("pos"))
+
+    @property
+    def scaled_all(self) -> DataFrame:
+        return scaled_all(self._sc, self._range("all"))
 
     def population(self, name: str) -> DataFrame:
         return getattr(self, name)

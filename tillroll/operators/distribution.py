@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.columns import join_null_safe
 from tillroll.operators.order_stats import exact_quantiles
-from tillroll.session import checked_broadcast
+from tillroll.session import checked_broadcast, materialize
 
 
 def histogram(df: DataFrame, value: F.Column, width: float, by: list[str] | None = None,
               fill_empty: bool = False, max_bins: int = 1_000_000) -> DataFrame:
     """Fixed-width bins centred on multiples of ``width``, right-closed
     ((k - 1/2) w, (k + 1/2) w]; the lowest value sitting exactly on a lower
-    edge joins the first bin (include-lowest).  Null values are dropped.
+    edge joins the first bin (include-lowest).  Null values are dropped.  The values are
+    read once; the lowest is found on the bin table, which is written.
 
     Output: [by...,] bin (long k), center (k * w), count.  By default only
     non-empty bins are returned; ``fill_empty=True`` adds the empty bins
@@ -22,17 +23,17 @@ def histogram(df: DataFrame, value: F.Column, width: float, by: list[str] | None
     than ``max_bins`` of them.
     """
     by = by or []
-    x = value.alias("_x")
-    d = df.select(*by, x).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    # one row per group, broadcast behind a row-count check (a hot group
-    # must not funnel into one join task)
-    d = (join_null_safe(d, checked_broadcast(d.groupBy(*by).agg(F.min("_x").alias("_min"))), by)
-         if by
-         else d.crossJoin(F.broadcast(d.agg(F.min("_x").alias("_min")))))
+    d = df.select(*by, value.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
     t = F.col("_x") / F.lit(width) - F.lit(0.5)
     k = F.ceil(t)
-    k = F.when((F.col("_x") == F.col("_min")) & (k == t), k + 1).otherwise(k).cast("long")
-    counts = d.groupBy(*by, k.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    # one pass over the values: rows on an edge are counted apart, so that the lowest of them
+    # can be moved on the bin table
+    bins = materialize(d.groupBy(*by, k.cast("long").alias("bin"), F.when(k == t, F.col("_x")).alias("_edge")).agg(
+        F.count(F.lit(1)).alias("count"), F.min("_x").alias("_low")), "bins")
+    lowest = bins.groupBy(*by).agg(F.min("_low").alias("_min"))
+    bins = join_null_safe(bins, checked_broadcast(lowest), by) if by else bins.crossJoin(F.broadcast(lowest))
+    moved = F.col("bin") + F.coalesce((F.col("_edge") == F.col("_min")).cast("long"), F.lit(0))
+    counts = bins.groupBy(*by, moved.alias("bin")).agg(F.sum("count").alias("count"))
     if fill_empty:
         span = counts.groupBy(*by).agg(F.min("bin").alias("_lo"), F.max("bin").alias("_hi"))
         room = F.when(F.col("_hi") - F.col("_lo") < max_bins, F.sequence("_lo", "_hi")).otherwise(

@@ -25,39 +25,60 @@ def n_distinct_with_null(x: F.Column) -> F.Column:
             + F.coalesce(F.max(x.isNull().cast("int")), F.lit(0))).cast("long")
 
 
-def _guest_invoices(cust: F.Column, inv: F.Column) -> F.Column:
-    guest_inv = F.when(cust.isNull(), inv)
-    return (F.count_distinct(guest_inv)
-            + F.coalesce(F.max((cust.isNull() & inv.isNull()).cast("int")), F.lit(0))).cast("long")
+def distinct_by_group(df: DataFrame, by: str, labels: Sequence[str], overall_label: str) -> DataFrame:
+    """(group, Unique_Customers, Guest_Customers, Total_Unique_Invoices) per value of ``by`` and
+    overall, without multiplying rows: each id is first reduced to the set of groups that it
+    occurs in, as bits (map-side combined, so a hot id leaves a task once), and then the set
+    bits are counted.  ``labels``: at most 62 values of ``by``; null is a group, any other
+    value an error.  A null invoice counts as one value, a null customer as none."""
+    labels = list(labels)
+    if len(labels) > 62:
+        raise ValueError("at most 62 groups fit into the bits of a long")
+    place = F.array_position(F.array(*map(F.lit, labels)), c(by).cast("string"))
+    known = F.when(c(by).isNull(), F.lit(0)).when(place > 0, place).otherwise(
+        F.raise_error(F.concat(F.lit("a group that isn't among the labels: "), c(by).cast("string"))).cast("long"))
+    lines = df.select("CustomerID", "Invoice", known.cast("int").alias("_place"))
+    lines = lines.select("CustomerID", "Invoice", F.expr("shiftleft(1L, _place)").alias("_bit"))
+    customers = lines.where("CustomerID IS NOT NULL").groupBy("CustomerID").agg(F.bit_or("_bit").alias("seen"))
+    invoices = lines.groupBy("Invoice").agg(
+        F.bit_or("_bit").alias("seen"), F.bit_or(F.when(F.col("CustomerID").isNull(), F.col("_bit"))).alias("guest"))
+
+    def counted(bits: str, name: str) -> F.Column:
+        """How many ids have each bit, and how many have any."""
+        held = [F.sum(F.expr(f"shiftright({bits}, {i}) & 1")) for i in range(len(labels) + 1)]
+        return F.array(*(F.coalesce(x, F.lit(0)) for x in (*held, F.count(bits)))).alias(name)
+
+    both = customers.agg(counted("seen", "c")).crossJoin(F.broadcast(invoices.agg(
+        counted("guest", "g"), counted("seen", "i"))))
+    rows = F.array(*(F.struct(F.lit(x).cast("string").alias("_group"), F.lit(over).alias("_gid"),
+                              F.col("c")[i].alias("Unique_Customers"), F.col("g")[i].alias("Guest_Customers"), F.col("i")[i].alias("Total_Unique_Invoices"))
+                     for i, (x, over) in enumerate([(None, 0), *((x, 0) for x in labels), (overall_label, 1)])))
+    return both.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def kpi_table(df: DataFrame, sales: str = "TotalSales", qty: str = "Quantity",
               by: str = "Region", overall_label: str = config.OVERALL,
-              overall_first: bool = False, approx_median: bool = False) -> DataFrame:
+              overall_first: bool = False, approx_median: bool = False,
+              labels: Sequence[str] = tuple(config.REGION_LEVELS), limit: int = FINAL_LIMIT) -> DataFrame:
     """Nine key figures per ``by`` value plus one overall row.
 
-    Two aggregates over grouping sets (by), (): distinct counts on the ids alone
-    (their row expansion then carries no amounts), and means with sample
-    standard deviations.  Medians are exact: part of the second aggregate up to
-    ``order_stats.FINAL_LIMIT`` rows, beyond from the distributed quantile operator
-    (or ``percentile_approx`` with ``approx_median=True``).  The small results
-    are joined per group, a null group included.
+    Distinct counts come from bit sets of groups per id (``labels``: the values of ``by``), means
+    with sample standard deviations from one aggregate per group and one over all; no row
+    is multiplied.  Medians are exact: part of those aggregates up to ``limit`` rows,
+    beyond from the distributed quantile operator (or ``percentile_approx`` with
+    ``approx_median=True``).  The small results are joined per group, a null group included.
     """
-    cust, inv = F.col("CustomerID"), F.col("Invoice")
-    gid = F.grouping(by).alias("_gid")
-    ids = df.select(c(by), cust, inv).rollup(c(by)).agg(
-        gid, F.count_distinct(cust).cast("long").alias("Unique_Customers"),
-        _guest_invoices(cust, inv).alias("Guest_Customers"),
-        n_distinct_with_null(inv).alias("Total_Unique_Invoices"))
-    amounts = [gid, F.avg(sales).alias("Mean_Total_Sales"), F.stddev_samp(sales).alias("SD_Total_Sales"),
+    ids = distinct_by_group(df, by, labels, overall_label)
+    amounts = [F.avg(sales).alias("Mean_Total_Sales"), F.stddev_samp(sales).alias("SD_Total_Sales"),
                F.avg(qty).alias("Mean_Quantity"), F.stddev_samp(qty).alias("SD_Quantity")]
-    bounded = not approx_median and df.count() <= FINAL_LIMIT
+    bounded = not approx_median and df.count() <= limit
     median = F.median if bounded else lambda x: F.percentile_approx(x, 0.5, 10000).cast("double")
     if bounded or approx_median:
         amounts += [median(sales).alias("Median_Total_Sales"), median(qty).alias("Median_Quantity")]
-    out = join_null_safe(ids, df.rollup(c(by)).agg(*amounts), [by, "_gid"])
-    label = F.when(F.col("_gid") == 1, F.lit(overall_label)).otherwise(c(by))
-    out = out.withColumn("Region", label).drop(*([by] if by != "Region" else []), "_gid")
+    groups = df.groupBy(c(by).cast("string").alias("_group")).agg(*amounts).withColumn("_gid", F.lit(0))
+    total = df.agg(*amounts).select(F.lit(overall_label).alias("_group"), "*", F.lit(1).alias("_gid"))
+    out = join_null_safe(groups.unionByName(total), F.broadcast(ids), ["_group", "_gid"])
+    out = out.withColumn("Region", F.col("_group")).drop("_group", "_gid")
     if not (bounded or approx_median):
         out = out.join(grouped_medians(df, by, {"Median_Total_Sales": sales, "Median_Quantity": qty},
                                        overall_label), "Region", "left")

@@ -101,6 +101,12 @@ def q_kpi_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
                              qty="Quantity_MinMax"), KPI_ROUND_SCALED)
 
 
+@register("q_kpi_refined", O.kpi_sql("sc"))
+def q_kpi_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key figures with medians by histogram refinement, as for tables of any size."""
+    return rnd(kpi.kpi_table(pops(spark, sf_dir, True, KPI_READS).sc, overall_first=True, limit=0), KPI_ROUND)
+
+
 # --- sources and data quality (S2, U1, F2, A17, R1, F13, W1, W2, W3) ---------
 from tillroll.operators import customers as cust  # noqa: E402
 from tillroll.operators import quality  # noqa: E402
@@ -207,7 +213,7 @@ def q_bulk_lines(spark, sf_dir):
     f"SELECT {_SC_COLS}, round(z_score, 6) AS z_score FROM sc_z "
     f"WHERE abs(z_score) > {config.Z_OUTLIER}"))
 def q_outlier_lines(spark, sf_dir):
-    p = pops(spark, sf_dir)
+    p = pops(spark, sf_dir, True)
     return rnd(clean.outliers(p.sc_z), {"TotalSales": 4, "z_score": 6})
 
 
@@ -293,7 +299,7 @@ SELECT {_SC_COLS} FROM noout
 ORDER BY InvoiceDate, Invoice, StockCode, Quantity, Price, CustomerID NULLS FIRST LIMIT 6"""))
 def q_head_clean(spark, sf_dir):
     """O2: the first six lines of NOOUT by a total order on the dedup key."""
-    df = pops(spark, sf_dir).noout
+    df = pops(spark, sf_dir, True).noout
     return rnd(df.orderBy("InvoiceDate", "Invoice", "StockCode", "Quantity", "Price",
                           F.col("CustomerID").asc_nulls_first()).limit(6), {"TotalSales": 4})
 
@@ -575,7 +581,7 @@ GROUP BY bin""")
 
 def _hist(pop: str, expr, w: float):
     def fn(spark, sf_dir):
-        df = pops(spark, sf_dir).population(pop)
+        df = pops(spark, sf_dir, pop == "noout_pos", AMOUNTS).population(pop)
         return rnd(dist.histogram(df, expr(), w), {"center": 6})
     return fn
 
@@ -1166,6 +1172,31 @@ def q_csv_roundtrip(spark, sf_dir):
     return rnd(clean.clean_lines(read_invoice_csv(spark, paths)), {"TotalSales": 4})
 
 
+_BAD_QUANTITY = "CASE WHEN CAST(StockCode AS BIGINT) % 53 = 0 THEN '?' ELSE '1O' END"
+
+
+@register("q_csv_bad_rows", O.with_prefix(f"""
+SELECT src_rank, 'Quantity' AS column, count(*) AS n_fields, count(DISTINCT {_BAD_QUANTITY}) AS n_values
+FROM raw WHERE CAST(StockCode AS BIGINT) % 53 <= 1 GROUP BY src_rank
+UNION ALL
+SELECT src_rank, 'InvoiceDate', count(*), 1 FROM raw WHERE CAST(StockCode AS BIGINT) % 59 = 0 GROUP BY src_rank"""))
+def q_csv_bad_rows(spark, sf_dir):
+    """Raw lines written as CSV with broken quantities and dates among them, scanned back: how
+    many fields of each file and column are quarantined."""
+    import uuid
+
+    from tillroll.session import ensure_checkpoint_dir
+    from tillroll.sources.retail import csv_bad_counts, csv_bad_fields, write_invoice_csv
+
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/csv-{uuid.uuid4().hex}"
+    code = F.col("StockCode").cast("long")
+    raw = retail_from_tables(spark, sf_dir).withColumns({
+        "Quantity": F.when(code % 53 <= 1, F.expr(_BAD_QUANTITY)).otherwise(F.col("Quantity").cast("string")),
+        "Broken": code % 59 == 0})
+    paths = write_invoice_csv(raw, base, broken_date="Broken")
+    return csv_bad_counts(csv_bad_fields(spark, paths))
+
+
 # --- min-max scaling over all clean lines (M5, M6, W8) -----------------------
 @register("q_scaled_lines", O.with_prefix("""
 SELECT Invoice, StockCode, Quantity, Price, CustomerID,
@@ -1177,7 +1208,7 @@ FROM sc, (SELECT min(Quantity) AS qmin_, max(Quantity) AS qmax_, min(Price) AS p
           FROM sc) m_"""))
 def q_scaled_lines(spark, sf_dir):
     """SC with min-max Quantity, Price and TotalSales (statistics over all lines)."""
-    df = clean.scaled_all(pops(spark, sf_dir).sc)
+    df = pops(spark, sf_dir, True, ["Invoice", "StockCode", "CustomerID", *AMOUNTS]).scaled_all
     return rnd(df.select("Invoice", "StockCode", "Quantity", "Price", "CustomerID",
                          "Quantity_MinMax", "Price_MinMax", "TotalSales_MinMax"), default=9)
 

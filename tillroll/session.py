@@ -99,6 +99,21 @@ def materialize(df, name: str = "table"):
     return df.sparkSession.read.parquet(path)
 
 
+def materialize_with(df, name: str, metrics: dict):
+    """As :func:`materialize`, and the values of aggregates over the rows written, by
+    name: observed while they are written, or read back from the table where the
+    observation brings nothing (no task ran)."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    columns = [e.alias(n) for n, e in metrics.items()]
+    table = materialize(df.observe(seen, *columns), name)
+    values = seen.get
+    if set(values) != set(metrics):
+        values = table.agg(*columns).first().asDict()
+    return table, values
+
+
 BROADCAST_MAX_ROWS = 200_000
 
 

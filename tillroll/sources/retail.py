@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll import config
+from tillroll.functions.columns import parse_invoice_date
 
 # Raw column order (src_rank first, then the source file's columns).
 RAW_COLUMNS = ["src_rank", *config.SOURCE_COLUMNS]
@@ -34,35 +35,80 @@ CSV_SCHEMA = T.StructType([
 ])
 
 
+#: Column of the text of a line that doesn't have the file's fields.
+CORRUPT = "_corrupt_record"
+
+
+def _scan_csv(spark: SparkSession, paths: list[str] | str, schema: T.StructType) -> list[DataFrame]:
+    """One scan per file: every field as trimmed text (empty and ``NA`` are null), the rank of
+    the file, and the whole line where its fields don't fit the header."""
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields]
+                        + [T.StructField(CORRUPT, T.StringType())])
+    frames = []
+    for rank, path in enumerate([paths] if isinstance(paths, str) else paths, start=1):
+        df = (spark.read.schema(text)
+              .option("header", True).option("nullValue", "NA")
+              .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
+              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+              .csv(path))
+        frames.append(df.select(F.lit(rank).alias("src_rank"), CORRUPT, *[
+            F.nullif(F.trim(F.col(f"`{f.name}`")), F.lit("")).alias(f.name) for f in schema.fields]))
+    return frames
+
+
+def _typed(field: T.StructField) -> F.Column:
+    """A field's value in its type, null where the text has none."""
+    column = F.col(f"`{field.name}`")
+    return column if isinstance(field.dataType, T.StringType) else column.try_cast(field.dataType)
+
+
 def read_invoice_csv(spark: SparkSession, paths: list[str] | str,
                      schema: T.StructType = CSV_SCHEMA) -> DataFrame:
     """Scan invoice CSV files (header row) and stack them, tagging each file.
 
-    Empty fields and ``NA`` become null; quoted blanks are trimmed to null too.
+    Empty fields and ``NA`` become null; quoted blanks are trimmed to null too, and so
+    are fields that aren't of the column's type (:func:`csv_bad_fields` has them).
     Each path is one scan so its rank is known without ``input_file_name``;
     the union is by name and does not shuffle.
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    frames = []
-    for rank, path in enumerate(paths, start=1):
-        df = (spark.read.schema(schema)
-              .option("header", True).option("nullValue", "NA")
-              .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
-              .option("mode", "PERMISSIVE")
-              .csv(path))
-        text = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
-        df = df.select(
-            F.lit(rank).alias("src_rank"),
-            *[(F.nullif(F.trim(F.col(f"`{f.name}`")), F.lit("")) if f.name in text
-               else F.col(f"`{f.name}`")).alias(f.name) for f in schema.fields])
-        frames.append(df.withColumnRenamed("Customer ID", "CustomerID")
-                      .withColumn("CustomerID", F.col("CustomerID").cast("long")))
-    out = frames[0]
-    for df in frames[1:]:
-        out = out.unionByName(df, allowMissingColumns=True)
+    out = None
+    for df in _scan_csv(spark, paths, schema):
+        df = df.select("src_rank", *(_typed(f).alias(f.name) for f in schema.fields))
+        df = (df.withColumnRenamed("Customer ID", "CustomerID")
+              .withColumn("CustomerID", F.col("CustomerID").try_cast("long")))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out.select(*RAW_COLUMNS)
 
 
+def csv_bad_fields(spark: SparkSession, paths: list[str] | str,
+                   schema: T.StructType = CSV_SCHEMA) -> DataFrame:
+    """Quarantine (S1): ``src_rank, column, value, line`` of every field that isn't of its
+    column's type (a date: that doesn't parse), with the fields of its line joined by ``|``; and
+    of every line with too many or too few fields (column and value null, line as it stands)."""
+    out = None
+    for df in _scan_csv(spark, paths, schema):
+        line = F.concat_ws("|", *(F.coalesce(F.col(f"`{f.name}`"), F.lit("NA")) for f in schema.fields))
+        checks = []
+        for f in schema.fields:
+            value = parse_invoice_date(f.name) if f.name == "InvoiceDate" else _typed(f)
+            checks.append(F.struct(F.lit(f.name).alias("column"), F.col(f"`{f.name}`").alias("value"),
+                                   (F.col(f"`{f.name}`").isNotNull() & value.isNull()).alias("bad")))
+        whole = F.struct(F.lit(None).cast("string").alias("column"), F.lit(None).cast("string").alias("value"),
+                         F.col(CORRUPT).isNotNull().alias("bad"))
+        some = df.select("src_rank", F.coalesce(CORRUPT, line).alias("line"), F.explode(
+            F.filter(F.array(*checks, whole), lambda x: x["bad"])).alias("x"))
+        some = some.select("src_rank", "x.column", "x.value", "line")
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
+def csv_bad_counts(bad: DataFrame) -> DataFrame:
+    """``src_rank, column, n_fields, n_values``: quarantined fields per file and column, and how
+    many different values they hold."""
+    return bad.groupBy("src_rank", "column").agg(
+        F.count(F.lit(1)).alias("n_fields"), F.count_distinct("value").alias("n_values"))
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -122,15 +168,19 @@ def retail_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(F.explode(ranks).alias("src_rank"), *b.columns).select(*RAW_COLUMNS)
 
 
-def write_invoice_csv(raw: DataFrame, base: str, ranks: list[int] = (1, 2)) -> list[str]:
+def write_invoice_csv(raw: DataFrame, base: str, ranks: list[int] = (1, 2), broken_date: str | None = None) -> list[str]:
     """Write raw lines as one CSV folder per source rank, in the invoice-file
     text layout (header, ``M/d/yyyy H:mm:ss`` dates, ``Customer ID`` as a double,
     ``NA`` for missing values).  One pass writes all ranks, partitioned by
     rank; the folders of ``ranks`` come back in order, ready for
-    :func:`read_invoice_csv`."""
+    :func:`read_invoice_csv`.  Where the column ``broken_date`` holds, the date is written as
+    text that is none (to try the quarantine)."""
     base = base.rstrip("/")
+    date = F.date_format("InvoiceDate", "M/d/yyyy H:mm:ss")
+    if broken_date:
+        date = F.when(F.col(broken_date), F.lit("no date")).otherwise(date)
     (raw.select("src_rank", "Invoice", "StockCode", "Description", "Quantity",
-                F.date_format("InvoiceDate", "M/d/yyyy H:mm:ss").alias("InvoiceDate"), "Price",
+                date.alias("InvoiceDate"), "Price",
                 F.col("CustomerID").cast("double").alias("Customer ID"), "Country")
      .write.mode("errorifexists").option("header", True).option("nullValue", "NA")
      .partitionBy("src_rank").csv(base))

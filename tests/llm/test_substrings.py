@@ -84,3 +84,14 @@ def test_nulls_repeats_empty_and_text(docs, spark):
     by = {r.doc_id: r for r in out.collect()}
     assert by[2].text == "head\ntail" and by[2].n_chars == 9 and by[1].text == text and by[3].text is None
     assert S.removal_digest(docs(), 20).count() == 0
+
+
+def test_rows_of_one_id_with_different_texts(docs):
+    """A span is cut only from the row that holds its words."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    clean = " ".join(f"c{i}" for i in range(60))
+    rows = [(2, passage), (9, passage + " and a tail"), (9, clean), (9, "head " + passage)]
+    out = sorted(r.text for r in S.remove_repeats(docs(*rows)).collect() if r.doc_id == 9)
+    assert out == sorted(["and a tail", clean, "head "])
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in S.removal_digest(docs(*rows)).collect())
+    assert got == [(2, 30, 0), (9, 31, 30), (9, 33, 30), (9, 60, 0)]

@@ -411,11 +411,13 @@ def keep_first(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -
     table, named = _described(docs, words, num, den)
     first = (named.where("doc_id IS NOT NULL").groupBy("root")
              .agg(F.min(F.struct("doc_id", "cls")).alias("first")))
-    first = named.select("cls", "root").join(first, "root").select("cls", "first")
-    gone = (table.where("doc_id IS NOT NULL").join(first, "cls")
-            .where("doc_id <> first.doc_id OR cls <> first.cls"))
+    first = stored(named.select("cls", "root").join(first, "root").select("cls", "first"), "first-of-class")
     doc, cls = free_name("doc", docs.columns), free_name("cls", docs.columns)
-    gone = stored(gone.select(F.col("doc_id").alias(doc), F.col("cls").alias(cls)).distinct(), "near-duplicates")
+    # made distinct before the join: after it nothing needs the copies of a text together, so
+    # that the join can split a hot one
+    members = table.where("doc_id IS NOT NULL AND cls IS NOT NULL").select("doc_id", "cls").distinct()
+    gone = members.join(first, "cls").where("doc_id <> first.doc_id OR cls <> first.cls")
+    gone = stored(gone.select(F.col("doc_id").alias(doc), F.col("cls").alias(cls)), "near-duplicates")
     some, rest = split_by_keys(docs, gone.withColumnRenamed(doc, "doc_id"), "doc_id")
 
     @F.pandas_udf("binary")

@@ -27,6 +27,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -280,9 +281,19 @@ def united(ranges) -> list[list[int]]:
     return out
 
 
+def _mark(words: list[bytes]) -> int:
+    """Names the words of a span, so that it is applied to a text that holds them there."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words))).astype(np.int64))
+
+
+def held_spans(words: list[bytes], spans) -> list[list[int]]:
+    """The ranges, united, of the spans whose words stand there in this text."""
+    return united((s["start"], s["stop"]) for s in spans if _mark(words[s["start"]:s["stop"]]) == s["mark"])
+
+
 def _stream(window: int):
     """One shard (or a slice of its queries): confirmed spans of its queries."""
-    names = ["doc_id", "start", "stop"]
+    names = ["doc_id", "start", "stop", "mark"]
 
     def run(key, table):
         refs = table.filter(table.column("ref")).sort_by([("doc_id", "ascending"), ("start", "ascending")])
@@ -294,8 +305,8 @@ def _stream(window: int):
         out = []
         queries = table.filter(pc.invert(table.column("ref")))
         for doc, start, words in zip(*(queries.column(k).to_pylist() for k in ("doc_id", "start", "words"))):
-            span = None
-            for i, place in machine.ends(words.split(b" "), window):
+            span, first, words = None, len(out), words.split(b" ")
+            for i, place in machine.ends(words, window):
                 rdoc, last = places[place]
                 begin = start + i - window + 1
                 if (rdoc, last - window + 1) < (doc, begin):
@@ -304,18 +315,21 @@ def _stream(window: int):
                     else:
                         span = [doc, begin, begin + window]
                         out.append(span)
-        columns = list(zip(*out)) if out else [[]] * 3
+            for span in out[first:]:
+                span.append(_mark(words[span[1] - start:span[2] - start]))
+        columns = list(zip(*out)) if out else [[]] * 4
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=names)
     return run
 
 
 def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
-    """(doc_id, spans): word ranges (start, stop) to remove, united and ascending,
-    of each document that has some.
+    """(doc_id, spans): word ranges (start, stop) to remove, ascending, each with a mark of its
+    words (:func:`held_spans`), of each document that has some.
 
     ``docs`` needs doc_id and text; other columns are ignored.  A document is
-    named by its doc_id: rows repeating it hold the same text and aren't
-    earlier than each other.  Rows without doc_id, text or ``window`` words are
+    named by its doc_id: rows repeating it aren't earlier than each other at the same
+    word position; if their texts differ, a span is cut from those that hold its words
+    there.  Rows without doc_id, text or ``window`` words are
     neither reference nor changed.  An empty table has no spans.
     """
     spark = tune(docs.sparkSession)
@@ -350,9 +364,9 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
     pieces = some.join(wanted, "doc_id").mapInArrow(
         _pieces(window), "shard long, salt long, ref boolean, doc_id long, start long, words binary")
     spans = pieces.groupBy("shard", "salt").applyInArrow(
-        _stream(window), "doc_id long, start long, stop long")
+        _stream(window), "doc_id long, start long, stop long, mark long")
     spans = stored(spans.groupBy("doc_id").agg(
-        F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans")), "spans")
+        F.sort_array(F.collect_set(F.struct("start", "stop", "mark"))).alias("spans")), "spans")
     discard(runs, refs, salts, wanted)
     return spans
 
@@ -365,7 +379,7 @@ def _digest(batches):
             sizes.append(len(words))
             if spans:
                 kept, at = [], 0
-                for a, b in united((s["start"], s["stop"]) for s in spans):
+                for a, b in held_spans(words, spans):
                     kept += words[at:a]
                     at = b
                 words = kept + words[at:]
@@ -401,7 +415,7 @@ def without_spans(text: str, spans) -> str:
         return text
     starts = [m.start() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)] + [len(text)]
     out, at = [], 0
-    for a, b in united((s["start"], s["stop"]) for s in spans):
+    for a, b in held_spans(text.encode().split(), spans):
         out.append(text[at:starts[a]])
         at = starts[min(b, len(starts) - 1)]
     return "".join(out) + text[at:]

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tillroll import config
 from tillroll.functions.columns import c, join_null_safe
-from tillroll.operators.order_stats import FINAL_LIMIT, exact_quantiles
+from tillroll.operators.brackets import bracketed_quantiles
+from tillroll.operators.order_stats import FINAL_LIMIT
 
 KPI_COLUMNS = [
     "Region", "Unique_Customers", "Guest_Customers", "Mean_Total_Sales",
@@ -80,8 +81,8 @@ def kpi_table(df: DataFrame, sales: str = "TotalSales", qty: str = "Quantity",
     out = join_null_safe(groups.unionByName(total), F.broadcast(ids), ["_group", "_gid"])
     out = out.withColumn("Region", F.col("_group")).drop("_group", "_gid")
     if not (bounded or approx_median):
-        out = out.join(grouped_medians(df, by, {"Median_Total_Sales": sales, "Median_Quantity": qty},
-                                       overall_label), "Region", "left")
+        out = join_null_safe(out, grouped_medians(df, by, {"Median_Total_Sales": sales, "Median_Quantity": qty},
+                                                  overall_label), ["Region"], "left")
     order = F.when(F.col("Region") == overall_label, 0 if overall_first else 1).otherwise(
         1 if overall_first else 0)
     return out.orderBy(order, F.col("Region").asc_nulls_last()).select(*KPI_COLUMNS)
@@ -89,18 +90,12 @@ def kpi_table(df: DataFrame, sales: str = "TotalSales", qty: str = "Quantity",
 
 def grouped_medians(df: DataFrame, by: str, values: dict[str, str],
                     overall_label: str = config.OVERALL) -> DataFrame:
-    """Exact medians of several columns per ``by`` value and overall, in one
-    operator run: rows are unpivoted to (metric, x) and tagged with both their
-    group and the overall label."""
-    names = list(values)
-    long = df.select(
-        F.explode(F.array(c(by).cast("string"), F.lit(overall_label))).alias("Region"),
-        F.explode(F.array(*[F.struct(F.lit(n).alias("_metric"), F.col(v).cast("double").alias("_x"))
-                            for n, v in values.items()])).alias("_mv"))
-    long = long.select("Region", "_mv._metric", "_mv._x")
-    q = exact_quantiles(long, ["Region", "_metric"], "_x", [0.5])
-    return q.groupBy("Region").agg(*[F.max(F.when(F.col("_metric") == n, F.col("q"))).alias(n)
-                                     for n in names])
+    """Exact medians of several columns per ``by`` value and overall, in one operator run: sketches
+    bracket the medians, and no line is copied (:func:`tillroll.operators.brackets.bracketed_quantiles`)."""
+    q = bracketed_quantiles(df, c(by).cast("string"), lambda g: F.array(g, F.lit(overall_label)),
+                            {n: F.col(v) for n, v in values.items()}, [0.5])
+    return q.groupBy(F.col("set").alias("Region")).agg(
+        *[F.max(F.when(F.col("metric") == n, F.col("q"))).alias(n) for n in values])
 
 
 def missing_summary(raw: DataFrame, cols: Sequence[str] = (
@@ -138,37 +133,6 @@ def metrics_with_without_outliers(sc: DataFrame, sc_z: DataFrame,
             .select("Outliers", "mean_quantity", "sd_quantity"))
 
 
-def _impact_row(df: DataFrame) -> DataFrame:
-    return df.agg(F.sum("TotalSales").alias("total_sales"), F.avg("TotalSales").alias("mean_sales"),
-                  F.sum("Quantity").alias("total_quantity"),
-                  n_distinct_with_null(F.col("CustomerID")).cast("double").alias("unique_customers"))
-
-
-def impact_table(with_df: DataFrame, without_df: DataFrame,
-                 with_name: str, without_name: str) -> DataFrame:
-    """A27 / A28 + R2 + S4: five metrics for two populations as a
-    Metric / with / without table.  Each side is one aggregate pass plus one
-    exact median; the five-row table is a ``stack`` of the two rows."""
-    def one(df: DataFrame) -> DataFrame:
-        med = exact_quantiles(df, [], "TotalSales", [0.5]).select(F.col("q").alias("median_sales"))
-        return _impact_row(df).crossJoin(med)
-
-    a = one(with_df).select(*[F.col(x).alias(f"a_{x}") for x in
-                              ["total_sales", "mean_sales", "median_sales", "total_quantity",
-                               "unique_customers"]])
-    b = one(without_df).select(*[F.col(x).alias(f"b_{x}") for x in
-                                 ["total_sales", "mean_sales", "median_sales", "total_quantity",
-                                  "unique_customers"]])
-    ab = a.crossJoin(b)
-    stack = ("stack(5, 'Total Sales', a_total_sales, b_total_sales, "
-             "'Mean Sales', a_mean_sales, b_mean_sales, "
-             "'Median Sales', a_median_sales, b_median_sales, "
-             "'Total Quantity', a_total_quantity, b_total_quantity, "
-             "'Unique Customers', a_unique_customers, b_unique_customers) "
-             f"as (Metric, {with_name}, {without_name})")
-    return ab.selectExpr(stack)
-
-
 def share_percent(df: DataFrame, part: F.Column, name: str) -> DataFrame:
     """Percentage of rows for which ``part`` holds (null: it doesn't)."""
     return df.agg((F.avg(F.coalesce(part, F.lit(False)).cast("double")) * 100).alias(name))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll import config
-from tillroll.operators import arma, clean, kpi
+from tillroll.operators import arma, clean, kpi, lattice
 from tillroll.plans import oracle as O
 from tillroll.session import materialize
 from tillroll.sources.retail import retail_from_tables
@@ -222,7 +222,7 @@ SELECT count(*) FILTER (WHERE abs(z_score) > {config.Z_OUTLIER}) AS outlier_coun
        count(*) FILTER (WHERE Quantity >= {config.BULK_INCLUSIVE}) AS bulk_order_count
 FROM sc_z"""))
 def q_outlier_counts(spark, sf_dir):
-    z = pops(spark, sf_dir).sc_z
+    z = pops(spark, sf_dir, True, AMOUNTS).sc_z
     return z.agg(F.count_if(F.abs("z_score") > config.Z_OUTLIER).alias("outlier_count"),
                  F.count_if(F.col("Quantity") >= config.BULK_INCLUSIVE).alias("bulk_order_count"))
 
@@ -249,10 +249,36 @@ SELECT 'Without Outliers', round(avg(Quantity), 6), round(stddev_samp(Quantity),
 WHERE Quantity NOT IN (SELECT DISTINCT Quantity FROM sc_z
                        WHERE abs(z_score) > {config.Z_OUTLIER} AND Quantity IS NOT NULL)"""))
 def q_metrics_wo_outliers(spark, sf_dir):
-    p = pops(spark, sf_dir)
+    p = pops(spark, sf_dir, True, AMOUNTS)
     return rnd(kpi.metrics_with_without_outliers(p.sc, p.sc_z))
 
 
+@register("q_metrics_by_mask", ORACLES["q_metrics_wo_outliers"])
+def q_metrics_by_mask(spark, sf_dir):
+    """The same table from one aggregate, without the anti join."""
+    return rnd(lattice.outlier_metrics(pops(spark, sf_dir, True, AMOUNTS).sc_z))
+
+
+def _population_sql() -> str:
+    """One row per population, from the population's own lines."""
+    tables = {n: n for n in ("sc", "pos", "neg", "noout", "noout_pos", "nolow")} | {
+        "out": f"(SELECT * FROM sc_z WHERE abs(z_score) > {config.Z_OUTLIER}) o",
+        "bulk": f"(SELECT * FROM sc_z WHERE Quantity >= {config.BULK_INCLUSIVE}) b"}
+    return O.with_prefix("\nUNION ALL\n".join(
+        f"SELECT '{name}' AS population, count(*) AS n_lines, count(DISTINCT CustomerID) + "
+        f"coalesce(max(CAST(CustomerID IS NULL AS BIGINT)), 0) AS customers, " + ", ".join(
+            f"{O.sig(f'sum({x})')} AS sum_{x}, {O.sig(f'avg({x})')} AS mean_{x}, "
+            f"{O.sig(f'stddev_samp({x})', 9)} AS sd_{x}" for x in lattice.AMOUNTS) + f" FROM {table}"
+        for name, table in tables.items()))
+
+
+@register("q_population_table", _population_sql())
+def q_population_table(spark, sf_dir):
+    """Lines, customers, sums, means and deviations of all eight populations, by mask."""
+    t = lattice.population_table(pops(spark, sf_dir, True, ["CustomerID", *AMOUNTS]).sc_z)
+    return rnd(t, {f"sd_{x}": "sig9" for x in lattice.AMOUNTS}, default="sig")
+
+
 def _impact_sql(a: str, b: str, wa: str, wb: str) -> str:
     def one(pop: str) -> str:
         return (f"SELECT sum(TotalSales) AS ts, avg(TotalSales) AS ms, median(TotalSales) AS md, "
@@ -272,12 +298,19 @@ SELECT m.Metric, {O.sig('m.va')} AS {wa}, {O.sig('m.vb')} AS {wb} FROM (
 def _impact(spark, sf_dir, kind):
     p = pops(spark, sf_dir, True, ["CustomerID", *AMOUNTS])
     if kind == "bulk":
-        t = kpi.impact_table(p.pos, p.noout_pos, "With_Bulk_Orders", "Without_Bulk_Orders")
+        t = lattice.impact_table(p.sc_z, "pos", "noout_pos", "With_Bulk_Orders", "Without_Bulk_Orders")
     else:
-        t = kpi.impact_table(p.noout_pos, p.nolow, "With_Low_Orders", "Without_Low_Orders")
+        t = lattice.impact_table(p.sc_z, "noout_pos", "nolow", "With_Low_Orders", "Without_Low_Orders")
     return rnd(t, default="sig")
 
 
+@register("q_impact_refined", _impact_sql("pos", "nolow", "With_Bulk_Orders", "Without_Low_Orders"))
+def q_impact_refined(spark, sf_dir):
+    """Two populations with medians from brackets, as for tables of any size."""
+    sc_z = pops(spark, sf_dir, True, ["CustomerID", *AMOUNTS]).sc_z
+    return rnd(lattice.impact_table(sc_z, "pos", "nolow", "With_Bulk_Orders", "Without_Low_Orders", limit=0), default="sig")
+
+
 register("q_impact_bulk", _impact_sql("pos", "noout_pos", "With_Bulk_Orders",
                                       "Without_Bulk_Orders"))(
     lambda spark, sf_dir: _impact(spark, sf_dir, "bulk"))
@@ -1262,3 +1295,36 @@ def q_decompose_by_region(spark, sf_dir):
     return rnd(dec.select("series", "InvoiceDate", "t", "TotalSales", "trend", "seasonal",
                           "remainder"),
                {"TotalSales": 2, "trend": 4, "seasonal": 2, "remainder": 3})
+
+
+# --- result tables written and read back (S3), days without sales (T11) -------
+@register("q_published_lines", O.with_prefix(f"""
+SELECT Year, Region, count(*) AS n_lines, {O.sig("sum(TotalSales)")} AS total_sales
+FROM sc WHERE Year >= 1995 GROUP BY Year, Region"""))
+def q_published_lines(spark, sf_dir):
+    """Clean lines published as a table partitioned by year, and a report on the later years read
+    from it: folders of other years are not opened."""
+    import uuid
+
+    from tillroll.session import ensure_checkpoint_dir
+    from tillroll.sources.sinks import publish
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/published-{uuid.uuid4().hex}"
+    publish(pops(spark, sf_dir).sc, path, partition_by=["Year"], mode="errorifexists")
+    lines = spark.read.parquet(path).where("Year >= 1995")
+    return rnd(lines.groupBy("Year", "Region").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum("TotalSales").alias("total_sales")), default="sig")
+
+
+@register("q_bulk_days_filled", O.with_prefix("""
+SELECT d.series, CAST(d.InvoiceDate AS DATE) AS InvoiceDate, round(coalesce(x.TotalSales, 0.0), 2) AS TotalSales
+FROM (SELECT series, unnest(generate_series(min(InvoiceDate)::TIMESTAMP, max(InvoiceDate)::TIMESTAMP,
+             INTERVAL 1 DAY)) AS InvoiceDate FROM bd GROUP BY series) d
+LEFT JOIN bd x ON x.series = d.series AND x.InvoiceDate = CAST(d.InvoiceDate AS DATE)""", f"""
+bd AS (SELECT Region AS series, CAST(InvoiceDate AS DATE) AS InvoiceDate, sum(TotalSales) AS TotalSales
+       FROM sc WHERE Quantity >= {config.BULK_INCLUSIVE} GROUP BY 1, 2)"""))
+def q_bulk_days_filled(spark, sf_dir):
+    """Daily bulk sales of each region, with 0 on the days between without any."""
+    p = pops(spark, sf_dir, True, ["InvoiceDate", "Region", *AMOUNTS])
+    daily = materialize(ts.daily_sales(p.bulk, by="Region"), "daily")
+    return rnd(ts.fill_gaps(daily), default=2)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tillroll import config
 from tillroll.functions.columns import ln_pos
-from tillroll.operators import (clean, clustering, customers, distribution, inference, kpi,
+from tillroll.operators import (clean, clustering, customers, distribution, inference, kpi, lattice,
                                 quality, timeseries)
 from tillroll.session import materialize
 
@@ -46,10 +46,11 @@ def full_report(raw: DataFrame, churn_as_of: str | None = config.CHURN_REFERENCE
     r["outliers"] = P.out
     r["bulk_impact"] = kpi.bulk_impact(P.sc)
     r["metrics_with_without_outliers"] = kpi.metrics_with_without_outliers(P.sc, P.sc_z)
-    r["impact_bulk"] = kpi.impact_table(P.pos, P.noout_pos, "With_Bulk_Orders",
-                                        "Without_Bulk_Orders")
-    r["impact_low_orders"] = kpi.impact_table(P.noout_pos, P.nolow, "With_Low_Orders",
-                                              "Without_Low_Orders")
+    r["impact_bulk"] = lattice.impact_table(P.sc_z, "pos", "noout_pos", "With_Bulk_Orders",
+                                            "Without_Bulk_Orders")
+    r["impact_low_orders"] = lattice.impact_table(P.sc_z, "noout_pos", "nolow", "With_Low_Orders",
+                                                  "Without_Low_Orders")
+    r["populations"] = lattice.population_table(P.sc_z)
     r["negative_share"] = kpi.share_percent(P.sc, F.col("TotalSales") < 0, "percentage_negative")
     # distributions
     r["hist_negative"] = distribution.histogram(P.neg, F.col("TotalSales"),

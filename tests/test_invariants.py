@@ -174,3 +174,71 @@ def test_forecast_shape(P):
     m = timeseries.monthly_sales(P.pos, "positive")
     fc = timeseries.forecast(m).collect()
     assert len(fc) == 12 and all(r["lo95"] <= r["forecast"] <= r["hi95"] for r in fc)
+
+
+def _blobs(spark, seed, n=300):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    return _points(spark, [(float(a), float(b)) for a, b in rng.random((n, 2))])
+
+
+def test_row_changes_never_end_above_lloyd(spark):
+    lower = 0
+    for seed in range(3):
+        vecs = _blobs(spark, seed, 60)
+        plain, _ = clustering.multi_start_kmeans(vecs, [4, 6], 6, exchange=False)
+        full, centers = clustering.multi_start_kmeans(vecs, [4, 6], 6)
+        assert (full["wss"] <= plain["wss"] * (1 + 1e-12)).all()
+        lower += int((full["wss"] < plain["wss"] * (1 - 1e-9)).sum())
+        x = [tuple(r["scaled"]) for r in vecs.collect()]
+        for run, cen in centers.items():
+            _assert_no_row_should_move(x, cen, full["wss"][run])
+    assert lower > 0
+
+
+def _assert_no_row_should_move(x, cen, wss):
+    import numpy as np
+
+    x = np.array(x)
+    d2 = ((x[:, None, :] - cen[None]) ** 2).sum(axis=2)
+    lab = d2.argmin(axis=1)
+    assert d2.min(axis=1).sum() == pytest.approx(wss, rel=1e-9)
+    size = np.bincount(lab, minlength=len(cen))
+    for c in range(len(cen)):
+        assert np.allclose(x[lab == c].mean(axis=0), cen[c], atol=1e-6)
+    for i, a in enumerate(lab):
+        if size[a] > 1:
+            leave = size[a] / (size[a] - 1) * d2[i, a]
+            join = np.delete(size / (size + 1) * d2[i], a)
+            assert leave - join.min() <= 1e-8 * wss
+
+
+def test_a_row_change_leaves_a_lloyd_optimum(spark):
+    # four rows on a line: {0}, {2, 3.1, ...} stands still under Lloyd, and one change lowers it
+    vecs = _points(spark, [(0.0, 0.0), (0.0, 0.0), (1.05, 0.0), (2.0, 0.0)])
+    starts = [[[0.35, 0.0], [2.0, 0.0]]]
+    x = [0.0, 0.0, 1.05, 2.0]
+    assert abs(x[2] - 0.35) < abs(x[2] - 2.0)                  # stands still under Lloyd
+    stay = sum((v - 0.35) ** 2 for v in x[:3])
+    go = 2 * 0.475 ** 2
+    assert go < stay
+    old = clustering._starting_rows
+    clustering._starting_rows = lambda *a: starts
+    try:
+        plain, _ = clustering.multi_start_kmeans(vecs, [2], 1, exchange=False)
+        full, centers = clustering.multi_start_kmeans(vecs, [2], 1)
+    finally:
+        clustering._starting_rows = old
+    assert plain["wss"][0] == pytest.approx(stay) and full["wss"][0] == pytest.approx(go)
+    assert sorted(map(tuple, centers[0])) == [(0.0, 0.0), (pytest.approx(1.525), 0.0)]
+
+
+def test_fixed_start_takes_the_smallest_keys(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    df = spark.createDataFrame([(3, 9.0, 9.0), (None, 0.0, 0.0), (1, 1.0, 1.0), (2, 5.0, 5.0)], "id int, a double, b double")
+    vecs = VectorAssembler(inputCols=["a", "b"], outputCol="scaled").transform(df)
+    assert clustering._first_rows(vecs, "id", 2, "scaled") == [[1.0, 1.0], [5.0, 5.0]]
+    with pytest.raises(ValueError):
+        clustering.multi_start_kmeans(vecs, [5], 1, start_key="id")

@@ -1158,13 +1158,16 @@ def q_kmeans_profile(spark, sf_dir):
 
 #: Two of the three features are equal, so with r their correlation to the third the
 #: eigenvalues are (3 +- sqrt(1 + 8 r^2)) / 2 and 0, the eigenvectors (1, 1, (l - 2) / r) and one of noise.
-@register("q_pca_scores", O.with_prefix("""
+_PCA_SQL = """
 SELECT CustomerID, round(s1 * (2 * a + c1 * b) / sqrt(2 + c1 * c1), 6) AS PC1,
        round(s2 * (2 * a + c2 * b) / sqrt(2 + c2 * c2), 6) AS PC2, 0.0 AS PC3
 FROM z, (SELECT *, CASE WHEN abs(c1) > 1 AND c1 < 0 THEN -1 ELSE 1 END AS s1,
                    CASE WHEN abs(c2) > 1 AND c2 < 0 THEN -1 ELSE 1 END AS s2
          FROM (SELECT ((3 + sqrt(1 + 8 * r * r)) / 2 - 2) / r AS c1, ((3 - sqrt(1 + 8 * r * r)) / 2 - 2) / r AS c2
-               FROM (SELECT corr(a, b) AS r FROM z) r) c) e""", f"""
+               FROM (SELECT corr(a, b) AS r FROM z) r) c) e"""
+
+
+@register("q_pca_scores", O.with_prefix(_PCA_SQL, f"""
 z AS (SELECT CustomerID, (ts - avg(ts) OVER ()) / stddev_samp(ts) OVER () AS a,
              (pf - avg(pf) OVER ()) / stddev_samp(pf) OVER () AS b
       FROM (SELECT CustomerID, {_MONEY} AS ts, count(*) AS pf FROM pos GROUP BY CustomerID) f)"""))
@@ -1178,15 +1181,93 @@ def q_cluster_projection(spark, sf_dir):
     return rnd(_segments(spark, sf_dir).select("CustomerID", "PC1", "PC2", "Cluster"), default=6)
 
 
-@register("q_elbow")
-def q_elbow(spark, sf_dir):
+def _elbow(spark, sf_dir, **how):
     vecs = clus.scaled_vectors(_features(spark, sf_dir)).persist()
     vecs.count()
     try:
-        out = clus.elbow(vecs)
+        return rnd(clus.elbow(vecs, **how), default="sig")
     finally:
         vecs.unpersist()
-    return rnd(out, default="sig")
+
+
+@register("q_elbow")
+def q_elbow(spark, sf_dir):
+    return _elbow(spark, sf_dir)
+
+
+#: The same searches from the rows of the first customers, one change of a row at a time, so that SQL can follow.
+_FIXED_KS = [1, 2, 3, 4, 5]
+_FIXED = {"start_key": "CustomerID", "slots": 1, "moves": 1}
+
+
+def _kmeans_sql(body: str, ks) -> str:
+    """CTEs ``km`` (final state per k: c centres, wss) and ``lab`` (rows with their
+    1-based cluster) by recursion: a Lloyd step while the centres move, else the best
+    single change of cluster while it gains more than 1e-9 of the sum of squares."""
+    starts = ", ".join(f"({k})" for k in ks)
+    return O.with_prefix(body, f"""
+feat AS (SELECT CustomerID, {_MONEY} AS ts, count(*) AS pf FROM pos GROUP BY CustomerID),
+z AS MATERIALIZED (SELECT CustomerID, ts, pf, (ts - avg(ts) OVER ()) / stddev_samp(ts) OVER () AS a,
+                          (pf - avg(pf) OVER ()) / stddev_samp(pf) OVER () AS b FROM feat),
+step(it, k, c, wss, done) AS (
+  SELECT 0, k, rows[1:k], CAST(NULL AS DOUBLE), false
+  FROM (VALUES {starts}) v(k), (SELECT list([a, a, b] ORDER BY CustomerID NULLS LAST) AS rows FROM z)
+  UNION ALL
+  (WITH near AS MATERIALIZED (
+     SELECT it, k, c, a, b, list_position(ds, list_min(ds)) AS cl, list_min(ds) AS d2
+     FROM (SELECT it, k, c, a, b, list_transform(c, lambda m: pow(a - m[1], 2) + pow(a - m[2], 2) + pow(b - m[3], 2)) AS ds
+           FROM step, z WHERE NOT done AND it < 500)),
+   means AS (SELECT it, k, any_value(c) AS c, cl, count(*) AS n, avg(a) AS a, avg(b) AS b, sum(d2) AS ss
+             FROM near GROUP BY it, k, cl),
+   state AS (SELECT it, k, any_value(c) AS c, list([a, a, b] ORDER BY cl) AS nc, list(n ORDER BY cl) AS ns, sum(ss) AS wss
+             FROM means GROUP BY it, k),
+   still AS MATERIALIZED (
+     SELECT *, len(nc) = k AND list_max(list_transform(list_zip(flatten(c), flatten(nc)), lambda p: abs(p[1] - p[2]))) <= 1e-7
+                 AS stands FROM state),
+   gains AS (
+     SELECT s.k, cl, g.goal, a, b,
+            ns[cl] / (ns[cl] - 1) * (pow(a - nc[cl][1], 2) + pow(a - nc[cl][2], 2) + pow(b - nc[cl][3], 2))
+            - ns[g.goal] / (ns[g.goal] + 1)
+              * (pow(a - nc[g.goal][1], 2) + pow(a - nc[g.goal][2], 2) + pow(b - nc[g.goal][3], 2)) AS gain
+     FROM still s JOIN near ON near.k = s.k, range(1, {max(ks) + 1}) g(goal)
+     WHERE stands AND g.goal <= s.k AND g.goal <> cl AND ns[cl] > 1),
+   best AS (SELECT k, max(row(gain, a, b, cl, goal)) AS t FROM gains GROUP BY k),
+   pick AS (SELECT k, t[1] AS gain, t[2] AS a, t[3] AS b, t[4] AS cl, t[5] AS goal FROM best)
+   SELECT it + 1, s.k,
+          CASE WHEN gain > 1e-9 * wss THEN list_transform(nc, lambda m, i:
+            CASE WHEN i = cl THEN list_transform(list_zip(m, [a, a, b]), lambda p: (ns[cl] * p[1] - p[2]) / (ns[cl] - 1))
+                 WHEN i = goal THEN list_transform(list_zip(m, [a, a, b]), lambda p: (ns[goal] * p[1] + p[2]) / (ns[goal] + 1))
+                 ELSE m END) ELSE nc END,
+          wss, stands AND coalesce(gain <= 1e-9 * wss, true)
+   FROM still s LEFT JOIN pick ON pick.k = s.k)),
+km AS (SELECT k, c, wss FROM step WHERE done),
+lab AS (SELECT k, CustomerID, ts, pf, CAST(list_position(ds, list_min(ds)) AS INTEGER) AS Cluster
+        FROM (SELECT km.k, z.*, list_transform(c, lambda m: pow(a - m[1], 2) + pow(a - m[2], 2) + pow(b - m[3], 2)) AS ds
+              FROM km, z))""").replace("WITH", "WITH RECURSIVE", 1)
+
+
+@register("q_kmeans_fixed", _kmeans_sql(f"""
+SELECT Cluster, {O.sig('avg(ts)', 8)} AS AverageSales, {O.sig('avg(ts)', 8)} AS AvgOrderSize,
+       {O.sig('avg(pf)', 8)} AS AvgPurchaseFrequency, count(*) AS customers FROM lab GROUP BY Cluster""", [3]))
+def q_kmeans_fixed(spark, sf_dir):
+    """Profile of three clusters from the fixed start."""
+    lab, _ = clus.segment(_features(spark, sf_dir), 3, **_FIXED)
+    return rnd(clus.cluster_profile(lab), default="sig8")
+
+
+@register("q_cluster_projection_fixed", _kmeans_sql(f"""
+SELECT p.CustomerID, PC1, PC2, Cluster FROM lab JOIN ({_PCA_SQL}) p
+ON p.CustomerID IS NOT DISTINCT FROM lab.CustomerID""", [3]))
+def q_cluster_projection_fixed(spark, sf_dir):
+    """The first two components with each customer's cluster from the fixed start."""
+    lab, _ = clus.segment(_features(spark, sf_dir), 3, **_FIXED)
+    return rnd(lab.select("CustomerID", "PC1", "PC2", "Cluster"), default=6)
+
+
+@register("q_elbow_fixed", _kmeans_sql(f"SELECT k, {O.sig('wss', 8)} AS wss FROM km", _FIXED_KS))
+def q_elbow_fixed(spark, sf_dir):
+    """Sum of squares for one to five clusters from the fixed starts."""
+    return rnd(_elbow(spark, sf_dir, ks=_FIXED_KS, **_FIXED), default="sig8")
 
 
 # --- CSV ingestion round trip (S1, S2, X13) ----------------------------------

@@ -9,8 +9,8 @@ from tests.conftest import SF_SMALL
 from tests.oracle_compare import duck, frame_hash
 from tillroll.plans.catalog import ORACLES, QUERIES
 
-# random starts or the studentized range, which SQL lacks: known values in test_stats, invariants in test_invariants
-NO_SQL = {"q_elbow", "q_kmeans_profile", "q_cluster_projection", "q_tukey_tests"}
+# random starts: invariants in test_invariants, the fixed start of the same search has SQL
+NO_SQL = {"q_elbow", "q_kmeans_profile", "q_cluster_projection"}
 
 
 @pytest.fixture(scope="module")

@@ -164,15 +164,12 @@ def tukey_hsd(df: DataFrame, y: F.Column, group: str = "Region", level: float =
     The pair join runs on the k per-group rows only; more than ``max_groups``
     groups are refused, since their pairs would grow with the square."""
     g = group_moments(df, y, group)
-    k = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)).rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing))
-    g = g.withColumn("_k", k).withColumn("n", F.when(F.col("_k") <= max_groups, F.col("n")).otherwise(
-        F.raise_error(F.lit(f"more than {max_groups} groups to compare")).cast("long"))).drop("_k")
     tot = F.broadcast(g.agg(F.sum("n").alias("n_total"), F.count(F.lit(1)).alias("k"),
                             F.sum(F.coalesce((F.col("n") - 1) * F.col("var"), F.lit(0.0)))
                             .alias("ssw")))
-    a, b = g.alias("a"), g.alias("b")
-    pairs = a.join(b, F.col("a.group") < F.col("b.group")).crossJoin(tot)
+    few = g.crossJoin(tot).withColumn("n", F.when(F.col("k") <= max_groups, F.col("n")).otherwise(
+        F.raise_error(F.lit(f"more than {max_groups} groups to compare")).cast("long")))
+    pairs = few.alias("a").join(g.alias("b"), F.col("a.group") < F.col("b.group"))
     mse = F.col("ssw") / (F.col("n_total") - F.col("k"))
     se = F.sqrt(mse / 2 * (1 / F.col("a.n") + 1 / F.col("b.n")))
     out = pairs.select(

@@ -184,3 +184,72 @@ def test_file_gains_equal_the_features():
     for text, gain in zip(texts, got):
         if text:
             assert np.allclose(gain, field._gain(secrets.file_features(text)))
+
+
+def test_all_documents_are_learned_from(spark):
+    """Secrets in documents that the sample of old left out, a null doc_id among them."""
+    draw = F.pmod(F.xxhash64("id", F.lit(13)), F.lit(1 << 30)) / float(1 << 30)
+    key = F.concat(F.lit("login password="), F.substring(F.sha1(F.col("id").cast("string")), 1, 18), F.lit(" now"))
+    rows = spark.range(50_000).select(
+        F.when(draw < 0.9, F.col("id")).alias("doc_id"),
+        F.when(draw >= 0.9, key).otherwise(F.lit("some plain words about nothing")).alias("text"))
+    field = secrets.learn(rows)
+    assert "before2=password" in field.weights and "before1=plain" not in field.weights
+    assert any(k == 3 for _, _, k in secrets.all_spans("the login passwort=e1c093f22d3955eaac", field, False))
+    few = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when((draw >= 0.6) & (draw < 0.61), key)
+                                     .otherwise(F.lit("some plain words")).alias("text"))
+    assert secrets.learn(few).weights
+
+
+def test_plain_tokens_are_all_but_the_secrets():
+    rng = np.random.default_rng(2)
+    texts = [t or "" for t in CASES] + [t for _, t in corpus()] + ["a, b! c.d; é", "", "x=(y) z"]
+    texts = [texts[k] for k in rng.permutation(len(texts))]
+    want, got = {}, {}
+    for text in texts:
+        chain, held = secrets.Tokens(text, np.zeros((27, 27)).tolist()), secrets.values(text)
+        for k, (a, b) in enumerate(chain.spans):
+            if not any(s < b and e > a for s, e in held):
+                key = chain.words[k], next(f for f in chain.features(k) if f.startswith("glued="))
+                want[key] = want.get(key, 0) + 1
+    for token, glued, n in secrets.plain_tokens(texts, [bool(secrets.values(t)) for t in texts]):
+        got[token, glued] = got.get((token, glued), 0) + n
+    assert got == want
+    counts = np.zeros((27, 27), np.int64)
+    secrets.pair_counts(["abÉ token=abcdefgh1", "c中d"], [True, False], counts)
+    assert counts[0, 1] == 1 and counts[1, 26] == 1 and counts[2, 26] == 1 and counts[26, 3] == 1
+    assert counts.sum() == 2 + 4 + 2
+
+
+def test_likelihood_and_gradient_equal_the_sum_over_all_paths():
+    rng = np.random.default_rng(0)
+    length, tags = np.array([1, 3, 2, 3, 5]), np.array([0, 0, 1, 2, 1, 0, 1, 0, 1, 0, 0, 1, 2, 2])
+    held = rng.integers(1, 4, len(tags))
+    ids, weight = rng.integers(0, 7, held.sum()), rng.random(5) + 0.5
+    weights, moves = rng.normal(size=(7, 3)), rng.normal(size=(3, 3))
+
+    def loss():
+        e, steps, total, at = np.add.reduceat(weights[ids], np.cumsum(held) - held), moves.copy(), 0.0, 0
+        steps[0, 2] = -np.inf
+        for n, w in zip(length.tolist(), weight):
+            def score(path):
+                return sum(steps[a, b] for a, b in zip((0, *path), (*path, 0))) + sum(e[at + i, b] for i, b in enumerate(path))
+            every = [score(p) for p in itertools.product(range(3), repeat=n)]
+            total += w * (np.logaddexp.reduce(every) - score(tuple(tags[at:at + n])))
+            at += n
+        return total
+    got, *slopes = secrets.likelihood(tags, length, held, ids, weight, weights, moves)
+    assert np.isclose(got, loss())
+    for table, slope in zip((weights, moves), slopes):
+        for i in np.ndindex(table.shape):
+            table[i] += 1e-6
+            up = loss()
+            table[i] -= 2e-6
+            assert np.isclose((up - loss()) / 2e-6, slope[i], atol=1e-4)
+            table[i] += 1e-6
+
+
+def test_minimise_finds_the_least_point():
+    scale, goal = np.array([1.0, 50.0, 0.1]), np.array([3.0, -1.0, 8.0])
+    found = secrets.minimise(lambda x: (float(scale @ (x - goal) ** 2) / 2, scale * (x - goal)), np.zeros(3), 30)
+    assert np.allclose(found, goal, atol=1e-2)

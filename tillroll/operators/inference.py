@@ -167,7 +167,7 @@ def tukey_hsd(df: DataFrame, y: F.Column, group: str = "Region", level: float =
     tot = F.broadcast(g.agg(F.sum("n").alias("n_total"), F.count(F.lit(1)).alias("k"),
                             F.sum(F.coalesce((F.col("n") - 1) * F.col("var"), F.lit(0.0)))
                             .alias("ssw")))
-    few = g.crossJoin(tot).withColumn("n", F.when(F.col("k") <= max_groups, F.col("n")).otherwise(
+    few = g.crossJoin(tot).withColumn("k", F.when(F.col("k") <= max_groups, F.col("k")).otherwise(
         F.raise_error(F.lit(f"more than {max_groups} groups to compare")).cast("long")))
     pairs = few.alias("a").join(g.alias("b"), F.col("a.group") < F.col("b.group"))
     mse = F.col("ssw") / (F.col("n_total") - F.col("k"))

@@ -242,3 +242,12 @@ def test_fixed_start_takes_the_smallest_keys(spark):
     assert clustering._first_rows(vecs, "id", 2, "scaled") == [[1.0, 1.0], [5.0, 5.0]]
     with pytest.raises(ValueError):
         clustering.multi_start_kmeans(vecs, [5], 1, start_key="id")
+
+
+def test_kmeans_rows_are_dealt_to_tasks_by_their_number(spark):
+    from tillroll.operators import clustering
+
+    one = spark.range(60_000).coalesce(1)
+    assert clustering._dealt(one, 60_000).rdd.getNumPartitions() == 3
+    assert clustering._dealt(spark.range(0, 100, 1, 8), 100).rdd.getNumPartitions() == 1
+    assert clustering._dealt(one, 60_000).distinct().count() == 60_000

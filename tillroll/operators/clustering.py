@@ -16,6 +16,8 @@ from tillroll import config
 log = logging.getLogger(__name__)
 
 FEATURES = ["TotalSales", "AverageOrderSize", "PurchaseFrequency"]
+#: Rows of a task in a pass of k-means.
+TASK_ROWS = 25_000
 
 
 def scaled_vectors(features: DataFrame, cols=FEATURES, out: str = "scaled") -> DataFrame:
@@ -46,6 +48,14 @@ def _as_columns(vecs: DataFrame, col: str, d: int) -> DataFrame:
     return vecs.select(*[arr[i].alias(f"x{i}") for i in range(d)])
 
 
+def _dealt(x: DataFrame, n_rows: int) -> DataFrame:
+    """``x`` in partitions of about ``TASK_ROWS`` rows: every pass scans them against all
+    runs' centres, so their number follows the rows and neither the files read (small
+    ones are read as one) nor the session's shuffle partitions."""
+    parts = max(1, -(-n_rows // TASK_ROWS))
+    return x.repartition(parts) if parts > x.rdd.getNumPartitions() else x.coalesce(parts)
+
+
 def _pass_partials(moving: list, settled: list, d: int, slots: int):
     """mapInPandas function of one pass: per Arrow batch, a map-side combine of two
     kinds of rows, both with (run, cluster) first.
@@ -71,7 +81,11 @@ def _pass_partials(moving: list, settled: list, d: int, slots: int):
     xs = [f"x{i}" for i in range(d)]
 
     def distances(x, cen):                                                   # cen: (R, k, d)
-        d2 = ((x[:, None, None, :] - cen[None, :, :, :]) ** 2).sum(axis=3)   # (n, R, k)
+        d2 = np.zeros((len(x), *cen.shape[:2]))                              # (n, R, k)
+        for i in range(d):
+            part = x[:, i, None, None] - cen[None, :, :, i]
+            part *= part
+            d2 += part
         lab = d2.argmin(axis=2)
         return d2, lab, np.take_along_axis(d2, lab[:, :, None], axis=2)[:, :, 0]
 
@@ -205,10 +219,7 @@ def multi_start_kmeans(vecs: DataFrame, ks, starts: int, seed: int = 111, col: s
 
     d = len(vecs.select(col).first()[0])
     x = _as_columns(vecs, col, d)
-    # every pass scans x: size its partitions by rows (~200k per task), not by
-    # the session's shuffle partition count (coalesce, no shuffle)
-    n_rows = vecs.count()
-    x = x.coalesce(max(1, min(x.rdd.getNumPartitions(), -(-n_rows // 200_000)))).persist()
+    x = _dealt(x, vecs.count()).persist()
     try:
         xs = [f"x{i}" for i in range(d)]
         runs = []

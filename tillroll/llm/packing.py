@@ -36,10 +36,16 @@ def _pieces(path: str, capacity: int, end_id: int):
             docs = batch.column("doc_id")
             ids: list[list[bytes]] = [[] for _ in range(len(docs))]
             for first, counts, values, which in encoded_segments(batch.column("text"), path):
-                which, at = which.tolist(), 0
-                for k, n in enumerate(counts.tolist()):
-                    ids[first + k].append(b"".join([values[w] for w in which[at:at + n]]))
-                    at += n
+                if not len(which):
+                    continue
+                held = np.fromiter(map(len, values), np.int64, len(values)) // 4
+                words = held[which]
+                ends = np.cumsum(words)
+                place = np.repeat((np.cumsum(held) - held)[which] - ends + words, words) + np.arange(ends[-1])
+                stream = np.frombuffer(b"".join(values), "<u4")[place]
+                cuts = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))].tolist()
+                for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+                    ids[first + k].append(stream[a:b].tobytes())
             rows = []
             for row, parts in enumerate(ids):
                 whole = b"".join(parts) + end

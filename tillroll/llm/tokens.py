@@ -80,19 +80,21 @@ class WordEncoder:
         remembered by its hash, with a second hash that confirms it."""
         keys, first, which = distinct_words(data, starts, ends)
         known, old = self.recent, self.older
-        values, missing = [], []
         checks = _hash_segment(data, starts[first], ends[first], CHECK).tolist()
-        for i, (k, check) in enumerate(zip(keys.tolist(), checks)):
+        names = keys.tolist()
+        values = [v[1] if v is not None and v[0] == check else None for v, check in zip(map(known.get, names), checks)]
+        missing = []
+        for i in [i for i, v in enumerate(values) if v is None]:
+            k = names[i]
             v = known.get(k)
             if v is None:
                 v = old.get(k)
                 if v is not None:
                     known[k] = v
-            if v is None or v[0] != check:
+            if v is None or v[0] != checks[i]:
                 missing.append(i)
-                values.append(None)
             else:
-                values.append(v[1])
+                values[i] = v[1]
         if missing:
             raw, at = data.tobytes(), first[missing]
             fresh = self.encode([raw[a:b].decode("utf-8", "replace")

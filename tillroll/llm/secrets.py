@@ -454,8 +454,16 @@ class Field:
         return self.prepare([text])[0] if prepared is None else prepared
 
     def runs(self, text: str, prepared: np.ndarray | None = None) -> list[list[tuple]]:
-        """The runs of tokens that may be in a span; every other token of ``text`` is
-        outside in the best path of the whole chain.
+        """The runs of ``maybe`` with the features of their tokens."""
+        edges = self.maybe(self.gains(text, prepared))
+        if not edges:
+            return []
+        chain = Tokens(text, self.pairs)
+        return [chain.run(a, b) for a, b in edges]
+
+    def maybe(self, gains: np.ndarray) -> list[tuple[int, int]]:
+        """First token and end of the runs of tokens that may be in a span; every other
+        token is outside in the best path of the whole chain.
 
         Setting a span outside loses at most the gains of its tokens, with the best
         move into each, and of leaving it.  So a token can be in a span only if
@@ -463,7 +471,7 @@ class Field:
         with the outside token after it, so that leaving counts.
         """
         steps = self._steps() - self.moves[OUT, OUT]
-        gains = (self.gains(text, prepared) + steps[:, 1:].max(0)).max(1)
+        gains = (gains + steps[:, 1:].max(0)).max(1)
         floor = -max(0.0, float(steps[1:, OUT].max())) - 1e-9
         if not len(gains) or gains.max() < floor:
             return []
@@ -472,8 +480,7 @@ class Field:
         starting = np.maximum.accumulate(total[::-1])[::-1][1:] - total[:-1]
         maybe = np.concatenate([[False], ending + starting - gains >= floor, [False]])
         edges = np.flatnonzero(maybe[1:] != maybe[:-1]).reshape(-1, 2).tolist()
-        chain = Tokens(text, self.pairs)
-        return [chain.run(a, min(b + 1, len(chain.words))) for a, b in edges]
+        return [(a, min(b + 1, len(gains))) for a, b in edges]
 
     def emissions(self, run) -> np.ndarray:
         out = np.zeros((len(run), 3))
@@ -490,10 +497,14 @@ class Field:
         return steps
 
     def decode(self, run) -> list[int]:
-        """Best tags of a run (Viterbi); ties go to outside."""
-        e, steps = self.emissions(run), self._steps()
+        """Best tags of a run."""
+        return self.best(self.emissions(run))
+
+    def best(self, e: np.ndarray) -> list[int]:
+        """Best tags by the emissions of a run (Viterbi); ties go to outside."""
+        steps = self._steps()
         score, back = steps[OUT] + e[0], []
-        for i in range(1, len(run)):
+        for i in range(1, len(e)):
             paths = score[:, None] + steps
             back.append(paths.argmax(0))
             score = paths.max(0) + e[i]
@@ -597,9 +608,13 @@ def all_spans(text: str, field: Field, patterns: bool = True,
     base = list(spans)
     if not field.weights:
         return spans
-    for run in field.runs(text, prepared):
+    gains = field.gains(text, prepared)
+    edges = field.maybe(gains)
+    tokens = [m.span() for m in TOKEN.finditer(text)] if edges else []
+    for first, last in edges:
         found: list[list[int]] = []
-        for (a, b, _), tag in zip(run, field.decode(run)):
+        e = np.pad(gains[first:last], ((0, 0), (1, 0)))
+        for (a, b), tag in zip(tokens[first:last], field.best(e)):
             if tag == BEGIN:
                 found.append([a, b])
             elif tag == INSIDE and found:

@@ -1,8 +1,10 @@
 import hashlib
 import itertools
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_ORACLE
@@ -253,3 +255,75 @@ def test_minimise_finds_the_least_point():
     scale, goal = np.array([1.0, 50.0, 0.1]), np.array([3.0, -1.0, 8.0])
     found = secrets.minimise(lambda x: (float(scale @ (x - goal) ** 2) / 2, scale * (x - goal)), np.zeros(3), 30)
     assert np.allclose(found, goal, atol=1e-2)
+
+
+def test_runs_of_many_texts_are_decoded_together(monkeypatch):
+    """As each run alone, without a call for every run or a file's tokens sought anew."""
+    rng = np.random.default_rng(11)
+    texts = [t for t in CASES if t is not None] + [t for _, t in corpus()[:40]] + ["a1", "", "b"]
+    pairs = rng.normal(size=(27, 27))
+    names = sorted({f for t in texts for c in [secrets.Tokens(t, pairs.tolist())] for _, _, fs in c.run(0, len(c.words)) for f in fs})
+    cases = []
+    for shift in (0.0, 1.0, 4.0):
+        field = secrets.Field({f: rng.normal(size=3) + [shift / 5, 0, 0] for f in names}, rng.normal(size=(3, 3)), pairs)
+        want = []
+        for text in texts:
+            found = []
+            for run in field.runs(text):
+                for (a, b, _), tag in zip(run, field.decode(run)):
+                    if tag == secrets.BEGIN:
+                        found.append((a, b))
+                    elif tag == secrets.INSIDE:
+                        found[-1] = (found[-1][0], b)
+            want.append(found)
+        assert any(want)
+        cases.append((field, want))
+
+    def alone(*_):
+        raise AssertionError("a run was decoded alone")
+    monkeypatch.setattr(secrets.Field, "best", alone)
+    for field, want in cases:
+        assert field.spans(texts) == want
+        got = list(secrets._spans_of(pa.array(texts, pa.string()), field))
+        for text, spans, found in zip(texts, got, want):
+            base = secrets.base_spans(text)
+            assert sorted(s[:2] for s in spans if s[2] == 3) == [
+                (a, b) for a, b in found if not any(s <= a and b <= e for s, e, _ in base)]
+
+
+def test_words_are_counted_by_codes(monkeypatch):
+    """The same features and counts as token by token, without a call for every word."""
+    rng = np.random.default_rng(12)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCÄäöéßñİǅªΩ中12_-/.+!# ")
+    weights = np.array([1.0] * 26 + [0.3] * (len(letters) - 27) + [6])
+    texts = ["".join(rng.choice(letters, 80, p=weights / weights.sum())) for _ in range(200)]
+    texts += [t or "" for t in CASES] + ["a", "Ä", "aaa aaa Aaa", "x" * 400, ""]
+    pairs = rng.normal(size=(27, 27)).tolist()
+    want = {}
+    for token, glued, n in secrets.plain_tokens(texts, [True] * len(texts)):
+        key = (secrets.SEPARATOR.join((*secrets.own_features(token, pairs), glued, secrets.UNNAMED)),
+               "odd" if secrets._odd(token) else "even")
+        want[key] = want.get(key, 0) + n
+    real = secrets.own_features
+
+    def others(token, pairs):
+        assert not re.fullmatch("[a-z]+", token), token
+        return real(token, pairs)
+    monkeypatch.setattr(secrets, "own_features", others)
+    got = {}
+    for batch in secrets._plain_counts(pairs)([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]):
+        for r in batch.to_pylist():
+            got[r["features"], r["kind"]] = got.get((r["features"], r["kind"]), 0) + r["n"]
+    assert got == want
+
+
+def test_counting_a_batch_takes_little_memory():
+    texts = pa.array(["some plain words about nothing at all " * 60] * 1000)
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    pairs = np.zeros((27, 27)).tolist()
+    for count in (secrets._pair_counts, secrets._plain_counts(pairs)):
+        tracemalloc.start()
+        list(count([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 40e6, peak

@@ -38,8 +38,9 @@ STEPS, PENALTY, RARE, TASK_RUNS, TASKS = 30, 0.45, 1e-6, 50_000, 64
 #: Weight of all other tokens, against 1 of all runs with a secret: those counted by their features,
 #: odd (not of letters, over 3 long) and others, and odd ones with their neighbours.
 AGAINST = {"odd": 0.003, "even": 0.3, "near": 0.0003}
-#: Parts the features of a token (white space, so in none); characters of text counted at once.
-SEPARATOR, COUNTED = "\x1f", 1 << 21
+#: Parts the features of a token (white space, so in none); characters of text counted at once
+#: (few, as a worker keeps what its arrays took).
+SEPARATOR, COUNTED = "\x1f", 1 << 18
 
 # The patterns, and the least length of what they must match.
 KINDS = ("assign", "access", "hex", "crf")
@@ -200,6 +201,50 @@ def own_features(token: str, pairs: list[list[float]]) -> list[str]:
             like, f"mean={mean} long={min(n // 8, 4)}", f"sign={token[:4] if not kinds.strip('!') else ''}"]
 
 
+def word_codes(points: np.ndarray, start: np.ndarray, end: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the tokens of ``points`` are words (letters, all but the first of lower case),
+    and of those alone, a column each, what their own features are made of: kinds of letters,
+    length (in fours, in eights), bits, log odds, mean odds (0 for none, else 100 more)."""
+    size = end - start
+    if not len(size):
+        return np.zeros(0, bool), np.zeros((6, 0), np.int64)
+    first = np.cumsum(size) - size
+    points = np.minimum(points[np.arange(size.sum()) + np.repeat(start - first, size)], len(_POINT_KIND) - 1)
+    kind, lead = _POINT_KIND[points], np.zeros(len(points), bool)
+    lead[first] = True
+    word = ~np.logical_or.reduceat((kind == 0) | (kind == 1) & ~lead, first) & ((size > 1) | (kind[first] != 1))
+    keep = np.repeat(word, size)
+    points, kind, size = points[keep], kind[keep], size[word]
+    n = len(size)
+    if not n:
+        return word, np.zeros((6, 0), np.int64)
+    first, owner = np.cumsum(size) - size, np.repeat(np.arange(n), size)
+    mask = np.bitwise_or.reduceat(kind, first)
+    # bits of a letter: from how often each occurs in its word
+    key = np.sort(owner << 12 | points)
+    new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    held = np.diff(np.append(new, len(key)))
+    bits = np.log2(size) - np.bincount(key[new] >> 12, held * np.log2(held), n) / size
+    bits = np.minimum((2 * np.maximum(bits, 0) + 1e-12).astype(np.int64), 63)
+    # log odds of neighbouring letters
+    letter, inner = _POINT_LETTER[points], np.ones(len(points), bool)
+    inner[first] = False
+    right = np.flatnonzero(inner)
+    odds = np.bincount(owner[right], pairs[letter[right - 1], letter[right]], n)
+    steps = size - 1
+    mean = np.where(steps > 0, np.clip((2 * odds / np.maximum(steps, 1)).astype(np.int64), -99, 99) + 100, 0)
+    return word, np.array([mask, np.minimum(size // 4, 12), np.minimum(size // 8, 6), bits,
+                           np.clip(odds // 3, -8, 8).astype(np.int64), mean])
+
+
+def word_features(mask: int, fours: int, eights: int, bits: int, odds: int, mean: int) -> list[str]:
+    """``own_features`` of a word with these ``word_codes``."""
+    classes = "".join(k for k, bit in zip("Aax", (1, 2, 4)) if mask & bit)
+    return [f"set={classes}", f"long={fours}", f"shape={'Aa' if mask & 1 else 'a'}", "start=", f"bits={bits}",
+            f"flips={mask & 1}", f"set={classes} long={eights}", f"words={odds}",
+            f"mean={mean - 100 if mean else 'none'} long={min(eights, 4)}", "sign="]
+
+
 def file_features(text: str) -> list[str]:
     spans = [m.span() for m in _DENSE.finditer(text) if _DIGIT.search(m[0])]
     return [f"keys={min(len(spans), 5)}", f"rows={min((text.count(chr(10)) + 1).bit_length(), 6)}",
@@ -313,51 +358,28 @@ class Field:
                 out += w
         return out[1:] - out[OUT]
 
-    def _word_gains(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _word_gains(self, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Own gains of many tokens at once, and which of them are words (letters, all but the
         first of lower case): of those alone."""
-        size = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        points = np.frombuffer("".join(tokens).encode("utf-32-le", "surrogatepass"), np.uint32)
-        points = np.minimum(points, len(_POINT_KIND) - 1)
-        kind, first = _POINT_KIND[points], np.cumsum(size) - size
-        lead = np.zeros(len(points), bool)
-        lead[first] = True
-        word = ~np.logical_or.reduceat((kind == 0) | (kind == 1) & ~lead, first) & ((size > 1) | (kind[first] != 1))
-        keep = np.repeat(word, size)
-        points, kind, size = points[keep], kind[keep], size[word]
-        n, out, t = len(size), np.zeros((len(tokens), 2)), self._tables
-        if not n:
-            return out, word
-        first, owner = np.cumsum(size) - size, np.repeat(np.arange(n), size)
-        mask = np.bitwise_or.reduceat(kind, first)
-        # bits of a letter: from how often each occurs in its word
-        key = np.sort(owner << 12 | points)
-        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        held = np.diff(np.append(new, len(key)))
-        bits = np.log2(size) - np.bincount(key[new] >> 12, held * np.log2(held), n) / size
-        bits = np.minimum((2 * np.maximum(bits, 0) + 1e-12).astype(np.int64), 63)
-        # log odds of neighbouring letters
-        letter, inner = _POINT_LETTER[points], np.ones(len(points), bool)
-        inner[first] = False
-        right = np.flatnonzero(inner)
-        odds = np.bincount(owner[right], np.array(self.pairs)[letter[right - 1], letter[right]], n)
-        steps = size - 1
-        mean = np.where(steps > 0, np.clip((2 * odds / np.maximum(steps, 1)).astype(np.int64), -99, 99) + 100, 0)
-        capital = (mask & 1).astype(np.int64)
-        total = (t["set"][mask] + t["long"][np.minimum(size // 4, 12)] + t["shape"][capital] + t["start"][0] + t["bits"][bits]
-                 + t["flips"][capital] + t["set long"][7 * mask + np.minimum(size // 8, 6)]
-                 + t["words"][np.clip(odds // 3, -8, 8).astype(np.int64) + 8]
-                 + t["mean"][5 * mean + np.minimum(size // 8, 4)] + t["sign"][0])
+        word, codes = word_codes(points, start, end, np.array(self.pairs))
+        out, t = np.zeros((len(word), 2)), self._tables
+        mask, fours, eights, bits, odds, mean = codes
+        capital = mask & 1
+        total = (t["set"][mask] + t["long"][fours] + t["shape"][capital] + t["start"][0] + t["bits"][bits]
+                 + t["flips"][capital] + t["set long"][7 * mask + eights] + t["words"][odds + 8]
+                 + t["mean"][5 * mean + np.minimum(eights, 4)] + t["sign"][0])
         out[word] = total[:, 1:] - total[:, :1]
         return out, word
 
-    def _new_rows(self, tokens: list[str]) -> np.ndarray:
+    def _new_rows(self, text: str, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        tokens = [text[a:b] for a, b in zip(start.tolist(), end.tolist())]
         rows = np.zeros((len(tokens), 11))
-        rows[:, :2], word = self._word_gains(tokens)
+        rows[:, :2], word = self._word_gains(points, start, end)
+        names = [x[:16].lower() for x in tokens]                 # of words; of others below
         for i in np.flatnonzero(~word).tolist():
             rows[i, :2] = self._gain(own_features(tokens[i], self.pairs))
-        for i, token in enumerate(tokens):
-            near = self._near.get(_neighbour(token))
+            names[i] = _neighbour(tokens[i])
+        for i, near in enumerate(map(self._near.get, names)):
             if near is not None:
                 rows[i, 2:10] = near
         starts = np.cumsum([0] + [len(x) + 1 for x in tokens])
@@ -380,7 +402,7 @@ class Field:
             rows[old >= 0] = self._older.rows[old[old >= 0]]
             new = fresh[old < 0]
             if len(new):
-                rows[old < 0] = self._new_rows([text[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())])
+                rows[old < 0] = self._new_rows(text, points, start[first[new]], end[first[new]])
             at[fresh] = self._recent.add(keys[fresh], checks[fresh], rows)
         return self._recent.rows[at], which
 
@@ -410,6 +432,12 @@ class Field:
 
     def prepare(self, texts: list[str]) -> list[np.ndarray]:
         """``gains`` of every text, worked out over all their tokens at once."""
+        _, _, _, cuts, out = self._prepared(texts)
+        return [out[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+    def _prepared(self, texts: list[str]):
+        """Of all texts joined: start and end of every token, where each text begins, the first
+        token of each text (and their number), and ``gains`` of all tokens."""
         text = "\n".join(texts)
         points = _points(text)
         start, end, spaced = token_bounds(points)
@@ -418,7 +446,7 @@ class Field:
         cuts = np.append(np.searchsorted(start, edges), len(start))
         n = len(start)
         if not n:
-            return [np.zeros((0, 2)) for _ in texts]
+            return start, end, edges, cuts, np.zeros((0, 2))
         rows, which = self._scores(text, points, start, end)
         owner = np.repeat(np.arange(len(texts)), np.diff(cuts))
         place = np.arange(n) - cuts[owner]
@@ -446,8 +474,47 @@ class Field:
         glue = np.zeros(n, int)
         glue[1:] += 2 * joined
         glue[:-1] += joined
-        out = (out + self._glued.view(complex).ravel()[glue]).view(float).reshape(n, 2)
-        return [out[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        return start, end, edges, cuts, (out + self._glued.view(complex).ravel()[glue]).view(float).reshape(n, 2)
+
+    def spans(self, texts: list[str]) -> list[list[tuple[int, int]]]:
+        """(start, end) of the runs tagged begin and inside, in code points of each text: the
+        runs of ``maybe`` of all texts decoded together."""
+        start, end, edges, cuts, gains = self._prepared(texts)
+        runs = [(a + x, a + y) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()) for x, y in self.maybe(gains[a:b])]
+        out: list[list[tuple[int, int]]] = [[] for _ in texts]
+        if not runs:
+            return out
+        tags = np.zeros(len(start) + 1, np.int8)
+        self._decode_all(gains, np.array(runs), tags)
+        begin, other = np.flatnonzero(tags == BEGIN), np.flatnonzero(tags != INSIDE)
+        last = other[np.searchsorted(other, begin, side="right")] - 1
+        owner = np.searchsorted(cuts, begin, side="right") - 1
+        for k, a, b in zip(owner.tolist(), (start[begin] - edges[owner]).tolist(), (end[last] - edges[owner]).tolist()):
+            out[k].append((a, b))
+        return out
+
+    def _decode_all(self, gains: np.ndarray, runs: np.ndarray, tags: np.ndarray) -> None:
+        """Writes the best tags (as ``best`` finds them) of the runs (first token, end) into
+        ``tags``: a step of Viterbi is taken in all runs that are long enough at once."""
+        length = runs[:, 1] - runs[:, 0]
+        order = np.argsort(-length, kind="stable")
+        first, length = runs[order, 0], length[order]
+        more = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right")      # runs with an i-th token
+        steps, e = self._steps(), np.concatenate((np.zeros((len(gains), 1)), gains), 1)
+        score, backs = steps[OUT] + e[first], []
+        best = np.zeros(len(first), np.int8)
+        for i in range(1, int(length[0])):
+            n = int(more[i])
+            best[n:len(score)] = score[n:].argmax(1)
+            paths = score[:n, :, None] + steps
+            backs.append(paths.argmax(1).astype(np.int8))
+            score = paths.max(1) + e[first[:n] + i]
+        best[:len(score)] = score.argmax(1)
+        tags[first + length - 1] = best
+        for i in range(int(length[0]) - 1, 0, -1):
+            n = int(more[i])
+            at = first[:n] + i
+            tags[at - 1] = backs[i - 1][np.arange(n), tags[at]]
 
     def gains(self, text: str, prepared: np.ndarray | None = None) -> np.ndarray:
         """Emissions of begin and inside less that of outside, for every token."""
@@ -575,14 +642,12 @@ def _odd(token: str) -> bool:
     return len(token) > 3 and not token.isalpha()
 
 
-def plain_tokens(texts: list[str], suspects: list[bool]):
-    """(token, how it is glued, count) of all tokens of ``texts`` that are in no secret of
-    a base span."""
+def _plain(texts: list[str], suspects: list[bool]):
+    """The joined texts, their points, and of all tokens that are in no secret of a base span, equal
+    ones once: start, end, how they are glued (as a number), count."""
     text = "\n".join(texts)
     points = _points(text)
     start, end, spaced = token_bounds(points)
-    if not len(start):
-        return
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     edges = np.cumsum(sizes + 1) - sizes - 1
     owner = np.searchsorted(edges, start, side="right") - 1
@@ -596,30 +661,49 @@ def plain_tokens(texts: list[str], suspects: list[bool]):
         start, end, code = start[keep], end[keep], code[keep]
     key = _hash_segment(points.view(np.uint8), 4 * start, 4 * end) ^ (code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     _, first, count = np.unique(key, return_index=True, return_counts=True)
-    for a, b, c, n in zip(start[first].tolist(), end[first].tolist(), code[first].tolist(), count.tolist()):
-        yield text[a:b], f"glued={c >> 1}{c & 1}", n
+    return text, points, start[first], end[first], code[first], count
+
+
+def _glue(code: int) -> str:
+    return f"glued={code >> 1}{code & 1}"
+
+
+def plain_tokens(texts: list[str], suspects: list[bool]):
+    """(token, how it is glued, count) of all tokens of ``texts`` that are in no secret of
+    a base span."""
+    text, _, *columns = _plain(texts, suspects)
+    for a, b, c, n in zip(*(x.tolist() for x in columns)):
+        yield text[a:b], _glue(c), n
+
+
+def plain_words(texts: list[str], suspects: list[bool], pairs: np.ndarray):
+    """``plain_tokens`` in two parts: for words, (``word_codes``, how they are glued) and counts, as columns;
+    all others as there."""
+    text, points, start, end, code, count = _plain(texts, suspects)
+    word, codes = word_codes(points, start, end, pairs)
+    # one number for all codes of a word
+    mask, fours, eights, bits, odds, mean = codes
+    key = mean
+    for part, size in ((mask, 8), (fours, 13), (eights, 7), (bits, 64), (odds + 8, 17), (code[word], 4)):
+        key = key * size + part
+    key, first, at = np.unique(key, return_index=True, return_inverse=True)
+    held = np.bincount(at, count[word], len(key)).astype(np.int64)
+    words = zip(zip(*codes[:, first].tolist(), code[word][first].tolist()), held.tolist())
+    rest = (x[~word].tolist() for x in (start, end, code, count))
+    return words, ((text[a:b], _glue(c), n) for a, b, c, n in zip(*rest))
 
 
 def all_spans(text: str, field: Field, patterns: bool = True,
-              prepared: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+              found: list[tuple[int, int]] | None = None) -> list[tuple[int, int, int]]:
     """Base spans (none if not ``patterns``) and the runs that the field tags, unless
-    a base span holds them.  ``prepared``: the gains of the text's tokens, if known."""
+    a base span holds them.  ``found``: ``Field.spans`` of the text, if known."""
     spans = base_spans(text) if patterns else []
     base = list(spans)
     if not field.weights:
         return spans
-    gains = field.gains(text, prepared)
-    edges = field.maybe(gains)
-    tokens = [m.span() for m in TOKEN.finditer(text)] if edges else []
-    for first, last in edges:
-        found: list[list[int]] = []
-        e = np.pad(gains[first:last], ((0, 0), (1, 0)))
-        for (a, b), tag in zip(tokens[first:last], field.best(e)):
-            if tag == BEGIN:
-                found.append([a, b])
-            elif tag == INSIDE and found:
-                found[-1][1] = b
-        spans += [(a, b, 3) for a, b in found if not any(s <= a and b <= e for s, e, _ in base)]
+    if found is None:
+        found = field.spans([text])[0]
+    spans += [(a, b, 3) for a, b in found if not any(s <= a and b <= e for s, e, _ in base)]
     return sorted(spans, key=lambda s: (s[0], s[2], s[1]))
 
 
@@ -636,10 +720,10 @@ def _pieces(column: pa.Array, size: int):
 
 
 def _spans_of(column: pa.Array, field: Field):
-    """Spans of each row, the tokens of about ``PREPARED`` characters of text scored at once."""
+    """Spans of each row, the tokens of about ``PREPARED`` characters of text scored and decoded at once."""
     for texts, suspects in _pieces(column, PREPARED):
-        prepared = field.prepare(texts) if field.weights else [None] * len(texts)
-        for text, patterns, own in zip(texts, suspects, prepared):
+        found = field.spans(texts) if field.weights else [[] for _ in texts]
+        for text, patterns, own in zip(texts, suspects, found):
             yield all_spans(text, field, patterns, own)
 
 
@@ -671,6 +755,8 @@ def _secret_runs(pairs):
 
 
 def _plain_counts(pairs):
+    table_of_pairs = np.array(pairs)
+
     def table(total):
         return pa.RecordBatch.from_arrays(
             [pa.array([f for f, _ in total], pa.string()), pa.array([k for _, k in total], pa.string()),
@@ -678,16 +764,25 @@ def _plain_counts(pairs):
 
     def run(batches):
         known: dict[str, tuple[str, str]] = {}
+        words: dict[tuple, str] = {}
         total: Counter = Counter()
         for batch in batches:
             for texts, suspects in _pieces(batch.column("text"), COUNTED):
-                for token, glued, n in plain_tokens(texts, suspects):
+                alike, others = plain_words(texts, suspects, table_of_pairs)
+                for codes, n in alike:
+                    own = words.get(codes)
+                    if own is None:
+                        own = words[codes] = SEPARATOR.join((*word_features(*codes[:-1]), _glue(codes[-1]), UNNAMED))
+                    total[own, "even"] += n
+                for token, glued, n in others:
                     own = known.get(token)
                     if own is None:
                         own = known[token] = (SEPARATOR.join(own_features(token, pairs)), "odd" if _odd(token) else "even")
                     total[SEPARATOR.join((own[0], glued, UNNAMED)), own[1]] += n
                 if len(known) > REMEMBERED:
                     known.clear()
+                if len(words) > REMEMBERED:
+                    words.clear()
                 if len(total) > REMEMBERED:
                     yield table(total)
                     total.clear()

@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 
 from tillroll.llm import exchange as X
 from tillroll.llm.components import components
-from tillroll.llm.shared import discard, free_name, shuffle_parts, split_by_keys, stored, tune
+from tillroll.llm.shared import discard, free_name, released, shuffle_parts, split_by_keys, stored, tune
 from tillroll.llm.textkit import gram_hashes, mix, word_hashes
 
 #: Grams that a task gathers before it sends packed cells (about 16 bytes each).
@@ -302,7 +302,7 @@ def _described(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFra
     class, with its smallest doc_id and the name of its component."""
     tune(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = stored(docs.mapInArrow(_describe(words), "doc_id long, n_shingles long, cls binary"), "sets")
+    table = stored(docs.mapInArrow(released(_describe(words)), "doc_id long, n_shingles long, cls binary"), "sets")
     classes = (table.where("cls IS NOT NULL").groupBy("cls")
                .agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")))
     roots = class_components(docs, classes, words, num, den)
@@ -316,10 +316,10 @@ def class_components(docs: DataFrame, classes: DataFrame, words: int, num: int,
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
     cells = docs.where("doc_id IS NOT NULL").mapInArrow(
-        _cells(words, num, den, parts), "part int, grams binary, classes binary, refs binary")
+        released(_cells(words, num, den, parts)), "part int, grams binary, classes binary, refs binary")
     shared = (cells.repartitionById(parts, "part")
-              .mapInArrow(_shared_counts(parts), "part int, classes binary, counts binary")
-              .repartitionById(parts, "part").mapInArrow(_sum_counts, "cls binary, c long"))
+              .mapInArrow(released(_shared_counts(parts)), "part int, classes binary, counts binary")
+              .repartitionById(parts, "part").mapInArrow(released(_sum_counts), "cls binary, c long"))
     m = _needed("n", num, den)
     rest = (classes.where("doc_id IS NOT NULL").join(shared, "cls").withColumn("m", m)
             .where(F.col("c") >= F.col("m") - _needed("m", num, den) + 1))
@@ -327,7 +327,7 @@ def class_components(docs: DataFrame, classes: DataFrame, words: int, num: int,
 
     some, _ = split_by_keys(docs, rest, "doc_id")
     sets = stored(some.join(rest, "doc_id")
-                  .mapInArrow(_sets_of(words), "cls binary, n long, grams array<long>"), "gram-sets")
+                  .mapInArrow(released(_sets_of(words)), "cls binary, n long, grams array<long>"), "gram-sets")
     grams = sets.select("cls", "n", F.explode("grams").alias("h"))
     held = grams.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     ranked = (grams.join(held, "h").groupBy("cls", "n")

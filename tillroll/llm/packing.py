@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.shared import stored, tune
+from tillroll.llm.shared import released, stored, tune
 from tillroll.llm.tokens import encoded_segments
 
 #: Items of a block on average; islands of a block; epochs; solutions of an island;
@@ -65,7 +65,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int =
     Null and empty texts are the end id alone."""
     tune(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(_pieces(path, capacity, end_id),
+    return docs.mapInArrow(released(_pieces(path, capacity, end_id)),
                            "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.shared import code_points, stored, tune
+from tillroll.llm.shared import code_points, release, released, stored, tune
 from tillroll.llm.textkit import _hash_segment
 
 #: Steps of training, its penalty on squared weights (times the root of the runs with a secret), the
@@ -894,16 +894,16 @@ def learn(docs: DataFrame) -> Field:
     spark = docs.sparkSession
     texts = docs.where("text IS NOT NULL").select("text")
     counts = np.ones(729)
-    for r in texts.mapInArrow(_pair_counts, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+    for r in texts.mapInArrow(released(_pair_counts), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
         counts[r.pair] += r.n
     counts = counts.reshape(27, 27)
     pairs = np.log(27 * counts / counts.sum(1, keepdims=True))
-    runs = stored(texts.mapInArrow(_secret_runs(pairs.tolist()), "tags array<int>, features array<string>, kind string, n long")
+    runs = stored(texts.mapInArrow(released(_secret_runs(pairs.tolist())), "tags array<int>, features array<string>, kind string, n long")
                   .groupBy("tags", "features", "kind").agg(F.sum("n").alias("n")), "secret-runs")
     held = {r.kind: r.n for r in runs.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     if "secret" not in held:
         return Field()
-    plain = stored(texts.mapInArrow(_plain_counts(pairs.tolist()), "features string, kind string, n long")
+    plain = stored(texts.mapInArrow(released(_plain_counts(pairs.tolist())), "features string, kind string, n long")
                    .groupBy("features", "kind").agg(F.sum("n").alias("n")), "plain-tokens")
     rows = {r.kind: r for r in plain.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()}
     held |= {k: r.n for k, r in rows.items()}
@@ -922,12 +922,12 @@ def learn(docs: DataFrame) -> Field:
     tasks = max(1, min(TASKS, -(-n // TASK_RUNS)))
     # rows in one order, so that sums come out alike in every run
     coded = stored(rows.repartition(tasks, "features").sortWithinPartitions("features", "tags", "weight").mapInArrow(
-        _coded(place), "tags array<int>, held array<int>, ids array<int>, weight double"), "secret-coded")
+        released(_coded(place)), "tags array<int>, held array<int>, ids array<int>, weight double"), "secret-coded")
     size, penalty = 3 * (len(names) + 1), PENALTY * math.sqrt(held["secret"])
 
     def value(x):
         model = spark.sparkContext.broadcast((x[:size].reshape(-1, 3), x[size:].reshape(3, 3)))
-        parts = coded.mapInArrow(_gradient(model), "loss double, weights binary, moves binary").collect()
+        parts = coded.mapInArrow(released(_gradient(model)), "loss double, weights binary, moves binary").collect()
         model.destroy()
         g = np.zeros(len(x))
         for r in parts:
@@ -978,8 +978,8 @@ def scan(docs: DataFrame) -> DataFrame:
     spark = tune(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = spark.sparkContext.broadcast(learn(docs))
-    return docs.mapInArrow(_scan(model), "doc_id long, n_assign long, n_access long, n_hex long, "
-                                         "base_sha256 string, spans string")
+    return docs.mapInArrow(released(_scan(model)), "doc_id long, n_assign long, n_access long, n_hex long, "
+                                                   "base_sha256 string, spans string")
 
 
 def masked(text: str, spans, mark: str) -> str:
@@ -1008,6 +1008,7 @@ def mask(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         for i, spans in enumerate(_spans_of(column, field)):
             if spans:
                 out.iloc[i] = masked(text.iloc[i], spans, mark)
+        release()
         return out
 
     out = docs.withColumn("text", clean("text"))

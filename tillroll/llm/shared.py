@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +22,25 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def release() -> None:
+    """Gives back the memory that this process holds but doesn't use."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # what numpy has freed; glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
+def released(run):
+    """``run`` for ``mapInArrow``, with ``release`` at its end: Spark uses a Python worker again, and
+    what it holds would be added to an executor's memory in the stages that follow."""
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+    return whole
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm import exchange as X
-from tillroll.llm.shared import code_points, discard, free_name, shuffle_parts, split_by_keys, stored, tune
+from tillroll.llm.shared import code_points, discard, free_name, released, shuffle_parts, split_by_keys, stored, tune
 from tillroll.llm.textkit import gram_hashes, mix, word_hashes
 
 #: Windows that a task gathers before it sends packed cells.
@@ -336,9 +336,9 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
         F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = shuffle_parts(spark)
-    runs = (docs.mapInArrow(_window_cells(window, parts), _RUNS_DDL).repartitionById(parts, "part")
-            .mapInArrow(_later_windows(parts), _RUNS_DDL).repartitionById(parts, "part")
-            .mapInArrow(_runs, "doc_id long, start long, size long, ref_doc long, ref_start long"))
+    runs = (docs.mapInArrow(released(_window_cells(window, parts)), _RUNS_DDL).repartitionById(parts, "part")
+            .mapInArrow(released(_later_windows(parts)), _RUNS_DDL).repartitionById(parts, "part")
+            .mapInArrow(released(_runs), "doc_id long, start long, size long, ref_doc long, ref_start long"))
     runs = stored(runs, "runs")
     longer = F.lit(window - 1)
     refs = stored(runs.groupBy("ref_doc", "ref_start").agg(F.max("size").alias("size"))
@@ -362,7 +362,7 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
     wanted = stored(wanted, "passages")
     some, _ = split_by_keys(docs, wanted, "doc_id")
     pieces = some.join(wanted, "doc_id").mapInArrow(
-        _pieces(window), "shard long, salt long, ref boolean, doc_id long, start long, words binary")
+        released(_pieces(window)), "shard long, salt long, ref boolean, doc_id long, start long, words binary")
     spans = pieces.groupBy("shard", "salt").applyInArrow(
         _stream(window), "doc_id long, start long, stop long, mark long")
     spans = stored(spans.groupBy("doc_id").agg(
@@ -395,7 +395,7 @@ def removal_digest(docs: DataFrame, window: int = 20) -> DataFrame:
     spans = repeated_spans(docs, window)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return with_spans(docs, spans, "spans").select("doc_id", "text", "spans").mapInArrow(
-        _digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+        released(_digest), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, name: str) -> DataFrame:

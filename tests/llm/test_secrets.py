@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import pickle
 import re
 import tracemalloc
 
@@ -8,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_ORACLE
-from tillroll.llm import secrets
+from tillroll.llm import secrets, shared, weights
+from tillroll.llm.weights import Features, feature_keys
 
 A = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
@@ -327,3 +329,102 @@ def test_counting_a_batch_takes_little_memory():
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert peak < 40e6, peak
+
+
+def test_training_sends_the_driver_its_sums_alone(spark, monkeypatch):
+    """Many features in many tasks: what the driver holds of them stays below a vector of their weights
+    and one more on its way, however many tasks there are."""
+    word = lambda k: F.translate(F.substring(F.sha1(F.concat(F.lit(f"{k} "), F.col("id").cast("string"))), 1, 9), "0123456789", "ghijklmnop")
+    rows = spark.range(2000).select(F.concat_ws(" ", word(1), word(2), word(3), F.lit("password="), word(4), word(5), word(6)).alias("text"))
+    monkeypatch.setattr(secrets, "TASK_RUNS", 1000)
+    secrets.learn(rows.limit(20))                            # what is loaded once
+    tracemalloc.start()
+    field = secrets.learn(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    n = len(field.weights)
+    assert n > 20_000 and peak < 4 * 24 * n, (n, peak)
+
+
+def test_slopes_of_all_tasks_are_added_up(spark, monkeypatch):
+    """The loss and its slopes that reach the search, at two points, against ``likelihood`` of all runs in one piece."""
+    rows = spark.createDataFrame([(t,) for _, t in corpus()] + [(f"word{k} thing{k} token=abcdefgh{k} rest{k}",) for k in range(200)], "text string")
+    seen, real = [], secrets.minimise
+
+    def search(value, x, *rest, **more):
+        rng = np.random.default_rng(0)
+        for at in (x, np.concatenate((rng.normal(size=len(x) - 12), np.zeros(3), rng.normal(size=9)))):
+            seen.append((at, *value(at)))
+        return real(value, x, *rest, **more)
+    monkeypatch.setattr(secrets, "TASK_RUNS", 500)
+    monkeypatch.setattr(secrets, "minimise", search)
+    kept = {}
+    monkeypatch.setattr(secrets, "stored", lambda df, name: kept.setdefault(name, shared.stored(df, name)))
+    field = secrets.learn(rows)
+    features, none = field.weights.features, len(field.weights)
+    tags, length, held, ids, weight, texts = [], [], [], [], [], set()
+    for r in kept["secret-training"].collect():
+        tags += r.tags
+        length.append(len(r.tags))
+        weight.append(r.weight)
+        for token in r.features:
+            names = token.split(secrets.SEPARATOR)
+            texts.update(names)
+            own = features.find(pa.array(names, pa.string()))
+            ids += [*own[own < none].tolist(), none]
+            held.append(int((own < none).sum()) + 1)
+    assert none > secrets.SLICE and len({f for f in texts if f in field.weights}) == none
+    assert kept["secret-coded"].count() > 3
+    penalty = secrets.PENALTY * np.sqrt(kept["secret-runs"].where("kind = 'secret'").agg(F.sum("n")).first()[0])
+    for x, loss, slopes in seen:
+        table = x.reshape(-1, 3)
+        want, by_weights, by_moves = secrets.likelihood(*map(np.array, (tags, length, held, ids, weight)), table[:-3], table[-3:])
+        by_weights[-1] = 0
+        assert np.isclose(loss, want + penalty / 2 * x @ x)
+        assert np.allclose(slopes, np.concatenate((by_weights, by_moves)).ravel() + penalty * x)
+
+
+def test_rows_of_training_hold_each_feature_once():
+    names = ["set=a", "long=1", "before1=and", "after=9", "after=and"]
+    features = Features(*feature_keys(pa.array(names)))
+    n = {f: int(features.find(pa.array([f]))[0]) for f in names}
+    tokens = [[["set=a", "after=and", "set=a", "unknown"], ["before1=and"]], [["nothing"]]]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([[0, 1], [2]], pa.list_(pa.int32())), pa.array([0.5, 2.0]),
+         pa.array([[secrets.SEPARATOR.join(f) for f in row] for row in tokens])], names=["tags", "weight", "features"])
+
+    class Index:
+        value = features
+    [block] = secrets._coded(Index)([batch])
+    got = {k: np.frombuffer(block.column(k)[0].as_py(), t).tolist() for k, t in secrets.CODED.items()}
+    assert (got["tags"], got["length"], got["held"], got["weight"]) == ([0, 1, 2], [2, 1], [3, 2, 1], [0.5, 2.0])
+    assert [got["own"][k] for k in got["ids"]] == [n["set=a"], n["after=and"], 5, n["before1=and"], 5, 5]
+
+
+def test_weights_are_found_by_two_hashes(monkeypatch):
+    """By name and as a neighbour, also where the first hash is the same for all."""
+    rng = np.random.default_rng(4)
+    values = {f: rng.normal(size=3) for f in ("before1=and", "before3=and", "after=é", "after=", "set=a", "and", "start=")}
+    for same in (False, True):
+        if same:
+            real = weights._hash_segment
+            monkeypatch.setattr(weights, "_hash_segment", lambda d, a, b, seed=0: real(d, a, b, seed) * np.uint64(seed > 0))
+        held = weights.Weights.named(values)
+        assert len(held) == 7 and "after=é" in held and "after=and" not in held and "" not in held
+        rows = held.table[held.rows([*values, "before2=and", "after=x"])]
+        assert np.array_equal(rows, [*values.values(), np.zeros(3), np.zeros(3)])
+        near, gains = held.neighbours()
+        got = gains[near.at(*weights.hashes(pa.array(["and", "é", "", "x"])))]
+        want = np.zeros((4, 8))
+        for k, i, f in ((0, 0, "before1=and"), (0, 2, "before3=and"), (1, 3, "after=é"), (2, 3, "after=")):
+            want[k, 2 * i:2 * i + 2] = values[f][1:] - values[f][0]
+        assert len(near) == 3 and np.array_equal(got, want)
+    assert not weights.Weights.named({}) and len(weights.Weights.named({}).neighbours()[0]) == 0
+
+
+def test_a_field_travels_as_arrays():
+    field = secrets.Field({f"before1=word{k}": np.ones(3) * k for k in range(5000)}, np.eye(3), np.ones((27, 27)))
+    data = pickle.dumps(field)
+    again = pickle.loads(data)
+    assert len(data) < 60 * 5000
+    assert again.spans(["word1 a", ""]) == field.spans(["word1 a", ""]) and np.array_equal(again.moves, np.eye(3))

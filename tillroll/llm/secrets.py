@@ -10,8 +10,8 @@ from with the tokens around it: part of these runs hide the keyword and the
 neighbours, and part have the value respelled in other characters, so that shape
 counts by itself.  Against them stand all other tokens of the corpus, counted by
 their features, and in texts that hold a secret also numbers and signs with their
-neighbours.  The likelihood and its gradient are summed up by Spark; the driver
-holds the weights alone.
+neighbours.  The likelihood and its gradient are summed up by Spark, by slices of the
+features; the driver gets the sums alone, and has the vectors of the search on disk.
 """
 
 from __future__ import annotations
@@ -21,20 +21,25 @@ import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from functools import cached_property
 from itertools import groupby, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm.shared import code_points, release, released, stored, tune
 from tillroll.llm.textkit import _hash_segment
+from tillroll.llm.weights import Features, Weights, feature_keys, fill, hashes, on_disk
 
 #: Steps of training, its penalty on squared weights (times the root of the runs with a secret), the
-#: least share of all training weight that a feature must occur in, runs to a task (of at most ``TASKS``).
-STEPS, PENALTY, RARE, TASK_RUNS, TASKS = 30, 0.45, 1e-6, 50_000, 64
+#: least share of all training weight that a feature must occur in, runs to a task.
+STEPS, PENALTY, RARE, TASK_RUNS = 30, 0.45, 1e-6, 50_000
+#: Features whose slopes travel in one cell, and whose slopes are added up in one task.
+SLICE, TASK_FEATURES = 1 << 11, 1 << 17
 #: Weight of all other tokens, against 1 of all runs with a secret: those counted by their features,
 #: odd (not of letters, over 3 long) and others, and odd ones with their neighbours.
 AGAINST = {"odd": 0.003, "even": 0.3, "near": 0.0003}
@@ -317,26 +322,24 @@ class Field:
     """Linear-chain CRF over tags outside, begin, inside (inside only follows
     begin or inside; before a run all is outside)."""
 
-    def __init__(self, weights: dict[str, np.ndarray] | None = None, moves: np.ndarray | None = None,
+    def __init__(self, weights: Weights | dict[str, np.ndarray] | None = None, moves: np.ndarray | None = None,
                  pairs: np.ndarray | None = None):
-        self.weights = weights or {}
+        self.weights = weights if isinstance(weights, Weights) else Weights.named(weights or {})
         self.moves = np.zeros((3, 3)) if moves is None else moves
         self.pairs = np.zeros((27, 27)).tolist() if pairs is None else pairs.tolist()
         self._forget()
 
+    def __reduce__(self):
+        return Field, (self.weights, self.moves, np.array(self.pairs))
+
     def _forget(self) -> None:
         """Scores of tokens, in two generations (rows: gains over outside of begin and
         inside, of the token itself, as first to third neighbour before and as the one after;
         whether it holds a keyword)."""
         self._recent, self._older = _Memory(), _Memory()
         self._files: dict[tuple, np.ndarray] = {}
-        self._near: dict[str, np.ndarray] = {}
-        for i, group in enumerate(("before1", "before2", "before3", "after")):
-            for f in self.weights:
-                if f.startswith(f"{group}="):
-                    near = self._near.setdefault(f[len(group) + 1:], np.zeros(8))
-                    near[2 * i:2 * i + 2] = self._gain([f])
-        whole = lambda names: np.array([self.weights.get(f, np.zeros(3)) for f in names])
+        self._known: dict[str, int] = {}
+        whole = lambda names: self.weights.table[self._rows(list(names))]
         sets = ["".join(k for k, bit in zip("Aax", (1, 2, 4)) if m & bit) for m in range(8)]
         self._tables = {
             "set": whole(f"set={x}" for x in sets), "long": whole(f"long={k}" for k in range(13)),
@@ -350,14 +353,24 @@ class Field:
         self._named = np.array([self._gain(["named=False"]), self._gain(["named=True"])])
         self._glued = np.array([self._gain([f"glued={g}"]) for g in ("00", "01", "10", "11")])
 
+    def _rows(self, features: list[str]) -> np.ndarray:
+        """Rows of the features in the table of weights, remembered or sought together."""
+        new = [f for f in dict.fromkeys(features) if f not in self._known]
+        if len(self._known) + len(new) > REMEMBERED:
+            self._known.clear()
+            new = list(dict.fromkeys(features))
+        if new:
+            self._known.update(zip(new, self.weights.rows(new).tolist()))
+        return np.fromiter(map(self._known.__getitem__, features), np.int64, len(features))
+
     def _gain(self, features: list[str]) -> np.ndarray:
-        out = np.zeros(3)
-        for f in features:
-            w = self.weights.get(f)
-            if w is not None:
-                out += w
+        out = self.weights.table[self._rows(features)].sum(0)
         return out[1:] - out[OUT]
 
+    @cached_property
+    def _near(self) -> tuple[Features, np.ndarray]:
+        return self.weights.neighbours()
+
     def _word_gains(self, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Own gains of many tokens at once, and which of them are words (letters, all but the
         first of lower case): of those alone."""
@@ -376,12 +389,16 @@ class Field:
         rows = np.zeros((len(tokens), 11))
         rows[:, :2], word = self._word_gains(points, start, end)
         names = [x[:16].lower() for x in tokens]                 # of words; of others below
-        for i in np.flatnonzero(~word).tolist():
-            rows[i, :2] = self._gain(own_features(tokens[i], self.pairs))
-            names[i] = _neighbour(tokens[i])
-        for i, near in enumerate(map(self._near.get, names)):
-            if near is not None:
-                rows[i, 2:10] = near
+        others = np.flatnonzero(~word)
+        if len(others):
+            own = [own_features(tokens[i], self.pairs) for i in others.tolist()]
+            total = np.add.reduceat(self.weights.table[self._rows([f for x in own for f in x])],
+                                    np.cumsum([0] + [len(x) for x in own[:-1]]))
+            rows[others, :2] = total[:, 1:] - total[:, :1]
+            for i in others.tolist():
+                names[i] = _neighbour(tokens[i])
+        near, gains = self._near
+        rows[:, 2:10] = gains[near.at(*hashes(pa.array(names, pa.string())))]
         starts = np.cumsum([0] + [len(x) + 1 for x in tokens])
         for m in _KEYWORD.finditer("\n".join(tokens)):
             rows[int(np.searchsorted(starts, m.start(), side="right")) - 1, 10] = 1
@@ -550,13 +567,9 @@ class Field:
         return [(a, min(b + 1, len(gains))) for a, b in edges]
 
     def emissions(self, run) -> np.ndarray:
-        out = np.zeros((len(run), 3))
-        for i, (_, _, features) in enumerate(run):
-            for f in features:
-                w = self.weights.get(f)
-                if w is not None:
-                    out[i] += w
-        return out
+        rows = self._rows([f for _, _, features in run for f in features])
+        owner = np.repeat(np.arange(len(run)), [len(features) for _, _, features in run])
+        return np.stack([np.bincount(owner, w, len(run)) for w in self.weights.table[rows].T], 1)
 
     def _steps(self) -> np.ndarray:
         steps = self.moves.copy()
@@ -790,18 +803,41 @@ def _plain_counts(pairs):
     return run
 
 
-def _coded(names):
-    """Rows of training with features by number; the number after the last one, which has
-    no weight, is in every token."""
+def _hashed(batches):
+    for batch in batches:
+        parts = [x.tobytes() for x in feature_keys(batch.column("f"))]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], names=["keys", "checks", "places"])
+
+
+CODED = {"tags": np.int8, "length": np.int32, "held": np.int32, "ids": np.int32, "own": np.int32, "weight": np.float64}
+
+
+def _coded(index):
+    """Rows of training, those of a batch as one block: its features by number (``own``), and
+    what each token has of them (``ids``); the number after the last one, which has no
+    weight, is in every token."""
     def run(batches):
-        place = names.value
+        features: Features = index.value
+        none = len(features)
         for batch in batches:
-            tokens = [[[place[x] for x in dict.fromkeys(f.split(SEPARATOR)) if x in place] + [len(place)] for f in features]
-                      for features in batch.column("features").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("tags"), pa.array([[len(t) for t in row] for row in tokens], pa.list_(pa.int32())),
-                 pa.array([[i for t in row for i in t] for row in tokens], pa.list_(pa.int32())), batch.column("weight")],
-                names=["tags", "held", "ids", "weight"])
+            if not batch.num_rows:
+                continue
+            tokens = batch.column("features").flatten()
+            names = pc.split_pattern(tokens, SEPARATOR)
+            owner = np.repeat(np.arange(len(tokens)), pc.list_value_length(names).to_numpy())
+            found = features.find(names.flatten())
+            owner, found = owner[found < none], found[found < none]
+            first = np.sort(np.unique(owner * none + found, return_index=True)[1])       # no feature twice in a token
+            held = np.bincount(owner[first], minlength=len(tokens)) + 1
+            ids = np.full(held.sum(), none)
+            last = np.zeros(len(ids), bool)
+            last[np.cumsum(held) - 1] = True
+            ids[~last] = found[first]
+            own, ids = np.unique(ids, return_inverse=True)
+            parts = {"tags": batch.column("tags").flatten().to_numpy(), "held": held, "ids": ids, "own": own,
+                     "length": pc.list_value_length(batch.column("tags")).to_numpy(), "weight": batch.column("weight").to_numpy()}
+            yield pa.RecordBatch.from_arrays([pa.array([parts[k].astype(t).tobytes()], pa.binary()) for k, t in CODED.items()],
+                                             names=list(CODED))
     return run
 
 
@@ -842,48 +878,85 @@ def likelihood(tags: np.ndarray, length: np.ndarray, held: np.ndarray, ids: np.n
 
 
 def _gradient(model):
+    """Loss and slopes of a task's blocks, as rows of three by the number of the feature, after them
+    the moves and the loss: in cells of the rows of a slice that aren't zero."""
     def run(batches):
-        weights, moves = model.value
-        loss, by_weights, by_moves = 0.0, np.zeros(weights.shape), np.zeros((3, 3))
+        x = model.value
+        total = np.zeros((len(x) + 1, 3))
         for batch in batches:
-            if batch.num_rows:
-                tags, held, ids = (batch.column(k).flatten().to_numpy() for k in ("tags", "held", "ids"))
-                length = pc.list_value_length(batch.column("tags")).to_numpy()
-                part = likelihood(tags, length, held, ids, batch.column("weight").to_numpy(), weights, moves)
-                loss, by_weights, by_moves = loss + part[0], by_weights + part[1], by_moves + part[2]
-        yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([by_weights.tobytes()]), pa.array([by_moves.tobytes()])],
-                                         names=["loss", "weights", "moves"])
+            for block in zip(*(batch.column(k).to_pylist() for k in CODED)):
+                tags, length, held, ids, own, weight = (np.frombuffer(b, t) for b, t in zip(block, CODED.values()))
+                loss, by_weights, by_moves = likelihood(tags.astype(np.int64), length, held, ids, weight, x[own], x[-3:])
+                total[own] += by_weights
+                total[-4:-1] += by_moves
+                total[-1, 0] += loss
+        total[-5] = 0                                        # of the feature that every token has
+        rows = np.flatnonzero(total.any(1))
+        slices, first = np.unique(rows // SLICE, return_index=True)
+        edges = list(zip(first.tolist(), [*first[1:].tolist(), len(rows)]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(slices, pa.int32()), pa.array([TaskContext.get().partitionId()] * len(slices), pa.int32()),
+             pa.array([rows[a:b].astype(np.int32).tobytes() for a, b in edges], pa.binary()),
+             pa.array([total[rows[a:b]].tobytes() for a, b in edges], pa.binary())], names=["slice", "part", "rows", "slopes"])
     return run
 
 
-def minimise(value, x: np.ndarray, steps: int, kept: int = 8) -> np.ndarray:
-    """L-BFGS from ``x`` on; ``value`` gives a loss and its gradient."""
+def _summed(batches):
+    """The sum of the cells of each slice, which come together and in the order of the tasks."""
+    at, total = None, np.zeros((SLICE, 3))
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())],
+                                          names=["slice", "slopes"])
+    for batch in batches:
+        for k, rows, slopes in zip(*(batch.column(c).to_pylist() for c in ("slice", "rows", "slopes"))):
+            if k != at:
+                if at is not None:
+                    yield out()
+                at, total = k, np.zeros((SLICE, 3))
+            total[np.frombuffer(rows, np.int32) - k * SLICE] += np.frombuffer(slopes).reshape(-1, 3)
+    if at is not None:
+        yield out()
+
+
+def minimise(value, x: np.ndarray, steps: int, kept: int = 8, room=np.zeros) -> np.ndarray:
+    """L-BFGS from ``x`` on; ``value`` gives a loss and its gradient.  Its vectors are of ``room``,
+    and changed part by part."""
     loss, g = value(x)
     past: list[tuple[np.ndarray, np.ndarray]] = []
+    d = room(len(x))
     for _ in range(steps):
-        d, factors = -g, []
+        fill(d, lambda k: -g[k])
+        factors = []
         for s, y in reversed(past):
-            factors.append(s @ d / (s @ y))
-            d = d - factors[-1] * y
+            factors.append(f := s @ d / (s @ y))
+            fill(d, lambda k: d[k] - f * y[k])
         if past:
             s, y = past[-1]
-            d = d * (s @ y / (y @ y))
+            scale = s @ y / (y @ y)
+            fill(d, lambda k: d[k] * scale)
         else:
-            d = d / max(float(np.abs(g).max()), 1e-12)
+            most = max(float(g.max()), -float(g.min()), 1e-12)
+            fill(d, lambda k: d[k] / most)
         for (s, y), f in zip(past, reversed(factors)):
-            d = d + (f - y @ d / (s @ y)) * s
+            f -= y @ d / (s @ y)
+            fill(d, lambda k: d[k] + f * s[k])
         slope, rate = float(g @ d), 1.0
         if slope > -1e-7 * max(1.0, abs(loss)):
             break
+        at = room(len(x))
         for _ in range(12):
-            new_loss, new_g = value(x + rate * d)
+            fill(at, lambda k: x[k] + rate * d[k])
+            new_loss, new_g = value(at)
             if new_loss <= loss + 1e-4 * rate * slope:
                 break
             rate /= 2
         else:
             break
-        s, y = rate * d, new_g - g
-        x, loss, g = x + s, new_loss, new_g
+        s, y = room(len(x)), room(len(x))
+        fill(s, lambda k: rate * d[k])
+        fill(y, lambda k: new_g[k] - g[k])
+        x, loss, g = at, new_loss, new_g
         if s @ y > 1e-10 * (y @ y):
             past = [*past, (s, y)][-kept:]
     return x
@@ -917,28 +990,35 @@ def learn(docs: DataFrame) -> Field:
     names = (rows.select(F.explode("features").alias("f"), "weight")
              .select(F.explode(F.split("f", SEPARATOR)).alias("f"), "weight")
              .groupBy("f").agg(F.sum("weight").alias("w")).where(F.col("w") >= RARE * total))
-    names = sorted(r.f for r in names.select("f").collect())
-    place = spark.sparkContext.broadcast({f: k for k, f in enumerate(names)})
-    tasks = max(1, min(TASKS, -(-n // TASK_RUNS)))
+    parts = names.select("f").mapInArrow(released(_hashed), "keys binary, checks binary, places binary").collect()
+    features = Features(*(np.frombuffer(b"".join(r[k] for r in parts), t) for k, t in enumerate((np.uint64, np.uint64, np.uint8))))
+    del parts
+    index = spark.sparkContext.broadcast(features)
+    tasks = max(1, -(-n // TASK_RUNS))
     # rows in one order, so that sums come out alike in every run
     coded = stored(rows.repartition(tasks, "features").sortWithinPartitions("features", "tags", "weight").mapInArrow(
-        released(_coded(place)), "tags array<int>, held array<int>, ids array<int>, weight double"), "secret-coded")
-    size, penalty = 3 * (len(names) + 1), PENALTY * math.sqrt(held["secret"])
+        released(_coded(index)), ", ".join(f"{k} binary" for k in CODED)), "secret-coded")
+    index.destroy()
+    # rows of three: the features' weights, those of a feature that every token has, the moves
+    size, penalty = 3 * (len(features) + 1 + 3), PENALTY * math.sqrt(held["secret"])
+    adders = -(-size // (3 * TASK_FEATURES))
 
     def value(x):
-        model = spark.sparkContext.broadcast((x[:size].reshape(-1, 3), x[size:].reshape(3, 3)))
-        parts = coded.mapInArrow(released(_gradient(model)), "loss double, weights binary, moves binary").collect()
+        model = spark.sparkContext.broadcast(x.reshape(-1, 3))
+        cells = coded.mapInArrow(released(_gradient(model)), "slice int, part int, rows binary, slopes binary")
+        sums = cells.repartition(adders, "slice").sortWithinPartitions("slice", "part").mapInArrow(
+            released(_summed), "slice int, slopes binary").collect()
         model.destroy()
-        g = np.zeros(len(x))
-        for r in parts:
-            g[:size] += np.frombuffer(r.weights)
-            g[size:] += np.frombuffer(r.moves)
-        g[size - 3:size] = 0
-        return sum(r.loss for r in parts) + penalty / 2 * float(x @ x), g + penalty * x
-
-    x = minimise(value, np.zeros(size + 9), STEPS)
-    weights = x[:size].reshape(-1, 3)
-    return Field({f: weights[k] for k, f in enumerate(names)}, x[size:].reshape(3, 3), pairs)
+        total = on_disk(size + 3)
+        for r in sums:
+            part = total[3 * SLICE * r.slice:3 * SLICE * (r.slice + 1)]
+            part[:] = np.frombuffer(r.slopes)[:len(part)]
+        g = total[:size]
+        fill(g, lambda k: g[k] + penalty * x[k])
+        return float(total[size]) + penalty / 2 * float(x @ x), g
+
+    x = minimise(value, on_disk(size), STEPS, room=on_disk)
+    return Field(Weights(features, x[:-9].reshape(-1, 3)), x[-9:].reshape(3, 3), pairs)
 
 
 def _joined(spans) -> str:
